@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding
+from . import bpe, decontam, sharding, simhash
 from .common import table
 
 
@@ -26,10 +26,20 @@ def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded)
 
 
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contract(decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.contract(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
+        "op7_fm_index_decontamination": op7_fm_index_decontamination,
+        "op9_simhash_pigeonring": op9_simhash_pigeonring,
     }
 
 
