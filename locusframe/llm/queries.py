@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, sharding, simhash
+from . import bpe, decontam, quality, sharding, simhash
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs))
+
+
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(tokenizer_path()))
     return bpe.digests(coded)
@@ -37,6 +42,7 @@ def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
+        "op2_kneser_ney_quality": op2_kneser_ney_quality,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_fm_index_decontamination": op7_fm_index_decontamination,
         "op9_simhash_pigeonring": op9_simhash_pigeonring,
