@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, sharding, simhash
+from . import bpe, decontam, langid, quality, sharding, simhash
 from .common import table
 
 
@@ -26,6 +26,13 @@ def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs))
 
 
+def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    rows = langid.predict(docs, prototypes)
+    return rows.select("doc_id", langid.held_out(rows["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(tokenizer_path()))
     return bpe.digests(coded)
@@ -43,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
         "op2_kneser_ney_quality": op2_kneser_ney_quality,
+        "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_fm_index_decontamination": op7_fm_index_decontamination,
         "op9_simhash_pigeonring": op9_simhash_pigeonring,
