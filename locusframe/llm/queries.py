@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, sharding, simhash
+from . import bpe, decontam, htmltext, langid, quality, sharding, simhash
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.contract(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op10_html_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_fm_index_decontamination": op7_fm_index_decontamination,
         "op9_simhash_pigeonring": op9_simhash_pigeonring,
+        "op10_html_block_tree": op10_html_block_tree,
     }
 
 
