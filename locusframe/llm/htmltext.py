@@ -193,13 +193,17 @@ LABELLED = [
     (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 0), (15, 0.2, 1, 1.0, 40, 0.0, 0, 0, 1, 0, 0), (60, 0.0, 80, 0.0, 90, 0.0, 0, 0, 1, 0, 0), (25, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1, 0, 0),
     (80, 0.0, 70, 0.0, 75, 0.0, 1, 0, 1, 0, 0), (3, 0.0, 50, 0.0, 2, 0.0, 1, 1, 0, 0, 0), (40, 0.0, 3, 0.0, 35, 0.0, 1, 1, 0, 0, 0), (1, 1.0, 30, 0.0, 1, 1.0, 1, 0, 1, 0, 0),
     (6, 1.0, 40, 0.0, 60, 0.0, 1, 0, 1, 0, 0), (10, 0.7, 30, 0.0, 80, 0.0, 0, 0, 1, 0, 0), (3, 1.0, 50, 0.0, 120, 0.0, 1, 1, 0, 0, 0), (5, 0.6, 70, 0.0, 48, 0.0, 1, 0, 1, 0, 0),
+    (1, 1.0, 1, 1.0, 80, 0.0, 0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 100, 0.0, 1, 1, 0, 0, 0), (20, 0.9, 1, 1.0, 90, 0.0, 0, 1, 0, 0, 0), (12, 1.0, 2, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
+    (1, 1.0, 60, 0.0, 9, 0.0, 0, 1, 0, 0, 0), (12, 1.0, 80, 0.0, 10, 0.0, 0, 1, 0, 0, 0), (12, 1.0, 70, 0.0, 50, 0.0, 0, 0, 1, 0, 0), (10, 1.0, 45, 0.0, 55, 0.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 50, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (1, 1.0, 48, 0.0, 60, 0.0, 1, 0, 1, 0, 0), (9, 1.0, 52, 0.0, 47, 0.0, 1, 1, 0, 0, 0), (2, 1.0, 44, 0.0, 46, 0.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 9, 0.0, 55, 0.0, 0, 0, 1, 0, 0), (14, 1.0, 1, 1.0, 70, 0.0, 1, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 70, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 120, 0.0, 0, 0, 0, 0, 0),
     (4, 0.0, 90, 0.0, 55, 0.0, 0, 0, 1, 1, 0), (4, 0.0, 20, 0.0, 5, 0.0, 0, 1, 0, 1, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 1, 1, 1, 0), (110, 0.3, 4, 0.0, 10, 0.0, 0, 1, 1, 0, 0),
     # the article, with its headings and its shortest paragraphs
     (9, 0.0, 8, 0.0, 120, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (3, 0.3, 1, 1.0, 40, 0.0, 1, 0, 0, 1, 1), (1, 0.0, 50, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
     (1, 0.0, 1, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (4, 0.0, 6, 0.0, 12, 0.0, 1, 0, 0, 0, 1), (120, 0.0, 9, 0.0, 45, 0.0, 1, 0, 0, 0, 1), (45, 0.2, 120, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
     (300, 0.0, 2, 0.0, 8, 0.0, 1, 0, 0, 0, 1), (20, 0.5, 30, 0.1, 25, 0.0, 1, 0, 0, 0, 1), (7, 0.0, 300, 0.0, 12, 0.2, 1, 0, 0, 0, 1), (12, 1.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 1),
     (40, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 1), (3, 0.0, 2, 1.0, 1, 1.0, 1, 0, 0, 0, 1), (80, 0.0, 60, 0.0, 1, 1.0, 1, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 3, 1.0, 1, 0, 0, 0, 1),
-    (2, 0.0, 3, 1.0, 40, 0.0, 1, 0, 0, 0, 1), (2, 0.5, 40, 0.0, 30, 0.0, 1, 0, 0, 0, 1), (1, 1.0, 40, 0.1, 50, 0.0, 1, 0, 0, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+    (2, 0.0, 3, 1.0, 40, 0.0, 1, 0, 0, 0, 1), (2, 0.5, 40, 0.0, 30, 0.0, 1, 0, 0, 0, 1), (9, 0.9, 50, 0.0, 45, 0.0, 1, 0, 0, 0, 1), (1, 1.0, 40, 0.1, 50, 0.0, 1, 0, 0, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
     # lists of links within it
     (2, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (3, 1.0, 40, 0.0, 2, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0, 0), (4, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0, 0, 0),
     # pages without an article element: long text and what stands between it
