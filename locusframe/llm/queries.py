@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, htmltext, langid, quality, sharding, simhash
+from . import bpe, decontam, htmltext, langid, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contract(decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.contract(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_fm_index_decontamination": op7_fm_index_decontamination,
+        "op8_warc_revisits": op8_warc_revisits,
         "op9_simhash_pigeonring": op9_simhash_pigeonring,
         "op10_html_block_tree": op10_html_block_tree,
     }
