@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, htmltext, langid, quality, sharding, simhash, warc
+from . import bpe, decontam, hmm, htmltext, langid, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out(rows["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+def op5_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(tokenizer_path()))
     return bpe.digests(coded)
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jump_sharding": op1_jump_sharding,
         "op2_kneser_ney_quality": op2_kneser_ney_quality,
         "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
+        "op5_hidden_markov_lm": op5_hidden_markov_lm,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_fm_index_decontamination": op7_fm_index_decontamination,
         "op8_warc_revisits": op8_warc_revisits,
