@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, hmm, htmltext, langid, quality, sharding, simhash, warc
+from . import bpe, decontam, hmm, htmltext, langid, licenses, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs))
 
 
+def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
@@ -58,10 +62,17 @@ def op10_html_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
         "op2_kneser_ney_quality": op2_kneser_ney_quality,
+        "op3_license_compression": op3_license_compression,
         "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
         "op5_hidden_markov_lm": op5_hidden_markov_lm,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
@@ -69,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_revisits": op8_warc_revisits,
         "op9_simhash_pigeonring": op9_simhash_pigeonring,
         "op10_html_block_tree": op10_html_block_tree,
+        "pipeline": pipeline,
     }
 
 
