@@ -1 +1 @@
-
+"""Column functions: genotype counts, exact tests, text helpers."""

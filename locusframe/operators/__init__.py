@@ -1 +1 @@
-
+"""Operators over the variants DataFrame."""

@@ -1 +1 @@
-
+"""No streaming operators: variant archives are read and written in batches, and none are asked for."""
