@@ -9,6 +9,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exact
 from ..functions import genotypes as G
@@ -120,11 +121,10 @@ def _upsert(df: DataFrame, values: Mapping[str, Column], into: str) -> DataFrame
     fields += [v.alias(t) for t, v in values.items() if t not in names]
     keys = F.coalesce(F.col("info_keys"), F.array().cast("array<string>")) if "info_keys" in df.columns else F.array().cast("array<string>")
     out = df.withColumn(into, F.struct(*fields))
-    for t in values:
-        shown = F.col(f"{into}.`{t}`")
-        here = (shown if dict(out.select(shown.alias("x")).dtypes)["x"] == "boolean" else shown.isNotNull()) & ~F.coalesce(F.array_contains(keys, t), F.lit(False))
-        keys = F.when(here, F.array_append(keys, F.lit(t))).otherwise(keys)
-    return out.withColumn("info_keys", keys)
+    kinds = {f.name: f.dataType for f in out.schema[into].dataType.fields}
+    shown = [F.when(F.col(f"{into}.`{t}`") if isinstance(kinds[t], T.BooleanType) else F.col(f"{into}.`{t}`").isNotNull(), F.lit(t)) for t in values]
+    new = F.filter(F.array(*shown), lambda t: t.isNotNull() & ~F.array_contains(keys, t))
+    return out.withColumn("info_keys", F.concat(keys, new))
 
 
 def members(samples: Sequence[str], groups: Iterable[tuple[str, str]]) -> dict[str, list[int]]:

@@ -96,7 +96,8 @@ def apply(df: DataFrame, s: Slice) -> DataFrame:
             kept = F.filter(keys, lambda k: F.array_contains(order, k))
         else:
             kept = F.filter(order, lambda k: F.array_contains(F.col(keys), k))
-        out.append(F.when(F.col(keys).isNotNull(), kept).alias(keys))
+        # keys is named once only: a second use would keep the projection that parses all fields from being merged with this one
+        out.append(kept.alias(keys))
     if s.genotypes and "gt" in df.columns:
         out.append(F.col("gt"))
     return df.select(*out)

@@ -55,11 +55,19 @@ def parse_lines(lines: DataFrame, header: Header, check_positions: bool = True)
     With check_positions, a position beyond its contig's length, or a contig that was not declared, is an error.
     """
     v = F.col(lines.columns[0])
-    body = lines.where(~v.startswith("#") & (v != "")).select(F.split(v, "\t", -1).alias("f"))
+    # header lines have no fields, so that no expression that is moved before the filter stumbles over them
+    is_body = ~v.startswith("#") & (v != "")
+    body = lines.where(is_body).select(F.when(is_body, F.split(v, "\t", -1)).alias("f"))
     at = lambda i: F.get("f", F.lit(i))
     dot = lambda c: F.when(c != ".", c)
+    pos = at(1).try_cast("bigint")
+    if check_positions and header.contigs:
+        lengths = F.create_map(*[F.lit(x) for c, n in header.contigs.items() for x in (c, n)])
+        bad = at(0).isNotNull() & ~F.coalesce(pos <= F.try_element_at(lengths, at(0)), F.lit(False))
+        message = F.concat(F.lit("position beyond its contig or contig not declared: "), at(0), F.lit(":"), F.coalesce(at(1), F.lit("")))
+        pos = F.when(bad, F.raise_error(message).cast(T.LongType())).otherwise(pos)
     base = body.select(
-        at(0).alias("contig"), at(1).cast("bigint").alias("pos"), dot(at(2)).alias("id"), F.concat(F.array(at(3)), F.split(at(4), ",")).alias("alleles"), at(5).try_cast("float").alias("qual"),
+        at(0).alias("contig"), pos.alias("pos"), dot(at(2)).alias("id"), F.concat(F.array(at(3)), F.split(at(4), ",")).alias("alleles"), at(5).try_cast("float").alias("qual"),
         F.when(at(6) != ".", F.split(at(6), ";")).alias("filters"), F.when(at(7) != ".", F.filter(F.split(at(7), ";"), lambda x: x != "")).alias("i"), F.when(dot(at(8)).isNotNull(), F.split(at(8), ":")).alias("format_keys"),
         F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("s"),
     )
@@ -71,12 +79,6 @@ def parse_lines(lines: DataFrame, header: Header, check_positions: bool = True)
         "contig", "pos", "id", "alleles", qual.alias("qual"), "filters", *([F.struct(*info).alias("info")] if info else []), F.transform("i", lambda x: F.substring_index(x, "=", 1)).alias("info_keys"),
         "format_keys", *([F.struct(*fmt).alias("fmt")] if fmt else []), gt.alias("gt"),
     )
-    if check_positions and header.contigs:
-        lengths = F.create_map(*[F.lit(x) for c, n in header.contigs.items() for x in (c, n)])
-        length = F.try_element_at(lengths, F.col("contig"))
-        bad = length.isNull() | (F.col("pos") > length)
-        message = F.concat(F.lit("position beyond its contig or contig not declared: "), F.col("contig"), F.lit(":"), F.col("pos").cast("string"))
-        out = out.withColumn("pos", F.when(bad, F.raise_error(message).cast(T.LongType())).otherwise(F.col("pos")))
     return out.withColumn("ploidy", F.when(F.col("gt").isNotNull(), G.ploidy()))
 
 
