@@ -6,6 +6,8 @@ whether the separator before it was a phased one. A sample may have fewer allele
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _gt(gt: Column | str) -> Column:
     return F.coalesce(F.col(gt) if isinstance(gt, str) else gt, F.array().cast(GT_TYPE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once for each row, however often body names it, also where a filter is moved."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def flat(gt: Column | str = "gt") -> Column:
     """All allele numbers of a site."""
     return F.flatten(F.transform(_gt(gt), lambda g: g["a"]))
@@ -28,25 +35,32 @@ def count_of(values: Column, k: Column | int) -> Column:
 def allele_counts(gt: Column | str = "gt", alleles: Column | str = "alleles") -> Column:
     """Called alleles by number, REF first."""
     n = F.size(F.col(alleles) if isinstance(alleles, str) else alleles)
-    values = flat(gt)
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: count_of(values, k))
+    return let(flat(gt), lambda values: F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: count_of(values, k)))
+
+
+def _ploidy(g: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(g, lambda x: F.size(x["a"]))), F.lit(0))
 
 
 def ploidy(gt: Column | str = "gt") -> Column:
-    return F.coalesce(F.array_max(F.transform(_gt(gt), lambda g: F.size(g["a"]))), F.lit(0))
+    return _ploidy(_gt(gt))
 
 
 def position_counts(gt: Column | str = "gt", alleles: Column | str = "alleles") -> Column:
     """Called alleles by haplotype position, then allele number: position-major, REF first."""
     n = F.greatest(F.size(F.col(alleles) if isinstance(alleles, str) else alleles), F.lit(1))
-    g = _gt(gt)
 
-    def at(j: Column) -> Column:
-        own = F.transform(F.filter(g, lambda x: F.size(x["a"]) > j), lambda x: F.get(x["a"], j))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: count_of(own, k))
+    def all_of(g: Column) -> Column:
+        def at(j: Column) -> Column:
+            own = F.transform(F.filter(g, lambda x: F.size(x["a"]) > j), lambda x: F.get(x["a"], j))
+            return let(own, lambda o: F.transform(F.sequence(F.lit(0), n - 1), lambda k: count_of(o, k)))
+
+        def by_position(p: Column) -> Column:
+            return F.when(p > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(p, F.lit(1)) - 1), at))).otherwise(F.array().cast("array<int>"))
+
+        return let(_ploidy(g), by_position)
 
-    p = ploidy(gt)
-    return F.when(p > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(p, F.lit(1)) - 1), at))).otherwise(F.array().cast("array<int>"))
+    return let(_gt(gt), all_of)
 
 
 def missing_alleles(gt: Column | str = "gt") -> Column:
@@ -55,7 +69,7 @@ def missing_alleles(gt: Column | str = "gt") -> Column:
 
 def absent_alleles(gt: Column | str = "gt") -> Column:
     """Slots that samples of lower ploidy lack."""
-    return (F.size(_gt(gt)) * ploidy(gt) - F.size(flat(gt))).cast("int")
+    return let(_gt(gt), lambda g: (F.size(g) * _ploidy(g) - F.size(F.flatten(F.transform(g, lambda x: x["a"])))).cast("int"))
 
 
 def genotype_count(first: int, second: int, gt: Column | str = "gt") -> Column:
@@ -65,8 +79,8 @@ def genotype_count(first: int, second: int, gt: Column | str = "gt") -> Column:
 
 def genotype_table(gt: Column | str = "gt") -> Column:
     """(a0, a1, n) of every ordered diploid genotype that occurs, missing ones included, in order."""
-    g = F.transform(F.filter(_gt(gt), lambda x: F.size(x["a"]) == 2), lambda x: x["a"])
-    return F.transform(F.array_sort(F.array_distinct(g)), lambda d: F.struct(F.get(d, F.lit(0)).alias("a0"), F.get(d, F.lit(1)).alias("a1"), F.size(F.filter(g, lambda y: y == d)).alias("n")))
+    pairs = F.transform(F.filter(_gt(gt), lambda x: F.size(x["a"]) == 2), lambda x: x["a"])
+    return let(pairs, lambda g: F.transform(F.array_sort(F.array_distinct(g)), lambda d: F.struct(F.get(d, F.lit(0)).alias("a0"), F.get(d, F.lit(1)).alias("a1"), F.size(F.filter(g, lambda y: y == d)).alias("n"))))
 
 
 def phases(gt: Column | str = "gt") -> Column:
@@ -81,16 +95,28 @@ def all_phased(gt: Column | str = "gt") -> Column:
 
 
 def mixed_phasing(gt: Column | str = "gt") -> Column:
-    return F.exists(phases(gt), lambda p: p) & F.exists(phases(gt), lambda p: ~p)
+    return let(phases(gt), lambda x: F.exists(x, lambda p: p) & F.exists(x, lambda p: ~p))
 
 
 def mixed_ploidy(gt: Column | str = "gt") -> Column:
     """Some sample has fewer alleles than the site's ploidy."""
-    p = ploidy(gt)
-    return F.exists(_gt(gt), lambda g: F.size(g["a"]) < p)
+    return let(F.transform(_gt(gt), lambda g: F.size(g["a"])), lambda sizes: F.coalesce(F.array_min(sizes) < F.array_max(sizes), F.lit(False)))
 
 
 def af(ac: Column) -> Column:
     """Frequencies of counts; all 0 where nothing was called."""
-    total = F.aggregate(ac, F.lit(0), lambda s, x: s + x)
-    return F.transform(ac, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)).cast("double"))
+
+    def shares(c: Column) -> Column:
+        return let(F.aggregate(c, F.lit(0), lambda s, x: s + x), lambda total: F.transform(c, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)).cast("double")))
+
+    return let(ac, shares)
+
+
+def diploid_codes(gt: Column | str = "gt") -> Column:
+    """Of each sample: 0, 1 or 2 for how many ALT1 a diploid call of REF and ALT1 has, else -1."""
+
+    def code(g: Column) -> Column:
+        x, y = F.get(g["a"], F.lit(0)), F.get(g["a"], F.lit(1))
+        return F.when((F.size(g["a"]) == 2) & x.between(0, 1) & y.between(0, 1), x + y).otherwise(F.lit(-1))
+
+    return F.transform(_gt(gt), code)

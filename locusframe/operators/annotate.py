@@ -164,21 +164,34 @@ def f_statistics(df: DataFrame, groups: Mapping[str, Sequence[int]], into: str |
     Of groups with genotypes: observed and expected heterozygosity weighted by genotypes, and that of the pooled allele
     frequencies. A sample in several groups counts in each. A value with denominator 0 is 0.
     """
-    parts = []
-    for numbers in groups.values():
-        g = _of(numbers)
-        parts.append(F.struct(G.genotype_count(0, 0, g).cast("double").alias("rr"), (G.genotype_count(0, 1, g) + G.genotype_count(1, 0, g)).cast("double").alias("ra"), G.genotype_count(1, 1, g).cast("double").alias("aa")))
-    out = df.withColumn("__f", F.filter(F.array(*parts), lambda x: x["rr"] + x["ra"] + x["aa"] > 0))
-    add = lambda f: F.aggregate(F.col("__f"), F.lit(0.0), lambda s, x: s + f(x))
-    n = lambda x: x["rr"] + x["ra"] + x["aa"]
-    out = out.withColumns(
-        {"__n": add(n), "__h": add(lambda x: x["ra"]), "__e": add(lambda x: 2 * ((2 * x["rr"] + x["ra"]) / (2 * n(x))) * ((2 * x["aa"] + x["ra"]) / (2 * n(x))) * n(x)), "__r": add(lambda x: 2 * x["rr"] + x["ra"]), "__a": add(lambda x: 2 * x["aa"] + x["ra"])}
-    )
-    total = F.col("__n")
-    hi, hs, ht = F.col("__h") / total, F.col("__e") / total, 2 * (F.col("__r") / (2 * total)) * (F.col("__a") / (2 * total))
-    ratio = lambda top, below: F.when((total > 0) & (F.size("alleles") == 2) & (G.ploidy("gt") == 2), F.when(below != 0, top / below).otherwise(F.lit(0.0)))
-    values = {"FIS": ratio(hs - hi, hs), "FST": ratio(ht - hs, ht), "FIT": ratio(ht - hi, ht)}
-    helpers = ["__f", "__n", "__h", "__e", "__r", "__a"]
+    per_group = F.array(*[F.array(*[F.lit(i) for i in numbers]).cast("array<int>") for numbers in groups.values()])
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("n", "h", "e", "r", "a")])
+
+    def add(codes: Column):
+        def one(s: Column, numbers: Column) -> Column:
+            def counted(own: Column) -> Column:
+                rr, ra, aa = (F.size(F.filter(own, lambda x: x == k)).cast("double") for k in (0, 1, 2))  # noqa: B023
+                return F.struct(rr.alias("rr"), ra.alias("ra"), aa.alias("aa"))
+
+            def summed(c: Column) -> Column:
+                n = c["rr"] + c["ra"] + c["aa"]
+                p, q = 2 * c["rr"] + c["ra"], 2 * c["aa"] + c["ra"]
+                more = F.struct((s["n"] + n).alias("n"), (s["h"] + c["ra"]).alias("h"), (s["e"] + 2 * (p / (2 * n)) * (q / (2 * n)) * n).alias("e"), (s["r"] + p).alias("r"), (s["a"] + q).alias("a"))
+                return F.when(n > 0, more).otherwise(s)
+
+            return G.let(G.let(F.transform(numbers, lambda i: F.get(codes, i)), counted), summed)
+
+        return one
+
+    def ratios(s: Column) -> Column:
+        hi, hs, ht = s["h"] / s["n"], s["e"] / s["n"], 2 * (s["r"] / (2 * s["n"])) * (s["a"] / (2 * s["n"]))
+        ratio = lambda top, below: F.when(below != 0, top / below).otherwise(F.lit(0.0))
+        return F.when(s["n"] > 0, F.struct(ratio(hs - hi, hs).alias("FIS"), ratio(ht - hs, ht).alias("FST"), ratio(ht - hi, ht).alias("FIT")))
+
+    # n above 0 means that some call has two alleles of the two there are; a longer one makes the site no diploid one
+    whole = G.let(G.diploid_codes(), lambda codes: G.let(F.aggregate(per_group, zero, add(codes)), ratios))
+    out = df.withColumn("__f", F.when((F.size("alleles") == 2) & (G.ploidy("gt") == 2), whole))
+    values = {x: F.col(f"__f.{x}") for x in FSTATS}
     if into is None:
-        return out.withColumns(values).drop(*helpers)
-    return _upsert(out, values, into).drop(*helpers)
+        return out.withColumns(values).drop("__f")
+    return _upsert(out, values, into).drop("__f")

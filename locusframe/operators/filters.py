@@ -38,13 +38,11 @@ def _alts() -> Column:
 
 
 def _alt_counts() -> Column:
-    ac = G.allele_counts()
-    return F.slice(ac, 2, F.greatest(F.size(ac) - 1, F.lit(0)))
+    return F.slice(G.allele_counts(), 2, F.greatest(F.size("alleles") - 1, F.lit(0)))
 
 
 def _alt_frequencies() -> Column:
-    af = G.af(G.allele_counts())
-    return F.slice(af, 2, F.greatest(F.size(af) - 1, F.lit(0)))
+    return F.slice(G.af(G.allele_counts()), 2, F.greatest(F.size("alleles") - 1, F.lit(0)))
 
 
 def alt_alleles(comparator: str, n: int) -> Column:
