@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import map_batches, pick
 
 #: Fixed value: the pre-tokenisation pattern that byte-level vocabularies of this family define.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -24,9 +24,9 @@ NONE = np.int64(1) << 62
 #: Widest tree that is merged row-wise with others; longer pre-tokens get a tree of their own.
 ROWWISE = 64
 #: Pre-tokens remembered by a Python worker before its memory of them starts anew.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Cells of the trees that are merged together, and characters that are split at once.
-CELLS, CHARS = 1 << 20, 4_000_000
+CELLS, CHARS = 1 << 18, 2_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -260,7 +260,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
             ids = list(coder.encode([t or "" for t in b.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, ids binary")
+    return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, ids binary")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -274,7 +274,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str
             texts = [coder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], [key, ids, "decoded"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, `{ids}` binary, decoded string")
+    return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, `{ids}` binary, decoded string")
 
 
 def round_trip(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -57,7 +57,16 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 would put gigabytes into a batch of very long texts, and a string
+#: column of a batch holds 2 GiB at most.
+BATCH_ROWS = 1000
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow over rows with texts: in a session that has not set the size of batches, they are made small."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
@@ -78,4 +87,4 @@ def keep_rows(df: DataFrame, columns: tuple[str, ...], keep: Callable[[Iterator[
         for mask in keep(feed()):
             yield held.pop(0).filter(pa.array(mask, pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return map_batches(plain, run, plain.schema).toDF(*names)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick
+from .common import map_batches, pick
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -261,7 +261,7 @@ def mark(docs: DataFrame, items: DataFrame, size: int = 10, key: str = "doc_id",
                 t = pa.nulls(len(n), pa.string()) if last else b.column(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), t, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], ["k", "t", "n", "s", "i"])
 
-        out = out.mapInArrow(run, schema)
+        out = map_batches(out, run, schema)
     return out.select(F.col("k").alias(key), F.col("n").alias("n_words"), F.col("s").alias("spans"), F.col("i").alias("items"))
 
 
@@ -323,5 +323,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
                     columns[at_length] = pa.array([w if t is o or t == o else len(t) for w, t, o in zip(was, texts, old, strict=True)], b.column(at_length).type)
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([n not in gone for n in range(len(texts))]))
 
-        plain = plain.mapInArrow(run, schema)
+        plain = map_batches(plain, run, schema)
     return plain.toDF(*names)

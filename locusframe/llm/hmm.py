@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pick
+from .common import map_batches, materialize, pick
 
 STATES, HEAD, CLASSES = 10, 65_536, 1024
 #: Rounds of Baum-Welch over all training texts, after WARM rounds on the driver over at most WARM_TEXTS texts, which
@@ -30,6 +30,8 @@ ROUNDS, WARM, WARM_TEXTS, WARM_WORDS = 2, 12, 1500, 400_000
 SEGMENT, TOGETHER = 128, 200_000
 #: Weight, in words, of the unigram distribution in each state's emissions, and of each transition.
 PRIOR, PRIOR_MOVE = 200.0, 1.0
+#: Bytes of symbols (four a word) that are scored together.
+SCORED_BYTES = 16 << 20
 #: Distinct words a task counts before it passes them on.
 COUNTED = 300_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -68,7 +70,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return map_batches(texts, run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _class(w: bytes) -> int:
@@ -254,7 +256,7 @@ def _encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, rare_type)], ["rid", "k", "held_out", "n", "ids", "rare"])
 
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "k", "t", "held_out")
-    return src.mapInArrow(run, _CODED.format(kind=docs.schema["k"].dataType.simpleString()))
+    return map_batches(src, run, _CODED.format(kind=docs.schema["k"].dataType.simpleString()))
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
@@ -301,7 +303,7 @@ def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
             for a in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(number[a : a + 50_000]), *(pa.array(rows[a : a + 50_000, i]) for i in range(STATES))], ["s", *names])
 
-        added = training.mapInArrow(run, schema).groupBy("s").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        added = map_batches(training, run, schema).groupBy("s").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         number = added.column("s").to_numpy()
         values = np.stack([added.column(n).to_numpy() for n in names], 1)
         below = np.zeros((2 + STATES, STATES))
@@ -331,7 +333,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: Column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, hmm = shared.value
         heads = len(lex.head)
-        for b in batches:
+        some: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Scores of the texts at hand: the more of them, the more of like length go in step."""
+            b = pa.Table.from_batches(some).combine_chunks().to_batches()[0]
             ids = _ids(b.column(4))
             likelihood = log10_likelihood(hmm, ids)
             head_log, known = [], []
@@ -342,6 +349,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: Column
                 likelihood[i] -= lex.class_log[t[rare] - heads].sum()
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(head_log), pa.array(known, pa.int64()), pa.array(likelihood)], ["rid", "k", "held_out", "n", "head_log", "known", "likelihood"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            some.append(b)
+            size += b.column(4).nbytes
+            if size >= SCORED_BYTES:
+                yield from flush()
+                some, size = [], 0
+        if some:
+            yield from flush()
+
     kind = src.schema["k"].dataType.simpleString()
     scored = coded.select("rid", "k", "held_out", "n", "ids").mapInArrow(run, f"rid bigint, k {kind}, held_out boolean, n bigint, head_log double, known bigint, likelihood double")
     rare = coded.select("rid", F.inline("rare"))

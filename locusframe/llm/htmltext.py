@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import map_batches, pick
 
 # HTML element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,4 +285,4 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [key, url, "text", "n_chars"])
 
     kinds = [f.dataType.simpleString() for f in src.schema]
-    return src.mapInArrow(run, f"`{key}` {kinds[0]}, `{url}` {kinds[1]}, text string, n_chars bigint")
+    return map_batches(src, run, f"`{key}` {kinds[0]}, `{url}` {kinds[1]}, text string, n_chars bigint")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, pick
+from .common import keep_rows, map_batches, pick
 
 DIMENSIONS = 1024
 SEED = 20_240_601
@@ -157,7 +157,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
         for g, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v.astype(np.int64))], ["l", "d", "v"])
 
-    added = src.mapInArrow(run, "l string, d int, v bigint").groupBy("l", "d").agg(F.sum("v").alias("v"))
+    added = map_batches(src, run, "l string, d int, v bigint").groupBy("l", "d").agg(F.sum("v").alias("v"))
     got = added.limit(MAX_LANGUAGES * DIMENSIONS + 1).toArrow()
     if got.num_rows > MAX_LANGUAGES * DIMENSIONS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -201,7 +201,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id
             names, scores = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:

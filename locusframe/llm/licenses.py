@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import map_batches, pick
 
 # Names of public licenses. Each name is put into every opening below; a name beginning with "the " also
 # stands without it.
@@ -199,4 +199,4 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 [key, "license", "start", "end", "size_alone", "size_with", "wording"],
             )
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, license string, `start` bigint, `end` bigint, size_alone bigint, size_with bigint, wording string")
+    return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, license string, `start` bigint, `end` bigint, size_alone bigint, size_with bigint, wording string")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, pick
+from .common import delete, map_batches, materialize, pick
 
 #: Lower-cases A-Z in UTF-8 bytes.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             fps = [fingerprint(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [key, "fp"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[0].dataType.simpleString()}, fp bigint")
+    return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, fp bigint")
 
 
 def _rotated(fp: Column, bits: int) -> Column:
@@ -137,11 +137,19 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             pairs = pairs[:, pairs[0] != pairs[1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
+    def gathered() -> Iterator[list[np.ndarray]]:
+        """Columns of at least 50,000 rows together."""
+        some: list[list[np.ndarray]] = []
+        for batch in batches:
+            some.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(x[0]) for x in some) >= 50_000:
+                yield [np.concatenate(x) for x in zip(*some, strict=True)]
+                some = []
+        if any(len(x[0]) for x in some):
+            yield [np.concatenate(x) for x in zip(*some, strict=True)]
+
     held: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(cols[0]):
-            continue
+    for cols in gathered():
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
@@ -227,7 +235,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     from pyspark.sql import types as T
 
-    marked = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())]))
+    marked = map_batches(plain, run, T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())]))
     kept = marked.join(first, marked[f"c{at_key}"].eqNullSafe(first["k"]) & (marked["fp"] == first["f"]), "left_semi")
     return kept.dropDuplicates([f"c{at_key}", "fp"]).drop("fp").toDF(*names)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, pick, scratch_path
+from .common import delete, map_batches, materialize, pick, scratch_path
 
 #: Payloads under this size are never replaced by a revisit.
 LEAST = 1000
@@ -124,7 +124,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(id, type, digest, refers, size) of each record of the archives under path; ids as text, size of its own payload."""
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(_parse, "id string, type string, digest string, refers string, size bigint")
+    return map_batches(lines, _parse, "id string, type string, digest string, refers string, size bigint")
 
 
 def resolve(found: DataFrame) -> DataFrame:
