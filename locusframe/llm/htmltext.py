@@ -32,6 +32,8 @@ HINTS = frozenset(
     "navigation menu menus breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond subscribe subscription newsletter "
     "signup login search form forms pagination pager copyright disclaimer skip toolbar topbar masthead complementary contentinfo".split()
 )
+#: Beside these a word of HINTS describes a page's layout or state (has-sidebar, menu-open), not what an element holds.
+LAYOUT = frozenset("has with no without open closed layout enabled disabled".split())
 #: As HINTS, but only outside of an article, which may have a head of its own.
 HEAD_HINTS = frozenset("header head".split())
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -57,9 +59,10 @@ def _marked(attributes: str, inside: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            tokens = set(_TOKENS.split(_CAMEL.sub(r"\1 \2", value).lower()))
-            if tokens & HINTS or not inside and tokens & HEAD_HINTS:
-                return True
+            for word in value.split():
+                tokens = set(_TOKENS.split(_CAMEL.sub(r"\1 \2", word).lower()))
+                if not tokens & LAYOUT and (tokens & HINTS or not inside and tokens & HEAD_HINTS):
+                    return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "aria-hidden" and value.lower() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub(" ", attributes)))
@@ -167,13 +170,15 @@ def blocks(page: str) -> list[Block]:
         open_[name] = open_.get(name, 0) + 1
         if name in ARTICLE:
             inside = True
+            if name == "main":  # whatever the elements around it are called
+                hint = tag = False
         elif name in ASIDE or name == "header" and not inside:
             tag = True
         elif name == "a":
             link = True
         elif len(name) == 2 and name[0] == "h" and name[1] in "123456":
             heading = True
-        if body.strip(" /") and not hint and _marked(body, inside):
+        if name not in ("html", "body", "main") and body.strip(" /") and not hint and _marked(body, inside):
             hint = True
     flush()
     return out
