@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, pick
+from .common import map_batches, materialize, pick
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SAMPLE = 8
 #: Bytes of text in a shard (one larger document is a shard of its own), and of test texts in a block.
-SHARD_BYTES, BLOCK_BYTES = 24 << 20, 8 << 20
+SHARD_BYTES, BLOCK_BYTES = 24 << 20, 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -245,9 +245,12 @@ def mark(docs: DataFrame, items: DataFrame, size: int = 10, key: str = "doc_id",
     kind = src.schema[0].dataType
     out = src.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("s"), F.array().cast("array<string>").alias("i"))
     schema = T.StructType([T.StructField("k", kind), T.StructField("t", T.StringType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.IntegerType())), T.StructField("i", T.ArrayType(T.StringType()))])
-    parts = list(blocks(items, size, block_bytes=block_bytes))
-    for last, phrases in ((p is parts[-1], p) for p in parts):
+    more = blocks(items, size, block_bytes=block_bytes)
+    phrases: Phrases | None = next(more)
+    while phrases is not None:
         shared = spark.sparkContext.broadcast(phrases)
+        phrases = next(more, None)
+        last = phrases is None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             p = shared.value
@@ -285,43 +288,67 @@ def cut(text: str, spans: list[int]) -> str:
     return b"".join([*out, raw[end:]]).decode("utf-8")
 
 
+def _cut_clean(p: Phrases, texts: list[str | None]) -> tuple[list[str | None], set[int]]:
+    """Texts without windows, and the numbers of those left without a word."""
+    texts, gone = list(texts), set()
+    hit = {n: s for n, (_, s, _) in enumerate(p.scan(texts)) if s}
+    while hit:
+        for n, s in hit.items():
+            texts[n] = cut(texts[n], s)
+            if not words(texts[n]):
+                gone.add(n)
+        again = [n for n in hit if n not in gone]
+        hit = {n: s for n, (_, s, _) in zip(again, p.scan([texts[n] for n in again]), strict=True) if s}
+    return texts, gone
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", length: str = "n_chars", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Whole rows of docs with every occurrence of a window cut out of the text.
 
-    Cutting goes on until no window occurs (a cut can bring words together). Where a cut leaves no word, the row goes.
-    An integer column ``length`` is set to the new number of characters. Clean rows stay as they are.
+    Cutting goes on until no window occurs (a cut can bring words together): within a pass for one block of items, and
+    over passes for all blocks, where there is more than one, until a round cuts nothing. Where a cut leaves no word, the
+    row goes. An integer column ``length`` is set to the new number of characters. Clean rows stay as they are.
     """
     spark, names = docs.sparkSession, docs.columns
     at_text = names.index(text)
     at_length = names.index(length) if length in names and isinstance(docs.schema[names.index(length)].dataType, T.LongType | T.IntegerType) else None
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("cut", F.lit(False))
     schema = plain.schema
-    for phrases in blocks(items, size, block_bytes=block_bytes):
+
+    def one_pass(src: DataFrame, phrases: Phrases) -> DataFrame:
         shared = spark.sparkContext.broadcast(phrases)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            p = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(at_text).to_pylist()
-                hit = {n: s for n, (_, s, _) in enumerate(p.scan(texts)) if s}
-                if not hit:
+                old = b.column(at_text).to_pylist()
+                texts, gone = _cut_clean(shared.value, old)
+                changed = [n for n, (t, o) in enumerate(zip(texts, old, strict=True)) if t != o]
+                if not changed:
                     yield b
                     continue
-                gone: set[int] = set()
-                while hit:
-                    for n, s in hit.items():
-                        texts[n] = cut(texts[n], s)
-                        if not words(texts[n]):
-                            gone.add(n)
-                    again = [n for n in hit if n not in gone]
-                    hit = {n: s for n, (_, s, _) in zip(again, p.scan([texts[n] for n in again]), strict=True) if s}
                 columns = list(b.columns)
                 columns[at_text] = pa.array(texts, b.column(at_text).type)
-                if at_length is not None:
-                    old = b.column(at_text).to_pylist()
-                    was = b.column(at_length).to_pylist()
-                    columns[at_length] = pa.array([w if t is o or t == o else len(t) for w, t, o in zip(was, texts, old, strict=True)], b.column(at_length).type)
+                marks = b.column(len(columns) - 1).to_pylist()
+                lengths = b.column(at_length).to_pylist() if at_length is not None else []
+                for n in changed:
+                    marks[n] = True
+                    if lengths:
+                        lengths[n] = len(texts[n])
+                columns[-1] = pa.array(marks, pa.bool_())
+                if lengths:
+                    columns[at_length] = pa.array(lengths, b.column(at_length).type)
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([n not in gone for n in range(len(texts))]))
 
-        plain = map_batches(plain, run, schema)
-    return plain.toDF(*names)
+        return map_batches(src, run, schema)
+
+    while True:
+        n = 0
+        for phrases in blocks(items, size, block_bytes=block_bytes):
+            plain = one_pass(plain, phrases)
+            n += 1
+        if n == 1:
+            return plain.drop("cut").toDF(*names)
+        plain, _ = materialize(plain, "decontam-round")
+        if plain.where("cut").isEmpty():
+            return plain.drop("cut").toDF(*names)
+        plain = plain.withColumn("cut", F.lit(False))
