@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, Sequence
 
@@ -54,6 +55,24 @@ def new_keychain(columns: Sequence[str]) -> dict[str, bytes]:
     return {c: os.urandom(32) for c in columns}
 
 
+def merge_keychains(*chains: Mapping[str, bytes]) -> dict[str, bytes]:
+    """All keys together; two different keys for a column are an error."""
+    out: dict[str, bytes] = {}
+    for chain in chains:
+        for c, k in chain.items():
+            if out.setdefault(c, k) != k:
+                raise ValueError(f"two keys for column {c!r}")
+    return out
+
+
+def keychain_to_json(keys: Mapping[str, bytes]) -> str:
+    return json.dumps({c: k.hex() for c, k in keys.items()})
+
+
+def keychain_from_json(text: str) -> dict[str, bytes]:
+    return {c: bytes.fromhex(k) for c, k in json.loads(text).items()}
+
+
 def encrypt(df: DataFrame, keys: Mapping[str, bytes]) -> DataFrame:
     """Columns replaced by AES-256-GCM ciphertexts of their JSON texts, each value with a fresh vector; null stays null."""
     wrap = lambda c: F.to_json(F.struct(F.col(c).alias("v")))

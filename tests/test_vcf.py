@@ -191,6 +191,9 @@ def test_position_check(spark):
 
 def test_encryption(spark, query):
     keys = integrity.new_keychain(["id", "alleles", "info_keys"])
+    assert integrity.keychain_from_json(integrity.keychain_to_json(keys)) == keys == integrity.merge_keychains(keys, dict(keys))
+    with pytest.raises(ValueError):
+        integrity.merge_keychains(keys, integrity.new_keychain(["id"]))
     types = {"id": "string", "alleles": "array<string>", "info_keys": "array<string>"}
     src = query.df.select("pos", *types)
     hidden = integrity.encrypt(src, keys)
