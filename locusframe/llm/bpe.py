@@ -277,9 +277,19 @@ def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str
     return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, `{ids}` binary, decoded string")
 
 
-def round_trip(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """encode, then decode."""
-    return decode(encode(df, vocabulary), vocabulary)
+def round_trip(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode, then decode of the ids, in one pass, so that a task needs one Python worker."""
+    shared = _Shared(df.sparkSession, vocabulary)
+    src = pick(df, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(shared)
+        for b in batches:
+            ids = list(coder.encode([t or "" for t in b.column(1).to_pylist()]))
+            texts = [coder.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], [key, "ids", "decoded"])
+
+    return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 32_768
 #: Hot buckets are joined by broadcast up to this number of them (16 bytes each), by a shuffle beyond.
 FEW = 100_000
+#: Likewise (id, fingerprint) of the rows that go, when whole rows are filtered: beyond, these are shuffled.
+FEW_GONE = 500_000
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -221,9 +223,14 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     All columns stay as they are, whatever their names.
     """
-    found, _ = materialize(near_duplicates(docs, key, text), "simhash-found")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("fp").alias("f"))).alias("s"))
-    first = first.select("s.k", "s.f")
+    found, _ = materialize(near_duplicates(docs, key, text).withColumnRenamed(key, "k"), "simhash-found")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("fp").alias("f"))).alias("s"))
+    own = found.alias("d").join(first.alias("r"), F.col("d.component_id").eqNullSafe(F.col("r.component_id")))
+    stays = F.col("d.k").eqNullSafe(F.col("r.s.k")) & (F.col("d.fp") == F.col("r.s.f"))
+    gone, _ = materialize(own.where(~stays).select("d.k", "d.fp").distinct(), "simhash-gone")
+    few = gone.count() <= FEW_GONE
+    repeated, _ = materialize(found.groupBy("k", "fp").count().where("count > 1").select("k", "fp"), "simhash-repeated")
+    n_repeated = repeated.count()
     names = docs.columns
     at_key, at_text = names.index(key), names.index(text)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -236,8 +243,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     from pyspark.sql import types as T
 
     marked = map_batches(plain, run, T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())]))
-    kept = marked.join(first, marked[f"c{at_key}"].eqNullSafe(first["k"]) & (marked["fp"] == first["f"]), "left_semi")
-    return kept.dropDuplicates([f"c{at_key}", "fp"]).drop("fp").toDF(*names)
+    same = lambda t: marked[f"c{at_key}"].eqNullSafe(t["k"]) & (marked["fp"] == t["fp"])
+    kept = marked.join(F.broadcast(gone) if few else gone, same(gone), "left_anti")
+    if n_repeated:  # one of the rows that share both id and fingerprint
+        twice = F.broadcast(repeated) if n_repeated <= FEW_GONE else repeated
+        once = kept.join(twice, same(repeated), "left_anti")
+        kept = once.unionByName(kept.join(twice, same(repeated), "left_semi").dropDuplicates([f"c{at_key}", "fp"]))
+    return kept.drop("fp").toDF(*names)
 
 
 def contract(found: DataFrame) -> DataFrame:
