@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .genotypes import let
+
 #: Two probabilities within this factor count as tied.
 TIE = 1e-7
 
@@ -15,57 +18,63 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _add(s: Column, p: Column) -> Column:
+    """Sums (all, and those no likelier than the observed 1) with the next probability."""
+    return let(p, lambda p: F.struct(p.alias("p"), (s["all"] + p).alias("all"), (s["tail"] + F.when(p <= F.lit(1 + TIE), p).otherwise(F.lit(0.0))).alias("tail")))
+
+
+def _walk(n: Column, step: Callable[[Column, Column], Column]) -> Column:
+    zero = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail"))
+    return let(n, lambda n: F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), zero, step))
+
+
+def _share(up: Column, down: Column) -> Column:
+    both = F.struct(up.alias("u"), down.alias("d"))
+    return let(both, lambda s: F.least(F.lit(1.0), (s["u"]["tail"] + s["d"]["tail"] + 1) / (s["u"]["all"] + s["d"]["all"] + 1)))
+
+
 def hwe(het: Column | str, hom1: Column | str, hom2: Column | str) -> Column:
     """Exact Hardy-Weinberg p-value of diploid biallelic genotype counts; 1 where nothing was called.
 
     Probabilities are taken relative to the observed heterozygote count and walked outwards in steps of two, so that no
     factorial is needed; an overflow means that the observed count is impossibly far out, and gives 0.
     """
-    h = F.coalesce(_col(het), F.lit(0)).cast("double")
-    a, b = F.coalesce(_col(hom1), F.lit(0)).cast("double"), F.coalesce(_col(hom2), F.lit(0)).cast("double")
-    up, down = F.least(a, b).cast("int"), F.floor(h / 2).cast("int")
-    zero = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail"))
+    counts = F.struct(*[F.coalesce(_col(c), F.lit(0)).cast("double").alias(n) for c, n in ((het, "h"), (hom1, "a"), (hom2, "b"))])
 
-    def add(s: Column, p: Column) -> Column:
-        return F.struct(p.alias("p"), (s["all"] + p).alias("all"), (s["tail"] + F.when(p <= F.lit(1 + TIE), p).otherwise(F.lit(0.0))).alias("tail"))
+    def p_value(t: Column) -> Column:
+        h, a, b = t["h"], t["a"], t["b"]
 
-    def higher(s: Column, i: Column) -> Column:
-        k = i.cast("double")  # the k-th step: h + 2k heterozygotes after it
-        return add(s, s["p"] * F.lit(4.0) * (a - k + 1) * (b - k + 1) / ((h + 2 * k) * (h + 2 * k - 1)))
+        def higher(s: Column, i: Column) -> Column:
+            k = i.cast("double")  # the k-th step: h + 2k heterozygotes after it
+            return _add(s, s["p"] * F.lit(4.0) * (a - k + 1) * (b - k + 1) / ((h + 2 * k) * (h + 2 * k - 1)))
 
-    def lower(s: Column, i: Column) -> Column:
-        k = i.cast("double")
-        return add(s, s["p"] * (h - 2 * k + 2) * (h - 2 * k + 1) / (F.lit(4.0) * (a + k) * (b + k)))
+        def lower(s: Column, i: Column) -> Column:
+            k = i.cast("double")
+            return _add(s, s["p"] * (h - 2 * k + 2) * (h - 2 * k + 1) / (F.lit(4.0) * (a + k) * (b + k)))
 
-    def walk(n: Column, step) -> Column:
-        return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), zero, step)
+        return _share(_walk(F.least(a, b).cast("int"), higher), _walk(F.floor(h / 2).cast("int"), lower))
 
-    u, d = walk(up, higher), walk(down, lower)
-    return F.least(F.lit(1.0), (u["tail"] + d["tail"] + 1) / (u["all"] + d["all"] + 1))
+    return let(counts, p_value)
 
 
 def fisher(a: Column | str, b: Column | str, c: Column | str, d: Column | str) -> Column:
     """Two-sided p-value of Fisher's exact test of the table [a b; c d]."""
-    a, b, c, d = (F.coalesce(_col(x), F.lit(0)).cast("double") for x in (a, b, c, d))
-    up, down = F.least(b, c).cast("int"), F.least(a, d).cast("int")
-    zero = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail"))
+    counts = F.struct(*[F.coalesce(_col(x), F.lit(0)).cast("double").alias(n) for x, n in ((a, "a"), (b, "b"), (c, "c"), (d, "d"))])
 
-    def add(s: Column, p: Column) -> Column:
-        return F.struct(p.alias("p"), (s["all"] + p).alias("all"), (s["tail"] + F.when(p <= F.lit(1 + TIE), p).otherwise(F.lit(0.0))).alias("tail"))
+    def p_value(t: Column) -> Column:
+        a, b, c, d = (t[x] for x in "abcd")
 
-    def higher(s: Column, i: Column) -> Column:
-        k = i.cast("double")
-        return add(s, s["p"] * (b - k + 1) * (c - k + 1) / ((a + k) * (d + k)))
+        def higher(s: Column, i: Column) -> Column:
+            k = i.cast("double")
+            return _add(s, s["p"] * (b - k + 1) * (c - k + 1) / ((a + k) * (d + k)))
 
-    def lower(s: Column, i: Column) -> Column:
-        k = i.cast("double")
-        return add(s, s["p"] * (a - k + 1) * (d - k + 1) / ((b + k) * (c + k)))
+        def lower(s: Column, i: Column) -> Column:
+            k = i.cast("double")
+            return _add(s, s["p"] * (a - k + 1) * (d - k + 1) / ((b + k) * (c + k)))
 
-    def walk(n: Column, step) -> Column:
-        return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), zero, step)
+        return _share(_walk(F.least(b, c).cast("int"), higher), _walk(F.least(a, d).cast("int"), lower))
 
-    u, w = walk(up, higher), walk(down, lower)
-    return F.least(F.lit(1.0), (u["tail"] + w["tail"] + 1) / (u["all"] + w["all"] + 1))
+    return let(counts, p_value)
 
 
 def phred(p: Column) -> Column:

@@ -69,11 +69,17 @@ def _expressions(prefix: str) -> dict[str, Column]:
     expected = 2 * p * (1 - p)
     diploid = pl == 2
 
-    def bias(i: Column) -> Column:
-        fwd, rev = F.get(acp, i), F.get(acp, n_alleles + i)
-        all_fwd = F.aggregate(F.slice(acp, F.lit(1), n_alleles), F.lit(0), lambda s, x: s + x)
-        all_rev = F.aggregate(F.slice(acp, n_alleles + 1, n_alleles), F.lit(0), lambda s, x: s + x)
-        return exact.phred(exact.fisher(fwd, rev, all_fwd - fwd, all_rev - rev))
+    def bias(t: Column) -> Column:
+        """Of the counts by position and allele, and of their sums at the first and second position."""
+
+        def one(i: Column) -> Column:
+            fwd, rev = F.get(t["c"], i), F.get(t["c"], n_alleles + i)
+            return exact.phred(exact.fisher(fwd, rev, t["f"] - fwd, t["r"] - rev))
+
+        return F.transform(F.sequence(F.lit(0), F.when(n_alleles == 2, F.lit(0)).otherwise(n_alleles - 1)), one)
+
+    add = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    strands = F.struct(acp.alias("c"), add(F.slice(acp, F.lit(1), n_alleles)).alias("f"), add(F.slice(acp, n_alleles + 1, n_alleles)).alias("r"))
 
     return {
         "AC": ac,
@@ -83,7 +89,7 @@ def _expressions(prefix: str) -> dict[str, Column]:
         "NPM": npm,
         "HWE_P": F.when(diploid & (n_alleles == 2), exact.hwe(ra, rr, aa)).otherwise(F.lit(-1.0)),
         "AC_P": acp,
-        "FS_A": F.when(diploid, F.transform(F.sequence(F.lit(0), F.when(n_alleles == 2, F.lit(0)).otherwise(n_alleles - 1)), bias)),
+        "FS_A": F.when(diploid, G.let(strands, bias)),
         "F_PIC": F.when(diploid, F.when(expected > 0, (expected - het) / expected).otherwise(F.lit(0.0))),
         "HET": F.when(diploid, het),
         "MULTI_ALLELIC": n_alleles > 2,
