@@ -61,5 +61,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = F.struct(F.array(first).alias("a"), F.array(F.lit(False)).alias("p"))
         return F.when(~none & (x["l_partkey"] % 17 == 0), one).otherwise(two)
 
-    joined = sites(spark, sf_dir).join(lines, "site_id", "left")
+    # both sides grow with the data, and the planner's estimate of grouped lines is far too low: never broadcast them. The
+    # sort-merge join takes over the aggregate's partitioning, and the work on genotypes is spread like it
+    joined = sites(spark, sf_dir).join(lines.hint("shuffle_merge"), "site_id", "left")
     return joined.withColumn("gt", F.transform(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1)), call)).drop("lines")
