@@ -84,5 +84,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The queries that SQL can express; the others are tested against brute force.
+ORACLES = {
+    "op7_fm_index_decontamination": f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+b as (select coalesce(cast(item_id as varchar), 'null') as item, {_WORDS} as w from benchmark),
+win as (select distinct item, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as k
+  from (select *, unnest(range(1, greatest(2, len(w) - 8))) as i from b where len(w) > 0)),
+dw as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as k
+  from (select r, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) as i from d cross join (select distinct n from win))),
+hit as (select dw.r, dw.i, dw.n, win.item from dw join win on win.n = dw.n and win.k = dw.k),
+places as (select r, cast(count(distinct p) as bigint) as n_hit from (select r, unnest(range(i, i + n)) as p from hit) group by r),
+found as (select r, cast(count(*) as bigint) as n_items, string_agg(item, ',' order by item) as names from (select distinct r, item from hit) group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(places.n_hit, 0) as n_hit, coalesce(found.n_items, 0) as n_items,
+  sha256(coalesce(found.names, '')) as items_sha256, coalesce(places.n_hit, 0) > 0 as contaminated
+from d left join places on places.r = d.r left join found on found.r = d.r""",
+    "op8_warc_revisits": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+g as (select h, max(page_id) as m from p group by h),
+t as (select p.page_id, p.h, g.m, strlen(p.h) >= 1000 and p.page_id is distinct from g.m as again from p join g on g.h = p.h)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, sha1(h) as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+  cast(case when again then m end as bigint) as refers_to from t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

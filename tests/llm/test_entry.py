@@ -27,3 +27,18 @@ def test_pipeline(spark):
         ids = now
     assert docs.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["op7_fm_index_decontamination", "op8_warc_revisits"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from locusframe.llm import queries
+
+    con = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    df = queries.queries()[name](spark, str(DATA))
+    theirs = con.execute(f"select {', '.join(df.columns)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(theirs, key=repr)
