@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from ..operators import annotate
+from ..sources import sinks, store, vcf
 from .query import VariantQuery
 
 #: Options of view that are predicates: flag, predicate, its fixed arguments, type of the value or None.
@@ -29,6 +30,10 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.add_argument("-i", "--input", required=True)
         p.add_argument("-o", "--output", required=name == "import")
+        if name == "import":
+            p.add_argument("--rows", type=int, default=store.ROWS, help="rows of a file at most")
+            p.add_argument("--level", type=int, default=6, help="zstd level")
+            p.add_argument("--no-position-check", action="store_true")
         if name == "view":
             p.add_argument("-O", "--output-format", choices=["store", "vcf", "vcf.gz"], default="vcf")
             p.add_argument("-f", "--fields", action="append", default=[])
@@ -68,10 +73,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     argv = sys.argv[1:] if argv is None else argv
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("locusframe").getOrCreate()
-    q = VariantQuery.open(spark, a.input)
     command = shlex.join(["locusframe", *argv])
+    if a.command == "import" and a.no_position_check and not a.input.endswith(".bcf"):
+        q = VariantQuery(*vcf.read_vcf(spark, a.input, check_positions=False))
+    else:
+        q = VariantQuery.open(spark, a.input)
     if a.command == "import":
-        q.save(a.output, "store", command=command)
+        q.header.provenance(f"command={command}")
+        store.write_store(q.df, q.header, a.output, a.rows, a.level)
     elif a.command == "stats":
         out = q.stats_json()
         if a.output:
@@ -85,8 +94,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.output:
             q.save(a.output, a.output_format, not a.no_header, command)
         else:
-            from ..sources import sinks
-
             if not a.no_header:
                 print("\n".join(q.header.text("gt" in q.df.columns or "fmt" in q.df.columns)))
             for r in sinks.vcf_lines(q.df).orderBy(sinks._order(q.header), "contig", "pos").select("value").toLocalIterator():
