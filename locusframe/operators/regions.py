@@ -96,16 +96,15 @@ def filter_regions(df: DataFrame, regions: Sequence[str | Interval], contigs: It
         return src.where(reduce(lambda a, b: a | b, (_inside(i, first, last) for i in wanted))).drop("__end")
     whole = [i.contig for i in wanted if i.low is None]
     rest = [i for i in wanted if i.low is not None]
-    width = max(16_384, sum(i.high - i.low + 1 for i in rest) // BINS + 1)
+    # a row is met by its position alone, so that the join can be a semi join that gives it once: intervals reach back by
+    # the length of the longest record
+    back = 0
+    if overlap == "span":
+        back = max(0, (src.agg(F.max(F.col("__end") - F.col("pos"))).first()[0] or 0))
+    width = max(16_384, sum(i.high - i.low + 1 + back for i in rest) // BINS + 1)
     rows = [(i.contig, i.low, i.high) for i in rest]
-    bins = df.sparkSession.createDataFrame(rows, "r_contig string, r_low bigint, r_high bigint").withColumn("r_bin", F.explode(F.sequence(F.floor(F.col("r_low") / width), F.floor(F.col("r_high") / width))))
-    if overlap == "start":
-        # merged intervals never share a position, so the join meets each row once and can be a semi join
-        hit = src.withColumn("__bin", F.floor(F.col("pos") / width)).join(bins, (F.col("contig") == F.col("r_contig")) & (F.col("__bin") == F.col("r_bin")) & (F.col("pos") >= F.col("r_low")) & (F.col("pos") <= F.col("r_high")), "left_semi")
-    else:
-        spread = F.sequence(F.floor(F.col("pos") / width), F.floor(F.greatest("pos", "__end") / width))
-        keyed = src.withColumn("__id", F.monotonically_increasing_id())
-        ids = keyed.select("__id", "contig", "pos", "__end", F.explode(spread).alias("__bin")).join(bins, (F.col("contig") == F.col("r_contig")) & (F.col("__bin") == F.col("r_bin")) & (F.col("__end") >= F.col("r_low")) & (F.col("pos") <= F.col("r_high")), "left_semi").select("__id").distinct()
-        hit = keyed.join(ids, "__id", "left_semi").drop("__id")
+    bins = df.sparkSession.createDataFrame(rows, "r_contig string, r_low bigint, r_high bigint")
+    bins = bins.withColumn("r_bin", F.explode(F.sequence(F.floor((F.col("r_low") - back) / width), F.floor(F.col("r_high") / width))))
+    hit = src.withColumn("__bin", F.floor(F.col("pos") / width)).join(bins, (F.col("contig") == F.col("r_contig")) & (F.col("__bin") == F.col("r_bin")) & (last >= F.col("r_low")) & (first <= F.col("r_high")), "left_semi")
     hit = hit.drop("__bin", "__end")
     return hit if not whole else hit.unionByName(src.where(F.col("contig").isin(whole)).drop("__end"))
