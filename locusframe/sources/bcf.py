@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.exact import g_format
+from ..session import ship
 from .header import Header
 from .vcf import parse_lines
 
@@ -163,6 +164,7 @@ def lines(data: bytes) -> Iterator[str]:
 
 def read_bcf(spark: SparkSession, path: str, check_positions: bool = True) -> tuple[DataFrame, Header]:
     """(variants, header) of BCF files with the same header. A file must fit a task's memory, 2 GB at most."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exact import g_format
+from ..session import ship
 from .header import Header
 
 
@@ -53,6 +54,7 @@ def _gt_text(g: Column) -> Column:
 
 def vcf_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Add the VCF line of each row. INFO and FORMAT follow info_keys and format_keys; keys without a value print none."""
+    ship(df.sparkSession)
     names = df.columns
     texts = df
     kinds: dict[str, dict[str, tuple[str, bool]]] = {"info": {}, "fmt": {}}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .header import Header
 
 #: Rows of a file at most, where wide genotype arrays would make files of the usual number of rows too large.
@@ -36,6 +37,7 @@ def storage_report(spark: SparkSession, path: str) -> DataFrame:
 
     Needs paths that Python can open on the executors (local or mounted); the footers are all that is read.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
 
     def run(batches):
