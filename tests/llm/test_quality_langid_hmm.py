@@ -66,7 +66,7 @@ def test_quality_of_rows(spark):
     rows = [(i, prose(rng, 120, EN), "en") for i in range(150)] + [(200 + i, prose(rng, 120, FR), "fr") for i in range(100)]
     junk = [(900 + i, " ".join(w + "%%%$#" for w in rows[i][1].split()), "en") for i in range(4)]
     odd = [(1000, None, None), (1001, "", "en"), (1002, "a b c " * 50, "en"), (1003, "few words", "xx"), (None, rows[0][1], "en")]
-    df = spark.createDataFrame(rows + junk + odd, "doc_id long, text string, lang string").withColumn("kept", F.lit(1)).withColumn("TEXT", F.lit("x"))
+    df = spark.createDataFrame(rows + junk + odd, "doc_id long, text string, lang string").select("*", F.lit(1).alias("kept"), F.lit("x").alias("TEXT"))
     scorer = quality.fit(df)
     got = {r.doc_id: r for r in quality.judge(df, scorer).collect()}
     for i, t, _ in rows + junk + odd:
