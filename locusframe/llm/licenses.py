@@ -59,8 +59,6 @@ TEXTS = {
 CUES = ("licen", "under", "permission", "redistribution", "unencumbered", "as-is")
 #: A block is the cue's line and what follows it, at most so many characters; then the line alone, if that is shorter.
 WINDOW = 1200
-#: Licenses are confirmed in order of size reduction, down to this one.
-LEAST = 0.05
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -90,18 +88,21 @@ class Scanner:
     def __init__(self) -> None:
         self.alone = zstandard.ZstdCompressor(level=6, write_content_size=False)
         self.compressors: list[tuple[str, zstandard.ZstdCompressor]] = []
-        self.wordings: dict[str, list[tuple[list[str], str]]] = {}
+        self.wordings: dict[str, list[tuple[list[str], frozenset[str], str]]] = {}
         for name, texts in wordings().items():
             d = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=6)
             self.compressors.append((name, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)))
             own = {tuple(tokens(t)): t for t in reversed(texts)}
-            self.wordings[name] = sorted(((list(k), t) for k, t in own.items()), key=lambda x: (-len(x[0]), x[1]))
+            self.wordings[name] = sorted(((list(k), frozenset(k), t) for k, t in own.items()), key=lambda x: (-len(x[0]), x[2]))
 
     def confirm(self, name: str, found: list[re.Match]) -> tuple[int, int, str] | None:
         """Where the longest wording of a license stands word for word among a block's words, if anywhere."""
         words = [m[0].lower() for m in found]
-        for wanted, text in self.wordings[name]:
+        have = set(words)
+        for wanted, needed, text in self.wordings[name]:
+            if not needed <= have:
+                continue
             n, at = len(wanted), -1
             while n <= len(words):
                 try:
@@ -119,9 +120,7 @@ class Scanner:
         ranked = sorted(((len(c.compress(raw)), i, name) for i, (name, c) in enumerate(self.compressors)))
         words = list(_WORD.finditer(text))
         best: tuple[int, Finding] | None = None
-        for size, _, name in ranked:
-            if size > alone * (1 - LEAST):
-                break
+        for size, _, name in ranked:  # all of them: in a long block a short notice hardly shrinks it
             if (hit := self.confirm(name, words)) is None:
                 continue
             n = len(tokens(hit[2]))

@@ -35,6 +35,15 @@ def test_whole_long_texts(spark):
     assert all(r.size_with < r.size_alone for r in rows) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_short_notices_in_varied_prose():
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    for size in (500, 1000, 2500, 5000):
+        half = lambda: " ".join(rng.choice(pool) for _ in range(size // 14))
+        for notice in ("This tool is released under the MIT License.", "It is licensed under MIT.", "License: MIT", "It is released under\nthe MIT License."):
+            assert [x for x, _ in found(f"{half()}. {notice} {half()}")] == ["MIT"], (size, notice)
+
+
 @pytest.fixture(scope="module")
 def tree():
     return htmltext.train()
