@@ -57,7 +57,7 @@ TEXTS = {
 }
 #: What stands, lower case, in every wording; only lines with one of these are compressed.
 CUES = ("licen", "under", "permission", "redistribution", "unencumbered", "as-is")
-#: A block is the cue's line and what follows it, at most so many characters; then the line alone, if that is shorter.
+#: A block is the cue's line, at most so many characters; then what follows the line's last notice, up to so many from its start.
 WINDOW = 1200
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -149,13 +149,24 @@ class Scanner:
         out: list[Finding] = []
         done = 0
         for begin, end in sorted(lines):
-            found = self._within(text, low, begin, end) or self._within(text, low, begin, begin + WINDOW)
+            found = self._block_of(text, low, begin, end)
+            found += self._block_of(text, low, found[-1].end if found else begin, begin + WINDOW)
             for f in found:
                 if f.start >= done:
                     out.append(f)
                     done = f.end
         return out
 
+    def _block_of(self, text: str, low: str, begin: int, end: int) -> list[Finding]:
+        """All findings of a block; the last one may go on beyond its end ("version 2", a new line, "or later")."""
+        found = self._within(text, low, begin, end)
+        if found and end < len(text):
+            last = found[-1]
+            longer = self._within(text, low, last.start, last.start + WINDOW)
+            if longer and longer[0].start == last.start and longer[0].end > last.end and longer[0].license != last.license:
+                found[-1] = longer[0]
+        return found
+
     def _within(self, text: str, low: str, begin: int, end: int) -> list[Finding]:
         """All findings of a block: what stands before and after one is a block of its own."""
         if not any(low.find(cue, begin, end) >= 0 for cue in CUES) or (got := self.block(text[begin:end])) is None:

@@ -44,6 +44,12 @@ def test_short_notices_in_varied_prose():
             assert [x for x, _ in found(f"{half()}. {notice} {half()}")] == ["MIT"], (size, notice)
 
 
+def test_second_notice_that_wraps():
+    assert [x for x, _ in found("Licensed under the MIT License or under the terms of the\nApache License, Version 2.0")] == ["MIT", "Apache-2.0"]
+    assert [x for x, _ in found("Licensed under the MIT License\nReleased under the ISC License\nText.")] == ["MIT", "ISC"]
+    assert [x for x, _ in found("Licensed under the GNU General Public License, version 2\nor later. License: MIT")] == ["GPL-2.0-or-later", "MIT"]
+
+
 @pytest.fixture(scope="module")
 def tree():
     return htmltext.train()
