@@ -8,6 +8,9 @@ One model serves all languages, so that a text in two of them is no surprise; th
 Bands come from the perplexities, by letter and by word, of all documents that have enough words, for each language and
 class of length: median plus or minus a multiple of a robust deviation. Junk that a corpus holds much of would be no
 surprise either, so model and bands are fitted anew, ROUNDS times, on the documents within narrower bands.
+
+Languages are the values of the language column. A text without one takes the language that its hyperdimensional profile
+is nearest to; those that are near to none share one more set of bands.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import langid
 from .common import keep_rows, map_batches, pick
 
 ORDER = 4
@@ -28,9 +32,12 @@ ORDER = 4
 SIGNS = ["digit", "space", "newline", ".", ",", "!?", "other", "#", "*", "$", "%", "&", "|", "<>"]
 SYMBOLS = 26 + len(SIGNS)
 NEWLINE = 26 + SIGNS.index("newline")
-#: Languages with bands of their own; all other values of the language column, and null, share one more set.
-LANGUAGES = ("en", "de", "fr", "es")
-REST = "other"
+#: Distinct values of the language column at most; a column with more is no language column, and fitting refuses it.
+MAX_LANGUAGES = langid.MAX_LANGUAGES
+#: The language of texts that have no label and are in no learned language.
+REST = None
+#: A band of fewer documents takes at least the median deviation of larger bands of its length, as its own says little.
+FEW = 20
 #: Histogram cells, in bits by letter and by word; the least deviation that is taken for each.
 CELLS, LEAST = (0.005, 0.025), (0.01, 0.08)
 #: Deviations from the median below and above which a document is rejected, and is left out of the next fit.
@@ -179,7 +186,17 @@ class Scorer:
     """The model, and (median, deviation) of bits by letter and by word for each (language, length class)."""
 
     model: Model
-    bands: dict[tuple[str, int], tuple[tuple[float, float], tuple[float, float]]] = field(default_factory=dict)
+    bands: dict[tuple[str | None, int], tuple[tuple[float, float], tuple[float, float]]] = field(default_factory=dict)
+    profiles: langid.Profiles = field(default_factory=lambda: langid.Profiles({}))
+
+    def languages(self, labels: list[str | None], texts: list[str]) -> list[str | None]:
+        """The labels, and for null the predicted language or REST."""
+        out = list(labels)
+        at = [n for n, v in enumerate(labels) if v is None]
+        names, scores = self.profiles.predict([texts[n] for n in at]) if at else ([], [])
+        for n, name, score in zip(at, names, scores, strict=True):
+            out[n] = name if score >= langid.LEAST_SCORE else REST
+        return out
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Bits of each whole text; 0 for an empty one."""
@@ -194,7 +211,7 @@ class Scorer:
             out[part] = -np.add.reduceat(table[code], ends[:-1], dtype=np.float64)
         return out
 
-    def within(self, rates: tuple[float, float], language: str, n_words: int, low: float = LOWER, high: float = UPPER) -> bool:
+    def within(self, rates: tuple[float, float], language: str | None, n_words: int, low: float = LOWER, high: float = UPPER) -> bool:
         """Whether the bits by letter and by word are inside the bands; where there is no band, everything is."""
         bands = self.bands.get((language, length_class(n_words)), ())
         return all(m - low * d <= x <= m + high * d for x, (m, d) in zip(rates, bands, strict=False))
@@ -236,10 +253,6 @@ def failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
 
 
-def _language(values: list[str | None]) -> list[str]:
-    return [v if v in LANGUAGES else REST for v in values]
-
-
 def _rates(texts: list[str], scorer: Scorer, n_words: list[int]) -> list[tuple[float, float]]:
     return [(x / max(1, len(t)), x / max(1, n)) for x, t, n in zip(scorer.bits(texts).tolist(), texts, n_words, strict=True)]
 
@@ -258,9 +271,9 @@ def count_grams(src: DataFrame, scorer: Scorer | None) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             if before is not None:
-                n = list(map(_n_words, texts))
+                n, whole = list(map(_n_words, texts)), texts
                 rates = _rates(texts, before, n)
-                texts = [t for t, r, g, x in zip(texts, rates, _language(b.column(1).to_pylist()), n, strict=True) if x >= MIN_WORDS and before.within(r, g, x, TRIM, TRIM)]
+                texts = [t for t, r, g, x in zip(texts, rates, before.languages(b.column(1).to_pylist(), whole), n, strict=True) if x >= MIN_WORDS and before.within(r, g, x, TRIM, TRIM)]
             texts = [t for t in texts if t]
             for a in range(0, len(texts), TEXTS):
                 held += np.bincount(grams(texts[a : a + TEXTS])[0], minlength=len(held))
@@ -284,7 +297,8 @@ def fit_bands(src: DataFrame, scorer: Scorer) -> Scorer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs = [t or "" for t in b.column(0).to_pylist()], _language(b.column(1).to_pylist())
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            langs = shared.value.languages(b.column(1).to_pylist(), texts)
             n = list(map(_n_words, texts))
             rates = _rates(texts, shared.value, n)
             rows = [(langs[i], length_class(n[i]), kind, int(rates[i][kind] / CELLS[kind])) for i in range(len(n)) if n[i] >= MIN_WORDS for kind in (0, 1)]
@@ -292,11 +306,26 @@ def fit_bands(src: DataFrame, scorer: Scorer) -> Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), *(pa.array(x, pa.int32()) for x in (length, kind, cell))], ["lang", "length", "kind", "cell"])
 
     cells = map_batches(src, run, "lang string, length int, kind int, cell int").groupBy("lang", "length", "kind", "cell").agg(F.count(F.lit(1)).alias("n"))
-    held: dict[tuple[str, int], tuple[list, list]] = {}
-    for r in cells.collect():  # (languages + 1) x 6 classes x 2 x some hundred cells, whatever the input
-        held.setdefault((r.lang, r.length), ([], []))[r.kind].append((r.cell, r.n))
-    for k, kinds in held.items():
-        scorer.bands[k] = tuple(robust(*(np.array(x) for x in zip(*sorted(rows), strict=True)), kind) for kind, rows in enumerate(kinds))
+    # at most (MAX_LANGUAGES + 1) x 6 classes x 2 x some hundred cells, whatever the input
+    got = cells.toArrow().sort_by([(c, "ascending") for c in ("lang", "length", "kind", "cell")])
+    lang, length, kind = got.column("lang").to_pylist(), got.column("length").to_pylist(), got.column("kind").to_pylist()
+    cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
+    own = list(zip(lang, length, kind, strict=True))
+    begins = [i for i in range(len(own)) if not i or own[i] != own[i - 1]]
+    found: dict[tuple[str | None, int, int], tuple[float, float]] = {}
+    many: dict[tuple[int, int], list[float]] = {}
+    few = []
+    for a, z in zip(begins, [*begins[1:], len(own)], strict=False):
+        found[own[a]] = robust(cell[a:z], n[a:z], own[a][2])
+        if n[a:z].sum() < FEW:
+            few.append(own[a])
+        elif own[a][0] is not REST:
+            many.setdefault(own[a][1:], []).append(found[own[a]][1])
+    for k in few:
+        middle, deviation = found[k]
+        found[k] = middle, max(deviation, *(float(np.median(many[x])) for x in [k[1:]] if x in many), 0.0)
+    for g, size, _ in found:
+        scorer.bands[g, size] = found[g, size, 0], found[g, size, 1]
     return scorer
 
 
@@ -315,9 +344,15 @@ def robust(cells: np.ndarray, n: np.ndarray, kind: int) -> tuple[float, float]:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> Scorer:
     src = pick(docs, text, lang)
+    values = src.toDF("t", "l").select("l").distinct().limit(MAX_LANGUAGES + 2).collect()
+    if sum(r.l is not None for r in values) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    profiles = langid.Profiles(langid.fit(docs, text, lang) if any(r.l is None for r in values) else {})
     scorer = None
     for _ in range(1 + rounds):
-        scorer = fit_bands(src, fit_model(src, scorer))
+        scorer = fit_model(src, scorer)
+        scorer.profiles = profiles
+        scorer = fit_bands(src, scorer)
     return scorer
 
 
@@ -333,7 +368,8 @@ def judge(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs = [t or "" for t in b.column(1).to_pylist()], _language(b.column(2).to_pylist())
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            langs = shared.value.languages(b.column(2).to_pylist(), texts)
             rows = [base_counts(t) for t in texts]
             base = [failed(r[0], r[4]) for r in rows]
             rates = _rates(texts, shared.value, [r[0] for r in rows])
@@ -351,7 +387,8 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     def keep(batches: Iterator[list[list]]) -> Iterator[list[bool]]:
         for texts, langs in batches:
-            texts, langs = [t or "" for t in texts], _language(langs)
+            texts = [t or "" for t in texts]
+            langs = shared.value.languages(langs, texts)
             rows = [base_counts(t) for t in texts]
             rates = _rates(texts, shared.value, [r[0] for r in rows])
             yield [not failed(r[0], r[4]) and shared.value.within(x, g, r[0]) for r, x, g in zip(rows, rates, langs, strict=True)]

@@ -82,6 +82,25 @@ def test_quality_of_rows(spark):
     assert quality.judge(empty, quality.fit(empty)).count() == 0
 
 
+def test_quality_bands_of_any_language(spark, monkeypatch):
+    rng = random.Random(8)
+    pl = ["szcz", "wzy", "prz", "kow", "źdź", "ły"]
+    rows = [(i, prose(rng, 120, ["la", "to", "re", "ni", "co", "sa"]), "it") for i in range(200)] + [(300 + i, prose(rng, 120, pl), "pl") for i in range(40)]
+    rows += [(400 + i, prose(rng, 120, pl), None) for i in range(20)] + [(500 + i, prose(rng, 120, EN), "en") for i in range(2)]
+    junk = [(900 + i, " ".join(w + "%%%$#" for w in rows[200 + i][1].split()), "pl" if i % 2 else None) for i in range(4)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(df, quality.fit(df)).collect()}
+    for low, high in ((0, 200), (300, 340), (400, 420), (500, 502)):
+        clean = [i for i in range(low, high) if not got[i].base_failed]
+        assert clean and sum(got[i].kept for i in clean) >= 0.9 * len(clean), low
+    assert not any(got[i].kept for i, *_ in junk)
+    plain = df.withColumn("lang", F.lit(None).cast("string"))
+    assert quality.fit(plain).bands.keys() == {(quality.REST, quality.length_class(120))}
+    monkeypatch.setattr(quality, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        quality.fit(df)
+
+
 def test_language_vectors_add_up():
     s = langid.Space(64)
     texts = ["ab c", "", "Ab, C!", "日本 x", None or "12 3"]
