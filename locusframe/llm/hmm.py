@@ -23,9 +23,8 @@ from pyspark.sql import types as T
 from .common import map_batches, materialize, pick
 
 STATES, HEAD, CLASSES = 10, 65_536, 1024
-#: Rounds of Baum-Welch over all training texts, after WARM rounds on the driver over at most WARM_TEXTS texts, which
-#: only choose where training starts.
-ROUNDS, WARM, WARM_TEXTS, WARM_WORDS = 2, 12, 1500, 400_000
+#: Rounds of Baum-Welch, each over all training texts.
+ROUNDS = 14
 #: Words in a training segment, and in the segments or texts that are worked on together.
 SEGMENT, TOGETHER = 128, 200_000
 #: Weight, in words, of the unigram distribution in each state's emissions, and of each transition.
@@ -182,17 +181,17 @@ class Counts:
             seq[: len(s), i] = s
         live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(steps)]  # segments longer than t
         emit = model.emit[seq]  # steps x n x states
-        alpha, scale = np.zeros((steps, n, STATES)), np.ones((steps, n))
+        alpha, scale, ones = np.zeros((steps, n, STATES)), np.ones((steps, n)), np.ones(STATES)
         for t in range(steps):
             k = live[t]
             x = (model.start[later] if t == 0 else alpha[t - 1, :k] @ model.move)[:k] * emit[t, :k]
-            scale[t, :k] = x.sum(1)
+            scale[t, :k] = x @ ones  # a product is faster than the sum of short rows
             alpha[t, :k] = x / scale[t, :k, None]
         beta = np.ones((n, STATES))
         for t in range(steps - 1, -1, -1):
             k = live[t]
             gamma = alpha[t, :k] * beta[:k]
-            gamma /= gamma.sum(1, keepdims=True)
+            gamma /= (gamma @ ones)[:, None]
             emit_t = emit[t, :k].copy()
             emit[t, :k] = gamma  # emissions of this step are no longer needed but here: keep the posteriors
             back = emit_t * beta[:k] / scale[t, :k, None]
@@ -204,9 +203,8 @@ class Counts:
                     self.start[kind] += gamma[later == kind].sum(0)
         flat = np.concatenate([seq[t, : live[t]] for t in range(steps)])
         gamma = np.concatenate([emit[t, : live[t]] for t in range(steps)])
-        present, which = np.unique(flat, return_inverse=True)
         for s in range(STATES):
-            self.emit[present, s] += np.bincount(which, gamma[:, s], len(present))
+            self.emit[:, s] += np.bincount(flat, gamma[:, s], len(self.emit))
 
 
 def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -268,21 +266,9 @@ def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
     spark = coded.sparkSession
     training = coded.where("not held_out").select("ids")
     model = Model.first(lexicon)
-    total = training.count()
-    some = training.where(F.pmod(F.xxhash64("ids"), F.lit(max(1, total // WARM_TEXTS))) == 0).limit(WARM_TEXTS).toArrow()
-    texts, left = [], WARM_WORDS
-    for t in _ids(some.column("ids").combine_chunks()) if some.num_rows else []:
-        texts.append(t[: max(0, left)])
-        left -= len(t)
-        if left <= 0:
-            break
-    for _ in range(WARM if texts else 0):
-        c = Counts(len(lexicon.unigram))
-        c.add(model, texts)
-        model = Model.from_counts(lexicon, c.start, c.move, c.emit)
     names = [f"g{i}" for i in range(STATES)]
     schema = "s int, " + ", ".join(f"{n} float" for n in names)
-    for _ in range(rounds if total else 0):
+    for _ in range(rounds if lexicon.tokens else 0):
         shared = spark.sparkContext.broadcast(model)
         symbols = len(lexicon.unigram)
 
@@ -312,6 +298,8 @@ def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
         emit[number[number >= 0]] = values[number >= 0]
         model = Model.from_counts(lexicon, below[:2], below[2:], emit)
         shared.unpersist()
+        # Spark drops the shuffle files of a plan when the JVM has collected it: else those of all rounds would pile up
+        spark._jvm.System.gc()
     return model
 
 

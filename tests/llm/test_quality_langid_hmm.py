@@ -196,3 +196,18 @@ def test_language_model_sums_to_one(spark, monkeypatch):
         own = sum(c[w] + 0.5 for w in rare if hmm._class(w.encode()) == k)
         total += step[len(lex.head) + k] * (own + 0.5) / 10 ** lex.class_log[k]
     assert total == pytest.approx(1)
+
+
+def test_every_round_sees_every_text(spark):
+    """More texts than any sample: the model is that of Baum-Welch over all of them, from the first round on."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, prose(rng, 5, EN)) for i in range(3200)], "k long, t string").withColumn("held_out", F.lit(False))
+    lex = hmm.fit_lexicon(hmm.count_words(df.select("t")))
+    want = hmm.Model.first(lex)
+    texts = [lex.encode(r.t)[0] for r in df.collect()]
+    for _ in range(3):
+        c = hmm.Counts(len(lex.unigram))
+        c.add(want, texts)
+        want = hmm.Model.from_counts(lex, c.start, c.move, c.emit)
+    got = hmm.train(hmm._encode(df, lex), lex, 3)
+    assert got.emit == pytest.approx(want.emit, rel=1e-3, abs=1e-9) and got.move == pytest.approx(want.move, rel=1e-3)
