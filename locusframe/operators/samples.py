@@ -126,9 +126,9 @@ def sample_summary(df: DataFrame) -> DataFrame:
 
 
 def to_json(df: DataFrame, samples: Sequence[str]) -> DataFrame:
-    """One row, ``value``: {"VI": site counters, "PSI": {sample: its statistics}}. As large as the number of samples asks."""
-    names = F.array(*[F.lit(s) for s in samples])
-    name = F.coalesce(F.get(names, F.col("sample_id").cast("int")), F.col("sample_id").cast("string"))
+    """One row, ``value``: {"VI": site counters, "PSI": {sample: its statistics}}, zeros for a sample without any. As large as the number of samples asks."""
+    listed = df.sparkSession.createDataFrame(list(enumerate(samples)), "sample_id bigint, listed string")
+    name = F.coalesce("listed", F.col("sample_id").cast("string"))
     conv = conversions(df).groupBy("sample_id").agg(F.collect_list(F.struct("ref", "code", "n")).alias("c"))
     cell = lambda i, j: F.coalesce(F.get(F.transform(F.filter("c", lambda x: (x["ref"] == i) & (x["code"] == j)), lambda x: x["n"]), F.lit(0)), F.lit(0))
     grid = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: cell(i, j)))
@@ -137,9 +137,13 @@ def to_json(df: DataFrame, samples: Sequence[str]) -> DataFrame:
     slot = lambda s: F.coalesce(F.get(F.transform(F.filter("d", lambda x: x["slot"] == s), lambda x: x["n"]), F.lit(0)), F.lit(0))
     sizes = F.sequence(F.lit(1), F.lit(LONGEST))
     spectrum = spectrum.select("sample_id", F.transform(sizes, lambda k: slot(2 * k)).alias("in_dist"), F.transform(sizes, lambda k: slot(2 * k - 1)).alias("del_dist"))
-    per = sample_summary(df).join(conv, "sample_id", "left").join(spectrum, "sample_id", "left").select(name.alias("name"), F.struct("n_ts", "n_tv", "ts_tv", "n_ins", "n_del", "n_singleton", "conv", "in_dist", "del_dist").alias("s"))
+    per = listed.join(sample_summary(df), "sample_id", "full").join(conv, "sample_id", "left").join(spectrum, "sample_id", "left")
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), LONGEST)
+    full = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ts", "n_tv", "ts_tv", "n_ins", "n_del", "n_singleton")]
+    full += [F.coalesce("conv", F.array_repeat(F.array_repeat(F.lit(0).cast("bigint"), len(CLASSES)), len(CLASSES))).alias("conv"), *(F.coalesce(c, zeros).alias(c) for c in ("in_dist", "del_dist"))]
+    per = per.select(name.alias("name"), F.struct(*full).alias("s"))
     psi = per.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "s")))).alias("PSI"))
     histogram = alt_histogram(df).agg(F.map_from_entries(F.collect_list(F.struct("n_alts", "n"))).alias("m"))
     alts = histogram.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("n_alts"))
     vi = site_summary(df).crossJoin(alts)  # one row each
-    return vi.select(F.struct("*").alias("VI")).crossJoin(psi).select(F.to_json(F.struct("VI", "PSI")).alias("value"))
+    return vi.select(F.struct(F.lit(len(samples)).alias("n_samples"), "*").alias("VI")).crossJoin(psi).select(F.to_json(F.struct("VI", "PSI")).alias("value"))

@@ -57,3 +57,15 @@ def test_text_helpers(spark):
     rows = d.select(text.split_tokens(F.col("s"), ";").alias("t"), text.split_last(F.col("s"), ":").alias("l"), text.remove_whitespace(F.col("s")).alias("r"), text.squeeze_whitespace(F.col("s")).alias("q")).collect()
     assert rows[0].t == ["a", "b"] and rows[1].t == [] and rows[3].l == ["p:q", "r"] and rows[0].l == ["a;;b;", ""]
     assert rows[2].r == "xyz" and rows[2].q == "x y z"
+
+
+def test_stats_json_names_every_sample(spark):
+    import json
+
+    from locusframe.operators import samples
+
+    df = spark.createDataFrame([(["A", "G"], [([0, 1], [True]), ([0, 0], [True])])], "alleles array<string>, gt array<struct<a:array<int>,p:array<boolean>>>")
+    got = json.loads(samples.to_json(df, ["a", "b"]).first().value)
+    assert got["VI"]["n_samples"] == 2 and list(got["PSI"]) == ["a", "b"] and got["PSI"]["a"]["n_ts"] == 1
+    b = got["PSI"]["b"]
+    assert [b[c] for c in ("n_ts", "n_tv", "ts_tv", "n_ins", "n_del", "n_singleton")] == [0] * 6 and b["conv"] == [[0] * 9] * 9 and b["in_dist"] == b["del_dist"] == [0] * 255
