@@ -61,20 +61,44 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of an Arrow batch. Spark's default of 10,000 would put gigabytes into a batch of very long texts, and a string
-#: column of a batch holds 2 GiB at most.
-BATCH_ROWS = 1000
+#: Rows, and bytes of all columns, that an operator gets at once: Arrow batches are cut into such pieces. One longer row is
+#: a piece of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def pieces(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes; nothing is copied."""
+    if batch.num_rows <= rows and batch.nbytes <= size:
+        yield batch
+        return
+    a, n = 0, batch.num_rows
+    while a < n:
+        b = min(n, a + rows)
+        while b - a > 1 and batch.slice(a, b - a).nbytes > size:
+            b = a + (b - a) // 2
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches under the first one's schema with every field nullable: a task's batches must not differ in that."""
+    schema = None
+    for b in batches:
+        if schema is None:
+            schema = pa.schema([pa.field(f.name, f.type) for f in b.schema])
+        yield pa.RecordBatch.from_arrays(b.columns, schema=schema)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over rows with texts: in a session that has not set the size of batches, they are made small."""
+    """mapInArrow over rows with texts, in pieces of bounded rows and bytes.
+
+    What arrives from the JVM is bounded by the session's spark.sql.execution.arrow.maxBytesPerBatch (64 MiB unless set)
+    and one row; the session's settings are left as they are.
+    """
     ship(df.sparkSession)
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
+        yield from alike(fn(piece for b in batches for piece in pieces(b)))
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -337,7 +337,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
                 columns[-1] = pa.array(marks, pa.bool_())
                 if lengths:
                     columns[at_length] = pa.array(lengths, b.column(at_length).type)
-                yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([n not in gone for n in range(len(texts))]))
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([n not in gone for n in range(len(texts))]))
 
         return map_batches(src, run, schema)
 
