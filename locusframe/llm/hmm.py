@@ -11,8 +11,10 @@ Word counts of any number stay in a Spark table: a text's rare words meet their
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(w, n) of every token of the one column of texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, values = list(held), list(held.values())
@@ -60,11 +62,9 @@ def count_words(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000], pa.binary()), pa.array(values[a : a + 50_000], pa.int64())], ["w", "n"])
 
         for b in batches:
-            get = held.get
+            held[END] += b.num_rows
             for t in b.column(0).to_pylist():
-                for w in words(t):
-                    held[w] = get(w, 0) + 1
-                held[END] = get(END, 0) + 1
+                held.update(words(t))
                 if len(held) > COUNTED:
                     yield from flush()
         yield from flush()
@@ -98,7 +98,7 @@ class Lexicon:
         """The symbols of a whole text with its end, and its words of no head symbol with their counts."""
         own = [*words(text), END]
         get = self.head.get
-        ids = np.fromiter([get(w, -1) for w in own], np.int32, len(own))
+        ids = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
         rare: dict[bytes, int] = {}
         at = np.flatnonzero(ids < 0)
         classes = []
@@ -144,6 +144,13 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    _rows: np.ndarray | None = field(default=None, repr=False, compare=False)
+
+    def rows(self) -> np.ndarray:
+        """Emissions by state, in single precision."""
+        if self._rows is None:
+            self._rows = np.ascontiguousarray(self.emit.T, np.float32)
+        return self._rows
 
     @classmethod
     def first(cls, lexicon: Lexicon, seed: int = 7) -> Model:
@@ -164,6 +171,7 @@ class Counts:
 
     def __init__(self, symbols: int) -> None:
         self.start, self.move, self.emit = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
+        self.held = np.empty(0, np.float32)
 
     def add(self, model: Model, texts: list[np.ndarray]) -> None:
         """Baum-Welch over the segments of texts, many segments in step."""
@@ -174,43 +182,56 @@ class Counts:
             self._some(model, [s for s, _ in segments[a : a + width]], np.array([int(later) for _, later in segments[a : a + width]]))
 
     def _some(self, model: Model, segments: list[np.ndarray], later: np.ndarray) -> None:
+        """States are rows here, so that every step works on long contiguous rows, one column a segment."""
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))  # falling
         steps, n = int(sizes[0]), len(segments)
         seq = np.zeros((steps, n), np.int32)
         for i, s in enumerate(segments):
             seq[: len(s), i] = s
-        live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(steps)]  # segments longer than t
-        emit = model.emit[seq]  # steps x n x states
-        alpha, scale, ones = np.zeros((steps, n, STATES)), np.ones((steps, n)), np.ones(STATES)
+        live = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # segments longer than t
+        emits, move, ones = model.rows(), model.move.astype(np.float32), np.ones(STATES, np.float32)
+        turned = np.ascontiguousarray(move.T)
+        alpha, emit = self._room(2, steps * STATES * n).reshape(2, steps, STATES, n)
+        scale = np.empty((steps, n), np.float32)
         for t in range(steps):
             k = live[t]
-            x = (model.start[later] if t == 0 else alpha[t - 1, :k] @ model.move)[:k] * emit[t, :k]
-            scale[t, :k] = x @ ones  # a product is faster than the sum of short rows
-            alpha[t, :k] = x / scale[t, :k, None]
-        beta = np.ones((n, STATES))
+            e = emit[t, :, :k]
+            e[...] = emits.take(seq[t, :k], axis=1)
+            x = (model.start.T.astype(np.float32).take(later[:k], axis=1) if t == 0 else turned @ alpha[t - 1, :, :k]) * e
+            np.dot(ones, x, out=scale[t, :k])
+            np.divide(x, scale[t, :k], out=alpha[t, :, :k])
+        beta, moved = np.ones((STATES, n), np.float32), np.zeros((STATES, STATES))
         for t in range(steps - 1, -1, -1):
             k = live[t]
-            gamma = alpha[t, :k] * beta[:k]
-            gamma /= (gamma @ ones)[:, None]
-            emit_t = emit[t, :k].copy()
-            emit[t, :k] = gamma  # emissions of this step are no longer needed but here: keep the posteriors
-            back = emit_t * beta[:k] / scale[t, :k, None]
+            own = beta[:, :k]
+            back = emit[t, :, :k] * own
+            back /= scale[t, :k]
+            gamma = emit[t]  # emissions of this step are no longer needed: keep the posteriors, which sum to one, and none beyond an end
+            np.multiply(alpha[t, :, :k], own, out=gamma[:, :k])
+            gamma[:, k:] = 0
             if t:
-                self.move += model.move * (alpha[t - 1, :k].T @ back)
-                beta[:k] = back @ model.move.T
+                moved += alpha[t - 1, :, :k] @ back.T
+                own[...] = move @ back
             else:
                 for kind in (0, 1):
-                    self.start[kind] += gamma[later == kind].sum(0)
-        flat = np.concatenate([seq[t, : live[t]] for t in range(steps)])
-        gamma = np.concatenate([emit[t, : live[t]] for t in range(steps)])
+                    self.start[kind] += gamma[:, later == kind].sum(1, dtype=np.float64)
+        self.move += model.move * moved
+        flat = seq.reshape(-1)
         for s in range(STATES):
-            self.emit[:, s] += np.bincount(flat, gamma[:, s], len(self.emit))
+            self.emit[:, s] += np.bincount(flat, emit[:, s].reshape(-1), len(self.emit))
+
+    def _room(self, parts: int, size: int) -> np.ndarray:
+        """Working memory, kept from call to call."""
+        if len(self.held) < parts * size:
+            self.held = np.empty(parts * size, np.float32)
+        return self.held[: parts * size]
 
 
 def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Of each whole sequence of symbols, by the scaled forward recursion; sequences of like length go in step."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    emits, turned, ones = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T), np.ones(STATES)
     a = 0
     while a < len(order):
         b, total = a, 0
@@ -221,14 +242,15 @@ def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         sizes = np.fromiter((len(texts[i]) for i in group), np.int64, len(group))
         flat = np.concatenate([texts[i] for i in group])
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
-        live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
-        total_log, alpha = np.zeros(len(group)), None
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left").tolist()
+        total_log, alpha = np.zeros(len(group)), np.zeros((STATES, 0))
         for t in range(int(sizes[0])):
             k = live[t]
-            x = model.emit[flat[begins[:k] + t]]
-            x = x * (model.start[0] if t == 0 else alpha[:k] @ model.move)
-            s = x.sum(1)
-            alpha = x / s[:, None]
+            x = emits.take(flat[begins[:k] + t], axis=1)
+            x *= model.start[0][:, None] if t == 0 else turned @ alpha[:, :k]
+            s = ones @ x
+            alpha = x
+            alpha /= s
             total_log[:k] += np.log10(s)
         out[group] = total_log
         a = b
@@ -264,7 +286,8 @@ def _ids(column: pa.Array) -> list[np.ndarray]:
 def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over the rows that are not held out."""
     spark = coded.sparkSession
-    training = coded.where("not held_out").select("ids")
+    # a task sends one row for each symbol that it met, however much it read: no more tasks than two for each core
+    training = coded.where("not held_out").select("ids").coalesce(2 * spark.sparkContext.defaultParallelism)
     model = Model.first(lexicon)
     names = [f"g{i}" for i in range(STATES)]
     schema = "s int, " + ", ".join(f"{n} float" for n in names)
@@ -349,7 +372,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: Column
             yield from flush()
 
     kind = src.schema["k"].dataType.simpleString()
-    scored = coded.select("rid", "k", "held_out", "n", "ids").mapInArrow(run, f"rid bigint, k {kind}, held_out boolean, n bigint, head_log double, known bigint, likelihood double")
+    scored = map_batches(coded.select("rid", "k", "held_out", "n", "ids"), run, f"rid bigint, k {kind}, held_out boolean, n bigint, head_log double, known bigint, likelihood double")
     rare = coded.select("rid", F.inline("rare"))
     met = rare.join(counts, "w", "left").groupBy("rid").agg(
         F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("rare_known")
