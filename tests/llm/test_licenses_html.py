@@ -50,6 +50,74 @@ def test_second_notice_that_wraps():
     assert [x for x, _ in found("Licensed under the GNU General Public License, version 2\nor later. License: MIT")] == ["GPL-2.0-or-later", "MIT"]
 
 
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+
+
+def test_notices_of_the_gnu_family():
+    assert found(GPL + "either version 2 of the License, or\n(at your option) any later version.")[0][0] == "GPL-2.0-or-later"
+    assert found(GPL + "version 2 of the License.")[0][0] == "GPL-2.0-only"
+    assert found(GPL.replace("General", "Lesser General").replace("program", "library") + "either version 2.1 of the License, or (at your option) any later version.")[0][0] == "LGPL-2.1-or-later"
+    assert found(GPL.replace("General", "Affero General") + "either version 3 of the License, or (at your option) any later version.")[0][0] == "AGPL-3.0-or-later"
+    assert found(GPL + "version 4 of the License.") == []
+
+
+def test_texts_and_their_differences():
+    two, three = licenses.TEXTS["BSD-2-Clause"][0], licenses.TEXTS["BSD-3-Clause"][0]
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (licenses.TEXTS["MIT-0"][0], "MIT-0"), (licenses.TEXTS["0BSD"][0], "0BSD"), (licenses.TEXTS["ISC"][1], "ISC")):
+        (f,) = licenses.scanner().scan(f"Copyright 2020 Someone\n\n{text}\n\nand prose")
+        assert (f.license, f.differences) == (name, []) and f.rival != name and f.rival_differences > 10
+    (f,) = licenses.scanner().scan(three.replace("Neither", "3. Neither").replace("the copyright holder nor", "Someone nor"))
+    assert (f.license, f.differences) == ("BSD-3-Clause", ["+3", "-the", "-copyright", "holder>someone"])
+    (f,) = licenses.scanner().scan(licenses.TEXTS["MIT"][1].replace("is furnished", "was furnished"))
+    assert (f.license, f.differences) == ("MIT", ["is>was"])
+    assert [x for x, _ in found(two.split(" are permitted")[0] + " are permitted provided that the following conditions are met")] == ["BSD"]
+
+
+def test_two_licenses_under_one_opening():
+    for text in ("Licensed under MIT or Apache-2.0", "SPDX-License-Identifier: MIT OR Apache-2.0", "License: MIT/Apache-2.0", "Licensed under either of the MIT License or the Apache License, Version 2.0, at your option"):
+        assert [x for x, _ in found(text)] == ["MIT", "Apache-2.0"], text
+    assert [x for x, _ in found("Licensed under MIT. Apache-2.0 is another")] == ["MIT"]
+    assert found("it is licensed under" + " " * 1500 + "the MIT License")[0][0] == "MIT"
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = [rng.randrange(1, 5) for _ in range(rng.randrange(1, 9))], [rng.randrange(1, 5) for _ in range(rng.randrange(0, 14))]
+        row = licenses.distances(licenses.np.array(a), licenses.np.array(b, licenses.np.int64))
+        assert row.tolist() == [min(edit(a, b[s:e]) for s in range(e + 1)) for e in range(len(b) + 1)]
+        pairs = licenses.align(a, b)
+        assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and sum(i < 0 or j < 0 or a[i] != b[j] for i, j in pairs) == row[-1]
+
+
+def test_ranking_leaves_out_no_better_wording():
+    """What the scanner takes, going down its ranking, is what aligning all wordings with the whole text gives."""
+    s, rng = licenses.scanner(), random.Random(9)
+    every = [(t, w) for t in s.templates for w in t.wordings]
+    for n in range(40):
+        _, w = rng.choice(every if n % 2 else [x for x in every if 10 <= len(x[1].ids) < 90])
+        words = licenses.tokens(w.text)
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = rng.choice(["2", "3", "the", "zebra", "software", "later"])
+        words = ["some", "prose", *words, "more", "prose"]
+        nets = [(len(x.ids) - got[0], t.license) for t, x in every if (got := s.confirm(x, licenses.np.array([s.vocabulary.get(y, 0) for y in words], licenses.np.int64)))]
+        hit = s.scan(" ".join(words))
+        assert bool(hit) == bool(nets)
+        if nets:
+            assert max(len(licenses.tokens(f.wording)) - len(f.differences) for f in hit) == max(nets)[0]
+            assert {f.license for f in hit} & {name for net, name in nets if net == max(nets)[0]}
+
+
 @pytest.fixture(scope="module")
 def tree():
     return htmltext.train()
