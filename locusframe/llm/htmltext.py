@@ -1,15 +1,18 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over word counts and link densities.
 
-A page is cut into blocks at block-level tags. A block's features are the words and link density of itself and of its
-neighbours, and what it stands in. The tree is grown, once on the driver, from the small labelled table below.
+A page is cut into blocks at block-level tags. A block's features are the words and link density of itself, of the block
+before and of the block after, their quotients, the role of the tags that it stands in (article, aside, heading,
+paragraph), and what its elements are named. The tree is grown, once on the driver, from the labelled page fragments
+below; what a word of a class or id weighs is learned from them too, and a word that they do not show weighs nothing.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +20,25 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, pick
 
-# HTML element names by their role.
+# HTML element names, and values of the role attribute, by what they stand for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
 #: Elements whose text is never the article's.
 ASIDE = frozenset("nav footer aside form menu dialog select button option noscript template iframe object svg math canvas audio video head fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
 ARTICLE = frozenset("article main".split())
 CLOSES = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
-#: Words in class, id or role that mark what is not the article.
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr "
-    "notice notices alert alerts popup modal overlay sidebar sidebars widget widgets related recommended recommendations share sharing social nav navbar "
-    "navigation menu menus breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond subscribe subscription newsletter "
-    "signup login search form forms pagination pager copyright disclaimer skip toolbar topbar masthead complementary contentinfo".split()
-)
-#: Beside these a word of HINTS describes a page's layout or state (has-sidebar, menu-open), not what an element holds.
-LAYOUT = frozenset("has with no without open closed layout enabled disabled".split())
-#: As HINTS, but only outside of an article, which may have a head of its own.
-HEAD_HINTS = frozenset("header head".split())
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-_OPEN_VALUE = re.compile(r"""=\s*(["'])""")
-_TOKENS = re.compile(r"[^a-z0-9]+")
+#: Elements that hold running text; in others, text stands directly in a container.
+PARAGRAPH = frozenset("p li dd dt td th pre blockquote figcaption caption".split())
+_ATTRIBUTE = re.compile(r"[^\s=/>]+")
+_EQUALS = re.compile(r"\s*=\s*")
+_PLAIN = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
+_TOKENS = re.compile(r"[^a-z]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
@@ -50,33 +48,67 @@ class Block:
     words: int
     linked: int
     inside: bool
-    tag: bool
-    hint: bool
+    aside: bool
     heading: bool
+    paragraph: bool
+    named: float
+    #: Only where labelled fragments are read: words of the names of all open elements, and whether one is marked as main text.
+    names: tuple[frozenset[str], ...] = ()
+    main: bool = False
+
+
+def attributes(page: str, at: int, unclosed: set[str]) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from after its name on, and where the tag ends (-1: nowhere). Every character is read once.
+
+    A quoted value may hold the sign that ends a tag. Quotes that no later quote closes are plain characters.
+    """
+    out: dict[str, str] = {}
+    n = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n:
+            return out, -1
+        if page[at] == ">":
+            return out, at
+        m = _ATTRIBUTE.match(page, at)
+        if not m:  # a stray equals sign
+            at += 1
+            continue
+        name, at = m[0].lower(), m.end()
+        value = ""
+        if eq := _EQUALS.match(page, at):
+            at = eq.end()
+            quote = page[at : at + 1]
+            shut = page.find(quote, at + 1) if quote in ("'", '"') and quote not in unclosed else -1
+            if shut >= 0:
+                value, at = page[at + 1 : shut], shut + 1
+            else:
+                if quote in ("'", '"'):
+                    unclosed.add(quote)
+                m = _PLAIN.match(page, at)
+                value, at = m[0], m.end()
+        out.setdefault(name, value)
+
 
+def name_words(attrs: dict[str, str]) -> frozenset[str]:
+    """The words of an element's class and id."""
+    text = " ".join(attrs[a] for a in ("class", "id") if attrs.get(a))
+    return frozenset(w for w in _TOKENS.split(_CAMEL.sub(r"\1 \2", text).lower()) if w) if text else frozenset()
 
-def _marked(attributes: str, inside: bool) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role"):
-            for word in value.split():
-                tokens = set(_TOKENS.split(_CAMEL.sub(r"\1 \2", word).lower()))
-                if not tokens & LAYOUT and (tokens & HINTS or not inside and tokens & HEAD_HINTS):
-                    return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub(" ", attributes)))
 
+def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """The page's text blocks in order. Unclosed tags, quotes and comments are closed where a browser closes them, roughly.
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order. Unclosed tags, quotes and comments are closed where a browser closes them, roughly."""
+    weights: what each word of an element's names weighs; without them the words themselves are kept, for labelled pages.
+    """
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    # state of the elements that are open: (name, and what inside, tag, hint, link and heading were before)
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []
+    # state of the elements that are open: (name, and what all of these were before)
+    stack: list[tuple] = []
     open_: dict[str, int] = {}
-    inside = tag = hint = link = heading = False
+    inside = aside = link = heading = paragraph = main = False
+    named, names = 0.0, ()
     at, n = 0, len(page)
     unclosed: set[str] = set()
 
@@ -92,14 +124,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         words = "".join(parts).split()
         if words:
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), inside, tag, hint, heading))
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), inside, aside, heading, paragraph, named, names, main))
         parts.clear()
         linked = 0
 
     def close(name: str) -> None:
-        nonlocal inside, tag, hint, link, heading
+        nonlocal inside, aside, link, heading, paragraph, named, names, main
         while True:
-            own, inside, tag, hint, link, heading = stack.pop()
+            own, inside, aside, link, heading, paragraph, named, names, main = stack.pop()
             open_[own] -= 1
             if own == name:
                 return
@@ -131,20 +163,9 @@ def blocks(page: str) -> list[Block]:
                 at = lt + 1
             continue
         name = m[0].lower()
-        end = page.find(">", m.end())
+        attrs, end = attributes(page, m.end(), unclosed)
         if end < 0:
             break
-        body = page[m.end() : end]
-        while "=" in body and ('"' in body or "'" in body):
-            # a quoted value may hold the sign that seemed to end the tag
-            q = _OPEN_VALUE.search(_ATTRIBUTE.sub(" ", body))
-            if not q or q[1] in unclosed:
-                break
-            shut = page.find(q[1], end)
-            if shut < 0 or (after := page.find(">", shut)) < 0:
-                unclosed.add(q[1])
-                break
-            end, body = after, page[m.end() : after]
         at = end + 1
         if name == "br" or name not in INLINE:
             if name == "br":
@@ -166,60 +187,71 @@ def blocks(page: str) -> list[Block]:
             close("p")
         if (same := CLOSES.get(name)) and open_.get(same) and stack and stack[-1][0] == same:
             close(same)
-        stack.append((name, inside, tag, hint, link, heading))
+        stack.append((name, inside, aside, link, heading, paragraph, named, names, main))
         open_[name] = open_.get(name, 0) + 1
-        if name in ARTICLE:
+        if name in ARTICLE or attrs.get("role") == "main":
             inside = True
             if name == "main":  # whatever the elements around it are called
-                hint = tag = False
-        elif name in ASIDE or name == "header" and not inside:
-            tag = True
+                aside, named = False, 0.0
+        elif name in ASIDE or name == "header" and not inside or attrs.get("role", "").lower() in ROLES:
+            aside = True
         elif name == "a":
             link = True
         elif len(name) == 2 and name[0] == "h" and name[1] in "123456":
             heading = True
-        if name not in ("html", "body", "main") and body.strip(" /") and not hint and _marked(body, inside):
-            hint = True
+        if name not in INLINE:
+            paragraph = name in PARAGRAPH
+        if attrs:
+            if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attrs.get("style", "")):
+                aside = True
+            # names of the page, or of the article, as a whole describe its layout or state
+            if name not in ("html", "body", *ARTICLE) and (words := name_words(attrs)):
+                if weights is None:
+                    names = (*names, words)
+                elif any(w in weights for w in words):
+                    named = min(named, sum(weights.get(w, 0.0) for w in words))
+            main = main or "data-main" in attrs and weights is None
     flush()
     return out
 
 
 #: A block's features in order. Neighbours are 0 words at a page's ends.
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_aside_tag", "has_hint", "is_heading"]
-#: The order in which equally good splits are taken: what a block stands in, then itself, then its neighbours.
-SPLITS = [7, 8, 6, 9, 1, 0, 3, 5, 2, 4]
-#: The labelled table: features as above, then 1 for main text and 0 for the rest. Written by hand for this module.
-LABELLED = [
-    # menus, breadcrumbs and footers as lists of links
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 1, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0),
-    (1, 1.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 1, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (5, 0.8, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.0, 45, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (30, 0.1, 20, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (6, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (70, 0.0, 15, 0.0, 20, 0.0, 0, 1, 0, 0, 0),
-    # adverts, notices, side bars, forms and comments, told by their names, also within an article
-    (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 0), (15, 0.2, 1, 1.0, 40, 0.0, 0, 0, 1, 0, 0), (60, 0.0, 80, 0.0, 90, 0.0, 0, 0, 1, 0, 0), (25, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1, 0, 0),
-    (80, 0.0, 70, 0.0, 75, 0.0, 1, 0, 1, 0, 0), (3, 0.0, 50, 0.0, 2, 0.0, 1, 1, 0, 0, 0), (40, 0.0, 3, 0.0, 35, 0.0, 1, 1, 0, 0, 0), (1, 1.0, 30, 0.0, 1, 1.0, 1, 0, 1, 0, 0),
-    (6, 1.0, 40, 0.0, 60, 0.0, 1, 0, 1, 0, 0), (10, 0.7, 30, 0.0, 80, 0.0, 0, 0, 1, 0, 0), (3, 1.0, 50, 0.0, 120, 0.0, 1, 1, 0, 0, 0), (5, 0.6, 70, 0.0, 48, 0.0, 1, 0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 80, 0.0, 0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 100, 0.0, 1, 1, 0, 0, 0), (20, 0.9, 1, 1.0, 90, 0.0, 0, 1, 0, 0, 0), (12, 1.0, 2, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
-    (1, 1.0, 60, 0.0, 9, 0.0, 0, 1, 0, 0, 0), (12, 1.0, 80, 0.0, 10, 0.0, 0, 1, 0, 0, 0), (12, 1.0, 70, 0.0, 50, 0.0, 0, 0, 1, 0, 0), (10, 1.0, 45, 0.0, 55, 0.0, 0, 0, 0, 0, 0),
-    (1, 1.0, 50, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (1, 1.0, 48, 0.0, 60, 0.0, 1, 0, 1, 0, 0), (9, 1.0, 52, 0.0, 47, 0.0, 1, 1, 0, 0, 0), (2, 1.0, 44, 0.0, 46, 0.0, 0, 0, 0, 0, 0),
-    (1, 1.0, 9, 0.0, 55, 0.0, 0, 0, 1, 0, 0), (14, 1.0, 1, 1.0, 70, 0.0, 1, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 70, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 120, 0.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 90, 0.0, 55, 0.0, 0, 0, 1, 1, 0), (4, 0.0, 20, 0.0, 5, 0.0, 0, 1, 0, 1, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 1, 1, 1, 0), (110, 0.3, 4, 0.0, 10, 0.0, 0, 1, 1, 0, 0),
-    # the article, with its headings and its shortest paragraphs
-    (9, 0.0, 8, 0.0, 120, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (3, 0.3, 1, 1.0, 40, 0.0, 1, 0, 0, 1, 1), (1, 0.0, 50, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
-    (1, 0.0, 1, 0.0, 70, 0.0, 1, 0, 0, 0, 1), (4, 0.0, 6, 0.0, 12, 0.0, 1, 0, 0, 0, 1), (120, 0.0, 9, 0.0, 45, 0.0, 1, 0, 0, 0, 1), (45, 0.2, 120, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
-    (300, 0.0, 2, 0.0, 8, 0.0, 1, 0, 0, 0, 1), (20, 0.5, 30, 0.1, 25, 0.0, 1, 0, 0, 0, 1), (7, 0.0, 300, 0.0, 12, 0.2, 1, 0, 0, 0, 1), (12, 1.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 1),
-    (40, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 1), (3, 0.0, 2, 1.0, 1, 1.0, 1, 0, 0, 0, 1), (80, 0.0, 60, 0.0, 1, 1.0, 1, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 3, 1.0, 1, 0, 0, 0, 1),
-    (2, 0.0, 3, 1.0, 40, 0.0, 1, 0, 0, 0, 1), (2, 0.5, 40, 0.0, 30, 0.0, 1, 0, 0, 0, 1), (9, 0.9, 50, 0.0, 45, 0.0, 1, 0, 0, 0, 1), (1, 1.0, 40, 0.1, 50, 0.0, 1, 0, 0, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
-    # lists of links within it
-    (2, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (3, 1.0, 40, 0.0, 2, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 50, 0.0, 1, 0, 0, 0, 0), (4, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0, 0, 0),
-    # pages without an article element: long text and what stands between it
-    (60, 0.0, 1, 1.0, 80, 0.0, 0, 0, 0, 0, 1), (90, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 90, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 55, 0.0, 48, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 3, 1.0, 75, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1, 1),
-    (70, 0.0, 40, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (40, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (22, 0.1, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1), (28, 0.0, 6, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
-    (14, 0.0, 8, 0.0, 35, 0.0, 0, 0, 0, 0, 1), (35, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    # and what is not text there
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 2, 0.0, 1, 0.0, 0, 0, 0, 0, 0), (9, 0.6, 2, 1.0, 5, 0.9, 0, 0, 0, 0, 0), (3, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (2, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (30, 0.9, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (5, 1.0, 45, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0),
-]
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "share_of_before", "share_of_after", "in_article", "beside_article", "in_aside", "is_heading", "in_paragraph", "named"]
+#: What a word of a name weighs at most; the labelled pages are read in these sizes.
+MOST_NAMED, SIZES = 3.0, (1.0, 0.4)
+# The labelled table: fragments of pages, written and labelled by hand for this module; {n} stands for n words, data-main
+# marks main text.
+LABELLED = """
+<header><a href=x>{2}</a></header><nav><ul><li><a href=x>{1}</a><li><a href=x>{2}</a><li><a href=x>{1}</a></ul></nav><div class="ad">{9}</div><article><h1 data-main>{8}</h1><p data-main>{70}</p><p data-main>{4}</p><p data-main>{55} <a href=x>{3}</a></p><p data-main>{20}</p></article><footer>{9}</footer>
+<nav><a href=x>{1}</a> <a href=x>{1}</a></nav><article><h1 data-main>{6}</h1><p class="meta" data-main>{5}</p><p data-main>{120}</p><h2 data-main>{3}</h2><p data-main>{60}</p><ul><li data-main>{6}<li data-main>{14}<li data-main>{2}</ul><div class="ad">{12}</div><p data-main>{90}</p><aside>{40}</aside><p data-main>{35}</p></article><footer><p>{12}</p><p><a href=x>{2}</a></p></footer>
+<div id="menu"><a href=x>{1}</a> <a href=x>{1}</a> <a href=x>{2}</a></div><div class="post-content" data-main><p>{80}</p><p>{45}</p><p>{3}</p><p>{60}</p></div><div class="comments"><h3>{1}</h3><div class="comment"><p>{40}</p></div><div class="comment"><p>{25}</p></div></div><div id="footer">{10}</div>
+<div class="header"><a href=x>{2}</a></div><div class="content"><h1 data-main>{7}</h1><p data-main>{50}</p><p data-main>{75}</p><div class="related"><ul><li><a href=x>{8}</a><li><a href=x>{11}</a></ul></div><p data-main>{40}</p></div><div class="sidebar"><p>{30}</p><a href=x>{4}</a></div>
+<div class="cookie-banner">{14} <a href=x>{2}</a></div><main><h1 data-main>{5}</h1><p data-main>{65}</p><p data-main>{12}</p><div class="newsletter-form">{8}</div><p data-main>{90}</p></main><div class="footer-links"><a href=x>{1}</a> <a href=x>{1}</a></div>
+<article><header><h1 data-main>{9}</h1><p data-main>{4} <a href=x>{2}</a></p></header><p data-main>{100}</p><blockquote data-main>{25}</blockquote><table><tr><td data-main>{2}<td data-main>{1}<tr><td data-main>{3}<td data-main>{1}</table><p data-main>{55}</p><div class="share-buttons"><a href=x>{1}</a> <a href=x>{1}</a></div><section class="comments"><h3>{2}</h3><p>{30}</p><p>{22}</p></section></article>
+<p><a href=x>{1}</a> <a href=x>{1}</a> <a href=x>{1}</a></p><h1 data-main>{6}</h1><p data-main>{40}</p><p data-main>{85} <a href=x>{4}</a> {20}</p><p data-main>{15}</p><p data-main>{60}</p><p><a href=x>{2}</a> <a href=x>{3}</a></p><p>{4} <a href=x>{2}</a></p>
+<table><tr><td><a href=x>{1}</a><br><a href=x>{2}</a><br><a href=x>{1}</a><td data-main><p>{70}</p><p>{50}</p><p>{30}</p></table><p><a href=x>{3}</a></p>
+<div class="topbar">{4}</div><div role="navigation"><a href=x>{1}</a></div><article class="story"><h1 data-main>{10}</h1><p data-main>{1}</p><p data-main>{130}</p><p data-main>{2}</p><div class="advert">{20}</div><p data-main>{45}</p></article><div class="comment-list"><p>{50}</p><p>{35}</p></div>
+<nav>{3}</nav><article><h1 data-main>{4}</h1><p data-main>{1}</p></article><footer>{6}</footer>
+<article><h1 data-main>{3}</h1><p data-main>{8}</p><p data-main>{5}</p></article><footer>{12} <a href=x>{1}</a></footer>
+<article><h1 data-main>{7}</h1><p data-main><a href=x>{9}</a></p><p data-main>{40}</p><ul><li><a href=x>{4}</a><li><a href=x>{5}</a><li><a href=x>{4}</a></ul></article>
+<article><p data-main>{60}</p><ul><li data-main><a href=x>{2}</a> {9}<li data-main><a href=x>{1}</a> {12}</ul><p data-main>{40}</p><p><a href=x>{2}</a></p><p><a href=x>{3}</a></p><p><a href=x>{2}</a></p></article>
+<div class="share-price" data-main><p>{45}</p><p>{60}</p></div><div class="notice">{18}</div><div class="related-posts"><a href=x>{7}</a> <a href=x>{6}</a></div>
+<div class="post" data-main><h2>{5}</h2><p>{35}</p><p>{50}</p></div><div class="sidebar"><div class="widget"><h4>{2}</h4><a href=x>{3}</a> <a href=x>{2}</a></div><div class="widget"><p>{20}</p></div></div><form>{4}</form>
+<div class="banner">{10}</div><article><h2 data-main>{4}</h2><p data-main>{28}</p><pre data-main>{30}</pre><p data-main>{18}</p><div class="sponsored"><p>{30}</p></div><p data-main>{70}</p><form><p>{12}</p></form><div class="subscribe">{9}</div></article><div class="copyright">{8}</div>
+<div class="wrapper"><div class="breadcrumbs"><a href=x>{1}</a> {1} <a href=x>{2}</a></div><h1 data-main>{6}</h1><div class="text" data-main>{90}</div><div class="text" data-main>{55}</div><div class="ads">{16}</div><div class="text" data-main>{8}</div><div class="pagination"><a href=x>{1}</a> <a href=x>{1}</a></div></div>
+<div class="main-content" data-main><p>{110}</p><p>{6}</p><p>{85}</p></div><div id="comments"><p>{60}</p><p>{15}</p><p>{44}</p></div><div class="disclaimer">{22}</div>
+<article data-main><p>{25}</p><p>{2}</p><p>{3}</p><p>{1}</p><p>{40}</p></article><section id="comments"><p>{24}</p></section><div class="notices"><p>{15}</p></div>
+<article><h1 data-main>{5}</h1><div data-main>{60}</div><div data-main>{8}</div><div data-main>{33}</div><div class="cookie-notice">{13}</div><div class="sidebar-box">{30}</div></article>
+<div class="popup">{15}</div><div class="entry"><p data-main>{55}</p><p data-main>{62}</p><div class="social-share"><a href=x>{1}</a></div></div><div id="sidebar"><p>{45}</p><ul><li><a href=x>{4}</a></ul></div><div id="respond">{12}</div>
+<header>{12}</header><article><p data-main>{48}</p><div class="promo">{25}</div><div class="newsletter"><p>{16}</p></div><p data-main>{52}</p><div class="comments-section"><p>{38}</p></div></article><aside><p>{60}</p></aside>
+<div class="menu-bar"><ul><li><a href=x>{1}</a><li><a href=x>{1}</a></ul></div><p data-main>{38}</p><p data-main>{41}</p><p data-main>{5}</p><p data-main>{30}</p><p>{3}</p><p><a href=x>{1}</a></p>
+<article><section class="section" data-main><h2>{3}</h2><p>{22}</p><p>{31}</p></section><div class="box list" data-main><p>{24}</p><p>{28}</p></div><section class="section intro" data-main><p>{26}</p></section></article>
+<article><p data-main>{35}</p><p data-main>{29}</p><p data-main>{44}</p><p data-main>{21}</p><p data-main>{116}</p><p data-main>{25}</p><p data-main>{17}</p><p data-main>{12}</p><p data-main>{27}</p><p data-main>{9}</p></article>
+<div class="author links" data-main><p>{33}</p><p>{52}</p></div><div class="form bar" data-main><p>{47}</p></div><div class="buttons social posts" data-main><p>{39}</p></div>
+<div>{14}</div><p>{30}</p><article><h1 data-main>{6}</h1><p data-main>{48}</p><p data-main>{7}</p></article><p>{22}</p><div>{60}</div><p>{3}</p>
+<p>{12}</p><main><p data-main>{58}</p><p data-main>{36}</p></main><div>{25}</div><p>{70}</p><div>{9}</div>
+<ul><li><a href=x>{2}</a><li><a href=x>{1}</a><li><a href=x>{3}</a></ul><div data-main>{100}</div><div data-main>{75}</div><ul><li><a href=x>{9}</a><li><a href=x>{12}</a></ul>
+"""
 
 
 @dataclass
@@ -231,14 +263,20 @@ class Node:
     main: bool = False
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
-    """A classification tree by Gini impurity; the first best split in the order of SPLITS wins, halves count as main text."""
+@dataclass
+class Classifier:
+    tree: Node
+    weights: dict[str, float] = field(default_factory=dict)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> Node:
+    """A classification tree by Gini impurity; of equal splits the first feature's least limit, of equal halves main text."""
     share = y.mean()
     node = Node(main=bool(share >= 0.5))
     if depth == 0 or share in (0.0, 1.0):
         return node
     best = share * (1 - share) * len(y) - 1e-12
-    for f in SPLITS:
+    for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v, ones = x[order, f], np.cumsum(y[order])
         for i in np.flatnonzero(np.diff(v)):
@@ -253,14 +291,33 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
     return node
 
 
-def train(table: list[tuple] = LABELLED) -> Node:
-    rows = np.array(table, np.float64)
-    return grow(rows[:, :-1], rows[:, -1])
+def fragments(table: str, sizes: tuple[float, ...] = SIZES) -> list[str]:
+    return [re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * math.ceil(int(m[1]) * size)), line) for line in table.strip().split("\n") for size in sizes]  # noqa: B023
+
 
+def train(table: str = LABELLED) -> Classifier:
+    pages = fragments(table)
+    labelled = [b for p in pages for b in blocks(p)]
+    counts: dict[str, list[int]] = {}
+    for b in labelled:
+        for w in frozenset().union(*b.names):
+            counts.setdefault(w, [0, 0])[b.main] += 1
+    share = math.log((sum(b.main for b in labelled) + 1) / (sum(not b.main for b in labelled) + 1))
+    weights = {w: max(-MOST_NAMED, min(0.0, math.log((yes + 0.5) / (no + 0.5)) - share)) for w, (no, yes) in counts.items()}
+    weights |= {w: 1.0 for w, (no, yes) in counts.items() if yes > no}
+    rows = [f for p in pages for f in features(blocks(p, weights))]
+    return Classifier(grow(np.array(rows, np.float64), np.array([b.main for b in labelled], np.float64)), weights)
 
-def features(b: Block, before: Block | None, after: Block | None) -> tuple:
+
+def features(own: list[Block]) -> list[tuple]:
     density = lambda x: x.linked / x.words if x else 0.0
-    return (b.words, density(b), before.words if before else 0, density(before), after.words if after else 0, density(after), b.inside, b.tag, b.hint, b.heading)
+    article = any(b.inside for b in own)
+    out = []
+    for n, b in enumerate(own):
+        before, after = own[n - 1] if n else None, own[n + 1] if n + 1 < len(own) else None
+        w0, w1 = before.words if before else 0, after.words if after else 0
+        out.append((b.words, density(b), w0, density(before), w1, density(after), b.words / (b.words + w0), b.words / (b.words + w1), b.inside, article and not b.inside, b.aside, b.heading, b.paragraph, b.named))
+    return out
 
 
 def is_main(tree: Node, row: tuple) -> bool:
@@ -269,17 +326,17 @@ def is_main(tree: Node, row: tuple) -> bool:
     return tree.main
 
 
-def main_text(page: str | None, tree: Node) -> str:
-    own = blocks(page or "")
-    around = [None, *own, None]
-    return " ".join(b.text for n, b in enumerate(own) if is_main(tree, features(b, around[n], around[n + 2])))
+def main_text(page: str | None, by: Classifier) -> str:
+    own = blocks(page or "", by.weights)
+    return " ".join(b.text for b, row in zip(own, features(own), strict=True) if is_main(by.tree, row))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every whole page.
 
-    A null or empty page, or one without main text, has an empty text and 0 characters; repeated rows each get a row;
-    markup may be broken or cut off anywhere; other columns are ignored.
+    A null or empty page, or one without main text, has an empty text and 0 characters; null keys and URLs are kept;
+    repeated rows each get a row; a page is read once from end to end, however long; markup may be broken or cut off
+    anywhere; an empty table gives none; other columns, whatever their names, are ignored.
     """
     src = pick(df, key, url, page)
     shared = df.sparkSession.sparkContext.broadcast(train())

@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -159,6 +161,102 @@ def test_structure_decides(tree):
     assert htmltext.main_text(f"<body><p>{long}</p></body>", tree) == long.strip()
 
 
+HELD_OUT = """
+<nav><a href=x>{1}</a></nav><div>{11}</div><article><h1 data-main>{9}</h1><p data-main>{33}</p><p data-main>{2}</p><h3 data-main>{4}</h3><p data-main>{81}</p><div class="ad-slot">{17}</div><p data-main>{26}</p></article><footer>{14}</footer>
+<div class="site-header"><a href=x>{3}</a></div><div class="article-body" data-main><p>{64}</p><p>{19}</p><p>{140}</p></div><div class="related-links"><a href=x>{5}</a><a href=x>{8}</a></div><div class="footer">{20}</div>
+<div id="top"><a href=x>{1}</a> <a href=x>{1}</a> <a href=x>{2}</a></div><h1 data-main>{7}</h1><p data-main>{52}</p><p data-main>{47}</p><p data-main>{13}</p><ul><li><a href=x>{6}</a><li><a href=x>{7}</a></ul>
+<main><h1 data-main>{4}</h1><p data-main>{72}</p><ol><li data-main>{8}<li data-main>{21}</ol><aside><p>{44}</p></aside><p data-main>{16}</p><section id="comments"><h2>{1}</h2><p>{28}</p></section></main>
+<article><p data-main>{95}</p><p data-main>{5}</p><p data-main>{41} <a href=x>{4}</a></p><div class="cookie-notice"><p>{16}</p></div></article><div class="comment-thread"><p>{36}</p><p>{50}</p></div>
+"""
+
+
+def test_held_out_fragments(tree):
+    """Fragments that are not in the table: the share of blocks that the tree puts right."""
+    right = []
+    for page in htmltext.fragments(HELD_OUT):
+        labels, own = [b.main for b in htmltext.blocks(page)], htmltext.blocks(page, tree.weights)
+        right += [htmltext.is_main(tree.tree, row) == main for main, row in zip(labels, htmltext.features(own), strict=True)]
+    assert len(right) > 70 and sum(right) / len(right) >= 0.95, sum(right) / len(right)
+
+
+def test_tree_looks_at_neighbours(tree):
+    def used(node):
+        return set() if node.feature < 0 else {htmltext.FEATURES[node.feature]} | used(node.low) | used(node.high)
+
+    assert used(tree.tree) & {"words_before", "words_after", "density_before", "density_after", "share_of_before", "share_of_after"} and "link_density" in used(tree.tree)
+    long = "word " * 40
+    for name in ("share-price-report", "post-comments-off", "wordlist", "unknown"):
+        assert htmltext.main_text(f'<article class="{name}"><p>{long}</p></article>', tree) == long.strip(), name
+    # equal blocks that differ in their neighbours alone
+    link = '<p><a href="x">a b</a></p>'
+    assert htmltext.main_text(f"<article><p>{long}</p>{link * 3}<p>{long}</p></article>", tree) == f"{long}{long}".strip()
+
+
+class Twin(HTMLParser):
+    """Text, words and linked words of the blocks of a well-formed page, by another parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.linked, self.link, self.skip = [], [], 0, 0, 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if words := "".join(self.parts).split():
+            self.out.append((" ".join(words), len(words), self.linked))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in htmltext.INLINE:
+            self.end()
+        self.link += tag == "a"
+        self.skip += tag in htmltext.RAW
+
+    def handle_endtag(self, tag):
+        if tag != "br" and tag not in htmltext.INLINE:
+            self.end()
+        self.link -= tag == "a"
+        self.skip -= tag in htmltext.RAW
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+            self.linked += len(data.split()) * bool(self.link)
+
+
+def test_blocks_against_another_parser():
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "b&amp;c", "&lt;x&gt;", "d&nbsp;e", "caf\u00e9", "1"])
+
+    def piece(depth):
+        kind = rng.choice(["text", "a", "b", "div", "section", "h2", "script", "comment", "br"]) if depth else "text"
+        text = " ".join(word() for _ in range(rng.randrange(1, 6)))
+        if kind == "text":
+            return f" {text} "
+        if kind == "comment":
+            return f"<!-- <p>{text}</p> -->"
+        if kind == "br":
+            return "<br/>"
+        if kind == "script":
+            return f"<script>var a = '<p>{text}';</script>"
+        inner = f" {text} " if kind in ("a", "b") else "".join(piece(depth - 1) for _ in range(rng.randrange(0, 4)))
+        return f"<{kind} title='x > y' class=\"k{rng.randrange(9)}\">{inner}</{kind}>"
+
+    for _ in range(300):
+        page = "".join(piece(4) for _ in range(rng.randrange(1, 6)))
+        assert [(b.text, b.words, b.linked) for b in htmltext.blocks(page, {})] == Twin(page).out, page
+
+
+def test_long_markup_is_read_once(tree):
+    began = time.time()
+    for page in ("<div " + "x" * 1_000_000 + "><p>end", "<div " + 'x="' * 200_000 + "><p>end", "<div class=a>" * 60_000 + "end", "<a href='" * 100_000, "<p title=" + "=" * 500_000 + ">end", "<" * 300_000, "&amp" * 200_000):
+        htmltext.main_text(page, tree)
+    assert time.time() - began < 8
+
+
 def test_frame(spark, tree):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, TEXT string")
     rows = htmltext.extract(df).collect()
