@@ -264,14 +264,17 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, decoded): ids as made by encode, and the text they stand for, special tokens included."""
+    """(key, ids, decoded): ids as made by encode, and the text they stand for, special tokens included.
+
+    No ids, or null, give an empty text; bytes that are no UTF-8 become replacement characters; an empty table gives none.
+    """
     shared = _Shared(df.sparkSession, vocabulary)
     src = pick(df, key, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared)
         for b in batches:
-            texts = [coder.decode(x) for x in b.column(1).to_pylist()]
+            texts = [coder.decode(x or b"") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], [key, ids, "decoded"])
 
     return map_batches(src, run, f"`{key}` {src.schema[0].dataType.simpleString()}, `{ids}` binary, decoded string")

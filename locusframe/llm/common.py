@@ -32,18 +32,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests, local mode)."""
+    """The shared folder the session names. Where none is set, local mode takes a temporary one; a cluster, whose executors
+    could not see that, is told to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="locusframe-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Paths given out within ``scratch``, if any is open.
+_GIVEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for given in _GIVEN:
+        given.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes, at its end, every scratch table made within, but for those put into the set that it gives.
+
+    Operators return plans that still read their scratch tables: close this only when their results are written.
+    """
+    given: list[str] = []
+    keep: set[str] = set()
+    _GIVEN.append(given)
+    try:
+        yield keep
+    finally:
+        _GIVEN.remove(given)
+        for path in given:
+            if path not in keep:
+                delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:

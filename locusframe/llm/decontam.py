@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, materialize, pick
+from .common import delete, map_batches, materialize, pick
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -225,8 +225,9 @@ def merged(old: list[int], new: list[int]) -> list[int]:
 
 
 def blocks(items: DataFrame, size: int, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
-    """The test items in blocks of about block_bytes of text each, never all at once. A null id is named ``null``."""
-    src = pick(items, key, text).toDF("i", "t").select(F.coalesce(F.col("i").cast("string"), F.lit("null")).alias("i"), "t")
+    """The test items in blocks of about block_bytes of text each, never all at once; items of equal id and text are one.
+    A null id is named ``null``. One item longer than a block is a block with whatever shares its hash."""
+    src = pick(items, key, text).toDF("i", "t").select(F.coalesce(F.col("i").cast("string"), F.lit("null")).alias("i"), "t").distinct()
     total = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = total // block_bytes + 1
     for b in range(n):
@@ -307,7 +308,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
 
     Cutting goes on until no window occurs (a cut can bring words together): within a pass for one block of items, and
     over passes for all blocks, where there is more than one, until a round cuts nothing. Where a cut leaves no word, the
-    row goes. An integer column ``length`` is set to the new number of characters. Clean rows stay as they are.
+    row goes. An integer column ``length`` is set to the new number of characters. Clean rows stay as they are, also
+    those of null or empty text; repeated rows are cut alike and all stay; texts of any length are searched whole; null
+    keys, and columns of any name, pass through; an empty table of items, or of docs, changes nothing.
     """
     spark, names = docs.sparkSession, docs.columns
     at_text = names.index(text)
@@ -341,6 +344,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
 
         return map_batches(src, run, schema)
 
+    last = None
     while True:
         n = 0
         for phrases in blocks(items, size, block_bytes=block_bytes):
@@ -348,7 +352,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text: str =
             n += 1
         if n == 1:
             return plain.drop("cut").toDF(*names)
-        plain, _ = materialize(plain, "decontam-round")
+        plain, path = materialize(plain, "decontam-round")
+        if last is not None:
+            delete(spark, last)
+        last = path
         if plain.where("cut").isEmpty():
             return plain.drop("cut").toDF(*names)
         plain = plain.withColumn("cut", F.lit(False))

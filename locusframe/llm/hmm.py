@@ -329,7 +329,8 @@ def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
-    A null or empty text is its end alone. Without training rows every count is 0, the base score is 0 and the model is
+    A null or empty text is its end alone; one of any length is scored whole; words of equal count are in the head, or out
+    of it, together. Without training rows every count is 0, the base score is 0 and the model is
     uniform over its symbols. Rows with a null key are trained on; repeated rows count and score each; other columns are
     ignored. Scores may differ in the last digits from run to run, as sums of floats do.
     """

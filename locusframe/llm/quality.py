@@ -32,7 +32,7 @@ ORDER = 4
 SIGNS = ["digit", "space", "newline", ".", ",", "!?", "other", "#", "*", "$", "%", "&", "|", "<>"]
 SYMBOLS = 26 + len(SIGNS)
 NEWLINE = 26 + SIGNS.index("newline")
-#: Distinct values of the language column at most; a column with more is no language column, and fitting refuses it.
+#: Distinct values of the language column that have bands of their own at most: those of most texts.
 MAX_LANGUAGES = langid.MAX_LANGUAGES
 #: The language of texts that have no label and are in no learned language.
 REST = None
@@ -188,11 +188,13 @@ class Scorer:
     model: Model
     bands: dict[tuple[str | None, int], tuple[tuple[float, float], tuple[float, float]]] = field(default_factory=dict)
     profiles: langid.Profiles = field(default_factory=lambda: langid.Profiles({}))
+    #: Where the column has more values than have bands: those that do. The others count as no label.
+    known: frozenset[str] | None = None
 
     def languages(self, labels: list[str | None], texts: list[str]) -> list[str | None]:
         """The labels, and for null the predicted language or REST."""
-        out = list(labels)
-        at = [n for n, v in enumerate(labels) if v is None]
+        out = list(labels) if self.known is None else [v if v in self.known else None for v in labels]
+        at = [n for n, v in enumerate(out) if v is None]
         names, scores = self.profiles.predict([texts[n] for n in at]) if at else ([], [])
         for n, name, score in zip(at, names, scores, strict=True):
             out[n] = name if score >= langid.LEAST_SCORE else REST
@@ -344,14 +346,14 @@ def robust(cells: np.ndarray, n: np.ndarray, kind: int) -> tuple[float, float]:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> Scorer:
     src = pick(docs, text, lang)
-    values = src.toDF("t", "l").select("l").distinct().limit(MAX_LANGUAGES + 2).collect()
-    if sum(r.l is not None for r in values) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    profiles = langid.Profiles(langid.fit(docs, text, lang) if any(r.l is None for r in values) else {})
+    names = langid.frequent(src.toDF("t", "l").select("l"), MAX_LANGUAGES)
+    known = None if names is None else frozenset(names)
+    some_null = names is not None or not src.toDF("t", "l").where("l is null").isEmpty()
+    profiles = langid.Profiles(langid.fit(docs, text, lang) if some_null else {})
     scorer = None
     for _ in range(1 + rounds):
         scorer = fit_model(src, scorer)
-        scorer.profiles = profiles
+        scorer.profiles, scorer.known = profiles, known
         scorer = fit_bands(src, scorer)
     return scorer
 
@@ -360,7 +362,8 @@ def judge(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
     """Base counts, perplexity (by letter) and verdict of each row.
 
     Null or empty texts have no words and fail the base rules; repeated rows get equal verdicts; where a language and
-    class of length has no band (an empty table, a value never seen) the method rejects nothing; other columns are ignored.
+    class of length has no band (an empty table, a value never seen) the method rejects nothing; a rate on a band's edge is
+    inside it; texts of any length are read whole; null keys are kept; other columns, whatever their names, are ignored.
     """
     src = pick(docs, key, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -382,7 +385,11 @@ def judge(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Whole rows of docs that the rules keep; all columns as they are."""
+    """Whole rows of docs that the rules keep; all columns as they are, whatever their names.
+
+    Null and empty texts go, as they have no words; repeated rows stay or go together; texts of any length are judged
+    whole; an empty table stays empty; null labels are judged by the language that the text is nearest to.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text, lang))
 
     def keep(batches: Iterator[list[list]]) -> Iterator[list[bool]]:

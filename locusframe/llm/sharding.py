@@ -49,7 +49,8 @@ def shard(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "tex
 
     Slots: each shard is cut into ``pieces`` by a second hash; rows are numbered by id, then text, within a piece; the
     pieces' row counts, at most shards * pieces of them, give where each piece begins. No shard is ever sorted as a whole.
-    A null id has a shard like any other value; a null text has no bytes; equal rows get slots of their own.
+    A null id has a shard like any other value; a null text has no bytes; equal rows get slots of their own, in any order;
+    texts of any length are hashed whole; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     src = pick(df, key, text).toDF("k", "t")
     hashed = F.xxhash64("k")

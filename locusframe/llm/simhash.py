@@ -221,7 +221,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole rows of docs, one for each group of near-duplicates: that with the least key, one of those that repeat it.
 
-    All columns stay as they are, whatever their names.
+    All columns stay as they are, whatever their names. Null and empty texts are near-duplicates of each other, so that one
+    of them stays; of rows that repeat the least key and its text any one; a null key stays only where its group has no
+    other; texts of any length are read whole; an empty table stays empty.
     """
     found, _ = materialize(near_duplicates(docs, key, text).withColumnRenamed(key, "k"), "simhash-found")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("fp").alias("f"))).alias("s"))

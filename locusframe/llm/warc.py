@@ -127,21 +127,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return map_batches(lines, _parse, "id string, type string, digest string, refers string, size bigint")
 
 
-def resolve(found: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): each revisit joined to the response it refers to."""
-    page = lambda c: F.when(F.col(c) != "null", F.col(c).cast("bigint"))
+def resolve(found: DataFrame, kind: str = "bigint") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): each revisit joined to the response it refers to.
+
+    kind: the type of page ids, which archives hold as text. The id ``null`` is null; an empty archive gives no rows.
+    """
+    page = lambda c: F.when(F.col(c) != "null", F.col(c).cast(kind))
     responses = found.where("type = 'response'")
     originals = responses.groupBy(F.col("id").alias("refers"), "digest").agg(F.max("size").alias("full"))
     revisits = found.where("type = 'revisit'").join(originals, ["refers", "digest"])
-    columns = lambda size, to: [page("id").alias("page_id"), F.col(size).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), to.cast("bigint").alias("refers_to")]
+    columns = lambda size, to: [page("id").alias("page_id"), F.col(size).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), to.cast(kind).alias("refers_to")]
     return responses.select(*columns("size", F.lit(None))).unionByName(revisits.select(*columns("full", page("refers"))))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages to archives in the shared folder, read these back and resolve their revisits."""
+    """Write pages to archives in the shared folder, read these back and resolve their revisits.
+
+    Nulls, empty pages, repeated rows and clashing names as in ``write``; payloads of any length go whole into a record.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path)
     found, _ = materialize(read(spark, path), "warc-records")
     delete(spark, path)
-    return resolve(found)
+    return resolve(found, pick(pages, "page_id").schema[0].dataType.simpleString())

@@ -1,3 +1,4 @@
+import tracemalloc
 import math
 import random
 import re
@@ -97,8 +98,29 @@ def test_quality_bands_of_any_language(spark, monkeypatch):
     plain = df.withColumn("lang", F.lit(None).cast("string"))
     assert quality.fit(plain).bands.keys() == {(quality.REST, quality.length_class(120))}
     monkeypatch.setattr(quality, "MAX_LANGUAGES", 2)
-    with pytest.raises(ValueError, match="languages"):
-        quality.fit(df)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert {g for g, _ in quality.fit(df).bands} <= {"it", "pl", quality.REST}  # the rest count as unlabelled
+
+
+def test_language_vectors_of_many_letters():
+    """Random Chinese characters: nearly all trigrams differ, and memory must not be texts times trigrams."""
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1500)) for _ in range(100)]
+    s = langid.Space()
+    langid.letters("a")
+    tracemalloc.start()
+    got = np.concatenate([v for _, v in s.bundle(texts)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300 << 20
+    one = langid.Space()
+    assert all(np.array_equal(next(one.bundle([texts[i]]))[1][0], got[i]) for i in (0, 57, 99))
+
+
+def test_labels_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat", "en"), ("the dog", "en"), ("der hund", "de"), ("le chat", "fr"), ("x", None), (None, "fr"), ("der", "de")])], "doc_id long, text string, lang string")
+    assert set(langid.fit(df)) == {"de", "en"}
 
 
 def test_language_vectors_add_up():
