@@ -25,11 +25,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def flat(gt: Column | str = "gt") -> Column:
     """All allele numbers of a site."""
-    return F.flatten(F.transform(_gt(gt), lambda g: g["a"]))
+    return F.flatten(_gt(gt)["a"])
 
 
 def count_of(values: Column, k: Column | int) -> Column:
-    return F.size(F.filter(values, lambda x: x == k))
+    """How many values equal k: a built-in removal is many times faster than a lambda on each value."""
+    return F.size(values) - F.size(F.array_remove(values, k))
 
 
 def allele_counts(gt: Column | str = "gt", alleles: Column | str = "alleles") -> Column:
@@ -39,7 +40,7 @@ def allele_counts(gt: Column | str = "gt", alleles: Column | str = "alleles") ->
 
 
 def _ploidy(g: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(g, lambda x: F.size(x["a"]))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(g["a"], F.size)), F.lit(0))
 
 
 def ploidy(gt: Column | str = "gt") -> Column:
@@ -52,7 +53,7 @@ def position_counts(gt: Column | str = "gt", alleles: Column | str = "alleles")
 
     def all_of(g: Column) -> Column:
         def at(j: Column) -> Column:
-            own = F.transform(F.filter(g, lambda x: F.size(x["a"]) > j), lambda x: F.get(x["a"], j))
+            own = F.transform(g["a"], lambda x: F.get(x, j))  # null where a sample has fewer
             return let(own, lambda o: F.transform(F.sequence(F.lit(0), n - 1), lambda k: count_of(o, k)))
 
         def by_position(p: Column) -> Column:
@@ -69,18 +70,18 @@ def missing_alleles(gt: Column | str = "gt") -> Column:
 
 def absent_alleles(gt: Column | str = "gt") -> Column:
     """Slots that samples of lower ploidy lack."""
-    return let(_gt(gt), lambda g: (F.size(g) * _ploidy(g) - F.size(F.flatten(F.transform(g, lambda x: x["a"])))).cast("int"))
+    return let(_gt(gt), lambda g: (F.size(g) * _ploidy(g) - F.size(F.flatten(g["a"]))).cast("int"))
 
 
 def genotype_count(first: int, second: int, gt: Column | str = "gt") -> Column:
     """Diploid genotypes with these alleles in this order."""
-    return F.size(F.filter(_gt(gt), lambda g: (F.size(g["a"]) == 2) & (F.get(g["a"], F.lit(0)) == first) & (F.get(g["a"], F.lit(1)) == second)))
+    return count_of(_gt(gt)["a"], F.array(F.lit(first), F.lit(second)))
 
 
 def genotype_table(gt: Column | str = "gt") -> Column:
     """(a0, a1, n) of every ordered diploid genotype that occurs, missing ones included, in order."""
-    pairs = F.transform(F.filter(_gt(gt), lambda x: F.size(x["a"]) == 2), lambda x: x["a"])
-    return let(pairs, lambda g: F.transform(F.array_sort(F.array_distinct(g)), lambda d: F.struct(F.get(d, F.lit(0)).alias("a0"), F.get(d, F.lit(1)).alias("a1"), F.size(F.filter(g, lambda y: y == d)).alias("n"))))
+    pairs = F.filter(_gt(gt)["a"], lambda x: F.size(x) == 2)
+    return let(pairs, lambda g: F.transform(F.array_sort(F.array_distinct(g)), lambda d: F.struct(F.get(d, F.lit(0)).alias("a0"), F.get(d, F.lit(1)).alias("a1"), count_of(g, d).alias("n"))))
 
 
 def phases(gt: Column | str = "gt") -> Column:
@@ -100,7 +101,7 @@ def mixed_phasing(gt: Column | str = "gt") -> Column:
 
 def mixed_ploidy(gt: Column | str = "gt") -> Column:
     """Some sample has fewer alleles than the site's ploidy."""
-    return let(F.transform(_gt(gt), lambda g: F.size(g["a"])), lambda sizes: F.coalesce(F.array_min(sizes) < F.array_max(sizes), F.lit(False)))
+    return let(F.transform(_gt(gt)["a"], F.size), lambda sizes: F.coalesce(F.array_min(sizes) < F.array_max(sizes), F.lit(False)))
 
 
 def af(ac: Column) -> Column:

@@ -143,9 +143,13 @@ def members(samples: Sequence[str], groups: Iterable[tuple[str, str]]) -> dict[s
     return out
 
 
+def numbers_of(numbers: Sequence[int]) -> Column:
+    """Sample numbers as one literal: a plan with a literal for each of many thousand samples takes long to make."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>") if numbers else F.array().cast("array<int>")
+
+
 def _of(numbers: Sequence[int]) -> Column:
-    own = F.array(*[F.lit(i) for i in numbers]).cast("array<int>")
-    return F.transform(own, lambda i: F.get(F.col("gt"), i))
+    return F.transform(numbers_of(numbers), lambda i: F.get(F.col("gt"), i))
 
 
 def annotate_groups(df: DataFrame, groups: Mapping[str, Sequence[int]], tags: Iterable[str] = GROUP_TAGS, into: str | None = "info") -> DataFrame:
@@ -170,13 +174,13 @@ def f_statistics(df: DataFrame, groups: Mapping[str, Sequence[int]], into: str |
     Of groups with genotypes: observed and expected heterozygosity weighted by genotypes, and that of the pooled allele
     frequencies. A sample in several groups counts in each. A value with denominator 0 is 0.
     """
-    per_group = F.array(*[F.array(*[F.lit(i) for i in numbers]).cast("array<int>") for numbers in groups.values()])
+    per_group = F.array(*[numbers_of(numbers) for numbers in groups.values()])
     zero = F.struct(*[F.lit(0.0).alias(x) for x in ("n", "h", "e", "r", "a")])
 
     def add(codes: Column):
         def one(s: Column, numbers: Column) -> Column:
             def counted(own: Column) -> Column:
-                rr, ra, aa = (F.size(F.filter(own, lambda x: x == k)).cast("double") for k in (0, 1, 2))  # noqa: B023
+                rr, ra, aa = (G.count_of(own, F.lit(k)).cast("double") for k in (0, 1, 2))
                 return F.struct(rr.alias("rr"), ra.alias("ra"), aa.alias("aa"))
 
             def summed(c: Column) -> Column:

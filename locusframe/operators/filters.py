@@ -161,7 +161,9 @@ def where(df: DataFrame, predicates: Iterable[tuple]) -> DataFrame:
 
 def keep_samples(df: DataFrame, numbers: list[int]) -> DataFrame:
     """All rows, with the genotypes and per-sample values of these samples only, in this order."""
-    own = F.array(*[F.lit(i) for i in numbers]).cast("array<int>")
+    from .annotate import numbers_of
+
+    own = numbers_of(numbers)
     take = lambda c: F.transform(own, lambda i: F.get(c, i))
     out = df.withColumn("gt", F.when(F.col("gt").isNotNull(), take(F.col("gt"))))
     if "fmt" in df.columns:

@@ -9,19 +9,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _number(text: Column) -> Column:
-    """The first 32 bits of a text's MD5 as a number."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+from ..functions.genotypes import GT_TYPE, let
 
 
 def column_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, digest): rows and a sum of value hashes for each column; the order of rows does not matter.
+    """(column, n, digest): rows, and as text the sum of the first 60 bits of the values' MD5, for each column.
 
-    Values are taken as Spark prints them; null counts as the empty text with a mark before it.
+    The order of rows does not matter, and no number of rows overflows the decimal sum. Values are taken as Spark prints
+    them; null counts as the empty text with a mark before it.
     """
     one = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("n:")).otherwise(F.lit("v:")), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(_number(one(c))), F.lit(0)).cast("bigint").alias(f"d{i}") for i, c in enumerate(columns)])
+    number = lambda c: F.conv(F.substring(F.md5(one(c).cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(number(c)), F.lit(0)).cast("string").alias(f"d{i}") for i, c in enumerate(columns)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("n"), F.col(f"d{i}").alias("digest")) for i, c in enumerate(columns)])
     return sums.select(F.inline(rows))
 
@@ -30,10 +29,11 @@ def blocks(df: DataFrame, n_variants: int = 1000, n_bases: int = 10_000_000) ->
     """Add block_id, a text: contig, cell of n_bases positions, and which n_variants rows of it in position order.
 
     A block has one contig, at most n_bases positions and at most n_variants rows. Cells are fixed, so that blocks of
-    different cells are formed apart from each other and no contig is ever sorted as a whole.
+    different cells are formed apart from each other and no contig is ever sorted as a whole. Rows of equal position and
+    alleles are put in order by a hash of the whole row, so that they fall into the same blocks in every run.
     """
     cell = F.floor((F.col("pos") - 1) / F.lit(n_bases))
-    order = Window.partitionBy("contig", cell).orderBy("pos", F.col("alleles"))
+    order = Window.partitionBy("contig", cell).orderBy("pos", "alleles", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     return df.withColumn("block_id", F.concat_ws(":", "contig", cell.cast("string"), F.floor((F.row_number().over(order) - 1) / F.lit(n_variants)).cast("string")))
 
 
@@ -50,6 +50,17 @@ def block_digest(df: DataFrame, columns: Sequence[str], **sizes: int) -> DataFra
     return out.select("block_id", F.inline(rows))
 
 
+def column_sha512(df: DataFrame, columns: Sequence[str], **sizes: int) -> DataFrame:
+    """(column, n_blocks, sha512) of each column: over its blocks' digests in the order of contigs and blocks.
+
+    Only digests, 128 letters for each block, come together; values are hashed block by block.
+    """
+    d = block_digest(df, columns, **sizes)
+    at = F.struct(F.substring_index("block_id", ":", F.lit(1)).alias("c"), F.get(F.split("block_id", ":"), F.lit(1)).cast("bigint").alias("i"), F.get(F.split("block_id", ":"), F.lit(2)).cast("bigint").alias("j"), "sha512")
+    own = F.transform(F.array_sort(F.collect_list(at)), lambda x: x["sha512"])
+    return d.groupBy("column").agg(F.count(F.lit(1)).alias("n_blocks"), F.sha2(F.array_join(own, "\n").cast("binary"), 512).alias("sha512"))
+
+
 def new_keychain(columns: Sequence[str]) -> dict[str, bytes]:
     """A fresh 256-bit key for each column."""
     return {c: os.urandom(32) for c in columns}
@@ -73,29 +84,35 @@ def keychain_from_json(text: str) -> dict[str, bytes]:
     return {c: bytes.fromhex(k) for c, k in json.loads(text).items()}
 
 
+def _keys(df: DataFrame, keys: Mapping[str, bytes]) -> dict[str, Column]:
+    """Keys as scalar subqueries over a table of one row: plans, and what logs them, show that there is one, not its value."""
+    table = df.sparkSession.createDataFrame([tuple(map(bytearray, keys.values()))], ", ".join(f"k{i} binary" for i in range(len(keys))))
+    return {c: table.select(f"k{i}").scalar() for i, c in enumerate(keys)}
+
+
 def encrypt(df: DataFrame, keys: Mapping[str, bytes]) -> DataFrame:
     """Columns replaced by AES-256-GCM ciphertexts of their JSON texts, each value with a fresh vector; null stays null."""
-    wrap = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.aes_encrypt(wrap(c).cast("binary"), F.lit(k), F.lit("GCM"))) for c, k in keys.items()})
+    wrap = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).cast("binary")
+    own = _keys(df, keys)
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.aes_encrypt(wrap(c), own[c], F.lit("GCM"))) for c in keys})
 
 
 def decrypt(df: DataFrame, keys: Mapping[str, bytes], types: Mapping[str, str]) -> DataFrame:
     """Columns made by encrypt as they were; null where key or data are wrong."""
-    return df.withColumns({c: F.from_json(F.try_aes_decrypt(F.col(c), F.lit(k), F.lit("GCM")).cast("string"), f"v {types[c]}")["v"] for c, k in keys.items()})
+    own = _keys(df, keys)
+    return df.withColumns({c: F.from_json(F.try_aes_decrypt(F.col(c), own[c], F.lit("GCM")).cast("string"), f"v {types[c]}")["v"] for c in keys})
 
 
 def genotype_runs(gt: str = "gt") -> Column:
-    """Run-length form: struct(n, a, p) for neighbouring samples with equal calls."""
-    empty = F.array().cast("array<struct<n:int,a:array<int>,p:array<boolean>>>")
+    """Run-length form: struct(n, a, p) for neighbouring samples with equal calls. One walk finds where runs begin."""
+    g = F.coalesce(F.col(gt), F.array().cast(GT_TYPE))
+    places = F.sequence(F.lit(0), F.greatest(F.size(g) - 1, F.lit(0)))
+    starts = F.when(F.size(g) > 0, F.filter(places, lambda i: (i == 0) | ~F.get(g, i).eqNullSafe(F.get(g, F.greatest(i - 1, F.lit(0)))))).otherwise(F.array().cast("array<int>"))
 
-    def step(runs: Column, g: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        same = F.coalesce((last["a"] == g["a"]) & (last["p"] == g["p"]), F.lit(False))
-        more = F.struct((last["n"] + 1).alias("n"), g["a"].alias("a"), g["p"].alias("p"))
-        new = F.struct(F.lit(1).alias("n"), g["a"].alias("a"), g["p"].alias("p"))
-        return F.when(same, F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(runs, F.array(new)))
+    def run(s: Column) -> Column:
+        return F.transform(s, lambda i, k: F.struct((F.coalesce(F.get(s, k + 1), F.size(g)) - i).alias("n"), F.get(g, i)["a"].alias("a"), F.get(g, i)["p"].alias("p")))
 
-    return F.aggregate(F.col(gt), empty, step)
+    return let(starts, run)
 
 
 def expand_runs(runs: str) -> Column:

@@ -284,7 +284,7 @@ def _entries() -> dict[str, tuple[Query, str]]:
         derived.CTE + ", b as (select contig, pos, (pos - 1) // 50000 as cell, (row_number() over (partition by contig, (pos - 1) // 50000 order by pos) - 1) // 100 as part from fx_sites) select contig, cast(count(*) as bigint) as n_variants, min(pos) as min_pos, max(pos) as max_pos from b group by contig, cell, part",
         False,
     )
-    num = lambda c: f"cast(sum(('0x' || substr(md5(case when {c} is null then 'n:' else 'v:' || cast({c} as varchar) end), 1, 8))::bigint) as bigint)"
+    num = lambda c: f"cast(sum(('0x' || substr(md5(case when {c} is null then 'n:' else 'v:' || cast({c} as varchar) end), 1, 15))::bigint) as varchar)"
     add(
         "column_digest",
         lambda d: integrity.column_digest(d, ["contig", "pos", "id"]),

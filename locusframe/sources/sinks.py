@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exact import g_format
-from ..session import ship
+from ..functions.genotypes import let
 from .header import Header
 
 
-@F.pandas_udf(T.StringType())
-def _g(x: pd.Series) -> pd.Series:
-    """C's %g; Java's formatter keeps trailing zeros and rounds ties differently."""
-    return x.map(lambda v: None if v is None or v != v else g_format(v))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _g_list(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else [None if e is None or e != e else g_format(e) for e in v])
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _g_lists(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else [None if r is None else [None if e is None or e != e else g_format(e) for e in r] for r in v])
+def g_text(x: Column) -> Column:
+    """C's %g of a number, by built-in functions: six digits, exact ties to even, trailing zeros cut; null for NaN and null."""
+    d = F.abs(x.cast("double"))
+    parts = lambda c: (F.replace(F.substring_index(c, "E", 1), F.lit("."), F.lit("")), F.substring_index(c, "E", -1).cast("int"))
+    (short, power6), (longer, power7) = (parts(F.call_function("format_number", d, F.lit(p))) for p in ("0.#####E0", "0.######E0"))
+    # Java takes some exact ties for none. A value is one if its seven digits end in 5 and it is a whole number of halves, quarters ...
+    places = F.greatest(F.lit(6) - power7, F.lit(0))
+    scaled = d * F.pow(F.lit(2.0), places)
+    tie = (F.length(longer) == 7) & F.endswith(longer, F.lit("5")) & (scaled == F.floor(scaled)) & (F.concat(longer, F.lit("e"), (power7 - 6).cast("string")).cast("double") == d)
+    even = F.bround(longer.cast("bigint"), -1).cast("string")
+    digits = F.when(tie, F.rtrim(even, F.lit("0"))).otherwise(short)
+    power = F.when(tie, power7 + F.length(even) - 7).otherwise(power6)
+    sign = F.when(F.startswith(x.cast("double").cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))).otherwise(digits)
+    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), F.lit("0"))
+    fraction = F.substring(whole, power + 2, F.lit(16))
+    plain = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(fraction == "", whole)
+        .otherwise(F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), fraction))
+    )
+    far = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    text = F.concat(sign, F.when(power.between(-4, 5), plain).otherwise(far))
+    return F.when(F.isnan(d), None).when(d == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(text)
+
+
+def _each(one: Callable[[Column], Column], c: Column) -> Column:
+    return F.transform(c, lambda x: one(x))
 
 
 def _texts(c: Column, kind: T.DataType) -> Column:
@@ -34,7 +49,10 @@ def _texts(c: Column, kind: T.DataType) -> Column:
     while isinstance(leaf, T.ArrayType):
         leaf, depth = leaf.elementType, depth + 1
     if isinstance(leaf, T.FloatType | T.DoubleType):
-        return (_g, _g_list, _g_lists)[depth](c.cast(kind.simpleString().replace("float", "double")))
+        text = partial(let, body=g_text)
+        for _ in range(depth):
+            text = partial(_each, text)
+        return text(c)
     return c.cast(kind.simpleString().replace(leaf.simpleString(), "string"))
 
 
@@ -54,7 +72,6 @@ def _gt_text(g: Column) -> Column:
 
 def vcf_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Add the VCF line of each row. INFO and FORMAT follow info_keys and format_keys; keys without a value print none."""
-    ship(df.sparkSession)
     names = df.columns
     texts = df
     kinds: dict[str, dict[str, tuple[str, bool]]] = {"info": {}, "fmt": {}}
@@ -67,7 +84,7 @@ def vcf_lines(df: DataFrame, value: str = "value") -> DataFrame:
             kinds[struct][f.name] = (column, lists)
             flag = isinstance(f.dataType, T.BooleanType)
             texts = texts.withColumn(column, F.col(f"{struct}.`{f.name}`").cast("string") if flag else _texts(F.col(f"{struct}.`{f.name}`"), f.dataType))
-    texts = texts.withColumn("__qual", _g(F.col("qual").cast("double")))
+    texts = texts.withColumn("__qual", let(F.col("qual"), g_text))
     flags = {f.name for f in df.schema["info"].dataType.fields if isinstance(f.dataType, T.BooleanType)} if "info" in names else set()
 
     def info_one(k: Column) -> Column:
