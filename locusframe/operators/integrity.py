@@ -42,6 +42,13 @@ def block_index(df: DataFrame, n_variants: int = 1000, n_bases: int = 10_000_000
     return blocks(df, n_variants, n_bases).groupBy("contig", "block_id").agg(F.count(F.lit(1)).alias("n_variants"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"))
 
 
+def read_block(df: DataFrame, block_id: str, n_variants: int = 1000, n_bases: int = 10_000_000) -> DataFrame:
+    """The rows of one block of ``blocks``: its cell is a predicate on contig and position, which prunes what is read."""
+    contig, cell, _ = block_id.rsplit(":", 2)
+    own = df.where((F.col("contig") == contig) & F.col("pos").between(int(cell) * n_bases + 1, (int(cell) + 1) * n_bases))
+    return blocks(own, n_variants, n_bases).where(F.col("block_id") == block_id)
+
+
 def block_digest(df: DataFrame, columns: Sequence[str], **sizes: int) -> DataFrame:
     """(block_id, column, sha512) over a block's values in position order; a block's rows are bounded by its definition."""
     b = blocks(df, **sizes)
@@ -56,7 +63,7 @@ def column_sha512(df: DataFrame, columns: Sequence[str], **sizes: int) -> DataFr
     Only digests, 128 letters for each block, come together; values are hashed block by block.
     """
     d = block_digest(df, columns, **sizes)
-    at = F.struct(F.substring_index("block_id", ":", F.lit(1)).alias("c"), F.get(F.split("block_id", ":"), F.lit(1)).cast("bigint").alias("i"), F.get(F.split("block_id", ":"), F.lit(2)).cast("bigint").alias("j"), "sha512")
+    at = F.struct(F.substring_index("block_id", ":", 1).alias("c"), F.get(F.split("block_id", ":"), F.lit(1)).cast("bigint").alias("i"), F.get(F.split("block_id", ":"), F.lit(2)).cast("bigint").alias("j"), "sha512")
     own = F.transform(F.array_sort(F.collect_list(at)), lambda x: x["sha512"])
     return d.groupBy("column").agg(F.count(F.lit(1)).alias("n_blocks"), F.sha2(F.array_join(own, "\n").cast("binary"), 512).alias("sha512"))
 

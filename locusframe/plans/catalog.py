@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genotypes as G
 from ..functions import text as X
 from ..operators import annotate, filters, integrity, regions, samples, slicing
-from . import derived
+from . import derived, filed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,11 +79,11 @@ def _many() -> list[regions.Interval]:
 _INDEL = "case when length(ref) > 1 then 'INDEL' when length(alt1) > 1 then 'INDEL' else 'SNP' end"
 
 
-def _entries() -> dict[str, tuple[Query, str]]:
-    e: dict[str, tuple[Query, str]] = {}
+def _entries() -> dict[str, tuple]:
+    e: dict[str, tuple] = {}
 
     def add(name: str, build: Callable[[DataFrame], DataFrame], sql: str, genotypes: bool = True) -> None:
-        e[name] = (_q(build, genotypes), sql)
+        e[name] = (_q(build, genotypes), sql, build, genotypes)
 
     def predicate(name: str, *p: tuple, sql: str, genotypes: bool) -> None:
         add(name, lambda d: _site(filters.where(d, p)), sql, genotypes)
@@ -261,10 +261,28 @@ def _entries() -> dict[str, tuple[Query, str]]:
     add("indel_spectrum", samples.indel_spectrum, conv + " select sample_id, cast(case when size >= 0 then 2 * size else -2 * size - 1 end as int) as slot, cast(count(*) as bigint) as n from v where code in (7, 8) group by 1, 2")
     add("sample_singletons", samples.singletons, derived.CTE + _H + _SINGLE + " select sample_id, cast(count(*) as bigint) as n_singleton from sg group by 1")
     ts = "(ref = 0 and code = 2) or (ref = 2 and code = 0) or (ref = 1 and code = 3) or (ref = 3 and code = 1)"
+    tstv = conv + _H + _SINGLE + f", q as (select sample_id, {n(ts)} as n_ts, {n(f'ref < 4 and code < 4 and ref <> code and not ({ts})')} as n_tv, {n('code = 7')} as n_ins, {n('code = 8')} as n_del from v group by 1) select q.sample_id, n_ts, n_tv, round(case when n_tv > 0 then cast(n_ts as double) / n_tv else 0 end, 6) as ts_tv, n_ins, n_del, coalesce(z.n, 0) as n_singleton from q left join (select sample_id, cast(count(*) as bigint) as n from sg group by 1) z on z.sample_id = q.sample_id"
     add(
         "sample_tstv",
         lambda d: samples.sample_summary(d).withColumn("ts_tv", _r(F.col("ts_tv"))),
-        conv + _H + _SINGLE + f", q as (select sample_id, {n(ts)} as n_ts, {n(f'ref < 4 and code < 4 and ref <> code and not ({ts})')} as n_tv, {n('code = 7')} as n_ins, {n('code = 8')} as n_del from v group by 1) select q.sample_id, n_ts, n_tv, round(case when n_tv > 0 then cast(n_ts as double) / n_tv else 0 end, 6) as ts_tv, n_ins, n_del, coalesce(z.n, 0) as n_singleton from q left join (select sample_id, cast(count(*) as bigint) as n from sg group by 1) z on z.sample_id = q.sample_id",
+        tstv,
+    )
+    kinds = "map<string,struct<n_ts:bigint,n_tv:bigint,ts_tv:double,n_ins:bigint,n_del:bigint,n_singleton:bigint>>"
+    add(
+        "stats_json_samples",
+        lambda d: samples.to_json(d, [f"s{i}" for i in range(derived.N_SAMPLES)]).select(F.explode(F.from_json(F.get_json_object("value", "$.PSI"), kinds)).alias("name", "s")).select("name", "s.*").withColumn("ts_tv", _r(F.col("ts_tv"))),
+        f"select 's' || cast(sample_id as varchar) as name, n_ts, n_tv, ts_tv, n_ins, n_del, n_singleton from ({tstv})",
+    )
+    add(
+        "stats_json_sites",
+        lambda d: samples.to_json(d, [f"s{i}" for i in range(derived.N_SAMPLES)]).select(F.from_json(F.get_json_object("value", "$.VI"), "n_samples bigint, n_records bigint, n_biallelic bigint, n_alts array<bigint>").alias("s")).select("s.n_samples", "s.n_records", "s.n_biallelic", F.get("s.n_alts", F.lit(2)).alias("two_alts")),
+        derived.CTE + f" select cast({derived.N_SAMPLES} as bigint) as n_samples, cast(count(*) as bigint) as n_records, cast(count(*) filter (alt2 is null) as bigint) as n_biallelic, cast(count(*) filter (alt2 is not null) as bigint) as two_alts from fx_sites",
+    )
+    add(
+        "block_digest_sizes",
+        lambda d: integrity.block_digest(d, ["id", "pos"], n_variants=100, n_bases=50_000).groupBy("column").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("sha512").alias("n_digests"), F.max(F.length("sha512")).cast("bigint").alias("letters")),
+        derived.CTE + ", b as (select distinct contig, (pos - 1) // 50000 as cell, (row_number() over (partition by contig, (pos - 1) // 50000 order by pos) - 1) // 100 as part from fx_sites) select c as \"column\", cast(count(*) as bigint) as n_blocks, cast(count(*) as bigint) as n_digests, cast(128 as bigint) as letters from b, (values ('id'), ('pos')) t(c) group by c",
+        False,
     )
     gt = lambda c: f"case when {c}.a0 = -1 then '.' else cast({c}.a0 as varchar) end || case when {c}.a1 is null then '' else case when {c}.phased then '|' else '/' end || case when {c}.a1 = -1 then '.' else cast({c}.a1 as varchar) end end"
 
@@ -312,12 +330,18 @@ def _entries() -> dict[str, tuple[Query, str]]:
     return e
 
 
+def builds() -> dict[str, tuple[Callable[[DataFrame], DataFrame], bool]]:
+    """The queries over derived tables as functions of any variants, and whether they look at genotypes."""
+    return {k: (v[2], v[3]) for k, v in _entries().items()}
+
+
 def queries() -> dict[str, Query]:
-    out = {k: v[0] for k, v in _entries().items()}
+    out = {k: v[0] for k, v in _entries().items()} | {k: v[0] for k, v in filed.entries().items()}
+    out["column_sha512"] = _q(lambda d: integrity.column_sha512(d, ["id", "pos"]), False)
     out["block_digest"] = _q(lambda d: integrity.block_digest(d, ["id", "pos"]), False)
     out["stats_json"] = _q(lambda d: samples.to_json(d, [f"s{i}" for i in range(derived.N_SAMPLES)]))
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in _entries().items()}
+    return {k: v[1] for k, v in _entries().items()} | {k: v[1] for k, v in filed.entries().items()}

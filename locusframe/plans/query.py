@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from copy import deepcopy
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import VERSION
 from ..operators import annotate as annotation
 from ..operators import filters, regions, samples, slicing
 from ..sources import groups as group_files
@@ -22,16 +24,16 @@ class VariantQuery:
         self.df, self.header = df, header
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> VariantQuery:
-        """A store, or VCF or BCF by its name."""
+    def open(cls, spark: SparkSession, path: str, keys: Mapping[str, bytes] | None = None) -> VariantQuery:
+        """A store (keys: those of its encrypted columns), or VCF or BCF by its name."""
         bare = path.rstrip("/")
         if bare.endswith(".bcf"):
             from ..sources import bcf
 
             return cls(*bcf.read_bcf(spark, path))
-        if bare.endswith((".vcf", ".vcf.gz", ".vcf.bgz")) or bare == "-":
+        if bare.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
             return cls(*vcf.read_vcf(spark, path))
-        return cls(*store.read_store(spark, path))
+        return cls(*store.read_store(spark, path, keys))
 
     def _with(self, df: DataFrame, fields: Mapping[str, tuple[str, str, str]] = {}) -> VariantQuery:  # noqa: B006
         header = deepcopy(self.header) if fields else self.header
@@ -85,15 +87,19 @@ class VariantQuery:
     def stats_json(self) -> DataFrame:
         return samples.to_json(self.df, self.header.samples)
 
-    def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None) -> None:
-        """format: store, vcf, vcf.gz or bcf. The header records the command where one is given."""
+    def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None, keys: Mapping[str, bytes] | None = None) -> None:
+        """format: store (keys: columns to encrypt), vcf, vcf.gz, vcf.bgz or bcf. The header records the command, if given,
+        with the versions of this package and of Spark."""
         header = deepcopy(self.header)
         if command:
             header.provenance(f"command={command}")
+            header.provenance(f"settings={json.dumps({'version': VERSION, 'spark': self.df.sparkSession.version, 'format': format, 'encrypted': sorted(keys or ())}, sort_keys=True)}")
         genotypes = bool({"gt", "fmt"} & set(self.df.columns))
         if format == "store":
-            store.write_store(self.df, header, path)
-        elif format in ("vcf", "vcf.gz"):
-            sinks.write_vcf(self.df, header, path, "gzip" if format == "vcf.gz" else None, with_header, genotypes)
+            store.write_store(self.df, header, path, keys=keys)
+        elif format in ("vcf", "vcf.gz", "vcf.bgz"):
+            sinks.write_vcf(self.df, header, path, {"vcf.gz": "gzip", "vcf.bgz": "bgzf"}.get(format), with_header, genotypes)
+        elif format == "bcf":
+            sinks.write_bcf(self.df, header, path, genotypes)
         else:
             raise ValueError(f"unknown format: {format!r}")

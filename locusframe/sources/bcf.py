@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.exact import g_format
 from ..session import ship
+from .blocked import dictionaries
 from .header import Header
 from .vcf import parse_lines
 
@@ -23,17 +24,51 @@ MAGIC = b"BCF\x02"
 INTS = {1: (1, "b", -128, -127), 2: (2, "h", -32768, -32767), 3: (4, "i", -(2**31), -(2**31) + 1)}
 FLOAT, CHAR = 5, 7
 FLOAT_MISSING, FLOAT_END = 0x7F800001, 0x7F800002
+#: Bytes that are inflated at once where a file is no BGZF.
+PIECE = 1 << 20
 
 
 def inflate(data: bytes) -> Iterator[bytes]:
-    """The contents of concatenated gzip members (BGZF), or of plain bytes."""
+    """The contents of BGZF blocks, of other concatenated gzip members, or of plain bytes, piece by piece."""
+    view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
+    while at < len(data):
+        if data[at : at + 4] == b"\x1f\x8b\x08\x04" and data[at + 12 : at + 16] == b"BC\x02\x00":
+            size = struct.unpack_from("<H", data, at + 16)[0] + 1
+            extra = struct.unpack_from("<H", data, at + 10)[0]
+            yield zlib.decompress(view[at + 12 + extra : at + size - 8], -15)
+            at += size
+            continue
         d = zlib.decompressobj(31)
-        yield d.decompress(data)
-        data = d.unused_data.lstrip(b"\0") if d.eof else b""
+        fed = at
+        while fed < len(data) and not d.eof:
+            yield d.decompress(view[fed : fed + PIECE])
+            fed += PIECE
+        at = min(fed, len(data)) - len(d.unused_data)
+        while at < len(data) and data[at] == 0:
+            at += 1
+
+
+class Stream:
+    """Bytes of pieces, a stretch at a time: what is behind is let go."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        if len(self.held) - self.at < n:
+            del self.held[: self.at]
+            self.at = 0
+            for p in self.pieces:
+                self.held += p
+                if len(self.held) >= n:
+                    break
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
 
 
 def _head(buf: bytes, at: int) -> tuple[int, int, int]:
@@ -80,42 +115,24 @@ def _genotype(buf: bytes, at: int, kind: int, n: int) -> str:
     return out or "."
 
 
-def _dictionaries(header: Header, text: str) -> tuple[dict[int, str], list[str]]:
-    """Names by number: of FILTER, INFO and FORMAT, and of contigs. An IDX in the header counts, else order of first sight."""
-    import re
-
-    names: dict[int, str] = {0: "PASS"}
-    seen = {"PASS"}
-    nxt = 1
-    for line in text.split("\n"):
-        m = re.match(r"##(?:FILTER|INFO|FORMAT)=<ID=([^,>]+)", line)
-        if not m or m[1] in seen:
-            continue
-        own = re.search(r"IDX=(\d+)", line)
-        number = int(own[1]) if own else nxt
-        names[number] = m[1]
-        seen.add(m[1])
-        nxt = max(nxt, number + 1)
-    return names, list(header.contigs)
-
-
-def header_text(data: bytes) -> str:
-    if data[:4] != MAGIC:
+def header_text(stream: Stream) -> str:
+    """Of a stream at its beginning: no more is inflated than it takes."""
+    if stream.take(5)[:4] != MAGIC:
         raise ValueError("not a BCF 2 file")
-    n = struct.unpack_from("<I", data, 5)[0]
-    return data[9 : 9 + n].rstrip(b"\0").decode()
+    return stream.take(struct.unpack("<I", stream.take(4))[0]).rstrip(b"\0").decode()
 
 
 def lines(data: bytes) -> Iterator[str]:
-    """The VCF body lines of a BCF file's bytes."""
-    stream = b"".join(inflate(data))
-    text = header_text(stream)
+    """The VCF body lines of a BCF file's bytes, record by record."""
+    source = Stream(inflate(data))
+    text = header_text(source)
     header = Header.parse(text.split("\n"))
-    names, contigs = _dictionaries(header, text)
-    at = 9 + struct.unpack_from("<I", stream, 5)[0]
-    while at + 8 <= len(stream):
-        shared, own = struct.unpack_from("<II", stream, at)
-        at += 8
+    names, contigs = dictionaries(text.split("\n"))
+    while len(sizes := source.take(8)) == 8:
+        shared, own = struct.unpack("<II", sizes)
+        stream, at = source.take(shared + own), 0
+        if len(stream) < shared + own:
+            raise ValueError("a BCF file ends within a record")
         body = at
         chrom, pos, _, qual, counts, samples = struct.unpack_from("<iiiIII", stream, at)
         n_info, n_allele, n_fmt, n_sample = counts & 0xFFFF, counts >> 16, samples >> 24, samples & 0xFFFFFF
@@ -154,7 +171,6 @@ def lines(data: bytes) -> Iterator[str]:
                 per.append(_genotype(stream, p, kind, n) if k == "GT" else ",".join(_values(stream, p, kind, n)[0]) or ".")
             columns.append(per)
             at += n * size * n_sample
-        at = body + shared + own
         quality = "." if qual == FLOAT_MISSING else g_format(struct.unpack("<f", struct.pack("<I", qual))[0])
         row = [contigs[chrom], str(pos + 1), (name[0] if name and name[0] else "."), alleles[0] if alleles else ".", ",".join(alleles[1:]) or ".", quality, ";".join(names[int(x)] for x in flt if x != ".") or ".", ";".join(info) or "."]
         if n_fmt and n_sample:
@@ -163,14 +179,15 @@ def lines(data: bytes) -> Iterator[str]:
 
 
 def read_bcf(spark: SparkSession, path: str, check_positions: bool = True) -> tuple[DataFrame, Header]:
-    """(variants, header) of BCF files with the same header. A file must fit a task's memory, 2 GB at most."""
+    """(variants, header) of BCF files with the same header. A file's compressed bytes must fit a task's memory, 2 GB at most;
+    they are inflated block by block. ``blocked.write_parts`` makes a file for each task."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([header_text(b"".join(inflate(data)))])], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array([header_text(Stream(inflate(data)))])], ["h"])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

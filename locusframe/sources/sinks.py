@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genotypes import let
+from . import blocked
 from .header import Header
 
 
@@ -124,16 +125,32 @@ def _order(header: Header) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(header.contigs) for x in (c, i)]), F.col("contig")), F.lit(len(header.contigs)))
 
 
+def _sorted(df: DataFrame, header: Header) -> DataFrame:
+    return vcf_lines(df).select(_order(header).alias("o"), "contig", "pos", F.lit(0).alias("n"), "value")
+
+
 def write_vcf(df: DataFrame, header: Header, path: str, compression: str | None = None, with_header: bool = True, genotypes: bool = True) -> None:
     """Text files under path whose parts in order make one VCF: header first, then rows by contig and position.
 
-    The rows are sorted by range, so that no file or task holds them all. compression="gzip" writes plain gzip.
+    The rows are sorted by range, so that no file or task holds them all. compression: ``gzip`` writes plain gzip,
+    ``bgzf`` the blocked kind that indexing tools ask for.
     """
     if not genotypes:
         df = df.drop("gt", "fmt", "format_keys")
-    rows = vcf_lines(df).select(_order(header).alias("o"), "contig", "pos", F.lit(0).alias("n"), "value")
+    rows = _sorted(df, header)
     if with_header:
         head = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(header.text(genotypes))], "n int, value string")
         rows = head.select(F.lit(-1).alias("o"), F.lit("").alias("contig"), F.lit(0).cast("bigint").alias("pos"), "n", "value").unionByName(rows)
-    out = rows.orderBy("o", "contig", "pos", "n", "value").select("value").write
-    (out.option("compression", compression) if compression else out).text(path)
+    out = rows.orderBy("o", "contig", "pos", "n", "value").select("value")
+    if compression == "bgzf":
+        blocked.write_parts(out, path, ".vcf.gz", blocked.text_lines)
+    else:
+        (out.write.option("compression", compression) if compression else out.write).text(path)
+
+
+def write_bcf(df: DataFrame, header: Header, path: str, genotypes: bool = True) -> None:
+    """BCF 2 files under path, one for each task, each with the header: rows by contig and position over all of them."""
+    if not genotypes:
+        df = df.drop("gt", "fmt", "format_keys")
+    rows = _sorted(df, header).orderBy("o", "contig", "pos", "n", "value").select("value")
+    blocked.write_parts(rows, path, ".bcf", blocked.bcf_records(header, genotypes))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import integrity
 from ..session import ship
 from .header import Header
 
@@ -12,24 +16,39 @@ from .header import Header
 ROWS = 1_000_000
 
 
-def write_store(df: DataFrame, header: Header, path: str, rows: int = ROWS, level: int = 6) -> None:
+def write_store(df: DataFrame, header: Header, path: str, rows: int = ROWS, level: int = 6, keys: Mapping[str, bytes] | None = None) -> None:
     """zstd Parquet by contig; ranges of (contig, position) are dealt out, so that one long contig has many tasks.
 
-    Row groups then have narrow position ranges, which is what prunes region queries.
+    Row groups then have narrow position ranges, which is what prunes region queries. keys: columns that are encrypted
+    value by value, each by its key; their types are written beside the header, in the clear.
     """
+    keys = keys or {}
+    if bad := [c for c in keys if c in ("contig", "pos") or c not in df.columns]:
+        raise ValueError(f"cannot be encrypted: {bad[0]!r}")
+    types = {c: df.schema[c].dataType.simpleString() for c in keys}
+    df = integrity.encrypt(df, keys) if keys else df
     dealt = df.repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos")
     dealt.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).option("maxRecordsPerFile", rows).partitionBy("contig").parquet(path)
     # names that begin with an underscore are no data to Spark's readers of the folder
-    df.sparkSession.createDataFrame([(header.to_json(),)], "value string").coalesce(1).write.text(f"{path}/_header")
+    df.sparkSession.createDataFrame([(0, header.to_json()), (1, json.dumps(types))], "n int, value string").coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/_header")
+
+
+def _sidecar(spark: SparkSession, path: str) -> list[str]:
+    return [r.value for r in spark.read.text(f"{path}/_header").collect()]  # two lines
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    return Header.from_json(spark.read.text(f"{path}/_header").first().value)
+    return Header.from_json(_sidecar(spark, path)[0])
 
 
-def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
+def read_store(spark: SparkSession, path: str, keys: Mapping[str, bytes] | None = None) -> tuple[DataFrame, Header]:
+    """(variants, header). Encrypted columns without a key stay ciphertexts; a wrong key makes their values null."""
+    side = _sidecar(spark, path)
+    types = json.loads(side[1]) if len(side) > 1 else {}
     df = spark.read.parquet(path)
-    return df.withColumn("contig", F.col("contig").cast("string")).select("contig", *[c for c in df.columns if c != "contig"]), read_header(spark, path)
+    df = df.withColumn("contig", F.col("contig").cast("string")).select("contig", *[c for c in df.columns if c != "contig"])
+    own = {c: k for c, k in (keys or {}).items() if c in types}
+    return integrity.decrypt(df, own, types) if own else df, Header.from_json(side[0])
 
 
 def storage_report(spark: SparkSession, path: str) -> DataFrame:
