@@ -5,7 +5,7 @@ Everything is an expression over the site's own arrays: no shuffle, and Catalyst
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +38,18 @@ DEFINITIONS = {
 }
 
 
-def _counts(df: DataFrame, gt: Column | str, prefix: str) -> DataFrame:
-    """Helper columns that several annotations share, computed once."""
-    return df.withColumns(
-        {f"{prefix}ac": G.allele_counts(gt), f"{prefix}npm": G.missing_alleles(gt), f"{prefix}pl": G.ploidy(gt), f"{prefix}acp": G.position_counts(gt), f"{prefix}rr": G.genotype_count(0, 0, gt), f"{prefix}aa": G.genotype_count(1, 1, gt), f"{prefix}ra": G.genotype_count(0, 1, gt) + G.genotype_count(1, 0, gt)}
-    )
+#: What each annotation is made of; the rest is not built.
+_NEEDS = {"AC": ["ac"], "AF": ["ac"], "AN": ["ac", "npm"], "NM": ["ac"], "NPM": ["npm"], "HWE_P": ["pl", "rr", "aa", "ra"], "AC_P": ["acp"], "FS_A": ["pl", "acp"], "F_PIC": ["pl", "rr", "aa", "ra"], "HET": ["pl", "rr", "aa", "ra"]}
+
+
+def _counts(df: DataFrame, gt: Column | str, prefix: str, tags: Iterable[str]) -> DataFrame:
+    """Helper columns that the annotations share, computed once."""
+    build: dict[str, Callable[[], Column]] = {
+        "ac": lambda: G.allele_counts(gt), "npm": lambda: G.missing_alleles(gt), "pl": lambda: G.ploidy(gt), "acp": lambda: G.position_counts(gt), "rr": lambda: G.genotype_count(0, 0, gt),
+        "aa": lambda: G.genotype_count(1, 1, gt), "ra": lambda: G.genotype_count(0, 1, gt) + G.genotype_count(1, 0, gt),
+    }
+    needed = {x for t in tags for x in _NEEDS.get(t, [])}
+    return df.withColumns({f"{prefix}{n}": make() for n, make in build.items() if n in needed}) if needed else df
 
 
 def variant_class(ref: Column, alt: Column) -> Column:
@@ -58,47 +65,53 @@ def variant_class(ref: Column, alt: Column) -> Column:
     )
 
 
-def _expressions(prefix: str) -> dict[str, Column]:
-    ac, npm, acp = (F.col(f"{prefix}{x}") for x in ("ac", "npm", "acp"))
-    rr, aa, ra, pl = (F.col(f"{prefix}{x}") for x in ("rr", "aa", "ra", "pl"))
+def _expression(prefix: str, tag: str) -> Column:
+    ac, npm, acp, rr, aa, ra, pl = (f"{prefix}{x}" for x in ("ac", "npm", "acp", "rr", "aa", "ra", "pl"))
+    add = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    if tag == "AC":
+        return F.col(ac)
+    if tag == "AF":
+        return G.af(F.col(ac))
+    if tag == "AN":
+        return add(ac) + F.col(npm)
+    if tag == "NM":
+        return add(ac)
+    if tag == "NPM":
+        return F.col(npm)
+    if tag == "AC_P":
+        return F.col(acp)
     n_alleles = F.size("alleles")
-    called = F.aggregate(ac, F.lit(0), lambda s, x: s + x)
-    n_gt = rr + ra + aa
-    het = F.when(n_gt > 0, ra / n_gt).otherwise(F.lit(0.0))
-    p = F.when(n_gt > 0, (2 * rr + ra) / (2 * n_gt)).otherwise(F.lit(0.0))
+    if tag == "MULTI_ALLELIC":
+        return n_alleles > 2
+    if tag == "VT":
+        return F.transform(F.slice(F.col("alleles"), 2, F.greatest(n_alleles - 1, F.lit(0))), lambda x: variant_class(F.get(F.col("alleles"), F.lit(0)), x))
+    diploid = F.col(pl) == 2
+    if tag == "HWE_P":
+        return F.when(diploid & (n_alleles == 2), exact.hwe(F.col(ra), F.col(rr), F.col(aa))).otherwise(F.lit(-1.0))
+    if tag == "FS_A":
+
+        def bias(t: Column) -> Column:
+            """Of the counts by position and allele, and of their sums at the first and second position."""
+
+            def one(i: Column) -> Column:
+                fwd, rev = F.get(t["c"], i), F.get(t["c"], n_alleles + i)
+                return exact.phred(exact.fisher(fwd, rev, t["f"] - fwd, t["r"] - rev))
+
+            return F.transform(F.sequence(F.lit(0), F.when(n_alleles == 2, F.lit(0)).otherwise(n_alleles - 1)), one)
+
+        strands = F.struct(F.col(acp).alias("c"), add(F.slice(acp, F.lit(1), n_alleles)).alias("f"), add(F.slice(acp, n_alleles + 1, n_alleles)).alias("r"))
+        return F.when(diploid, G.let(strands, bias))
+    n_gt = F.col(rr) + F.col(ra) + F.col(aa)
+    het = F.when(n_gt > 0, F.col(ra) / n_gt).otherwise(F.lit(0.0))
+    if tag == "HET":
+        return F.when(diploid, het)
+    p = F.when(n_gt > 0, (2 * F.col(rr) + F.col(ra)) / (2 * n_gt)).otherwise(F.lit(0.0))
     expected = 2 * p * (1 - p)
-    diploid = pl == 2
+    return F.when(diploid, F.when(expected > 0, (expected - het) / expected).otherwise(F.lit(0.0)))  # F_PIC
 
-    def bias(t: Column) -> Column:
-        """Of the counts by position and allele, and of their sums at the first and second position."""
 
-        def one(i: Column) -> Column:
-            fwd, rev = F.get(t["c"], i), F.get(t["c"], n_alleles + i)
-            return exact.phred(exact.fisher(fwd, rev, t["f"] - fwd, t["r"] - rev))
-
-        return F.transform(F.sequence(F.lit(0), F.when(n_alleles == 2, F.lit(0)).otherwise(n_alleles - 1)), one)
-
-    add = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
-    strands = F.struct(acp.alias("c"), add(F.slice(acp, F.lit(1), n_alleles)).alias("f"), add(F.slice(acp, n_alleles + 1, n_alleles)).alias("r"))
-
-    return {
-        "AC": ac,
-        "AF": G.af(ac),
-        "AN": called + npm,
-        "NM": called,
-        "NPM": npm,
-        "HWE_P": F.when(diploid & (n_alleles == 2), exact.hwe(ra, rr, aa)).otherwise(F.lit(-1.0)),
-        "AC_P": acp,
-        "FS_A": F.when(diploid, G.let(strands, bias)),
-        "F_PIC": F.when(diploid, F.when(expected > 0, (expected - het) / expected).otherwise(F.lit(0.0))),
-        "HET": F.when(diploid, het),
-        "MULTI_ALLELIC": n_alleles > 2,
-        "VT": F.transform(F.slice(F.col("alleles"), 2, F.greatest(n_alleles - 1, F.lit(0))), lambda x: variant_class(F.get(F.col("alleles"), F.lit(0)), x)),
-    }
-
-
-def _docs_naming(e: dict[str, Column]) -> dict[str, Column]:
-    return e | {"NM": e["NPM"], "AN": e["NM"]}
+#: Under the documents' naming, these tags hold what others hold in the code's.
+_DOCS = {"NM": "NPM", "AN": "NM"}
 
 
 def annotate(df: DataFrame, tags: Iterable[str] = TAGS, naming: str = "code", into: str | None = "info") -> DataFrame:
@@ -111,13 +124,11 @@ def annotate(df: DataFrame, tags: Iterable[str] = TAGS, naming: str = "code", in
     tags = list(tags)
     if unknown := [t for t in tags if t not in TAGS]:
         raise ValueError(f"unknown annotations: {unknown}")
-    e = _expressions("__")
-    e = _docs_naming(e) if naming == "docs" else e
-    out = _counts(df, "gt", "__")
-    helpers = [c for c in out.columns if c.startswith("__")]
-    if into is None:
-        return out.withColumns({t: e[t] for t in tags}).drop(*helpers)
-    return _upsert(out, {t: e[t] for t in tags}, into).drop(*helpers)
+    meant = {t: _DOCS.get(t, t) if naming == "docs" else t for t in tags}
+    out = _counts(df, "gt", "__", meant.values())
+    helpers = [c for c in out.columns if c not in df.columns]
+    values = {t: _expression("__", own) for t, own in meant.items()}
+    return (out.withColumns(values) if into is None else _upsert(out, values, into)).drop(*helpers)
 
 
 def _upsert(df: DataFrame, values: Mapping[str, Column], into: str) -> DataFrame:
@@ -154,15 +165,15 @@ def _of(numbers: Sequence[int]) -> Column:
 
 def annotate_groups(df: DataFrame, groups: Mapping[str, Sequence[int]], tags: Iterable[str] = GROUP_TAGS, into: str | None = "info") -> DataFrame:
     """The same annotations for each group of sample numbers, as ``<group>_<tag>``, at every site."""
+    tags = list(tags)
     values: dict[str, Column] = {}
     out, helpers = df, []
     for n, (group, numbers) in enumerate(groups.items()):
         prefix = f"__{n}_"
         out = out.withColumn(f"{prefix}gt", _of(numbers))
-        out = _counts(out, f"{prefix}gt", prefix)
+        out = _counts(out, f"{prefix}gt", prefix, tags)
         helpers += [c for c in out.columns if c.startswith(prefix)]
-        e = _expressions(prefix)
-        values |= {f"{group}_{t}": e[t] for t in tags}
+        values |= {f"{group}_{t}": _expression(prefix, t) for t in tags}
     if into is None:
         return out.withColumns(values).drop(*helpers)
     return _upsert(out, values, into).drop(*helpers)

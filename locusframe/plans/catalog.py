@@ -289,7 +289,7 @@ def _entries() -> dict[str, tuple]:
     def vcf_lines(d: DataFrame) -> DataFrame:
         from ..sources import sinks
 
-        return sinks.vcf_lines(d.withColumn("format_keys", F.array(F.lit("GT")))).select("site_id", "value")
+        return sinks.vcf_lines(d.drop("info", "info_keys", "fmt").withColumn("format_keys", F.array(F.lit("GT")))).select("site_id", "value")
 
     add(
         "vcf_lines",

@@ -89,8 +89,13 @@ class Header:
             self.filters.setdefault(name, pairs.get("Description", ""))
 
     def define(self, kind: str, f: Field) -> None:
-        """Declare a field that is not declared yet."""
-        if f.id not in (self.info if kind == "INFO" else self.formats):
+        """Declare a field. A declaration of the same name with another number or type gives way, as its values do."""
+        own = self.info if kind == "INFO" else self.formats
+        old = own.get(f.id)
+        if old is not None and (old.number, old.type) != (f.number, f.type):
+            del own[f.id]
+            self.lines = [x for x in self.lines if not re.match(rf"##{kind}=<ID={re.escape(f.id)}[,>]", x)]
+        if f.id not in own:
             self.add(f'##{kind}=<ID={f.id},Number={f.number},Type={f.type},Description="{f.description}">')
 
     def provenance(self, text: str) -> None:

@@ -17,27 +17,36 @@ from .header import Header
 def g_text(x: Column) -> Column:
     """C's %g of a number, by built-in functions: six digits, exact ties to even, trailing zeros cut; null for NaN and null."""
     d = F.abs(x.cast("double"))
-    parts = lambda c: (F.replace(F.substring_index(c, "E", 1), F.lit("."), F.lit("")), F.substring_index(c, "E", -1).cast("int"))
-    (short, power6), (longer, power7) = (parts(F.call_function("format_number", d, F.lit(p))) for p in ("0.#####E0", "0.######E0"))
-    # Java takes some exact ties for none. A value is one if its seven digits end in 5 and it is a whole number of halves, quarters ...
-    places = F.greatest(F.lit(6) - power7, F.lit(0))
-    scaled = d * F.pow(F.lit(2.0), places)
-    tie = (F.length(longer) == 7) & F.endswith(longer, F.lit("5")) & (scaled == F.floor(scaled)) & (F.concat(longer, F.lit("e"), (power7 - 6).cast("string")).cast("double") == d)
-    even = F.bround(longer.cast("bigint"), -1).cast("string")
-    digits = F.when(tie, F.rtrim(even, F.lit("0"))).otherwise(short)
-    power = F.when(tie, power7 + F.length(even) - 7).otherwise(power6)
     sign = F.when(F.startswith(x.cast("double").cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))).otherwise(digits)
-    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), F.lit("0"))
-    fraction = F.substring(whole, power + 2, F.lit(16))
-    plain = (
-        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
-        .when(fraction == "", whole)
-        .otherwise(F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), fraction))
+    zero = F.lit("0")
+    formats = F.struct(*[F.call_function("format_number", d, F.lit(p)).alias(n) for n, p in (("six", "0.#####E0"), ("seven", "0.######E0"))])
+
+    def rounded(f: Column) -> Column:
+        """struct(digits, power): Java takes some exact ties for none. A value is one if its seven digits end in 5 and it is
+        a whole number of halves, quarters ..."""
+        (short, power6), (longer, power7) = ((F.replace(F.substring_index(f[n], "E", 1), F.lit("."), F.lit("")), F.substring_index(f[n], "E", -1).cast("int")) for n in ("six", "seven"))
+        scaled = d * F.pow(F.lit(2.0), F.greatest(F.lit(6) - power7, F.lit(0)))
+        tie = (F.length(longer) == 7) & F.endswith(longer, F.lit("5")) & (scaled == F.floor(scaled)) & (F.concat(longer, F.lit("e"), (power7 - 6).cast("string")).cast("double") == d)
+        even = F.bround(longer.cast("bigint"), -1).cast("string")
+        carried = F.struct(F.rtrim(even, zero).alias("digits"), (power7 + F.length(even) - 7).alias("power"))
+        return F.when(tie, carried).otherwise(F.struct(short.alias("digits"), power6.alias("power")))
+
+    def spelled(r: Column) -> Column:
+        digits, power = r["digits"], r["power"]
+        whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), zero)
+        plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(zero, -power - 1), digits)).when(F.length(whole) <= power + 1, whole)
+        plain = plain.otherwise(F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.substring(whole, power + 2, F.lit(16))))
+        mantissa = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))).otherwise(digits)
+        size = F.abs(power).cast("string")
+        far = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(size, F.greatest(F.lit(2), F.length(size)), zero))
+        return F.when(power.between(-4, 5), plain).otherwise(far)
+
+    text = (
+        F.when((d < 1e6) & (d == F.floor(d)), d.cast("bigint").cast("string"))
+        .when((d < 1e4) & (d * 4 == F.floor(d * 4)), F.rtrim(d.cast("decimal(8,2)").cast("string"), zero))
+        .otherwise(let(let(formats, rounded), spelled))
     )
-    far = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    text = F.concat(sign, F.when(power.between(-4, 5), plain).otherwise(far))
-    return F.when(F.isnan(d), None).when(d == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(text)
+    return F.when(F.isnan(d), None).when(d == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, text))
 
 
 def _each(one: Callable[[Column], Column], c: Column) -> Column:
@@ -74,48 +83,48 @@ def _gt_text(g: Column) -> Column:
 def vcf_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Add the VCF line of each row. INFO and FORMAT follow info_keys and format_keys; keys without a value print none."""
     names = df.columns
-    texts = df
+    # numbers become text once for each row: what is bound by ``let`` is not evaluated again for every key or sample
     kinds: dict[str, dict[str, tuple[str, bool]]] = {"info": {}, "fmt": {}}
+    texts: dict[str, list[Column]] = {"info": [], "fmt": []}
     for struct in ("info", "fmt"):
-        if struct not in names:
-            continue
-        for i, f in enumerate(df.schema[struct].dataType.fields):
+        for i, f in enumerate(df.schema[struct].dataType.fields if struct in names else []):
             lists = isinstance(f.dataType, T.ArrayType) if struct == "info" else isinstance(f.dataType.elementType, T.ArrayType)
-            column = f"__{struct}{i}"
-            kinds[struct][f.name] = (column, lists)
-            flag = isinstance(f.dataType, T.BooleanType)
-            texts = texts.withColumn(column, F.col(f"{struct}.`{f.name}`").cast("string") if flag else _texts(F.col(f"{struct}.`{f.name}`"), f.dataType))
-    texts = texts.withColumn("__qual", let(F.col("qual"), g_text))
+            kinds[struct][f.name] = (f"v{i}", lists)
+            c = F.col(f"{struct}.`{f.name}`")
+            texts[struct].append((c.cast("string") if isinstance(f.dataType, T.BooleanType) else _texts(c, f.dataType)).alias(f"v{i}"))
+    bound = {k: F.struct(*v) if v else F.struct(F.lit(0).alias("none")) for k, v in texts.items()}
     flags = {f.name for f in df.schema["info"].dataType.fields if isinstance(f.dataType, T.BooleanType)} if "info" in names else set()
 
-    def info_one(k: Column) -> Column:
+    def info_one(t: Column, k: Column) -> Column:
         out = F.when(F.lit(False), F.lit(""))
         for n, (c, lists) in kinds["info"].items():
-            text = F.lit(n) if n in flags else F.when(F.col(c).isNull(), F.lit(n + "=.")).otherwise(F.concat(F.lit(n + "="), _joined(F.col(c), lists)))
+            text = F.lit(n) if n in flags else F.when(t[c].isNull(), F.lit(n + "=.")).otherwise(F.concat(F.lit(n + "="), _joined(t[c], lists)))
             out = out.when(k == n, text)
         return out.otherwise(k)
 
-    info = F.array_join(F.transform("info_keys", info_one), ";") if "info_keys" in names else F.lit(".")
+    info = let(bound["info"], lambda t: F.array_join(F.transform("info_keys", lambda k: info_one(t, k)), ";")) if "info_keys" in names else F.lit(".")
     info = F.coalesce(F.when(F.length(info) > 0, info), F.lit("."))
     dot = F.lit(".")
     head = [F.col("contig"), F.col("pos").cast("string"), F.coalesce("id", dot), F.get("alleles", F.lit(0)), F.coalesce(F.when(F.size("alleles") > 1, F.array_join(F.slice("alleles", 2, F.greatest(F.size("alleles") - 1, F.lit(1))), ",")), dot)]
-    head += [F.coalesce("__qual", dot), F.coalesce(F.when(F.size("filters") > 0, F.array_join("filters", ";")), dot), info]
+    head += [F.coalesce(let(F.col("qual"), g_text), dot), F.coalesce(F.when(F.size("filters") > 0, F.array_join("filters", ";")), dot), info]
     line = F.concat_ws("\t", *head)
     if "format_keys" in names and ("gt" in names or kinds["fmt"]):
-        n_samples = F.greatest(*[F.coalesce(F.size(c), F.lit(-1)) for c in [*(["gt"] if "gt" in names else []), *[c for c, _ in kinds["fmt"].values()]]], F.lit(-1)) if (("gt" in names) + len(kinds["fmt"])) > 0 else F.lit(0)
+        arrays = [*([F.col("gt")] if "gt" in names else []), *[F.col(f"fmt.`{n}`") for n in kinds["fmt"]]]
+        n_samples = F.greatest(*[F.coalesce(F.size(c), F.lit(-1)) for c in arrays], F.lit(-1))
 
-        def sample(i: Column) -> Column:
+        def sample(t: Column, i: Column) -> Column:
             def one(k: Column) -> Column:
                 out = F.when(k == "GT", F.coalesce(_gt_text(F.get("gt", i)), dot)) if "gt" in names else F.when(F.lit(False), dot)
                 for n, (c, lists) in kinds["fmt"].items():
-                    out = out.when(k == n, F.coalesce(_joined(F.get(F.col(c), i), lists), dot))
+                    out = out.when(k == n, F.coalesce(_joined(F.get(t[c], i), lists), dot))
                 return out.otherwise(dot)
 
             return F.array_join(F.transform("format_keys", one), ":")
 
+        every = let(bound["fmt"], lambda t: F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n_samples, F.lit(1)) - 1), lambda i: sample(t, i)), "\t"))
         some = F.coalesce(F.size("format_keys") > 0, F.lit(False)) & (n_samples > 0)
-        line = F.when(some, F.concat_ws("\t", line, F.array_join("format_keys", ":"), F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n_samples, F.lit(1)) - 1), sample), "\t"))).otherwise(line)
-    return texts.withColumn(value, line).select(*names, value)
+        line = F.when(some, F.concat_ws("\t", line, F.array_join("format_keys", ":"), every)).otherwise(line)
+    return df.withColumn(value, line)
 
 
 def _order(header: Header) -> Column:
