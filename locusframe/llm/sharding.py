@@ -6,7 +6,7 @@ the new shard, 1/(n + 1) of them on average, and no ring table is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,37 +44,43 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: F.when(s["j"] < F.lit(shards), s["j"]).otherwise(s["b"]).cast("int"))
 
 
-def shard(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", pieces: int = 1024) -> DataFrame:
+def shard(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", pieces: int = 1024, most: int = 4096) -> DataFrame:
     """Assign every row to a shard and give it a gapless slot there.
 
-    Slots: each shard is cut into ``pieces`` by a second hash; rows are numbered by id, then text, within a piece; the
-    pieces' row counts, at most shards * pieces of them, give where each piece begins. No shard is ever sorted as a whole.
+    Slots: rows that agree in all that is returned are counted, map-side first, and stand in lots of ``most`` at most;
+    each shard is cut into ``pieces`` by a hash of the lots; lots are numbered by id, then text, within a piece; the
+    pieces' row counts, at most shards * pieces of them, give where each piece begins. No shard is ever sorted as a whole,
+    and a row that is repeated without end is many lots in many pieces.
     A null id has a shard like any other value; a null text has no bytes; equal rows get slots of their own, in any order;
     texts of any length are hashed whole; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     src = pick(df, key, text).toDF("k", "t")
-    hashed = F.xxhash64("k")
     rows = src.select(
         "k",
         (F.coalesce(F.octet_length("t"), F.lit(0)) + F.lit(16)).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col("t"), F.lit("")).cast("binary")).alias("text_crc32"),
-        hashed.alias("h"),
-        F.pmod(F.xxhash64("k", F.col("t"), F.lit("piece")), F.lit(pieces)).cast("int").alias("piece"),
     )
-    rows = rows.withColumn("shard", jump_hash(F.col("h"), shards)).withColumn("grown_shard", jump_hash(F.col("h"), shards + 1)).drop("h")
-    counts = rows.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
+    equal = rows.groupBy("k", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    lots = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - F.lit(1)) / F.lit(most)))))
+    lots = lots.select(
+        "k", "size", "text_crc32", "lot",
+        F.least(F.lit(most).cast("bigint"), F.col("copies") - F.col("lot") * F.lit(most)).alias("n"),
+        jump_hash(F.xxhash64("k"), shards).alias("shard"),
+        jump_hash(F.xxhash64("k"), shards + 1).alias("grown_shard"),
+        F.pmod(F.xxhash64("k", "text_crc32", "size", "lot", F.lit("piece")), F.lit(pieces)).cast("int").alias("piece"),
+    )
+    counts = lots.groupBy("shard", "piece").agg(F.sum("n").alias("n"))
     # at most shards * pieces rows, whatever the input; one small list per shard turned into running sums
     begins = (
         counts.groupBy("shard")
         .agg(F.sort_array(F.collect_list(F.struct("piece", "n"))).alias("l"))
         .select("shard", F.expr("inline(transform(l, (x, i) -> struct(x.piece as piece, aggregate(slice(l, 1, i), 0L, (a, y) -> a + y.n) as begin)))"))
     )
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("shard", "piece").orderBy(F.col("k").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("rn", F.row_number().over(order).cast("bigint"))
-    out = numbered.join(F.broadcast(begins), ["shard", "piece"])
+    order = Window.partitionBy("shard", "piece").orderBy(F.col("k").asc_nulls_first(), "text_crc32", "size", "lot")
+    placed = lots.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    out = placed.join(F.broadcast(begins), ["shard", "piece"])
+    first = F.col("begin") + F.col("before")
     return out.select(
         F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast(T.IntegerType()),
-        (F.col("begin") + F.col("rn") - F.lit(1)).cast("bigint").alias("slot"), F.col("grown_shard").cast(T.IntegerType()),
+        F.explode(F.sequence(first, first + F.col("n") - F.lit(1))).alias("slot"), F.col("grown_shard").cast(T.IntegerType()),
     )

@@ -41,6 +41,17 @@ def test_jump_hash_and_slots(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_rows_repeated_whole_are_spread(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(11, "hot")] * 500 + [(None, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, 7, 4096):
+        got = sharding.shard(df, 4, pieces=8, most=most).collect()
+        assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+        for s in range(4):
+            own = sorted(r.slot for r in got if r.shard == s)
+            assert own == list(range(len(own)))
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return bpe.Vocabulary.load(P.path("byte_bpe_50k.json"))
