@@ -34,6 +34,15 @@ def _originals(heads: DataFrame, least: int) -> DataFrame:
     return heads.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("original"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "original")
 
 
+def _beside(rows: DataFrame, originals: DataFrame, by: list[str], spread: str) -> DataFrame:
+    """Rows joined to their originals, a stored table: broadcast where these are few, else shuffled with a salt, as a third of
+    all rows may share one original."""
+    if originals.count() <= FEW:
+        return rows.join(F.broadcast(originals), by, "left")
+    salted = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*by, "salt"], "left")
+
+
 def _record_id(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
 
@@ -57,11 +66,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     rows = src.select("id", F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit("")).alias("url"), F.coalesce("page", F.lit("")).alias("page"))
     rows = rows.withColumn("size", F.octet_length("page")).withColumn("digest", F.sha1(F.col("page").cast("binary")))
     originals, kept = materialize(_originals(rows.select("id", "size", "digest"), least), "warc-originals")
-    if originals.count() <= FEW:
-        joined = rows.join(F.broadcast(originals), "digest", "left")
-    else:
-        salted = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    joined = _beside(rows, originals, ["digest"], "id")
     revisit = F.col("original").isNotNull() & (F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("original"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size").cast("string"), F.lit(END + END))
     length = F.octet_length(http)
@@ -130,12 +135,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def resolve(found: DataFrame, kind: str = "bigint") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): each revisit joined to the response it refers to.
 
-    kind: the type of page ids, which archives hold as text. The id ``null`` is null; an empty archive gives no rows.
+    kind: the type of page ids, which archives hold as text. The id ``null`` is null; an empty archive gives no rows; a
+    revisit whose response is in another archive stays, its payload_bytes null.
     """
     page = lambda c: F.when(F.col(c) != "null", F.col(c).cast(kind))
     responses = found.where("type = 'response'")
-    originals = responses.groupBy(F.col("id").alias("refers"), "digest").agg(F.max("size").alias("full"))
-    revisits = found.where("type = 'revisit'").join(originals, ["refers", "digest"])
+    revisits = found.where("type = 'revisit'")
+    wanted = revisits.select("refers", "digest").distinct()
+    sizes = responses.groupBy(F.col("id").alias("refers"), "digest").agg(F.max("size").alias("full"))
+    originals, _ = materialize(sizes.join(wanted, ["refers", "digest"]), "warc-referred")
+    revisits = _beside(revisits, originals, ["refers", "digest"], "id")
     columns = lambda size, to: [page("id").alias("page_id"), F.col(size).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), to.cast(kind).alias("refers_to")]
     return responses.select(*columns("size", F.lit(None))).unionByName(revisits.select(*columns("full", page("refers"))))
 

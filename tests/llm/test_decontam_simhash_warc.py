@@ -171,6 +171,11 @@ def test_archives(spark, monkeypatch, few):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_revisits_without_response_stay(spark):
+    found = spark.createDataFrame([("1", "response", "a", "", 5), ("2", "revisit", "a", "1", 0), ("3", "revisit", "b", "9", 0)], "id string, type string, digest string, refers string, size bigint")
+    assert {tuple(r) for r in warc.resolve(found).collect()} == {(1, 5, "a", "response", None), (2, 5, "a", "revisit", 1), (3, None, "b", "revisit", 9)}
+
+
 def test_damaged_archives_are_refused():
     head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
     assert [b for _, b in warc.records(iter([head[:9], head[9:]]))] == [b"abcd"]
