@@ -27,8 +27,9 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 32_768
 #: Hot buckets are joined by broadcast up to this number of them (16 bytes each), by a shuffle beyond.
 FEW = 100_000
-#: Likewise (id, fingerprint) of the rows that go, when whole rows are filtered: beyond, these are shuffled.
-FEW_GONE = 500_000
+#: Likewise (id, fingerprint) of the rows that go, when whole rows are filtered, up to this number and these bytes: beyond,
+#: these are shuffled.
+FEW_GONE, FEW_BYTES = 500_000, 16 << 20
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -183,12 +184,13 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return grouped.mapInArrow(_bucket_links, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> tuple[DataFrame, str]:
-    """(node, root) of every node of edges (a, b), root its component's least node: large and small stars in turn."""
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, root) of every node of edges (a, b), root its component's least node: large and small stars in turn, until
+    a round changes nothing and every node hangs on one root (log of the nodes, squared, in rounds at most)."""
     spark = edges.sparkSession
     now, path = materialize(edges, "simhash-links")
     state = None
-    for _ in range(most):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
@@ -201,7 +203,6 @@ def components(edges: DataFrame, most: int = 60) -> tuple[DataFrame, str]:
         if state == seen and seen[0] == seen[2]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")), path
         state = seen
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,6 +219,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return all_fps.join(named, "fp").select(F.col("k").alias(key), "fp", "component_id")
 
 
+def _small(rows: DataFrame) -> tuple[int, bool]:
+    """How many rows (k, fp) there are, and whether number and bytes allow a broadcast."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("k").cast("string")) + F.lit(16)), F.lit(0))).first()
+    return n, n <= FEW_GONE and size <= FEW_BYTES
+
+
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole rows of docs, one for each group of near-duplicates: that with the least key, one of those that repeat it.
 
@@ -230,9 +237,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     own = found.alias("d").join(first.alias("r"), F.col("d.component_id").eqNullSafe(F.col("r.component_id")))
     stays = F.col("d.k").eqNullSafe(F.col("r.s.k")) & (F.col("d.fp") == F.col("r.s.f"))
     gone, _ = materialize(own.where(~stays).select("d.k", "d.fp").distinct(), "simhash-gone")
-    few = gone.count() <= FEW_GONE
+    few = _small(gone)[1]
     repeated, _ = materialize(found.groupBy("k", "fp").count().where("count > 1").select("k", "fp"), "simhash-repeated")
-    n_repeated = repeated.count()
+    n_repeated, few_repeated = _small(repeated)
     names = docs.columns
     at_key, at_text = names.index(key), names.index(text)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -248,7 +255,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     same = lambda t: marked[f"c{at_key}"].eqNullSafe(t["k"]) & (marked["fp"] == t["fp"])
     kept = marked.join(F.broadcast(gone) if few else gone, same(gone), "left_anti")
     if n_repeated:  # one of the rows that share both id and fingerprint
-        twice = F.broadcast(repeated) if n_repeated <= FEW_GONE else repeated
+        twice = F.broadcast(repeated) if few_repeated else repeated
         once = kept.join(twice, same(repeated), "left_anti")
         kept = once.unionByName(kept.join(twice, same(repeated), "left_semi").dropDuplicates([f"c{at_key}", "fp"]))
     return kept.drop("fp").toDF(*names)
