@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
@@ -68,7 +69,7 @@ def scratch(spark: SparkSession) -> Iterator[set[str]]:
     try:
         yield keep
     finally:
-        _GIVEN.remove(given)
+        _GIVEN[:] = [g for g in _GIVEN if g is not given]  # by identity: lists of equal paths are not the same one
         for path in given:
             if path not in keep:
                 delete(spark, path)
@@ -157,3 +158,20 @@ def keep_rows(df: DataFrame, columns: tuple[str, ...], keep: Callable[[Iterator[
             yield held.pop(0).filter(pa.array(mask, pa.bool_()))
 
     return map_batches(plain, run, plain.schema).toDF(*names)
+
+
+def beside(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of their group beside them; groups has one row for each value of key, null included.
+
+    n: the column of groups that counts a group's rows. Groups of over 1/share of all rows, thus fewer than share of them,
+    are broadcast, so that no hot key is shuffled; rows of the others meet theirs in a join by key. Both tables should be
+    cheap to read twice (written ones).
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    other = groups.withColumnRenamed(key, "_key")
+    hot = other.where(F.col(n) * F.lit(share) > F.lit(total))
+    cold = other.where(F.col(n) * F.lit(share) <= F.lit(total))
+    met = rows.join(F.broadcast(hot), rows[key].eqNullSafe(hot["_key"]), "left")
+    columns = [*rows.columns, *[c for c in groups.columns if c != key]]
+    rest = met.where(F.col(n).isNull()).select(*rows.columns)
+    return met.where(F.col(n).isNotNull()).select(*columns).unionByName(rest.join(cold, rest[key].eqNullSafe(cold["_key"])).select(*columns))

@@ -9,7 +9,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{n}" for n in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{n}" for n in range(1, 14)} and "pipeline" in names
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -30,7 +30,7 @@ def test_pipeline(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["op7_fm_index_decontamination", "op8_warc_revisits"])
+@pytest.mark.parametrize("name", ["op7_fm_index_decontamination", "op8_warc_revisits", "op12_sainte_lague_mix", "op13_segment_mean_codes"])
 def test_against_sql(spark, name):
     import duckdb
 
