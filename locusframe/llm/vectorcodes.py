@@ -56,40 +56,68 @@ def outline(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.sqrt(np.add.reduceat(rest * rest, starts, axis=1))
 
 
+def _apart(x: np.ndarray, c: np.ndarray, rows: np.ndarray, ents: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of chosen pairs; x and c have a component in each row, which is gathered at a time."""
+    out = None
+    for j in range(len(x)):
+        d = x[j].take(rows)
+        d -= c[j].take(ents)
+        d *= d
+        if weights is not None:
+            d *= weights[j]
+        out = d if out is None else np.add(out, d, out=out)
+    return out
+
+
 class Book:
     """The entries of one part position, with the outlines of their blocks at each level."""
 
     def __init__(self, entries: np.ndarray) -> None:
         self.entries, self.width = entries, entries.shape[1]
+        self.columns = np.ascontiguousarray(entries.T)
         self.levels = levels(self.width)
         self.sizes = [np.diff(np.r_[s, self.width]) for s in self.levels]
-        self.outlines = [outline(entries, s) for s in self.levels]
+        self.outlines = [tuple(np.ascontiguousarray(o.T) for o in outline(entries, s)) for s in self.levels]
         self.norms = (entries.astype(np.float64) ** 2).sum(1)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The nearest entry of each row (the lower index of equals), its squared distance, and how many exact distances it took."""
-        if not self.width:
+        if not self.width or not len(x):
             return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 0
-        norms = (x.astype(np.float64) ** 2).sum(1)
-        slack = SLACK * (norms[:, None] + self.norms)
-        mean, rest = outline(x, self.levels[0])
-        theirs, their_rest = self.outlines[0]
-        bound = self.width * (mean - theirs.T) ** 2 + (rest - their_rest.T) ** 2 - slack
-        first = bound.argmin(1)
-        best = ((x - self.entries[first]) ** 2).sum(1)
-        rows, ents = np.nonzero(bound <= best[:, None])
+        n, columns = len(x), np.ascontiguousarray(x.T)
+        mine = np.arange(n)
+        # room for rounding: a share of the norms, the largest of the entries' for all
+        slack = SLACK * ((x.astype(np.float64) ** 2).sum(1) + self.norms.max())
+        (mean,), (rest,) = (o.T for o in outline(x, self.levels[0]))
+        (theirs,), (their_rest,) = self.outlines[0]
+        bound = np.subtract.outer(mean, theirs)
+        bound *= bound
+        bound *= self.width
+        more = np.subtract.outer(rest, their_rest)
+        more *= more
+        bound += more
+        best = _apart(columns, self.columns, mine, bound.argmin(1))
+        rows, ents = np.divmod(np.flatnonzero(bound <= (best + slack)[:, None]), len(self.entries))
         for level in range(1, len(self.levels)):
-            mean, rest = outline(x, self.levels[level])
+            mean, rest = (np.ascontiguousarray(o.T) for o in outline(x, self.levels[level]))
             theirs, their_rest = self.outlines[level]
-            bound = (self.sizes[level] * (mean[rows] - theirs[ents]) ** 2 + (rest[rows] - their_rest[ents]) ** 2).sum(1) - slack[rows, ents]
-            left = bound <= best[rows]
-            rows, ents = rows[left], ents[left]
-        exact = ((x[rows] - self.entries[ents]) ** 2).sum(1)
-        at = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
-        least = np.minimum.reduceat(exact, at)
-        hits = np.flatnonzero(exact == np.repeat(least, np.diff(np.r_[at, len(rows)])))
-        firsts = hits[np.r_[True, np.diff(rows[hits]) != 0]]
-        return ents[firsts], least, len(rows)
+            bound = _apart(mean, theirs, rows, ents, self.sizes[level]) + _apart(rest, their_rest, rows, ents)
+            # the entry that now looks nearest gives each row a closer distance to beat
+            best = np.minimum(best, _apart(columns, self.columns, mine, ents[_least(bound, rows)[0]]))
+            left = np.flatnonzero(bound <= (best + slack).take(rows))
+            rows, ents = rows.take(left), ents.take(left)
+        exact = _apart(columns, self.columns, rows, ents)
+        at, least = _least(exact, rows)
+        return ents[at], least, len(rows)
+
+
+def _least(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's least value first stands, and that value; rows are sorted and each has a value."""
+    at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    least = np.minimum.reduceat(values, at)
+    hits = np.flatnonzero(values == np.repeat(least, np.diff(np.r_[at, len(rows)])))
+    of = rows.take(hits)
+    return hits[np.r_[True, of[1:] != of[:-1]]], least
 
 
 class Codebooks:

@@ -251,7 +251,7 @@ def test_bounds_rule_out_entries_and_never_the_nearest():
     book = vectorcodes.Book(entries)
     for level, starts in enumerate(book.levels):  # each bound is below the distance, finer ones nearer to it
         mean, rest = vectorcodes.outline(x, starts)
-        bound = (book.sizes[level] * (mean[:, None] - book.outlines[level][0]) ** 2 + (rest[:, None] - book.outlines[level][1]) ** 2).sum(2)
+        bound = (book.sizes[level] * (mean[:, None] - book.outlines[level][0].T) ** 2 + (rest[:, None] - book.outlines[level][1].T) ** 2).sum(2)
         assert (bound <= far * (1 + 1e-9)).all()
 
 
