@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
 from ..operators import annotate, integrity
-from ..sources import sinks, store
+from ..sources import bcf, sinks, store, vcf
 from ..sources.header import Header
 from . import derived
 from .query import VariantQuery
@@ -75,7 +75,7 @@ def written(spark: SparkSession, sf_dir: str, form: str) -> str:
         elif form == "locked":
             store.write_store(df.drop("site_id"), header, path, keys=KEYS)
         else:
-            VariantQuery(df.drop("site_id"), header).save(path, form)
+            VariantQuery(df.drop("site_id"), header).save(path, form, index=form in ("vcf.bgz", "bcf"))
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
@@ -90,6 +90,12 @@ def opened(spark: SparkSession, sf_dir: str, form: str) -> VariantQuery:
     return VariantQuery.open(spark, path)
 
 
+def in_ranges(spark: SparkSession, path: str, kind: str, split: int = 1 << 16) -> DataFrame:
+    """The variants of blocked files in ranges of few bytes, so that each file is cut many times."""
+    read = bcf.read_bcf if kind == "bcf" else vcf.read_vcf
+    return read(spark, path, split=split)[0]
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived variants from a store, site numbers included: what a user's queries run on."""
     return store.read_store(spark, written(spark, sf_dir, "store"))[0]
@@ -126,6 +132,12 @@ def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
 
     for name, form in (("vcf_round_trip", "vcf"), ("vcf_gz_round_trip", "vcf.gz"), ("vcf_bgz_round_trip", "vcf.bgz"), ("bcf_round_trip", "bcf"), ("store_round_trip", "store"), ("encrypted_store", "locked")):
         add(name, form, lambda q: _whole(q.df), _WHOLE_SQL)
+    for name, form, kind in (("vcf_bgz_ranges", "vcf.bgz", "text"), ("bcf_ranges", "bcf", "bcf")):
+        e[name] = (lambda spark, sf_dir, form=form, kind=kind: _whole(in_ranges(spark, written(spark, sf_dir, form), kind))), _WHOLE_SQL
+    for name, form, overlap in (("vcf_bgz_region", "vcf.bgz", "start"), ("bcf_region", "bcf", "start"), ("vcf_bgz_region_span", "vcf.bgz", "span"), ("bcf_region_span", "bcf", "span")):
+        first, last = ("pos", "pos + greatest(length(ref), length(alt1), coalesce(length(alt2), 1)) - 1") if overlap == "span" else ("pos", "pos")
+        sql = _FULL + f"select contig, pos, ref, calls from w where (contig = 'chr3' and {first} <= 200000) or (contig = 'chr1' and {last} >= 1413 and {first} <= 90000)"
+        e[name] = (lambda spark, sf_dir, form=form, overlap=overlap: _whole(VariantQuery.open(spark, written(spark, sf_dir, form), regions=["chr3:1-200000", "chr1:1413-90000"], overlap=overlap).df).select("contig", "pos", "ref", "calls")), sql
     add("store_region", "store", lambda q: _whole(q.regions("chr3:1-200000", "chr1:40-90").df).select("contig", "pos", "ref", "calls"), _FULL + "select contig, pos, ref, calls from w where (contig = 'chr3' and pos <= 200000) or (contig = 'chr1' and pos between 40 and 90)")
     add("store_fields", "store", lambda q: q.fields("CHROM;POS;INFO=DP,TX").df.select("contig", "pos", F.col("info.DP").cast("bigint").alias("dp"), F.col("info.TX").alias("tx"), F.array_join("info_keys", ",").alias("keys")), _FULL + "select contig, pos, dp, tx, 'DP' || case when tx is not null then ',TX' else '' end as keys from w")
     add("info_fields", "vcf", lambda q: q.fields("CHROM;POS;INFO").df.select("contig", "pos", F.col("info.DP").cast("bigint").alias("dp"), F.coalesce("info.DB", F.lit(False)).alias("db"), F.size("info.SC").cast("bigint").alias("n"), F.col("info.TX").alias("tx")), _FULL + "select contig, pos, dp, db, cast(case when alt2 is null then 1 else 2 end as bigint) as n, tx from w")

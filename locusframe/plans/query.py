@@ -24,16 +24,19 @@ class VariantQuery:
         self.df, self.header = df, header
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, keys: Mapping[str, bytes] | None = None) -> VariantQuery:
-        """A store (keys: those of its encrypted columns), or VCF or BCF by its name."""
+    def open(cls, spark: SparkSession, path: str, keys: Mapping[str, bytes] | None = None, regions: Sequence[str] = (), overlap: str = "start", check_positions: bool = True) -> VariantQuery:
+        """A store (keys: those of its encrypted columns), or VCF or BCF by its name.
+
+        regions: as in ``regions``, but known to the reader: of indexed files, only what can hold such rows is read.
+        """
         bare = path.rstrip("/")
         if bare.endswith(".bcf"):
             from ..sources import bcf
 
-            return cls(*bcf.read_bcf(spark, path))
+            return cls(*bcf.read_bcf(spark, path, check_positions, regions, overlap))
         if bare.endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
-            return cls(*vcf.read_vcf(spark, path))
-        return cls(*store.read_store(spark, path, keys))
+            return cls(*vcf.read_vcf(spark, path, check_positions, regions, overlap))
+        return cls(*store.read_store(spark, path, keys)).regions(*regions, overlap=overlap)
 
     def _with(self, df: DataFrame, fields: Mapping[str, tuple[str, str, str]] = {}) -> VariantQuery:  # noqa: B006
         header = deepcopy(self.header) if fields else self.header
@@ -87,8 +90,8 @@ class VariantQuery:
     def stats_json(self) -> DataFrame:
         return samples.to_json(self.df, self.header.samples)
 
-    def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None, keys: Mapping[str, bytes] | None = None) -> None:
-        """format: store (keys: columns to encrypt), vcf, vcf.gz, vcf.bgz or bcf. The header records the command, if given,
+    def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None, keys: Mapping[str, bytes] | None = None, index: bool = False) -> None:
+        """format: store (keys: columns to encrypt), vcf, vcf.gz, vcf.bgz or bcf (index: CSI files beside these two). The header records the command, if given,
         with the versions of this package and of Spark."""
         header = deepcopy(self.header)
         if command:
@@ -98,8 +101,8 @@ class VariantQuery:
         if format == "store":
             store.write_store(self.df, header, path, keys=keys)
         elif format in ("vcf", "vcf.gz", "vcf.bgz"):
-            sinks.write_vcf(self.df, header, path, {"vcf.gz": "gzip", "vcf.bgz": "bgzf"}.get(format), with_header, genotypes)
+            sinks.write_vcf(self.df, header, path, {"vcf.gz": "gzip", "vcf.bgz": "bgzf"}.get(format), with_header, genotypes, index)
         elif format == "bcf":
-            sinks.write_bcf(self.df, header, path, genotypes)
+            sinks.write_bcf(self.df, header, path, genotypes, index)
         else:
             raise ValueError(f"unknown format: {format!r}")

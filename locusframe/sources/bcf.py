@@ -1,23 +1,21 @@
-"""BCF 2 files, read whole by file: a small decoder of BGZF blocks and binary records into VCF lines.
+"""BCF 2: a small decoder of binary records into VCF lines, which then take the way of VCF text.
 
-Files are read through Spark, so that any file system will do, and each is decoded by one task as a stream of records;
-the lines then take the way of VCF text. Spread large sets over files (one for each contig, say) to spread the work.
+Files are read in ranges of blocks (``bgzf``); those that are no BGZF by one task each, as a stream.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.exact import g_format
-from ..session import ship
+from ..operators.regions import Interval, filter_regions
 from .blocked import dictionaries
 from .header import Header
-from .vcf import parse_lines
+from .vcf import parse_lines, wanted_regions
 
 # Fixed values of the format: magic, and for each type code its size, struct letter, missing and end-of-vector values.
 MAGIC = b"BCF\x02"
@@ -30,25 +28,25 @@ PIECE = 1 << 20
 
 def inflate(data: bytes) -> Iterator[bytes]:
     """The contents of BGZF blocks, of other concatenated gzip members, or of plain bytes, piece by piece."""
-    view, at = memoryview(data), 0
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    while at < len(data):
-        if data[at : at + 4] == b"\x1f\x8b\x08\x04" and data[at + 12 : at + 16] == b"BC\x02\x00":
-            size = struct.unpack_from("<H", data, at + 16)[0] + 1
-            extra = struct.unpack_from("<H", data, at + 10)[0]
-            yield zlib.decompress(view[at + 12 + extra : at + size - 8], -15)
-            at += size
+    return inflated(data[at : at + PIECE] for at in range(0, len(data), PIECE))
+
+
+def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The contents of a stream of gzip members, or of plain bytes."""
+    d, plain, first = None, False, True
+    for data in pieces:
+        if first:
+            plain, first = data[:2] != b"\x1f\x8b", False
+        if plain:
+            yield data
             continue
-        d = zlib.decompressobj(31)
-        fed = at
-        while fed < len(data) and not d.eof:
-            yield d.decompress(view[fed : fed + PIECE])
-            fed += PIECE
-        at = min(fed, len(data)) - len(d.unused_data)
-        while at < len(data) and data[at] == 0:
-            at += 1
+        while data:
+            if d is None:
+                data = data.lstrip(b"\0")  # padding between members
+                d = zlib.decompressobj(31) if data else None
+                continue
+            yield d.decompress(data)
+            data, d = d.unused_data, None if d.eof else d
 
 
 class Stream:
@@ -122,18 +120,83 @@ def header_text(stream: Stream) -> str:
     return stream.take(struct.unpack("<I", stream.take(4))[0]).rstrip(b"\0").decode()
 
 
+def header_of(own) -> str:
+    """Of records at a file's beginning, which then stand behind it."""
+    if not own.need(9) or bytes(own.held[:4]) != MAGIC:
+        raise ValueError("not a BCF 2 file")
+    n = struct.unpack_from("<I", own.held, 5)[0]
+    if not own.need(9 + n):
+        raise ValueError("a BCF file ends within its header")
+    own.at = 9 + n
+    return bytes(own.held[9 : 9 + n]).rstrip(b"\0").decode()
+
+
+def contigs_of(text: str) -> list[str]:
+    """Names by the numbers that records give to contigs; a number without a name is empty."""
+    contigs = dictionaries(text.split("\n"))[1]
+    return [contigs.get(i, "") for i in range(max(contigs, default=-1) + 1)]
+
+
+def record_size(buf: bytes, at: int, n_contigs: int, n_samples: int) -> int | None:
+    """Bytes of the record whose fixed part may stand there; None where it cannot be one."""
+    shared, own, chrom, pos, _, _, counts, samples = struct.unpack_from("<IIiiiIII", buf, at)
+    fits = 24 < shared < 1 << 28 and own < 1 << 31 and 0 <= chrom < n_contigs and pos >= -1 and counts >> 16 >= 1 and samples & 0xFFFFFF in (0, n_samples)
+    return 8 + shared + own if fits else None
+
+
+def is_record(buf: bytes, at: int, n_contigs: int, n_samples: int) -> bool:
+    """Whether the typed values from there on end where the record says that both of its parts end."""
+    shared, own, _, _, _, _, counts, samples = struct.unpack_from("<IIiiiIII", buf, at)
+    end, last = at + 8 + shared, at + 8 + shared + own
+    size = lambda kind: {0: 0, CHAR: 1, FLOAT: 4}.get(kind) if kind not in INTS else INTS[kind][0]
+
+    def step(at: int, kinds: tuple[int, ...], copies: int = 1) -> int:
+        kind, n, at = _head(buf, at)
+        if kind not in kinds:
+            raise ValueError(kind)
+        return at + size(kind) * n * copies
+
+    try:
+        at += 32
+        for _ in range(1 + (counts >> 16)):
+            at = step(at, (CHAR, 0))
+        at = step(at, (0, 1, 2, 3))
+        for _ in range(counts & 0xFFFF):
+            at = step(step(at, (1, 2, 3)), (0, 1, 2, 3, FLOAT, CHAR))
+        if at != end:
+            return False
+        for _ in range(samples >> 24):
+            at = step(step(at, (1, 2, 3)), (0, 1, 2, 3, FLOAT, CHAR), samples & 0xFFFFFF)
+            if at > last:
+                return False
+        return at == last
+    except (ValueError, IndexError, KeyError, struct.error):
+        return False
+
+
 def lines(data: bytes) -> Iterator[str]:
     """The VCF body lines of a BCF file's bytes, record by record."""
-    source = Stream(inflate(data))
-    text = header_text(source)
-    header = Header.parse(text.split("\n"))
-    names, contigs = dictionaries(text.split("\n"))
+    return lines_of(Stream(inflate(data)))
+
+
+def lines_of(source: Stream) -> Iterator[str]:
+    decode, _, _ = decoder(header_text(source))
     while len(sizes := source.take(8)) == 8:
-        shared, own = struct.unpack("<II", sizes)
-        stream, at = source.take(shared + own), 0
-        if len(stream) < shared + own:
+        n = sum(struct.unpack("<II", sizes))
+        record = source.take(n)
+        if len(record) < n:
             raise ValueError("a BCF file ends within a record")
-        body = at
+        yield decode(sizes + record)
+
+
+def decoder(text: str) -> tuple[Callable[[bytes], str], int, int]:
+    """What makes a VCF line of a record's bytes under a header, and how many contigs and samples that has."""
+    header = Header.parse(text.split("\n"))
+    names, contigs = dictionaries(text.split("\n"))
+
+    def decode(stream: bytes) -> str:
+        shared, _ = struct.unpack_from("<II", stream)
+        at = body = 8
         chrom, pos, _, qual, counts, samples = struct.unpack_from("<iiiIII", stream, at)
         n_info, n_allele, n_fmt, n_sample = counts & 0xFFFF, counts >> 16, samples >> 24, samples & 0xFFFFFF
         at += 24
@@ -175,30 +238,24 @@ def lines(data: bytes) -> Iterator[str]:
         row = [contigs[chrom], str(pos + 1), (name[0] if name and name[0] else "."), alleles[0] if alleles else ".", ",".join(alleles[1:]) or ".", quality, ";".join(names[int(x)] for x in flt if x != ".") or ".", ";".join(info) or "."]
         if n_fmt and n_sample:
             row += [":".join(keys), *(":".join(c[s] for c in columns) for s in range(n_sample))]
-        yield "\t".join(row)
-
-
-def read_bcf(spark: SparkSession, path: str, check_positions: bool = True) -> tuple[DataFrame, Header]:
-    """(variants, header) of BCF files with the same header. A file's compressed bytes must fit a task's memory, 2 GB at most;
-    they are inflated block by block. ``blocked.write_parts`` makes a file for each task."""
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([header_text(Stream(inflate(data)))])], ["h"])
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                held: list[str] = []
-                for line in lines(data):
-                    held.append(line)
-                    if len(held) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held)], ["value"])
-                        held = []
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
-
-    header = Header.parse(files.limit(1).mapInArrow(heads, "h string").first().h.split("\n"))
-    return parse_lines(files.mapInArrow(body, "value string"), header, check_positions), header
+        return "\t".join(row)
+
+    return decode, max(contigs, default=-1) + 1, len(header.samples)
+
+
+def read_bcf(spark: SparkSession, path: str, check_positions: bool = True, regions: Sequence[str | Interval] = (), overlap: str = "start", split: int | None = None) -> tuple[DataFrame, Header]:
+    """(variants, header) of BCF files with the same header, read in ranges of ``split`` compressed bytes.
+
+    regions: only rows in any of them; where an index lies beside a file, only its blocks with such rows are inflated.
+    """
+    from . import bgzf
+
+    files = bgzf.files_of(spark, path)
+    if not files:
+        raise ValueError(f"no files: {path}")
+    f, size = bgzf.open_file(files[0])
+    header = Header.parse(header_text(Stream(inflated(f.read_at(PIECE, at) for at in range(0, size, PIECE)))).split("\n"))
+    wanted = wanted_regions(regions, header)
+    lines = bgzf.load(spark, files, "bcf", split or bgzf.SPLIT, wanted and [(i.contig, i.low, i.high) for i in wanted], overlap)
+    rows = parse_lines(lines, header, check_positions)
+    return (filter_regions(rows, wanted, overlap=overlap) if wanted else rows), header

@@ -6,15 +6,18 @@ must be ones that executors can open through pyarrow (a mounted folder, or a URI
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
+from . import csi
 from .header import Header
 
 # Fixed values of the formats: an empty last block, the most bytes of a block, type codes, and values for what is missing.
@@ -23,31 +26,61 @@ BLOCK = 65280
 INTS = ((1, "b", -(2**7), -120, 127), (2, "h", -(2**15), -32760, 32767), (3, "i", -(2**31), -(2**31) + 8, 2**31 - 1))
 FLOAT, CHAR = 5, 7
 FLOAT_MISSING, FLOAT_END = struct.pack("<I", 0x7F800001), struct.pack("<I", 0x7F800002)
+_END = re.compile(r"(?:^|;)END=(\d+)(?:;|$)")
 
 
-def blocks(pieces: Iterable[bytes], level: int = 6) -> Iterator[bytes]:
-    """The BGZF blocks of a stream, without the last empty one."""
-    held = bytearray()
-
-    def one(raw: bytes) -> bytes:
-        c = zlib.compressobj(level, zlib.DEFLATED, -15)
+def pack(raw: bytes, level: int = 6) -> bytes:
+    """One BGZF block."""
+    c = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = c.compress(raw) + c.flush()
+    if len(body) + 26 > 65536:  # does not shrink: stored as it is
+        c = zlib.compressobj(0, zlib.DEFLATED, -15)
         body = c.compress(raw) + c.flush()
-        if len(body) + 26 > 65536:  # does not shrink: stored as it is
-            c = zlib.compressobj(0, zlib.DEFLATED, -15)
-            body = c.compress(raw) + c.flush()
-        return bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(raw), len(raw))
+    return bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(raw), len(raw))
 
+
+def blocks(pieces: Iterable[bytes], level: int = 6, size: int = BLOCK) -> Iterator[bytes]:
+    """The BGZF blocks of a stream, each of size bytes but for the last, without the last empty one."""
+    held = bytearray()
     for p in pieces:
         held += p
-        while len(held) >= BLOCK:
-            yield one(bytes(held[:BLOCK]))
-            del held[:BLOCK]
+        at = 0
+        while len(held) - at >= size:
+            yield pack(bytes(held[at : at + size]), level)
+            at += size
+        del held[:at]
     if held:
-        yield one(bytes(held))
+        yield pack(bytes(held), level)
+
+
+#: Where a record is: contig, its first base counted from 0, the base behind its last.
+Place = tuple[str, int, int]
+
 
+def write_blocked(out: BinaryIO, pieces: Iterable[tuple[bytes, Place | None]], depth: int | None, contigs: list[str] | None = None, size: int = BLOCK) -> bytes | None:
+    """Write a BGZF file of pieces and return the contents of its index of so many levels, if any. Records are pieces with a place."""
+    index, done, offsets, at = None if depth is None else csi.Builder(depth), 0, [], 0
 
-def write_parts(rows: DataFrame, path: str, suffix: str, encode: Callable[[Iterator[str]], Iterator[bytes]]) -> None:
-    """The partitions of one text column, in order, as files part-00000<suffix> ... under path, which must be new."""
+    def placed() -> Iterator[bytes]:
+        nonlocal done
+        for raw, place in pieces:
+            if index is not None and place is not None:
+                index.add(*place, done, done + len(raw))
+            done += len(raw)
+            yield raw
+
+    for block in blocks(placed(), size=size):
+        offsets.append(at)
+        out.write(block)
+        at += len(block)
+    offsets.append(at)  # where the last, empty block begins
+    out.write(END)
+    return None if index is None else index.pack(offsets, size, contigs)
+
+
+def write_parts(rows: DataFrame, path: str, suffix: str, encode: Callable[[Iterator[str]], Iterator[tuple[bytes, Place | None]]], depth: int | None = None, contigs: list[str] | None = None) -> None:
+    """The partitions of one text column, in order, as files part-00000<suffix> ... under path, which must be new, each with
+    an index of ``depth`` levels beside it, if that is given. contigs: those that the files number themselves."""
     from pyarrow import fs
 
     ship(rows.sparkSession)
@@ -62,27 +95,38 @@ def write_parts(rows: DataFrame, path: str, suffix: str, encode: Callable[[Itera
         own = fs.FileSystem.from_uri(path)[0] if "://" in path or path.startswith("file:") else fs.LocalFileSystem()
         name = f"_part-{uuid.uuid4().hex}"
         with own.open_output_stream(f"{root}/{name}") as out:
-            for block in blocks(encode(v for b in batches for v in b.column(0).to_pylist())):
-                out.write(block)
-            out.write(END)
+            index = write_blocked(out, encode(v for b in batches for v in b.column(0).to_pylist()), depth, contigs)
+        if index is not None:
+            with own.open_output_stream(f"{root}/{name}.csi") as out:
+                for block in [*blocks([index]), END]:
+                    out.write(block)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name])], ["n", "name"])
 
     done = {r.n: r["name"] for r in rows.mapInArrow(run, "n bigint, name string").collect()}  # a name for each task
     for i, n in enumerate(sorted(done)):
+        if depth is not None:
+            store.move(f"{root}/{done[n]}.csi", f"{root}/part-{i:05d}{suffix}.csi")
         store.move(f"{root}/{done[n]}", f"{root}/part-{i:05d}{suffix}")
     for left in store.get_file_info(fs.FileSelector(root)):
         if left.base_name.startswith("_part-"):
             store.delete_file(left.path)
 
 
-def text_lines(values: Iterator[str]) -> Iterator[bytes]:
-    return (v.encode() + b"\n" for v in values)
+def place_of(line: str) -> Place:
+    """Of a body line: its last base is INFO's END, or the last of its longest plain allele."""
+    contig, pos, _, ref, alts, _, _, info = line.split("\t", 8)[:8]
+    begin = int(pos) - 1
+    own = _END.search(info)
+    plain = [len(a) for a in (ref, *alts.split(",")) if not a.strip("ATGC")]
+    return contig, begin, max(begin + max([1, len(ref), *plain]), int(own[1]) if own else 0)
+
+
+def text_lines(values: Iterator[str]) -> Iterator[tuple[bytes, Place | None]]:
+    return ((v.encode() + b"\n", None if v.startswith("#") else place_of(v)) for v in values)
 
 
 def dictionaries(lines: Iterable[str]) -> tuple[dict[int, str], dict[int, str]]:
     """Names by number, of FILTER, INFO and FORMAT, and of contigs: an IDX counts, else the order of first sight."""
-    import re
-
     names, contigs = {0: "PASS"}, {}
     nexts = [1, 0]
     for line in lines:
@@ -167,7 +211,7 @@ def _format(key: str, kind: str, values: list[str]) -> bytes:
     return _typed(CHAR, n) + b"".join(r.ljust(n, b"\0") for r in raw)
 
 
-def bcf_records(header: Header, genotypes: bool = True) -> Callable[[Iterator[str]], Iterator[bytes]]:
+def bcf_records(header: Header, genotypes: bool = True) -> Callable[[Iterator[str]], Iterator[tuple[bytes, Place | None]]]:
     """Encodes VCF body lines: a whole BCF file for each task, header first."""
     lines = header.text(genotypes)
     names, contigs = dictionaries(lines)
@@ -175,8 +219,8 @@ def bcf_records(header: Header, genotypes: bool = True) -> Callable[[Iterator[st
     kinds = {k: f.type for k, f in header.info.items()}, {k: f.type for k, f in header.formats.items()}
     text = "\n".join(lines).encode() + b"\n\0"
 
-    def encode(values: Iterator[str]) -> Iterator[bytes]:
-        yield b"BCF\x02\x02" + struct.pack("<I", len(text)) + text
+    def encode(values: Iterator[str]) -> Iterator[tuple[bytes, Place | None]]:
+        yield b"BCF\x02\x02" + struct.pack("<I", len(text)) + text, None
         for line in values:
             f = line.split("\t")
             alleles = [f[3], *([] if f[4] == "." else f[4].split(","))]
@@ -194,6 +238,6 @@ def bcf_records(header: Header, genotypes: bool = True) -> Callable[[Iterator[st
             pos = int(f[1])
             fixed = struct.pack("<iii", of_contig[f[0]], pos - 1, int(end) - pos + 1 if end and end.isdigit() else len(f[3]))
             fixed += (FLOAT_MISSING if f[5] == "." else struct.pack("<f", float(f[5]))) + struct.pack("<II", len(alleles) << 16 | len(info), len(keys) << 24 | len(own))
-            yield struct.pack("<II", len(fixed) + len(shared), len(each)) + fixed + shared + each
+            yield struct.pack("<II", len(fixed) + len(shared), len(each)) + fixed + shared + each, place_of(line)
 
     return encode

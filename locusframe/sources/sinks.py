@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genotypes import let
-from . import blocked
-from .header import Header
+from . import blocked, csi
+from .header import UNDECLARED, Header
 
 
 def g_text(x: Column) -> Column:
@@ -138,11 +138,16 @@ def _sorted(df: DataFrame, header: Header) -> DataFrame:
     return vcf_lines(df).select(_order(header).alias("o"), "contig", "pos", F.lit(0).alias("n"), "value")
 
 
-def write_vcf(df: DataFrame, header: Header, path: str, compression: str | None = None, with_header: bool = True, genotypes: bool = True) -> None:
+def _depth(header: Header) -> int:
+    """Levels of an index over the declared contigs; one that is not declared may have any length."""
+    return csi.depth_for(max(header.contigs.values(), default=UNDECLARED))
+
+
+def write_vcf(df: DataFrame, header: Header, path: str, compression: str | None = None, with_header: bool = True, genotypes: bool = True, index: bool = False) -> None:
     """Text files under path whose parts in order make one VCF: header first, then rows by contig and position.
 
     The rows are sorted by range, so that no file or task holds them all. compression: ``gzip`` writes plain gzip,
-    ``bgzf`` the blocked kind that indexing tools ask for.
+    ``bgzf`` the blocked kind, with a CSI index beside each file where ``index`` asks for it.
     """
     if not genotypes:
         df = df.drop("gt", "fmt", "format_keys")
@@ -152,14 +157,17 @@ def write_vcf(df: DataFrame, header: Header, path: str, compression: str | None
         rows = head.select(F.lit(-1).alias("o"), F.lit("").alias("contig"), F.lit(0).cast("bigint").alias("pos"), "n", "value").unionByName(rows)
     out = rows.orderBy("o", "contig", "pos", "n", "value").select("value")
     if compression == "bgzf":
-        blocked.write_parts(out, path, ".vcf.gz", blocked.text_lines)
+        blocked.write_parts(out, path, ".vcf.gz", blocked.text_lines, _depth(header) if index else None)
     else:
         (out.write.option("compression", compression) if compression else out.write).text(path)
 
 
-def write_bcf(df: DataFrame, header: Header, path: str, genotypes: bool = True) -> None:
-    """BCF 2 files under path, one for each task, each with the header: rows by contig and position over all of them."""
+def write_bcf(df: DataFrame, header: Header, path: str, genotypes: bool = True, index: bool = False) -> None:
+    """BCF 2 files under path, one for each task, each with the header, and with a CSI index beside it if asked: rows by contig
+    and position over all of them."""
     if not genotypes:
         df = df.drop("gt", "fmt", "format_keys")
     rows = _sorted(df, header).orderBy("o", "contig", "pos", "n", "value").select("value")
-    blocked.write_parts(rows, path, ".bcf", blocked.bcf_records(header, genotypes))
+    numbered = blocked.dictionaries(header.text(genotypes))[1]
+    contigs = [numbered.get(i, "") for i in range(max(numbered, default=-1) + 1)]
+    blocked.write_parts(rows, path, ".bcf", blocked.bcf_records(header, genotypes), _depth(header) if index else None, contigs)

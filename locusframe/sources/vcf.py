@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import genotypes as G
+from ..operators.regions import Interval, filter_regions, merge, parse_region
 from .header import Field, Header
 
 
@@ -82,7 +85,28 @@ def parse_lines(lines: DataFrame, header: Header, check_positions: bool = True)
     return out.withColumn("ploidy", F.when(F.col("gt").isNotNull(), G.ploidy()))
 
 
-def read_vcf(spark: SparkSession, path: str, check_positions: bool = True) -> tuple[DataFrame, Header]:
-    """(variants, header) of a VCF file, a glob or a folder of files with the same header."""
-    header = read_header(spark, path)
-    return parse_lines(spark.read.text(path), header, check_positions), header
+def wanted_regions(regions: Sequence[str | Interval], header: Header) -> list[Interval] | None:
+    """Merged intervals, None for no regions; contigs that the header does not declare are errors."""
+    return merge([r if isinstance(r, Interval) else parse_region(r, header.contigs or None) for r in regions]) or None
+
+
+def read_vcf(spark: SparkSession, path: str, check_positions: bool = True, regions: Sequence[str | Interval] = (), overlap: str = "start", split: int | None = None) -> tuple[DataFrame, Header]:
+    """(variants, header) of a VCF file, a glob or a folder of files with the same header.
+
+    BGZF files are read in ranges of ``split`` compressed bytes, other gzip files by one task each. regions: only rows in any
+    of them; where an index lies beside a BGZF file, only its blocks with such rows are inflated.
+    """
+    from . import bgzf
+
+    files = bgzf.files_of(spark, path)
+    zipped = [f for f in files if f.endswith((".gz", ".bgz"))]
+    if zipped and len(zipped) == len(files) and all(map(bgzf.is_blocked, zipped)):
+        header = bgzf.text_header(files[0])
+        wanted = wanted_regions(regions, header)
+        lines = bgzf.load(spark, files, "text", split or bgzf.SPLIT, wanted and [(i.contig, i.low, i.high) for i in wanted], overlap)
+    else:
+        header = read_header(spark, path)
+        wanted = wanted_regions(regions, header)
+        lines = spark.read.text(path)
+    rows = parse_lines(lines, header, check_positions)
+    return (filter_regions(rows, wanted, overlap=overlap) if wanted else rows), header

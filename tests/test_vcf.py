@@ -230,6 +230,20 @@ def test_command_line(spark, vcf_file, tmp_path, capsys):
     assert "AC=3,3" in capsys.readouterr().out
     cli.main(["stats", "-i", out], spark)
     assert '"PSI"' in capsys.readouterr().out
+    locked, keys = str(tmp_path / "locked"), str(tmp_path / "keys.json")
+    assert cli.main(["import", "-i", vcf_file, "-o", locked, "-e", "id,info", "-k", keys], spark) == 0
+    for form in ("bcf", "vcf.bgz"):
+        written = str(tmp_path / f"w.{form}")
+        cli.main(["view", "-i", locked, "-k", keys, "-O", form, "-o", written, "--write-index"], spark)
+        capsys.readouterr()
+        cli.main(["view", "-i", written, "-H", "-r", "c1:1-672"], spark)
+        assert capsys.readouterr().out == "".join(x + "\n" for x in BODY if x.startswith("c1\t") and int(x.split("\t")[1]) <= 672)
+        cli.main(["view", "-i", written, "-H", "-G", "--info", "AN>=1", "--ploidy", "=2"], spark)
+        assert all("AN=" in x for x in capsys.readouterr().out.splitlines())
+    with pytest.raises(FileExistsError):
+        cli.main(["import", "-i", vcf_file, "-o", str(tmp_path / "again"), "-e", "id", "-k", keys], spark)
+    with pytest.raises(ValueError, match="comparison"):
+        cli.main(["view", "-i", out, "--info", "AN"], spark)
 
 
 def bcf_bytes():
