@@ -8,10 +8,11 @@ pairs there can be (``Pair.most_links``), whatever the corpus.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.genotypes import let
-from .bpe import byte_letters
+from .bpe import PRETOKEN, Vocabulary
 from .common import map_batches, materialize, pick
 
-#: A single space between ASCII letters or digits: no token of either vocabulary reaches over its left side, so that long
-#: texts can be tokenised in parts.
-_SEAM = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-#: Characters of a part, and of the parts that are tokenised at once.
-PART, AT_ONCE = 100_000, 400_000
+#: A single space that has no white space on either side. No token of either vocabulary reaches over its left side, so that
+#: long texts can be tokenised in parts, each with a space before it.
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a part, and of the texts whose tokens travel together.
+PART, AT_ONCE = 100_000, 1_000_000
 #: Most rows of pair counts that are broadcast; vocabularies that allow more are joined by shuffle.
 BROADCAST = 4_000_000
 _INTS = T.ArrayType(T.IntegerType(), False)
@@ -59,32 +60,44 @@ class Tokenizers:
     """Both tokenizers of a Pair, loaded, with the bytes that each id stands for."""
 
     def __init__(self, raw_a: bytes, raw_b: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(raw_a.decode())
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        vocabulary = Vocabulary(json.loads(raw_a))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=raw_b)
-        back = {c: n for n, c in byte_letters().items()}
-        vocab = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes_a[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.bytes_a = vocabulary.bytes
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.encode_a = self._fast(vocabulary) or self._plain(raw_a)
+        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int32, len(x)) for x in (self.bytes_a, self.bytes_b))
         #: No piece holds a space after another character, so that no merge reaches over a seam.
         self.seams = not any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.bytes_b)
 
+    @staticmethod
+    def _fast(vocabulary: Vocabulary) -> Callable[[str], list[int]] | None:
+        """Where ids rise with the merges, they are ranks, and a rank encoder gives the same ids several times faster."""
+        own = {b: i for i, b in enumerate(vocabulary.bytes) if i not in set(vocabulary.special.values())}
+        if not (np.diff(vocabulary.made) > 0).all() or len(own) != 256 + len(vocabulary.made) or vocabulary.base.max() > vocabulary.made.min():
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("pair", pat_str=PRETOKEN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+
+    @staticmethod
+    def _plain(raw: bytes) -> Callable[[str], list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(raw.decode())
+        own.encode_special_tokens = True
+        own.no_truncation()
+        own.no_padding()
+        return lambda text: own.encode(text, add_special_tokens=False).ids
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def parts(self, text: str) -> list[str]:
-        """The text in parts of about PART characters, cut before single spaces, which are dropped: both tokenizers are
-        given, or add, a space before each part."""
+        """The text in parts of about PART characters, cut before single spaces, which are dropped."""
         if len(text) <= PART or not self.seams:
             return [text]
         out, at = [], 0
@@ -93,21 +106,17 @@ class Tokenizers:
             at = m.end()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids by A and by B of each text with a space before it; none of either where the tokens' bytes are not the text's."""
-        none = np.empty(0, np.int64)
-        for text in texts:
-            if not text:
-                yield none, none
-                continue
-            parts = self.parts(text)
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids by A and by B of the text with a space before it; none of either where the tokens' bytes are not the text's."""
+        ids_a: list[int] = []
+        ids_b: list[int] = []
+        for part in self.parts(text) if text else ():
+            ids_a += self.encode_a(" " + part)
+            ids_b += self.b.encode(part)
+        raw = (" " + text).encode() if text else b""
+        if not b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b)):
             ids_a, ids_b = [], []
-            for p in parts:
-                ids_a += self.a.encode_batch_fast([" " + p], add_special_tokens=False)[0].ids
-                ids_b += self.b.encode(p)
-            whole = b" " + text.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole == b"".join(map(self.bytes_b.__getitem__, ids_b))
-            yield (np.array(ids_a, np.int64), np.array(ids_b, np.int64)) if same else (none, none)
+        return np.array(ids_a, np.int32), np.array(ids_b, np.int32)
 
 
 #: One pair of tokenizers per worker process.
@@ -123,16 +132,16 @@ def _loaded(held) -> Tokenizers:
 
 
 def tokenize(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, a, a_ends, b, b_ends): ids by both tokenizers and the byte offset at which each token ends."""
+    """(key, a, a_ends, b, b_ends): ids by both tokenizers and twice the byte offset at which each token ends."""
     held = df.sparkSession.sparkContext.broadcast(pair.raw)
     src = pick(df, key, text)
 
     def lists(arrays: list[np.ndarray]) -> pa.ListArray:
         offsets = np.zeros(len(arrays) + 1, np.int32)
         np.cumsum([len(x) for x in arrays], out=offsets[1:])
-        flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+        flat = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))).cast(kind)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False))).cast(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _loaded(held)
@@ -144,9 +153,9 @@ def tokenize(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text")
                 while to < len(texts) and (to == at or n + len(texts[to] or "") <= AT_ONCE):
                     n += len(texts[to] or "")
                     to += 1
-                ids = list(both.encode(texts[at:to]))
+                ids = list(map(both.encode, texts[at:to]))
                 a, c = [x for x, _ in ids], [y for _, y in ids]
-                ends_a, ends_c = [np.cumsum(both.size_a[x]) for x in a], [np.cumsum(both.size_b[x]) for x in c]
+                ends_a, ends_c = [2 * np.cumsum(both.size_a[x], dtype=np.int32) for x in a], [2 * np.cumsum(both.size_b[x], dtype=np.int32) for x in c]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *map(lists, (a, ends_a, c, ends_c))], [key, "a", "a_ends", "b", "b_ends"])
                 at = to
 
@@ -154,45 +163,52 @@ def tokenize(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text")
     return map_batches(src, run, T.StructType(fields))
 
 
-def _places(ends: Column, cuts: Column) -> Column:
-    """For each cut, which are some of the ends, how many ends are not beyond it: the 1-based place of its token."""
-    marked = F.sort_array(F.concat(F.transform(cuts, lambda c: c * 2 + 1), F.transform(F.array_except(ends, cuts), lambda e: e * 2)))
-    return F.filter(F.transform(marked, lambda x, i: F.when(x % 2 == 1, i + 1).otherwise(F.lit(0))), lambda p: p > 0)
-
-
 def align(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, groups, links) for each row: the token ids of both tokenizers between offsets at which both end, and the pairs
-    of ids that end together.
+    """(key, a, a_marks, b, b_marks, links) for each row: the ids by both tokenizers; for each token twice the byte offset at
+    which it ends, one more where a token of the other ends as well, which closes a group; and the pairs of ids that end together.
 
-    groups: array of struct(a, b), arrays of ids; links: array of ``a * B's vocabulary size + b`` in order of the text.
-    Texts that are null, empty or not given back by both tokenizers' tokens have empty arrays. Repeated rows give repeated
-    rows; an empty table gives none; other columns, whatever their names, are ignored. Long texts are tokenised in parts;
-    a text without any single space between letters or digits is tokenised in one go, whatever its length.
+    links: array of ``a * B's vocabulary size + b`` in order of the text. ``groups`` spells the groups out. Texts that are
+    null, empty or not given back by both tokenizers' tokens have empty arrays. Repeated rows give repeated rows; an empty
+    table gives none; other columns, whatever their names, are ignored. Long texts are tokenised in parts; a text without any
+    single space is one part, whatever its length.
     """
-    size = pair.tokenizers().b.get_piece_size()
+    t = pair.tokenizers()
+    size, most = len(t.bytes_b), len(t.bytes_a) * len(t.bytes_b)
+    kind = "int" if most < 1 << 31 else "bigint"
     cut = tokenize(df, pair, key, text).withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # not one projection: Catalyst must not put the expression of a place into every lambda call
-    both = F.struct(_places(F.col("a_ends"), F.col("cuts")).alias("a"), _places(F.col("b_ends"), F.col("cuts")).alias("b"))
+    cut = cut.withColumn("odd", F.transform("cuts", lambda c: c + 1))
+    marks = lambda c: F.sort_array(F.concat("odd", F.array_except(f"{c}_ends", "cuts"))).alias(f"{c}_marks")
+    marked = cut.select(key, "a", marks("a"), "b", marks("b"))
+    # the ids that close groups: as many of A as of B
+    last = lambda c: F.array_remove(F.transform(f"{c}_marks", lambda x, i: F.when(x % 2 == 1, F.get(F.col(c), i)).otherwise(F.lit(-1))), -1)
+    return marked.withColumn("links", F.zip_with(last("a"), last("b"), lambda x, y: x.cast(kind) * F.lit(size).cast(kind) + y))
+
+
+def groups() -> Column:
+    """The groups of a row of ``align`` as an array of struct(a, b), arrays of ids."""
+    places = lambda c: F.concat(F.array(F.lit(0)), F.array_remove(F.transform(c, lambda x, i: (x % 2) * (i + 1)), 0))
 
-    def groups(at: Column) -> Column:
-        def one(g: Column) -> Column:
-            a, b = (F.when(g == 1, F.lit(0)).otherwise(F.get(at[c], g - 2)) for c in "ab")
-            return F.struct(F.slice("a", a + 1, F.get(at["a"], g - 1) - a).alias("a"), F.slice("b", b + 1, F.get(at["b"], g - 1) - b).alias("b"))
+    def one(at: Column, g: Column) -> Column:
+        own = lambda x, c: F.slice(x, F.get(at[c], g - 1) + 1, F.get(at[c], g) - F.get(at[c], g - 1)).alias(x)
+        return F.struct(own("a", "a_at"), own("b", "b_at"))
 
-        return F.transform(F.sequence(F.lit(1), F.size(at["a"])), one)
+    # bound first: Catalyst must not put the places into every call
+    bound = F.struct(places("a_marks").alias("a_at"), places("b_marks").alias("b_at"))
+    made = let(bound, lambda at: F.transform(F.sequence(F.lit(1), F.size(at["a_at"]) - 1), lambda g: one(at, g)))
+    return F.when(F.size("a_marks") > 0, made).otherwise(F.array())
 
-    def links(at: Column) -> Column:
-        return F.transform(at["a"], lambda p, i: F.get(F.col("a"), p - 1).cast("bigint") * F.lit(size) + F.get(F.col("b"), F.get(at["b"], i) - 1))
 
-    made = let(both, lambda at: F.struct(groups(at).alias("groups"), links(at).alias("links")))
-    empty = F.struct(F.array().cast("array<struct<a:array<int>,b:array<int>>>").alias("groups"), F.array().cast("array<bigint>").alias("links"))
-    out = cut.select(key, F.when(F.size("cuts") > 0, made).otherwise(empty).alias("made"))
-    return out.select(key, "made.groups", "made.links")
+def spelled() -> Column:
+    """The groups of a row of ``align`` as text: ``a1,a2|b1;a3|b2,b3``. The tokens of each side are joined once, groups told apart
+    by their mark, so that no group is sliced out."""
+    joined = lambda c: F.array_join(F.zip_with(c, f"{c}_marks", lambda x, m: F.concat(x.cast("string"), F.when(m % 2 == 1, ";").otherwise(","))), "")
+    side = lambda c: F.split(F.rtrim(joined(c), F.lit(";")), ";")
+    return F.array_join(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
 
 
 def pair_counts(linked: DataFrame, size_b: int) -> DataFrame:
     """(pair, count, best): how many links hold each pair, and whether that is the most of any pair with its B id."""
-    counts, _ = materialize(linked.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count")), "align-pairs")
+    counts, _ = materialize(linked.select(F.explode("links").alias("pair")).select(F.col("pair").cast("bigint")).groupBy("pair").agg(F.count(F.lit(1)).alias("count")), "align-pairs")
     most = counts.groupBy((F.col("pair") % size_b).alias("b")).agg(F.max("count").alias("most"))
     return counts.join(most, F.col("pair") % size_b == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
@@ -203,16 +219,15 @@ def score(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") ->
     Edge cases as in ``align``; such a row has zeros and an empty digest.
     """
     size = pair.tokenizers().b.get_piece_size()
-    total = lambda c: F.aggregate("groups", F.lit(0).cast("bigint"), lambda n, g: n + F.size(g[c]))
-    shown = F.transform("groups", lambda g: F.concat_ws("|", F.array_join(g["a"].cast("array<string>"), ","), F.array_join(g["b"].cast("array<string>"), ",")))
+    count = lambda c: F.size(c).cast("bigint")
     rows = align(df, pair, key, text).select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "links",
-        total("a").alias("n_a"), total("b").alias("n_b"), F.size("groups").cast("bigint").alias("n_groups"), F.size("links").cast("bigint").alias("n_links"),
-        F.when(F.size("groups") > 0, F.sha2(F.array_join(shown, ";").cast("binary"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
+        count("a").alias("n_a"), count("b").alias("n_b"), count("links").alias("n_groups"), count("links").alias("n_links"),
+        F.when(F.size("a") > 0, F.sha2(spelled().cast("binary"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
     )
     rows, _ = materialize(rows, "align-links")
     counts = pair_counts(rows, size)
     counts = F.broadcast(counts) if pair.most_links() <= BROADCAST else counts
-    sums = rows.select("row", F.explode("links").alias("pair")).join(counts, "pair").groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    sums = rows.select("row", F.explode("links").alias("pair")).withColumn("pair", F.col("pair").cast("bigint")).join(counts, "pair").groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return rows.drop("links").join(sums, "row", "left").select(F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

@@ -30,11 +30,11 @@ TEXTS = [
 def aligned(pair, texts):
     """Groups, links and their counts by a walk over the bytes of each text."""
     t = pair.tokenizers()
-    found = []
+    plain, found = t._plain(pair.raw[0]), []
     for text in texts:
         groups, links = [], []
         if text:
-            ids_a, ids_b = t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)
+            ids_a, ids_b = plain(" " + text), t.b.encode(text)
             if b"".join(t.bytes_a[i] for i in ids_a) == b"".join(t.bytes_b[i] for i in ids_b) == (" " + text).encode():
                 i = j = end_a = end_b = 0
                 a, b = [], []
@@ -83,14 +83,30 @@ def test_alignment_of_the_documents(spark, pair):
     assert sorted(map(tuple, align.score(df, pair).collect())) == sorted((r.doc_id, *x) for r, x in zip(rows, theirs, strict=True))
 
 
+def test_groups_spelled_out(spark, pair):
+    df = align.align(spark.createDataFrame([(1, "a stitch in time"), (2, "")], "doc_id bigint, text string"), pair)
+    one, none = df.select(align.groups().alias("g"), align.spelled().alias("s")).collect()
+    assert one.s == ";".join(",".join(map(str, g.a)) + "|" + ",".join(map(str, g.b)) for g in one.g) and len(one.g) >= 4
+    assert none.g == [] and not none.s.strip("|")
+
+
 def test_long_texts_are_tokenised_alike_in_parts(pair, monkeypatch):
     t = pair.tokenizers()
-    text = "Some words, 12 34 and don't stop;  here é ist 汉字 und so weiter\n" * 60
-    whole = [x.tolist() for x in next(t.encode([text]))]
-    monkeypatch.setattr(align, "PART", 50)
-    assert len(t.parts(text)) > 20 and " ".join(t.parts(text)) == text
-    assert [x.tolist() for x in next(t.encode([text]))] == whole
-    assert t.parts("x" * 500) == ["x" * 500]
+    text = "Some words, 12 34 and don't stop;  here é ist 汉字 und so weiter ▁ \u2003x  y\n z" * 60
+    for own in (text, text.replace("▁", "")):
+        whole = [x.tolist() for x in t.encode(own)]
+        monkeypatch.setattr(align, "PART", 50)
+        assert len(t.parts(own)) > 20 and " ".join(t.parts(own)) == own
+        assert [x.tolist() for x in t.encode(own)] == whole
+        monkeypatch.undo()
+    assert whole[0] and t.parts("x" * 500_000) == ["x" * 500_000]
+
+
+def test_rank_encoder_is_the_tokenizers_library(pair):
+    t = pair.tokenizers()
+    plain = t._plain(pair.raw[0])
+    for text in TEXTS:
+        assert t.encode_a(" " + (text or "")) == plain(" " + (text or ""))
 
 
 def test_alignment_of_nothing_and_its_bound(spark, pair):
