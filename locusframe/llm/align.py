@@ -13,6 +13,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +73,14 @@ class Tokenizers:
         self.seams = not any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.bytes_b)
 
     @staticmethod
-    def _fast(vocabulary: Vocabulary) -> Callable[[str], list[int]] | None:
+    def _fast(vocabulary: Vocabulary) -> Callable[[str], np.ndarray] | None:
         """Where ids rise with the merges, they are ranks, and a rank encoder gives the same ids several times faster."""
         own = {b: i for i, b in enumerate(vocabulary.bytes) if i not in set(vocabulary.special.values())}
         if not (np.diff(vocabulary.made) > 0).all() or len(own) != 256 + len(vocabulary.made) or vocabulary.base.max() > vocabulary.made.min():
             return None
         import tiktoken
 
-        return tiktoken.Encoding("pair", pat_str=PRETOKEN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+        return partial(tiktoken.Encoding("pair", pat_str=PRETOKEN, mergeable_ranks=own, special_tokens={}).encode_to_numpy, disallowed_special=())
 
     @staticmethod
     def _plain(raw: bytes) -> Callable[[str], list[int]]:
@@ -108,15 +109,15 @@ class Tokenizers:
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids by A and by B of the text with a space before it; none of either where the tokens' bytes are not the text's."""
-        ids_a: list[int] = []
-        ids_b: list[int] = []
-        for part in self.parts(text) if text else ():
-            ids_a += self.encode_a(" " + part)
-            ids_b += self.b.encode(part)
+        none = np.empty(0, np.int32)
         raw = (" " + text).encode() if text else b""
-        if not b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b)):
-            ids_a, ids_b = [], []
-        return np.array(ids_a, np.int32), np.array(ids_b, np.int32)
+        parts = self.parts(text) if text else []
+        ids_b = [i for part in parts for i in self.b.encode(part)] if len(parts) > 1 else self.b.encode(parts[0]) if parts else []
+        if not parts or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            return none, none
+        ids_a = np.concatenate([self.encode_a(" " + part) for part in parts]).astype(np.int32, copy=False)
+        # byte-level tokens are stretches of the text: where they are as long as it, they are all of it
+        return (ids_a, np.array(ids_b, np.int32)) if self.size_a[ids_a].sum() == len(raw) else (none, none)
 
 
 #: One pair of tokenizers per worker process.
@@ -164,24 +165,27 @@ def tokenize(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text")
 
 
 def align(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, a, a_marks, b, b_marks, links) for each row: the ids by both tokenizers; for each token twice the byte offset at
-    which it ends, one more where a token of the other ends as well, which closes a group; and the pairs of ids that end together.
+    """(key, a, b, links) for each row. a, b: ten times the id of each token, one more where a token of the other side ends at
+    the same byte, which closes a group. links: the pairs of ids that end together, ``a * B's vocabulary size + b``.
 
-    links: array of ``a * B's vocabulary size + b`` in order of the text. ``groups`` spells the groups out. Texts that are
-    null, empty or not given back by both tokenizers' tokens have empty arrays. Repeated rows give repeated rows; an empty
-    table gives none; other columns, whatever their names, are ignored. Long texts are tokenised in parts; a text without any
-    single space is one part, whatever its length.
+    ``groups`` and ``spelled`` spell the groups out. Texts that are null, empty or not given back by both tokenizers' tokens
+    have empty arrays. Repeated rows give repeated rows; an empty table gives none; other columns, whatever their names, are
+    ignored. Long texts are tokenised in parts; a text without any single space is one part, whatever its length.
     """
     t = pair.tokenizers()
     size, most = len(t.bytes_b), len(t.bytes_a) * len(t.bytes_b)
     kind = "int" if most < 1 << 31 else "bigint"
     cut = tokenize(df, pair, key, text).withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
     cut = cut.withColumn("odd", F.transform("cuts", lambda c: c + 1))
+    # the ends of each side in order again, odd where both sides end
     marks = lambda c: F.sort_array(F.concat("odd", F.array_except(f"{c}_ends", "cuts"))).alias(f"{c}_marks")
-    marked = cut.select(key, "a", marks("a"), "b", marks("b"))
-    # the ids that close groups: as many of A as of B
-    last = lambda c: F.array_remove(F.transform(f"{c}_marks", lambda x, i: F.when(x % 2 == 1, F.get(F.col(c), i)).otherwise(F.lit(-1))), -1)
-    return marked.withColumn("links", F.zip_with(last("a"), last("b"), lambda x, y: x.cast(kind) * F.lit(size).cast(kind) + y))
+    marked = cut.select(key, "a", "b", *map(marks, "ab"))
+    # bound first: Catalyst must not put the sorting into every call
+    flagged = lambda c: let(F.col(f"{c}_marks"), lambda m: F.transform(c, lambda x, i: x * 10 + F.get(m, i) % 2)).alias(c)
+    marked = marked.select(key, *map(flagged, "ab"))
+    last = lambda c: F.filter(c, lambda x: x % 2 == 1)
+    div = lambda x: F.call_function("div", x, F.lit(10)).cast(kind)
+    return marked.withColumn("links", F.zip_with(last("a"), last("b"), lambda x, y: div(x) * F.lit(size).cast(kind) + div(y)))
 
 
 def groups() -> Column:
@@ -189,20 +193,24 @@ def groups() -> Column:
     places = lambda c: F.concat(F.array(F.lit(0)), F.array_remove(F.transform(c, lambda x, i: (x % 2) * (i + 1)), 0))
 
     def one(at: Column, g: Column) -> Column:
-        own = lambda x, c: F.slice(x, F.get(at[c], g - 1) + 1, F.get(at[c], g) - F.get(at[c], g - 1)).alias(x)
+        own = lambda x, c: F.transform(F.slice(x, F.get(at[c], g - 1) + 1, F.get(at[c], g) - F.get(at[c], g - 1)), lambda y: F.call_function("div", y, F.lit(10)).cast("int")).alias(x)
         return F.struct(own("a", "a_at"), own("b", "b_at"))
 
     # bound first: Catalyst must not put the places into every call
-    bound = F.struct(places("a_marks").alias("a_at"), places("b_marks").alias("b_at"))
+    bound = F.struct(places("a").alias("a_at"), places("b").alias("b_at"))
     made = let(bound, lambda at: F.transform(F.sequence(F.lit(1), F.size(at["a_at"]) - 1), lambda g: one(at, g)))
-    return F.when(F.size("a_marks") > 0, made).otherwise(F.array())
+    return F.when(F.size("a") > 0, made).otherwise(F.array())
 
 
 def spelled() -> Column:
-    """The groups of a row of ``align`` as text: ``a1,a2|b1;a3|b2,b3``. The tokens of each side are joined once, groups told apart
-    by their mark, so that no group is sliced out."""
-    joined = lambda c: F.array_join(F.zip_with(c, f"{c}_marks", lambda x, m: F.concat(x.cast("string"), F.when(m % 2 == 1, ";").otherwise(","))), "")
-    side = lambda c: F.split(F.rtrim(joined(c), F.lit(";")), ";")
+    """The groups of a row of ``align`` as text: ``a1,a2|b1;a3|b2,b3``. The tokens of each side are printed and joined once; the
+    last digit of each, 1 where it closes a group, then becomes the sign behind it, so that no group is sliced out."""
+
+    def side(c: str) -> Column:
+        joined = F.array_join(F.col(c).cast("array<string>"), ",")
+        signed = F.replace(F.replace(joined, F.lit("1,"), F.lit(";")), F.lit("0,"), F.lit(","))  # each comma follows a last digit
+        return F.split(F.substring(signed, F.lit(1), F.length(signed) - 1), ";")
+
     return F.array_join(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
 
 

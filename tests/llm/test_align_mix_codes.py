@@ -87,7 +87,7 @@ def test_groups_spelled_out(spark, pair):
     df = align.align(spark.createDataFrame([(1, "a stitch in time"), (2, "")], "doc_id bigint, text string"), pair)
     one, none = df.select(align.groups().alias("g"), align.spelled().alias("s")).collect()
     assert one.s == ";".join(",".join(map(str, g.a)) + "|" + ",".join(map(str, g.b)) for g in one.g) and len(one.g) >= 4
-    assert none.g == [] and not none.s.strip("|")
+    assert none.g == [] and none.s in ("", "|")
 
 
 def test_long_texts_are_tokenised_alike_in_parts(pair, monkeypatch):
@@ -106,7 +106,7 @@ def test_rank_encoder_is_the_tokenizers_library(pair):
     t = pair.tokenizers()
     plain = t._plain(pair.raw[0])
     for text in TEXTS:
-        assert t.encode_a(" " + (text or "")) == plain(" " + (text or ""))
+        assert t.encode_a(" " + (text or "")).tolist() == plain(" " + (text or ""))
 
 
 def test_alignment_of_nothing_and_its_bound(spark, pair):
