@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotypes import GT_TYPE, let
+from .blocks import blocks, kept
 
 
 def column_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -25,47 +27,76 @@ def column_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
-def blocks(df: DataFrame, n_variants: int = 1000, n_bases: int = 10_000_000) -> DataFrame:
-    """Add block_id, a text: contig, cell of n_bases positions, and which n_variants rows of it in position order.
+def _digest(values: Column, bits: int) -> Column:
+    return F.sha2(F.array_join(values, "\n").cast("binary"), bits)
 
-    A block has one contig, at most n_bases positions and at most n_variants rows. Cells are fixed, so that blocks of
-    different cells are formed apart from each other and no contig is ever sorted as a whole. Rows of equal position and
-    alleles are put in order by a hash of the whole row, so that they fall into the same blocks in every run.
-    """
-    cell = F.floor((F.col("pos") - 1) / F.lit(n_bases))
-    order = Window.partitionBy("contig", cell).orderBy("pos", "alleles", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.withColumn("block_id", F.concat_ws(":", "contig", cell.cast("string"), F.floor((F.row_number().over(order) - 1) / F.lit(n_variants)).cast("string")))
 
+def block_digest(df: DataFrame, columns: Sequence[str], bits: int = 512, **sizes: int) -> DataFrame:
+    """(seq, block_id, column, sha<bits>) over a block's values in position order; a block's rows are bounded by its definition."""
+    b = blocks(df, **sizes)
+    out = b.groupBy("seq", "block_id").agg(*[F.array_sort(F.collect_list(F.struct("pos", F.col("alleles").cast("string").alias("o"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v")))).alias(f"l{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), _digest(F.transform(f"l{i}", lambda x: x["v"]), bits).alias(f"sha{bits}")) for i, c in enumerate(columns)])
+    return out.select("seq", "block_id", F.inline(rows))
 
-def block_index(df: DataFrame, n_variants: int = 1000, n_bases: int = 10_000_000) -> DataFrame:
-    """(contig, block_id, n_variants, min_pos, max_pos) of each block: what block pruning needs."""
-    return blocks(df, n_variants, n_bases).groupBy("contig", "block_id").agg(F.count(F.lit(1)).alias("n_variants"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"))
 
+def digest_tree(df: DataFrame, columns: Sequence[str], bits: int = 512, fan: int = 256, **sizes: int) -> DataFrame:
+    """(column, level, node, digest): level 0 has the digests of blocks by seq, and each node above that of at most ``fan``
+    below it, joined by line feeds in their order; the last level has one node for each column.
 
-def read_block(df: DataFrame, block_id: str, n_variants: int = 1000, n_bases: int = 10_000_000) -> DataFrame:
-    """The rows of one block of ``blocks``: its cell is a predicate on contig and position, which prunes what is read."""
-    contig, cell, _ = block_id.rsplit(":", 2)
-    own = df.where((F.col("contig") == contig) & F.col("pos").between(int(cell) * n_bases + 1, (int(cell) + 1) * n_bases))
-    return blocks(own, n_variants, n_bases).where(F.col("block_id") == block_id)
+    No list is longer than ``fan``, however many blocks there are.
+    """
+    level = kept(block_digest(df, columns, bits, **sizes).select("column", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col(f"sha{bits}").alias("digest")), "digest-level")
+    tree, last = level, level.agg(F.max("node")).first()[0]
+    while last:
+        up = level.groupBy("column", (F.col("level") + 1).alias("level"), F.floor(F.col("node") / fan).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("own"))
+        level = kept(up.select("column", "level", F.col("parent").alias("node"), _digest(F.transform("own", lambda x: x["digest"]), bits).alias("digest")), "digest-level")
+        tree, last = tree.unionByName(level), last // fan
+    return tree
 
 
-def block_digest(df: DataFrame, columns: Sequence[str], **sizes: int) -> DataFrame:
-    """(block_id, column, sha512) over a block's values in position order; a block's rows are bounded by its definition."""
-    b = blocks(df, **sizes)
-    out = b.groupBy("block_id").agg(*[F.array_sort(F.collect_list(F.struct("pos", F.col("alleles").cast("string").alias("o"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v")))).alias(f"l{i}") for i, c in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.sha2(F.array_join(F.transform(f"l{i}", lambda x: x["v"]), "\n").cast("binary"), 512).alias("sha512")) for i, c in enumerate(columns)])
-    return out.select("block_id", F.inline(rows))
+def column_digests(df: DataFrame, columns: Sequence[str], bits: int = 512, fan: int = 256, **sizes: int) -> DataFrame:
+    """(column, n_blocks, sha<bits>): the root of each column's ``digest_tree``."""
+    tree = digest_tree(df, columns, bits, fan, **sizes)
+    top = F.max_by("digest", "level").alias(f"sha{bits}")
+    return tree.groupBy("column").agg(F.count_if(F.col("level") == 0).alias("n_blocks"), top)
 
 
 def column_sha512(df: DataFrame, columns: Sequence[str], **sizes: int) -> DataFrame:
-    """(column, n_blocks, sha512) of each column: over its blocks' digests in the order of contigs and blocks.
+    """(column, n_blocks, sha512) of each column, as ``column_digests``."""
+    return column_digests(df, columns, **sizes)
+
+
+def digest_proof(tree: DataFrame, column: str, seq: int, fan: int = 256) -> list[tuple[int, list[str]]]:
+    """For each level but the last: the place of the block's node among its siblings, and their digests, at most fan of them.
 
-    Only digests, 128 letters for each block, come together; values are hashed block by block.
+    Whoever trusts the root can check one block by them (``proves``), without any other block.
     """
-    d = block_digest(df, columns, **sizes)
-    at = F.struct(F.substring_index("block_id", ":", 1).alias("c"), F.get(F.split("block_id", ":"), F.lit(1)).cast("bigint").alias("i"), F.get(F.split("block_id", ":"), F.lit(2)).cast("bigint").alias("j"), "sha512")
-    own = F.transform(F.array_sort(F.collect_list(at)), lambda x: x["sha512"])
-    return d.groupBy("column").agg(F.count(F.lit(1)).alias("n_blocks"), F.sha2(F.array_join(own, "\n").cast("binary"), 512).alias("sha512"))
+    own = tree.where((F.col("column") == column) & (F.floor(F.col("node") / fan) == F.floor(F.lit(seq) / F.pow(F.lit(float(fan)), F.col("level") + 1))))
+    rows = own.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("own")).orderBy("level").collect()
+    return [(seq // fan**r.level % fan, [x.digest for x in r.own]) for r in rows[:-1]]
+
+
+def proves(proof: Sequence[tuple[int, Sequence[str]]], digest: str, root: str) -> bool:
+    """Whether a block's digest is part of a root. A block that is the only one is its own root."""
+    bits = {64: "sha256", 128: "sha512"}[len(root)]
+    for place, siblings in proof:
+        if place >= len(siblings) or siblings[place] != digest:
+            return False
+        digest = hashlib.new(bits, "\n".join(siblings).encode()).hexdigest()
+    return digest == root
+
+
+def changed_blocks(a: DataFrame, b: DataFrame, fan: int = 256) -> DataFrame:
+    """(column, seq) of the blocks in which two trees of equal shape differ, found from the roots down: below equal nodes nothing is looked at."""
+    top = max(t.agg(F.max("level")).first()[0] or 0 for t in (a, b))
+    found = None
+    for level in range(top, -1, -1):
+        x, y = (t.where(F.col("level") == level).select("column", "node", F.col("digest").alias(n)) for t, n in ((a, "a"), (b, "b")))
+        if found is not None:
+            above = found.withColumnRenamed("node", "parent")
+            x, y = (t.join(above, (t["column"] == above["column"]) & (F.floor(t["node"] / fan) == above["parent"]), "left_semi") for t in (x, y))
+        found = kept(x.join(y, ["column", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("column", "node"), "digest-changed")
+    return found.withColumnRenamed("node", "seq")
 
 
 def new_keychain(columns: Sequence[str]) -> dict[str, bytes]:

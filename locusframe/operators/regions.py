@@ -17,8 +17,8 @@ _NUMBER = r"\d+(?:\.\d+)?(?:[eE]\d)?"
 _REGION = re.compile(rf"(?P<contig>[A-Za-z0-9\-_]+)(?::(?P<a>{_NUMBER})(?:-(?P<b>{_NUMBER}))?)?")
 #: Up to this number of intervals the predicate is an OR that reaches the scan; beyond, a semi join by bins.
 INLINE = 100
-#: Bins that all intervals together may be spread over in that join.
-BINS = 100_000
+#: Cells that all intervals together may be spread over in that join, and the longest class of records, as a power of 2.
+BINS, CLASSES = 100_000, 40
 
 
 @dataclass(frozen=True, order=True)
@@ -96,15 +96,18 @@ def filter_regions(df: DataFrame, regions: Sequence[str | Interval], contigs: It
         return src.where(reduce(lambda a, b: a | b, (_inside(i, first, last) for i in wanted))).drop("__end")
     whole = [i.contig for i in wanted if i.low is None]
     rest = [i for i in wanted if i.low is not None]
-    # a row is met by its position alone, so that the join can be a semi join that gives it once: intervals reach back by
-    # the length of the longest record
-    back = 0
-    if overlap == "span":
-        back = max(0, (src.agg(F.max(F.col("__end") - F.col("pos"))).first()[0] or 0))
-    width = max(16_384, sum(i.high - i.low + 1 + back for i in rest) // BINS + 1)
+    # a row is met by the cell of its start alone, so that the join can be a semi join that gives it once. Records are told
+    # apart by the power of 2 that their length needs: intervals reach back by that, in cells of that width, for each class
+    # of its own, so that one long record widens nothing for the others
+    least = max(14, (sum(i.high - i.low + 1 for i in rest) // BINS).bit_length())
+    shift = lambda c, k: F.call_function("shiftright", c, k)
     rows = [(i.contig, i.low, i.high) for i in rest]
     bins = df.sparkSession.createDataFrame(rows, "r_contig string, r_low bigint, r_high bigint")
-    bins = bins.withColumn("r_bin", F.explode(F.sequence(F.floor((F.col("r_low") - back) / width), F.floor(F.col("r_high") / width))))
-    hit = src.withColumn("__bin", F.floor(F.col("pos") / width)).join(bins, (F.col("contig") == F.col("r_contig")) & (F.col("__bin") == F.col("r_bin")) & (last >= F.col("r_low")) & (first <= F.col("r_high")), "left_semi")
-    hit = hit.drop("__bin", "__end")
+    bins = bins.withColumn("r_class", F.explode(F.array(*[F.lit(k) for k in (range(least, CLASSES + 1) if overlap == "span" else [least])])))
+    back = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("r_class")) if overlap == "span" else F.lit(0)
+    bins = bins.withColumn("r_cell", F.explode(F.sequence(shift(F.greatest(F.col("r_low") - back, F.lit(0).cast("bigint")), F.col("r_class")), shift(F.col("r_high"), F.col("r_class")))))
+    own = F.least(F.greatest(F.lit(least), F.ceil(F.log2((last - first + 1).cast("double"))).cast("int")), F.lit(CLASSES))
+    met = src.withColumn("__class", own).withColumn("__cell", shift(F.col("pos"), F.col("__class")))
+    on = (F.col("contig") == F.col("r_contig")) & (F.col("__class") == F.col("r_class")) & (F.col("__cell") == F.col("r_cell")) & (last >= F.col("r_low")) & (first <= F.col("r_high"))
+    hit = met.join(bins, on, "left_semi").drop("__class", "__cell", "__end")
     return hit if not whole else hit.unionByName(src.where(F.col("contig").isin(whole)).drop("__end"))

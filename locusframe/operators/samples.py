@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
+from ..session import ship
 
 # Allele classes, in the order of the rows and columns of the conversion matrix.
 CLASSES = ["A", "T", "G", "C", "unknown", "missing", "absent", "insertion", "deletion"]
@@ -45,11 +48,6 @@ def allele_classes(alleles: str = "alleles") -> Column:
     return F.when((F.length(ref) > 1) | ref.isin("A", "T", "G", "C"), F.concat(F.array(first), rest))
 
 
-def zigzag(size: Column) -> Column:
-    """0, -1, 1, -2, 2 ... as 0, 1, 2, 3, 4 ...: odd numbers are deletions."""
-    return F.shiftleft(size, 1).bitwiseXOR(F.shiftright(size, 31))
-
-
 def site_summary(df: DataFrame) -> DataFrame:
     """One row of counters over all sites."""
     c = df.select("alleles", allele_classes().alias("cl"), G.allele_counts().alias("ac"))
@@ -80,70 +78,191 @@ def alt_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy(F.least(F.size("alleles") - 1, F.lit(SLOTS - 1)).alias("n_alts")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _calls(df: DataFrame) -> DataFrame:
-    """(sample_id, ref, code, size) of every allele of every call that is not all REF; absent slots count as absent.
+# Cells of a sample's counts: conversions by REF class and class, then indels by zig-zag number of their size, then singletons.
+SIDE = len(CLASSES)
+SIZES = SIDE * SIDE
+SINGLETON = SIZES + 2 * LONGEST + 1
+CELLS = SINGLETON + 1
+#: Indel calls that a task holds before equal ones are counted.
+HELD = 1 << 20
+
+
+class Counts:
+    """What one task adds up: conversions of every sample as one dense array, indels by size as counted keys."""
+
+    def __init__(self) -> None:
+        self.samples = 0
+        self.dense = np.zeros((0, SIZES + 1), np.int64)  # the last column counts singletons
+        self.keys, self.sums, self.new, self.n_new = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def grow(self, samples: int) -> None:
+        if samples > self.samples:
+            self.dense = np.vstack([self.dense, np.zeros((samples - self.samples, SIZES + 1), np.int64)])
+            self.samples = samples
+
+    def fold(self) -> None:
+        own, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.new]), return_counts=True)
+        keys, at = np.unique(np.concatenate([self.keys, own]), return_inverse=True)
+        self.sums = np.bincount(at, np.concatenate([self.sums, n]), len(keys)).astype(np.int64)
+        self.keys, self.new, self.n_new = keys, [], 0
+
+    def add(self, calls: np.ndarray, sample: np.ndarray, site: np.ndarray, classes: np.ndarray, sizes: np.ndarray, first: np.ndarray, n_alleles: np.ndarray, samples: int) -> None:
+        """calls: allele numbers (-1 missing, -2 absent) of calls that are not all REF, slot by slot; classes and sizes of the
+        alleles of all sites, those of a site from its ``first`` on."""
+        self.grow(samples)
+        at = first[site][:, None] + np.clip(calls, 0, n_alleles[site][:, None] - 1)
+        known = (calls >= 0) & (calls < n_alleles[site][:, None])
+        code = np.where(calls == -1, MISSING, np.where(calls == -2, ABSENT, np.where(known, classes[at], UNKNOWN)))
+        cell = classes[first[site]][:, None] * SIDE + code
+        whose = np.broadcast_to(sample[:, None], calls.shape)
+        keys, n = np.unique(whose * SIZES + cell, return_counts=True)
+        self.dense[keys // SIZES, keys % SIZES] += n
+        indel = (code == INSERTION) | (code == DELETION)
+        if indel.any():
+            size = sizes[at][indel]
+            self.new.append(whose[indel] * CELLS + SIZES + np.where(size >= 0, 2 * size, -2 * size - 1))
+            self.n_new += len(size)
+            if self.n_new > HELD:
+                self.fold()
+        alts = (calls > 0).sum(1)
+        per_site = np.bincount(site, alts, len(first))
+        single = (alts == 1) & (per_site[site] == 1)
+        np.add.at(self.dense[:, SIZES], sample[single], 1)
 
-    Calls of REF alone, the bulk of most data, are dropped before rows are made of arrays.
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sample, cell, n) of what is not zero."""
+        self.fold()
+        sample, cell = np.nonzero(self.dense)
+        n = self.dense[sample, cell]
+        return np.r_[sample, self.keys // CELLS], np.r_[np.where(cell == SIZES, SINGLETON, cell), self.keys % CELLS], np.r_[n, self.sums]
+
+
+def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = Counts()
+    ints = lambda c, k: np.asarray(k(c), np.int64)
+    for b in batches:
+        flat, lens, ploidy, n_calls, classes, sizes = (b.column(i) for i in range(6))
+        if not len(flat):
+            continue
+        values, length = ints(flat, lambda c: c.flatten()), ints(flat, lambda c: c.value_lengths())
+        ploidy, n = ints(ploidy, lambda c: c), ints(n_calls, lambda c: c)
+        n_alleles = ints(classes, lambda c: c.value_lengths())
+        first = np.cumsum(n_alleles) - n_alleles
+        begins = np.cumsum(length) - length
+        even = np.asarray(lens.is_null())
+        parts = []
+        for p in np.unique(ploidy[even & (length > 0)]):  # sites whose calls all have p alleles
+            sites = np.flatnonzero(even & (ploidy == p) & (length > 0))
+            site = np.repeat(sites, n[sites])
+            place = np.arange(len(site)) - np.repeat(np.cumsum(n[sites]) - n[sites], n[sites])
+            at = (begins[site] + place * p)[:, None] + np.arange(p)
+            calls = values[at]
+            kept = np.flatnonzero((calls != 0).any(1))
+            parts.append((calls[kept], place[kept], site[kept]))
+        for s in np.flatnonzero(~even):
+            own_lens = np.asarray(lens[s].values, np.int64)
+            p = int(ploidy[s])
+            calls = np.full((len(own_lens), p), -2, np.int64)
+            calls[np.arange(p) < own_lens[:, None]] = values[begins[s] : begins[s] + length[s]]
+            kept = np.flatnonzero(((calls != 0) & (calls != -2)).any(1))
+            parts.append((calls[kept], kept, np.full(len(kept), s)))
+        for calls, place, site in parts:
+            if len(calls):
+                own.add(calls, place, site, ints(classes, lambda c: c.flatten()), ints(sizes, lambda c: c.flatten()), first, n_alleles, int(place.max()) + 1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in own.rows()], ["sample_id", "cell", "n"])
+
+
+def sample_cells(df: DataFrame) -> DataFrame:
+    """(sample_id, cell, n): all that is counted of samples, from one scan and one exchange.
+
+    Each task adds its sites up in arrays, as large as the number of samples asks, whatever the number of sites; only their
+    cells that are not zero are exchanged, by sample, so that what follows by sample needs no other exchange.
     """
-    src = df.select(allele_classes().alias("cl"), G.ploidy().alias("pl"), F.filter(F.transform("gt", lambda g, i: F.struct(i.alias("i"), g["a"].alias("a"))), lambda x: F.exists(x["a"], lambda y: y != 0)).alias("g")).where("cl is not null")
-    one = src.select(F.get(F.col("cl"), F.lit(0))["code"].alias("ref"), "cl", "pl", F.explode("g").alias("g"))
-    slots = F.concat(F.col("g.a"), F.array_repeat(F.lit(-2), F.greatest(F.col("pl") - F.size("g.a"), F.lit(0))))
-    return one.select(F.col("g.i").cast("bigint").alias("sample_id"), "ref", "cl", F.explode(slots).alias("x")).select(
-        "sample_id",
-        "ref",
-        F.when(F.col("x") == -1, MISSING).when(F.col("x") == -2, ABSENT).otherwise(F.coalesce(F.get(F.col("cl"), F.greatest(F.col("x"), F.lit(0)))["code"], F.lit(UNKNOWN))).alias("code"),
-        F.when(F.col("x") >= 0, F.coalesce(F.get(F.col("cl"), F.greatest(F.col("x"), F.lit(0)))["size"], F.lit(0))).otherwise(0).alias("size"),
-    )
+    ship(df.sparkSession)
+    flat = F.flatten(F.col("gt.a"))
+    ploidy, n = G.ploidy(), F.size("gt")
+    lens = F.when(F.size(flat) != ploidy * n, F.transform("gt", lambda g: F.size(g["a"])))
+    cl = F.col("cl")
+    src = df.select("gt", allele_classes().alias("cl")).where("cl is not null and gt is not null")
+    made = src.select(flat.alias("v"), lens.alias("lens"), ploidy.alias("p"), n.alias("n"), cl["code"].alias("code"), cl["size"].alias("size")).mapInArrow(_accumulate, "sample_id bigint, cell bigint, n bigint")
+    return made.repartition("sample_id").groupBy("sample_id", "cell").agg(F.sum("n").alias("n"))
 
 
 def conversions(df: DataFrame) -> DataFrame:
-    """(sample_id, ref, code, n): how often each sample has an allele of a class at sites of a REF class."""
-    return _calls(df).groupBy("sample_id", "ref", "code").agg(F.count(F.lit(1)).alias("n"))
+    """(sample_id, ref, code, n): how often each sample has an allele of a class at sites of a REF class. Calls of REF alone do
+    not count; absent slots do, as absent."""
+    own = sample_cells(df).where(F.col("cell") < SIZES)
+    return own.select("sample_id", F.floor(F.col("cell") / SIDE).cast("int").alias("ref"), (F.col("cell") % SIDE).cast("int").alias("code"), "n")
 
 
 def indel_spectrum(df: DataFrame) -> DataFrame:
     """(sample_id, slot, n): insertions and deletions by zig-zag number of their size."""
-    return _calls(df).where(F.col("code").isin(INSERTION, DELETION)).groupBy("sample_id", zigzag(F.col("size")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    own = sample_cells(df).where(F.col("cell").between(SIZES, SINGLETON - 1))
+    return own.select("sample_id", (F.col("cell") - SIZES).cast("int").alias("slot"), "n")
 
 
 def singletons(df: DataFrame) -> DataFrame:
-    """(sample_id, n_singleton): the only carrier of the only ALT allele of a site. Found within each site's row."""
-    carriers = F.flatten(F.transform("gt", lambda g, i: F.transform(F.filter(g["a"], lambda x: x > 0), lambda x: i)))
-    own = df.where(allele_classes().isNotNull()).select(carriers.alias("c")).where(F.size("c") == 1)
-    return own.groupBy(F.get(F.col("c"), F.lit(0)).cast("bigint").alias("sample_id")).agg(F.count(F.lit(1)).alias("n_singleton"))
+    """(sample_id, n_singleton): the only carrier of the only ALT allele of a site."""
+    return sample_cells(df).where(F.col("cell") == SINGLETON).select("sample_id", F.col("n").alias("n_singleton"))
 
 
-def sample_summary(df: DataFrame) -> DataFrame:
-    """(sample_id, n_ts, n_tv, ts_tv, n_ins, n_del, n_singleton) of every sample with a call that is not REF."""
-    ref, code, n = F.col("ref"), F.col("code"), F.col("n")
+def _sums() -> list[Column]:
+    """Ts, Tv, their ratio, insertions, deletions and singletons of a sample's cells."""
+    ref, code, n = F.floor(F.col("cell") / SIDE), F.col("cell") % SIDE, F.col("n")
     pair = lambda a, b: (ref == a) & (code == b)
     transition = pair(0, 2) | pair(2, 0) | pair(1, 3) | pair(3, 1)
     change = (ref < 4) & (code < 4) & (ref != code)
-    total = lambda test: F.sum(F.when(test, n).otherwise(0)).cast("bigint")
-    out = conversions(df).groupBy("sample_id").agg(total(transition).alias("n_ts"), total(change & ~transition).alias("n_tv"), total(code == INSERTION).alias("n_ins"), total(code == DELETION).alias("n_del"))
-    out = out.join(singletons(df), "sample_id", "left")
-    return out.select("sample_id", "n_ts", "n_tv", F.when(F.col("n_tv") > 0, F.col("n_ts") / F.col("n_tv")).otherwise(F.lit(0.0)).alias("ts_tv"), "n_ins", "n_del", F.coalesce("n_singleton", F.lit(0)).cast("bigint").alias("n_singleton"))
+    total = lambda test: F.coalesce(F.sum(F.when(test & (F.col("cell") < SIZES), n)), F.lit(0)).cast("bigint")
+    ts, tv = total(transition), total(change & ~transition)
+    single = F.coalesce(F.sum(F.when(F.col("cell") == SINGLETON, n)), F.lit(0)).cast("bigint")
+    return [ts.alias("n_ts"), tv.alias("n_tv"), F.when(tv > 0, ts / tv).otherwise(F.lit(0.0)).alias("ts_tv"), total(code == INSERTION).alias("n_ins"), total(code == DELETION).alias("n_del"), single.alias("n_singleton")]
 
 
-def to_json(df: DataFrame, samples: Sequence[str]) -> DataFrame:
-    """One row, ``value``: {"VI": site counters, "PSI": {sample: its statistics}}, zeros for a sample without any. As large as the number of samples asks."""
+def sample_summary(df: DataFrame) -> DataFrame:
+    """(sample_id, n_ts, n_tv, ts_tv, n_ins, n_del, n_singleton) of every sample with a call that is not REF."""
+    return sample_cells(df).groupBy("sample_id").agg(*_sums())
+
+
+def sample_rows(df: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """(name, n_ts, n_tv, ts_tv, n_ins, n_del, n_singleton, conv, in_dist, del_dist): a row for each sample, zeros for one
+    without any call that is not REF. One scan and one exchange of counts."""
     listed = df.sparkSession.createDataFrame(list(enumerate(samples)), "sample_id bigint, listed string")
-    name = F.coalesce("listed", F.col("sample_id").cast("string"))
-    conv = conversions(df).groupBy("sample_id").agg(F.collect_list(F.struct("ref", "code", "n")).alias("c"))
-    cell = lambda i, j: F.coalesce(F.get(F.transform(F.filter("c", lambda x: (x["ref"] == i) & (x["code"] == j)), lambda x: x["n"]), F.lit(0)), F.lit(0))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: cell(i, j)))
-    conv = conv.select("sample_id", grid.alias("conv"))
-    spectrum = indel_spectrum(df).groupBy("sample_id").agg(F.collect_list(F.struct("slot", "n")).alias("d"))
-    slot = lambda s: F.coalesce(F.get(F.transform(F.filter("d", lambda x: x["slot"] == s), lambda x: x["n"]), F.lit(0)), F.lit(0))
+    own = sample_cells(df).groupBy("sample_id").agg(*_sums(), F.collect_list(F.struct("cell", "n")).alias("own"))
+    per = listed.join(own, "sample_id", "full")
+    # all cells in their order: those that are there, and zeros for the others
+    there = F.coalesce("own", F.array().cast("array<struct<cell:bigint,n:bigint>>"))
+    missing = F.transform(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(CELLS - 1).cast("bigint")), there["cell"]), lambda c: F.struct(c.alias("cell"), F.lit(0).cast("bigint").alias("n")))
+    per = per.withColumn("all", F.array_sort(F.concat(there, missing)))
+    per = per.withColumn("all", F.col("all.n"))
     sizes = F.sequence(F.lit(1), F.lit(LONGEST))
-    spectrum = spectrum.select("sample_id", F.transform(sizes, lambda k: slot(2 * k)).alias("in_dist"), F.transform(sizes, lambda k: slot(2 * k - 1)).alias("del_dist"))
-    per = listed.join(sample_summary(df), "sample_id", "full").join(conv, "sample_id", "left").join(spectrum, "sample_id", "left")
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), LONGEST)
-    full = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ts", "n_tv", "ts_tv", "n_ins", "n_del", "n_singleton")]
-    full += [F.coalesce("conv", F.array_repeat(F.array_repeat(F.lit(0).cast("bigint"), len(CLASSES)), len(CLASSES))).alias("conv"), *(F.coalesce(c, zeros).alias(c) for c in ("in_dist", "del_dist"))]
-    per = per.select(name.alias("name"), F.struct(*full).alias("s"))
-    psi = per.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "s")))).alias("PSI"))
-    histogram = alt_histogram(df).agg(F.map_from_entries(F.collect_list(F.struct("n_alts", "n"))).alias("m"))
+    return per.select(
+        F.coalesce("listed", F.col("sample_id").cast("string")).alias("name"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ts", "n_tv", "ts_tv", "n_ins", "n_del", "n_singleton")],
+        F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.slice("all", i * SIDE + 1, SIDE)).alias("conv"),
+        F.transform(sizes, lambda k: F.get("all", SIZES + 2 * k)).alias("in_dist"),
+        F.transform(sizes, lambda k: F.get("all", SIZES + 2 * k - 1)).alias("del_dist"),
+    )
+
+
+def _sites(df: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """One row, VI: site counters and the histogram of ALT alleles."""
+    histogram = alt_histogram(df).agg(F.map_from_entries(F.collect_list(F.struct("n_alts", "n"))).alias("m"))  # SLOTS rows at most
     alts = histogram.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("n_alts"))
     vi = site_summary(df).crossJoin(alts)  # one row each
-    return vi.select(F.struct(F.lit(len(samples)).alias("n_samples"), "*").alias("VI")).crossJoin(psi).select(F.to_json(F.struct("VI", "PSI")).alias("value"))
+    return vi.select(F.struct(F.lit(len(samples)).alias("n_samples"), "*").alias("VI"))
+
+
+def json_lines(df: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """``value``: a line with the site counters, {"VI": ...}, and a line for each sample, {"sample": name, ...}."""
+    own = sample_rows(df, samples)
+    lines = own.select(F.to_json(F.struct(F.col("name").alias("sample"), *[c for c in own.columns if c != "name"])).alias("value"))
+    return _sites(df, samples).select(F.to_json(F.struct("VI")).alias("value")).unionByName(lines)
+
+
+def to_json(df: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """One row, ``value``: {"VI": site counters, "PSI": {sample: its statistics}}. It is as large as the number of samples asks;
+    ``json_lines`` gives the same a line a sample."""
+    own = sample_rows(df, samples)
+    per = own.select("name", F.struct(*[c for c in own.columns if c != "name"]).alias("s"))
+    psi = per.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "s")))).alias("PSI"))
+    return _sites(df, samples).crossJoin(psi).select(F.to_json(F.struct("VI", "PSI")).alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
 from ..functions import text as X
-from ..operators import annotate, filters, integrity, regions, samples, slicing
+from ..operators import annotate, blocks, filters, integrity, regions, samples, slicing
 from . import derived, filed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def _many() -> list[regions.Interval]:
 _INDEL = "case when length(ref) > 1 then 'INDEL' when length(alt1) > 1 then 'INDEL' else 'SNP' end"
 
 
+#: Digests of blocks, and one level of a tree with eight nodes under each above another.
+_DIGESTS = ", l0 as (select c, seq, seq as node, block_id, sha256(string_agg(coalesce(v, ''), chr(10) order by pos)) as digest from (select seq, block_id, pos, 'id' as c, id as v from b union all select seq, block_id, pos, 'pos', cast(pos as varchar) from b) group by 1, 2, 3, 4)"
+_UP = ", l{j} as (select c, node // 8 as node, sha256(string_agg(digest, chr(10) order by node)) as digest from l{i} group by 1, node // 8)"
+
+
 def _entries() -> dict[str, tuple]:
     e: dict[str, tuple] = {}
 
@@ -121,6 +126,13 @@ def _entries() -> dict[str, tuple]:
         derived.CTE + " select site_id, contig, pos from fx_sites where (contig = 'chr1' and pos <= 1312 and pos + greatest(length(ref), length(alt1)) - 1 >= 1312) or (contig = 'chr2' and pos <= 122 and pos + greatest(length(ref), length(alt1)) - 1 >= 122)",
         False,
     )
+    reaching = lambda d: d.withColumn("info", F.struct((F.col("pos") + F.expr("shiftleft(1L, cast(site_id % 24 as int))")).alias("END")))
+    add(
+        "region_span_classes",
+        lambda d: _site(regions.filter_regions(reaching(d), _many(), overlap="span")),
+        derived.CTE + " select site_id, contig, pos from fx_sites s where exists (select 1 from range(150) r(i) where s.contig = 'chr' || cast(r.i % 5 + 1 as varchar) and s.pos <= r.i * 400 + 99 and s.pos + (1::bigint << (site_id % 24)) >= r.i * 400)",
+        False,
+    )
     add("record_end", lambda d: _site(regions.with_end(d), "end_pos"), derived.CTE + " select site_id, contig, pos, pos + greatest(length(ref), length(alt1)) - 1 as end_pos from fx_sites", False)
 
     every = derived.CTE + " select site_id, contig, pos from fx_sites s where "
@@ -278,19 +290,26 @@ def _entries() -> dict[str, tuple]:
         lambda d: samples.to_json(d, [f"s{i}" for i in range(derived.N_SAMPLES)]).select(F.from_json(F.get_json_object("value", "$.VI"), "n_samples bigint, n_records bigint, n_biallelic bigint, n_alts array<bigint>").alias("s")).select("s.n_samples", "s.n_records", "s.n_biallelic", F.get("s.n_alts", F.lit(2)).alias("two_alts")),
         derived.CTE + f" select cast({derived.N_SAMPLES} as bigint) as n_samples, cast(count(*) as bigint) as n_records, cast(count(*) filter (alt2 is null) as bigint) as n_biallelic, cast(count(*) filter (alt2 is not null) as bigint) as two_alts from fx_sites",
     )
+    add(
+        "block_digest",
+        lambda d: integrity.block_digest(d, ["id", "pos"], 256, n_variants=100, n_bases=50_000).select("seq", "block_id", "column", "sha256"),
+        derived.blocks_sql(100, 50_000) + _DIGESTS + " select seq, block_id, c as \"column\", digest as sha256 from l0",
+        False,
+    )
     add(
         "block_digest_sizes",
         lambda d: integrity.block_digest(d, ["id", "pos"], n_variants=100, n_bases=50_000).groupBy("column").agg(F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("sha512").alias("n_digests"), F.max(F.length("sha512")).cast("bigint").alias("letters")),
-        derived.CTE + ", b as (select distinct contig, (pos - 1) // 50000 as cell, (row_number() over (partition by contig, (pos - 1) // 50000 order by pos) - 1) // 100 as part from fx_sites) select c as \"column\", cast(count(*) as bigint) as n_blocks, cast(count(*) as bigint) as n_digests, cast(128 as bigint) as letters from b, (values ('id'), ('pos')) t(c) group by c",
+        derived.blocks_sql(100, 50_000) + "select c as \"column\", cast(count(distinct block_id) as bigint) as n_blocks, cast(count(distinct block_id) as bigint) as n_digests, cast(128 as bigint) as letters from b, (values ('id'), ('pos')) t(c) group by c",
+        False,
+    )
+    add(
+        "column_sha256",
+        lambda d: integrity.column_digests(d, ["id", "pos"], 256, fan=8, n_variants=100, n_bases=50_000),
+        derived.blocks_sql(100, 50_000) + _DIGESTS + "".join(_UP.format(i=i, j=i + 1) for i in range(6))
+        + " select c as \"column\", (select count(*) from l0 x where x.c = r.c) as n_blocks, digest as sha256 from ("
+        + " union all ".join(f"select {i} as level, c, node, digest from l{i} where (select count(distinct node) from l{i}) = 1" for i in range(7)) + ") r qualify row_number() over (partition by c order by level) = 1",
         False,
     )
-    gt = lambda c: f"case when {c}.a0 = -1 then '.' else cast({c}.a0 as varchar) end || case when {c}.a1 is null then '' else case when {c}.phased then '|' else '/' end || case when {c}.a1 = -1 then '.' else cast({c}.a1 as varchar) end end"
-
-    def vcf_lines(d: DataFrame) -> DataFrame:
-        from ..sources import sinks
-
-        return sinks.vcf_lines(d.drop("info", "info_keys", "fmt").withColumn("format_keys", F.array(F.lit("GT")))).select("site_id", "value")
-
     add(
         "vcf_lines",
         vcf_lines,
@@ -298,8 +317,8 @@ def _entries() -> dict[str, tuple]:
     )
     add(
         "block_index",
-        lambda d: integrity.block_index(d, 100, 50_000).select("contig", "n_variants", "min_pos", "max_pos"),
-        derived.CTE + ", b as (select contig, pos, (pos - 1) // 50000 as cell, (row_number() over (partition by contig, (pos - 1) // 50000 order by pos) - 1) // 100 as part from fx_sites) select contig, cast(count(*) as bigint) as n_variants, min(pos) as min_pos, max(pos) as max_pos from b group by contig, cell, part",
+        lambda d: blocks.block_index(d, 100, 50_000, chunk=1000).select("seq", "contig", "block_id", "n_variants", "min_pos", "max_pos"),
+        derived.blocks_sql(100, 50_000) + "select seq, contig, block_id, cast(count(*) as bigint) as n_variants, min(pos) as min_pos, max(pos) as max_pos from b group by 1, 2, 3",
         False,
     )
     num = lambda c: f"cast(sum(('0x' || substr(md5(case when {c} is null then 'n:' else 'v:' || cast({c} as varchar) end), 1, 15))::bigint) as varchar)"
@@ -338,7 +357,6 @@ def builds() -> dict[str, tuple[Callable[[DataFrame], DataFrame], bool]]:
 def queries() -> dict[str, Query]:
     out = {k: v[0] for k, v in _entries().items()} | {k: v[0] for k, v in filed.entries().items()}
     out["column_sha512"] = _q(lambda d: integrity.column_sha512(d, ["id", "pos"]), False)
-    out["block_digest"] = _q(lambda d: integrity.block_digest(d, ["id", "pos"]), False)
     out["stats_json"] = _q(lambda d: samples.to_json(d, [f"s{i}" for i in range(derived.N_SAMPLES)]))
     return out
 

@@ -112,11 +112,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 f.write(integrity.keychain_to_json(keys))
         store.write_store(q.df, q.header, a.output, a.rows, a.level, keys if a.encrypt else None)
     elif a.command == "stats":
-        out = q.stats_json()
-        if a.output:
-            out.write.text(a.output)
+        if a.output:  # a line a sample
+            q.stats_lines().write.text(a.output)
         else:
-            print(out.first().value)
+            print(q.stats_json().first().value)
     elif a.header_only:
         print("\n".join(q.header.text()))
     else:

@@ -37,6 +37,18 @@ CTE = (
 )
 
 
+def blocks_sql(n_variants: int, n_bases: int) -> str:
+    """DuckDB: ``b`` (contig, pos, id, seq, block_id), blocks being formed row after row."""
+    return (
+        CTE.replace("with ", "with recursive ", 1)
+        + f""", o as (select contig, pos, id, row_number() over (partition by contig order by pos) - 1 as i, count(*) over (partition by contig) as total,
+  least({n_variants}, count(*) over (partition by contig order by pos range between current row and {n_bases} following)) as own from fx_sites),
+st as (select contig, cast(0 as bigint) as i, 0 as number from o where i = 0 union all select o.contig, o.i + o.own, st.number + 1 from st join o on o.contig = st.contig and o.i = st.i where o.i + o.own < o.total),
+bk as (select contig, i, number, lead(i) over (partition by contig order by i) as following, row_number() over (order by contig, i) - 1 as seq from st),
+b as (select o.contig, o.pos, o.id, bk.seq, o.contig || ':' || cast(bk.number as varchar) as block_id from o join bk on bk.contig = o.contig and o.i >= bk.i and o.i < coalesce(bk.following, o.total)) """
+    )
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants without genotypes: one scan of orders, no shuffle. filters is an array of one; site_id is kept."""
     s = spark.sql(_SITES.format(orders=f"parquet.`{sf_dir}/orders.parquet`"))

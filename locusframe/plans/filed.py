@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
-from ..operators import annotate, integrity
+from ..operators import annotate, blocks
 from ..sources import bcf, sinks, store, vcf
 from ..sources.header import Header
 from . import derived
@@ -163,8 +163,8 @@ def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
     fields = [("INFO", "DP", "1", "Integer"), ("INFO", "DB", "0", "Flag"), ("INFO", "SC", "A", "Float"), ("INFO", "TX", "1", "String"), ("FORMAT", "GT", "1", "String"), ("FORMAT", "DP", "1", "Integer"), ("FORMAT", "GQ", "1", "Float")]
     fields += [("FILTER", x, "", "") for x in "FOP"] + [("contig", f"chr{i}", "2000000000", "") for i in range(1, 6)] + [("sample", x, "", "") for x in SAMPLES] + [("INFO", "AC", "R", "Integer"), ("INFO", "MULTI_ALLELIC", "0", "Flag")]
     add("header_definitions", "vcf", lambda q: definitions(q.annotate(["AC", "MULTI_ALLELIC"])), "select * from (values " + ", ".join(f"('{k}', '{n}', '{x}', '{t}')" for k, n, x, t in fields) + ") t(kind, name, number, type)")
-    ordered = derived.CTE + ", b as (select contig, pos, id, row_number() over (partition by contig, (pos - 1) // 50000 order by pos) - 1 as i, (pos - 1) // 50000 as cell from fx_sites) "
-    add("block_access", "store", lambda q: integrity.read_block(q.df, "chr2:0:1", 100, 50_000).select("contig", "pos", "id"), ordered + "select contig, pos, id from b where contig = 'chr2' and cell = 0 and i between 100 and 199")
+    add("block_access", "store", lambda q: blocks.read_block(q.df, "chr2:3", 100, 50_000).select("contig", "pos", "id"), derived.blocks_sql(100, 50_000) + "select contig, pos, id from b where block_id = 'chr2:3'")
+    add("block_rows", "store", lambda q: blocks.blocks(q.df, 40, 20_000).select("contig", "pos", "seq", "block_id"), derived.blocks_sql(40, 20_000) + "select contig, pos, seq, block_id from b")
     add("file_lines", "vcf", lambda q: q.df.sparkSession.read.text(_path(q)).groupBy(F.startswith("value", F.lit("#")).alias("head")).agg(F.count(F.lit(1)).alias("n")), derived.CTE + f"select false as head, cast(count(*) as bigint) as n from fx_sites union all select true, cast({len(HEADER)} as bigint)")
     return e
 

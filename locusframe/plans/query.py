@@ -90,6 +90,9 @@ class VariantQuery:
     def stats_json(self) -> DataFrame:
         return samples.to_json(self.df, self.header.samples)
 
+    def stats_lines(self) -> DataFrame:
+        return samples.json_lines(self.df, self.header.samples)
+
     def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None, keys: Mapping[str, bytes] | None = None, index: bool = False) -> None:
         """format: store (keys: columns to encrypt), vcf, vcf.gz, vcf.bgz or bcf (index: CSI files beside these two). The header records the command, if given,
         with the versions of this package and of Spark."""

@@ -123,6 +123,21 @@ def test_many_regions_equal_few(spark, query):
         assert got == want
 
 
+def test_long_records_by_class(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("c1", r.randrange(1, 3_000_000), r.choice([0, 1, 2, 3, 16383, 16384, 16385, 70_000, 2_500_000])) for _ in range(1500)]
+    df = spark.createDataFrame([(c, p, ["A", "C"], (p + n,)) for c, p, n in rows], "contig string, pos bigint, alleles array<string>, info struct<END:bigint>")
+    many = [regions.Interval("c1", a, a + 40) for a in range(5, 3_000_000, 21_001)]
+    assert len(many) > regions.INLINE
+    got = regions.filter_regions(df, many, overlap="span")
+    want = [(p, p + n) for _, p, n in rows if any(p <= i.high and max(p + n, p) >= i.low for i in many)]
+    assert sorted((x.pos, x.info.END) for x in got.collect()) == sorted(want) and len(want) < 1500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan  # no pass for the longest record
+
+
 def test_slicing(query):
     assert lines(query.sites().fields("INFO=AC"))[0] == "c1\t1\t.\t.\t.\t.\tPASS\tAC=10"
     assert lines(query.sites().fields("info=AF,AC;ref", "Alt"))[0] == "c1\t1\t.\tA\tT\t.\tPASS\tAF=0.217;AC=10"
