@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import exact
 from ..functions import genotypes as G
+from . import runs
 
 #: Annotations by name, in the order in which they are added.
 TAGS = ["AC", "AF", "AN", "NM", "NPM", "HWE_P", "AC_P", "FS_A", "F_PIC", "HET", "MULTI_ALLELIC", "VT"]
@@ -42,8 +43,14 @@ DEFINITIONS = {
 _NEEDS = {"AC": ["ac"], "AF": ["ac"], "AN": ["ac", "npm"], "NM": ["ac"], "NPM": ["npm"], "HWE_P": ["pl", "rr", "aa", "ra"], "AC_P": ["acp"], "FS_A": ["pl", "acp"], "F_PIC": ["pl", "rr", "aa", "ra"], "HET": ["pl", "rr", "aa", "ra"]}
 
 
-def _counts(df: DataFrame, gt: Column | str, prefix: str, tags: Iterable[str]) -> DataFrame:
-    """Helper columns that the annotations share, computed once."""
+def _counts(df: DataFrame, gt: Column | str, prefix: str, tags: Iterable[str], members: Column | None = None) -> DataFrame:
+    """Helper columns that the annotations share, computed once; from runs where there are any (members: a group's prefix sums)."""
+    if runs.RUNS in df.columns:
+        needed = sorted({x for t in tags for x in _NEEDS.get(t, [])})
+        if not needed:
+            return df
+        out = df.withColumn(f"{prefix}w", runs.weights(F.coalesce(F.col(runs.RUNS), F.array().cast(runs.TYPE)), members))
+        return out.withColumns({f"{prefix}{n}": c for n, c in runs.counts(F.col(f"{prefix}w"), needed).items()})
     build: dict[str, Callable[[], Column]] = {
         "ac": lambda: G.allele_counts(gt), "npm": lambda: G.missing_alleles(gt), "pl": lambda: G.ploidy(gt), "acp": lambda: G.position_counts(gt), "rr": lambda: G.genotype_count(0, 0, gt),
         "aa": lambda: G.genotype_count(1, 1, gt), "ra": lambda: G.genotype_count(0, 1, gt) + G.genotype_count(1, 0, gt),
@@ -160,7 +167,8 @@ def numbers_of(numbers: Sequence[int]) -> Column:
 
 
 def _of(numbers: Sequence[int]) -> Column:
-    return F.transform(numbers_of(numbers), lambda i: F.get(F.col("gt"), i))
+    """The calls of some samples; none at a site without genotypes, which then counts none, as for all samples."""
+    return F.array_compact(F.transform(numbers_of(numbers), lambda i: F.get(F.col("gt"), i)))
 
 
 def annotate_groups(df: DataFrame, groups: Mapping[str, Sequence[int]], tags: Iterable[str] = GROUP_TAGS, into: str | None = "info") -> DataFrame:
@@ -168,10 +176,16 @@ def annotate_groups(df: DataFrame, groups: Mapping[str, Sequence[int]], tags: It
     tags = list(tags)
     values: dict[str, Column] = {}
     out, helpers = df, []
+    packed = runs.RUNS in df.columns
+    n_samples = runs.samples(df) if packed else 0
     for n, (group, numbers) in enumerate(groups.items()):
         prefix = f"__{n}_"
-        out = out.withColumn(f"{prefix}gt", _of(numbers))
-        out = _counts(out, f"{prefix}gt", prefix, tags)
+        if packed:
+            out = out.withColumn(f"{prefix}m", runs.prefix_sums(numbers, n_samples))
+            out = _counts(out, "gt", prefix, tags, F.col(f"{prefix}m"))
+        else:
+            out = out.withColumn(f"{prefix}gt", _of(numbers))
+            out = _counts(out, f"{prefix}gt", prefix, tags)
         helpers += [c for c in out.columns if c.startswith(prefix)]
         values |= {f"{group}_{t}": _expression(prefix, t) for t in tags}
     if into is None:
@@ -185,7 +199,9 @@ def f_statistics(df: DataFrame, groups: Mapping[str, Sequence[int]], into: str |
     Of groups with genotypes: observed and expected heterozygosity weighted by genotypes, and that of the pooled allele
     frequencies. A sample in several groups counts in each. A value with denominator 0 is 0.
     """
-    per_group = F.array(*[numbers_of(numbers) for numbers in groups.values()])
+    packed = runs.RUNS in df.columns
+    n_samples = runs.samples(df) if packed else 0
+    per_group = F.array(*[runs.prefix_sums(numbers, n_samples) if packed else numbers_of(numbers) for numbers in groups.values()])
     zero = F.struct(*[F.lit(0.0).alias(x) for x in ("n", "h", "e", "r", "a")])
 
     def add(codes: Column):
@@ -200,6 +216,12 @@ def f_statistics(df: DataFrame, groups: Mapping[str, Sequence[int]], into: str |
                 more = F.struct((s["n"] + n).alias("n"), (s["h"] + c["ra"]).alias("h"), (s["e"] + 2 * (p / (2 * n)) * (q / (2 * n)) * n).alias("e"), (s["r"] + p).alias("r"), (s["a"] + q).alias("a"))
                 return F.when(n > 0, more).otherwise(s)
 
+            def of_runs(w: Column) -> Column:
+                of = lambda k: F.aggregate(F.zip_with(codes, w, lambda c, n: F.when(c == k, n).otherwise(0)), F.lit(0), lambda t, x: t + x).cast("double")
+                return F.struct(of(0).alias("rr"), of(1).alias("ra"), of(2).alias("aa"))
+
+            if packed:  # one code for each run, as many members as its prefix sums say
+                return G.let(G.let(runs.weights(F.col(runs.RUNS), numbers), of_runs), summed)
             return G.let(G.let(F.transform(numbers, lambda i: F.get(codes, i)), counted), summed)
 
         return one
@@ -210,8 +232,8 @@ def f_statistics(df: DataFrame, groups: Mapping[str, Sequence[int]], into: str |
         return F.when(s["n"] > 0, F.struct(ratio(hs - hi, hs).alias("FIS"), ratio(ht - hs, ht).alias("FST"), ratio(ht - hi, ht).alias("FIT")))
 
     # n above 0 means that some call has two alleles of the two there are; a longer one makes the site no diploid one
-    whole = G.let(G.diploid_codes(), lambda codes: G.let(F.aggregate(per_group, zero, add(codes)), ratios))
-    out = df.withColumn("__f", F.when((F.size("alleles") == 2) & (G.ploidy("gt") == 2), whole))
+    whole = G.let(G.diploid_codes(runs.calls() if packed else "gt"), lambda codes: G.let(F.aggregate(per_group, zero, add(codes)), ratios))
+    out = df.withColumn("__f", F.when((F.size("alleles") == 2) & (G.ploidy(runs.calls() if packed else "gt") == 2), whole))
     values = {x: F.col(f"__f.{x}") for x in FSTATS}
     if into is None:
         return out.withColumns(values).drop("__f")

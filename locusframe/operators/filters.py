@@ -165,7 +165,7 @@ def keep_samples(df: DataFrame, numbers: list[int]) -> DataFrame:
 
     own = numbers_of(numbers)
     take = lambda c: F.transform(own, lambda i: F.get(c, i))
-    out = df.withColumn("gt", F.when(F.col("gt").isNotNull(), take(F.col("gt"))))
+    out = df.withColumn("gt", F.when(F.col("gt").isNotNull(), take(F.col("gt")))).drop("gt_runs")
     if "fmt" in df.columns:
         names = df.schema["fmt"].dataType.names
         out = out.withColumn("fmt", F.struct(*[F.when(F.col(f"fmt.`{n}`").isNotNull(), take(F.col(f"fmt.`{n}`"))).alias(n) for n in names]))

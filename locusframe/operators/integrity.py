@@ -128,17 +128,33 @@ def _keys(df: DataFrame, keys: Mapping[str, bytes]) -> dict[str, Column]:
     return {c: table.select(f"k{i}").scalar() for i, c in enumerate(keys)}
 
 
+#: Columns that ciphertexts are bound to, where a table has them in the clear.
+BIND = ("contig", "pos")
+
+
+def _bound(df: DataFrame, column: str, keys: Mapping[str, bytes]) -> Column:
+    """What a ciphertext is authenticated with: its column, and the row's place. Moved elsewhere it cannot be read."""
+    return F.concat_ws("\x1f", F.lit(column), *[F.col(c).cast("string") for c in BIND if c in df.columns and c not in keys])
+
+
 def encrypt(df: DataFrame, keys: Mapping[str, bytes]) -> DataFrame:
-    """Columns replaced by AES-256-GCM ciphertexts of their JSON texts, each value with a fresh vector; null stays null."""
+    """Columns replaced by AES-256-GCM ciphertexts of their JSON texts, each value with a fresh vector and bound to its column,
+    contig and position; null stays null. Whoever decrypts needs those columns as they were."""
     wrap = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).cast("binary")
     own = _keys(df, keys)
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.aes_encrypt(wrap(c), own[c], F.lit("GCM"))) for c in keys})
+    locked = lambda c: F.aes_encrypt(wrap(c), own[c], F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), _bound(df, c, keys).cast("binary"))
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), locked(c)) for c in keys})
 
 
-def decrypt(df: DataFrame, keys: Mapping[str, bytes], types: Mapping[str, str]) -> DataFrame:
-    """Columns made by encrypt as they were; null where key or data are wrong."""
+def decrypt(df: DataFrame, keys: Mapping[str, bytes], types: Mapping[str, str], on_error: str = "raise") -> DataFrame:
+    """Columns made by encrypt as they were. A wrong key, damaged data, or a ciphertext of another column or place is an error;
+    with on_error="null" its value is null."""
+    if on_error not in ("raise", "null"):
+        raise ValueError(f"on_error is raise or null, not {on_error!r}")
     own = _keys(df, keys)
-    return df.withColumns({c: F.from_json(F.try_aes_decrypt(F.col(c), own[c], F.lit("GCM")).cast("string"), f"v {types[c]}")["v"] for c in keys})
+    open_ = F.aes_decrypt if on_error == "raise" else F.try_aes_decrypt
+    opened = lambda c: open_(F.col(c), own[c], F.lit("GCM"), F.lit("DEFAULT"), _bound(df, c, keys).cast("binary"))
+    return df.withColumns({c: F.from_json(F.when(F.col(c).isNotNull(), opened(c)).cast("string"), f"v {types[c]}")["v"] for c in keys})
 
 
 def genotype_runs(gt: str = "gt") -> Column:

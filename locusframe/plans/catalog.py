@@ -361,12 +361,21 @@ def builds() -> dict[str, tuple[Callable[[DataFrame], DataFrame], bool]]:
     return {k: (v[2], v[3]) for k, v in _entries().items()}
 
 
+#: Queries over genotypes that are registered a second time, over a store of runs.
+OVER_RUNS = ["annotate_counts", "annotate_hwe", "annotate_fisher", "group_counts", "group_fstats", "vcf_lines", "sample_tstv"]
+
+
+def _over_runs() -> dict[str, tuple[Query, str]]:
+    own = _entries()
+    return {f"runs_{k}": ((lambda spark, sf_dir, build=own[k][2]: build(filed.stored(spark, sf_dir, "runs"))), own[k][1]) for k in OVER_RUNS}
+
+
 def queries() -> dict[str, Query]:
-    out = {k: v[0] for k, v in _entries().items()} | {k: v[0] for k, v in filed.entries().items()}
+    out = {k: v[0] for k, v in _entries().items()} | {k: v[0] for k, v in filed.entries().items()} | {k: v[0] for k, v in _over_runs().items()}
     out["column_sha512"] = _q(lambda d: integrity.column_sha512(d, ["id", "pos"]), False)
     out["stats_json"] = _q(lambda d: samples.to_json(d, [f"s{i}" for i in range(derived.N_SAMPLES)]))
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in _entries().items()} | {k: v[1] for k, v in filed.entries().items()}
+    return {k: v[1] for k, v in _entries().items()} | {k: v[1] for k, v in filed.entries().items()} | {k: v[1] for k, v in _over_runs().items()}

@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "import":
             p.add_argument("--rows", type=int, default=store.ROWS, help="rows of a file at most")
             p.add_argument("--level", type=int, default=6, help="zstd level")
+            p.add_argument("--runs", action="store_true", help="genotypes as runs of samples with equal calls")
             p.add_argument("--no-position-check", action="store_true")
             p.add_argument("-e", "--encrypt", help="columns to encrypt, comma-separated, with new keys that go to the file of --keys")
         if name == "view":
@@ -110,7 +111,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             keys = integrity.new_keychain(a.encrypt.split(","))
             with open(os.open(a.keys, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
                 f.write(integrity.keychain_to_json(keys))
-        store.write_store(q.df, q.header, a.output, a.rows, a.level, keys if a.encrypt else None)
+        store.write_store(q.df, q.header, a.output, a.rows, a.level, keys if a.encrypt else None, a.runs)
     elif a.command == "stats":
         if a.output:  # a line a sample
             q.stats_lines().write.text(a.output)

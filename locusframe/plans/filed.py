@@ -65,13 +65,13 @@ def _base(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, sf_dir: str, form: str) -> str:
-    """Path of the derived variants as vcf, vcf.gz, vcf.bgz, bcf, store or locked (a store with two encrypted columns)."""
+    """Path of the derived variants as vcf, vcf.gz, vcf.bgz, bcf, store, runs (a store of runs) or locked (a store with two encrypted columns)."""
     key = (spark.sparkContext.applicationId, sf_dir, form)
     if key not in _WRITTEN:
         path = f"{_base(spark)}/derived-{uuid.uuid4().hex}.{form}"
         header, df = Header.parse(HEADER), full(spark, sf_dir)
-        if form == "store":
-            store.write_store(df, header, path)
+        if form in ("store", "runs"):
+            store.write_store(df, header, path, runs=form == "runs")
         elif form == "locked":
             store.write_store(df.drop("site_id"), header, path, keys=KEYS)
         else:
@@ -96,9 +96,9 @@ def in_ranges(spark: SparkSession, path: str, kind: str, split: int = 1 << 16) -
     return read(spark, path, split=split)[0]
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived variants from a store, site numbers included: what a user's queries run on."""
-    return store.read_store(spark, written(spark, sf_dir, "store"))[0]
+def stored(spark: SparkSession, sf_dir: str, form: str = "store") -> DataFrame:
+    """The derived variants from a store (form: runs, one of runs), site numbers included: what a user's queries run on."""
+    return store.read_store(spark, written(spark, sf_dir, form))[0]
 
 
 def _whole(d: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
     def add(name: str, form: str, build: Callable[[VariantQuery], DataFrame], sql: str) -> None:
         e[name] = (lambda spark, sf_dir: build(opened(spark, sf_dir, form))), sql
 
-    for name, form in (("vcf_round_trip", "vcf"), ("vcf_gz_round_trip", "vcf.gz"), ("vcf_bgz_round_trip", "vcf.bgz"), ("bcf_round_trip", "bcf"), ("store_round_trip", "store"), ("encrypted_store", "locked")):
+    for name, form in (("vcf_round_trip", "vcf"), ("vcf_gz_round_trip", "vcf.gz"), ("vcf_bgz_round_trip", "vcf.bgz"), ("bcf_round_trip", "bcf"), ("store_round_trip", "store"), ("runs_round_trip", "runs"), ("encrypted_store", "locked")):
         add(name, form, lambda q: _whole(q.df), _WHOLE_SQL)
     for name, form, kind in (("vcf_bgz_ranges", "vcf.bgz", "text"), ("bcf_ranges", "bcf", "bcf")):
         e[name] = (lambda spark, sf_dir, form=form, kind=kind: _whole(in_ranges(spark, written(spark, sf_dir, form), kind))), _WHOLE_SQL

@@ -58,7 +58,7 @@ class VariantQuery:
 
     def sites(self) -> VariantQuery:
         """Without genotypes and per-sample values."""
-        return self._with(self.df.drop("gt", "fmt", "format_keys"))
+        return self._with(self.df.drop("gt", "gt_runs", "fmt", "format_keys"))
 
     def samples(self, *names: str) -> VariantQuery:
         at = {s: i for i, s in enumerate(self.header.samples)}
@@ -93,8 +93,8 @@ class VariantQuery:
     def stats_lines(self) -> DataFrame:
         return samples.json_lines(self.df, self.header.samples)
 
-    def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None, keys: Mapping[str, bytes] | None = None, index: bool = False) -> None:
-        """format: store (keys: columns to encrypt), vcf, vcf.gz, vcf.bgz or bcf (index: CSI files beside these two). The header records the command, if given,
+    def save(self, path: str, format: str = "store", with_header: bool = True, command: str | None = None, keys: Mapping[str, bytes] | None = None, index: bool = False, runs: bool = False) -> None:
+        """format: store (keys: columns to encrypt; runs: genotypes as runs), vcf, vcf.gz, vcf.bgz or bcf (index: CSI files beside these two). The header records the command, if given,
         with the versions of this package and of Spark."""
         header = deepcopy(self.header)
         if command:
@@ -102,7 +102,7 @@ class VariantQuery:
             header.provenance(f"settings={json.dumps({'version': VERSION, 'spark': self.df.sparkSession.version, 'format': format, 'encrypted': sorted(keys or ())}, sort_keys=True)}")
         genotypes = bool({"gt", "fmt"} & set(self.df.columns))
         if format == "store":
-            store.write_store(self.df, header, path, keys=keys)
+            store.write_store(self.df, header, path, keys=keys, runs=runs)
         elif format in ("vcf", "vcf.gz", "vcf.bgz"):
             sinks.write_vcf(self.df, header, path, {"vcf.gz": "gzip", "vcf.bgz": "bgzf"}.get(format), with_header, genotypes, index)
         elif format == "bcf":

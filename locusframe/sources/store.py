@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import integrity
+from ..operators import runs as packed
 from ..session import ship
 from .header import Header
 
@@ -16,13 +17,20 @@ from .header import Header
 ROWS = 1_000_000
 
 
-def write_store(df: DataFrame, header: Header, path: str, rows: int = ROWS, level: int = 6, keys: Mapping[str, bytes] | None = None) -> None:
+def write_store(df: DataFrame, header: Header, path: str, rows: int = ROWS, level: int = 6, keys: Mapping[str, bytes] | None = None, runs: bool = False) -> None:
     """zstd Parquet by contig; ranges of (contig, position) are dealt out, so that one long contig has many tasks.
 
     Row groups then have narrow position ranges, which is what prunes region queries. keys: columns that are encrypted
-    value by value, each by its key; their types are written beside the header, in the clear.
+    value by value, each by its key; their types are written beside the header, in the clear. runs: genotypes are stored as
+    runs of samples with equal calls, from which annotations are counted without expanding them.
     """
     keys = keys or {}
+    if runs:
+        if "gt" in keys:
+            raise ValueError("runs cannot be encrypted")
+        df = packed.with_runs(df)
+    else:
+        df = df.drop(packed.RUNS)
     if bad := [c for c in keys if c in ("contig", "pos") or c not in df.columns]:
         raise ValueError(f"cannot be encrypted: {bad[0]!r}")
     types = {c: df.schema[c].dataType.simpleString() for c in keys}
@@ -41,14 +49,17 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return Header.from_json(_sidecar(spark, path)[0])
 
 
-def read_store(spark: SparkSession, path: str, keys: Mapping[str, bytes] | None = None) -> tuple[DataFrame, Header]:
-    """(variants, header). Encrypted columns without a key stay ciphertexts; a wrong key makes their values null."""
+def read_store(spark: SparkSession, path: str, keys: Mapping[str, bytes] | None = None, on_error: str = "raise") -> tuple[DataFrame, Header]:
+    """(variants, header). Of a store of runs, ``gt`` is there as well; it is expanded only where something asks for it. Encrypted
+    columns without a key stay ciphertexts; a wrong key is an error once values are asked for, or, with on_error="null", makes them null."""
     side = _sidecar(spark, path)
     types = json.loads(side[1]) if len(side) > 1 else {}
     df = spark.read.parquet(path)
     df = df.withColumn("contig", F.col("contig").cast("string")).select("contig", *[c for c in df.columns if c != "contig"])
+    if packed.RUNS in df.columns:
+        df = df.withColumn("gt", packed.expand())
     own = {c: k for c, k in (keys or {}).items() if c in types}
-    return integrity.decrypt(df, own, types) if own else df, Header.from_json(side[0])
+    return integrity.decrypt(df, own, types, on_error) if own else df, Header.from_json(side[0])
 
 
 def storage_report(spark: SparkSession, path: str) -> DataFrame:

@@ -39,16 +39,17 @@ def _info(items: Column, f: Field) -> Column:
     return _value(F.when(F.instr(own, "=") > 0, F.substring(own, F.lit(len(f.id) + 2), F.length(own))), f)
 
 
-def _sample(columns: Column, keys: Column, f: Field) -> Column:
+def _sample(samples: Column | str, keys: Column, f: Field) -> Column:
+    """A field of samples that are split already."""
     at = F.array_position(keys, f.id)
     # a sample may leave out fields at its end: those are missing
-    return F.when(at > 0, F.transform(columns, lambda s: _value(F.get(F.split(s, ":"), at.cast("int") - 1), f)))
+    return F.when(at > 0, F.transform(samples, lambda s: _value(F.get(s, at.cast("int") - 1), f)))
 
 
 def genotype(text: Column) -> Column:
     """struct(a, p) of a GT value."""
-    alleles = F.transform(F.split(text, r"[/|]"), lambda x: F.when(x == ".", F.lit(-1)).otherwise(F.coalesce(x.try_cast("int"), F.lit(-1))))
-    marks = F.filter(F.split(text, "(?<=.)"), lambda x: (x == "/") | (x == "|"))
+    alleles = F.transform(F.split(F.translate(text, "|", "/"), "/"), lambda x: F.when(x == ".", F.lit(-1)).otherwise(F.coalesce(x.try_cast("int"), F.lit(-1))))
+    marks = F.filter(F.split(F.translate(text, "0123456789.", ""), ""), lambda x: (x == "/") | (x == "|"))
     return F.struct(alleles.alias("a"), F.concat(F.array(F.lit(False)), F.transform(marks, lambda x: x == "|")).alias("p"))
 
 
@@ -74,9 +75,11 @@ def parse_lines(lines: DataFrame, header: Header, check_positions: bool = True)
         F.when(at(6) != ".", F.split(at(6), ";")).alias("filters"), F.when(at(7) != ".", F.filter(F.split(at(7), ";"), lambda x: x != "")).alias("i"), F.when(dot(at(8)).isNotNull(), F.split(at(8), ":")).alias("format_keys"),
         F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("s"),
     )
+    # each sample is split once for all of its fields
+    base = base.withColumn("ss", F.transform("s", lambda x: F.split(x, ":")))
     qual = F.when(~F.isnan("qual"), F.col("qual"))
     info = [_info(F.col("i"), f).alias(f.id) for f in header.info.values()]
-    fmt = [_sample(F.col("s"), F.col("format_keys"), f).alias(f.id) for f in header.formats.values() if f.id != "GT"]
+    fmt = [_sample("ss", F.col("format_keys"), f).alias(f.id) for f in header.formats.values() if f.id != "GT"]
     gt = F.when(F.get("format_keys", F.lit(0)) == "GT", F.transform("s", lambda x: genotype(F.substring_index(x, ":", 1))))
     out = base.select(
         "contig", "pos", "id", "alleles", qual.alias("qual"), "filters", *([F.struct(*info).alias("info")] if info else []), F.transform("i", lambda x: F.substring_index(x, "=", 1)).alias("info_keys"),

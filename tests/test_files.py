@@ -86,7 +86,10 @@ def test_encrypted_store(spark, tmp_path):
     assert dict(locked.df.dtypes)["info"] == "binary" and any("settings=" in x and '"version"' in x for x in locked.header.lines)
     opened = VariantQuery.open(spark, str(tmp_path / "s"), keys)
     assert sorted(map(str, opened.df.select("pos", "id", "info").collect())) == sorted(map(str, q.df.select("pos", "id", "info").collect()))
-    wrong = VariantQuery.open(spark, str(tmp_path / "s"), {"id": bytes(32), "info": keys["info"]}).df
+    some = {"id": bytes(32), "info": keys["info"]}
+    with pytest.raises(Exception, match="AES"):
+        VariantQuery.open(spark, str(tmp_path / "s"), some).df.collect()
+    wrong = store.read_store(spark, str(tmp_path / "s"), some, on_error="null")[0]
     assert {r.id for r in wrong.collect()} == {None} and wrong.where("info.DP = 300").count() == 1
     for df in (opened.df, integrity.encrypt(q.df, keys)):
         df.collect()

@@ -214,8 +214,18 @@ def test_encryption(spark, query):
     hidden = integrity.encrypt(src, keys)
     back = integrity.decrypt(hidden, keys, types)
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, src.collect()), key=repr)
-    wrong = integrity.decrypt(hidden, integrity.new_keychain(list(types)), types).collect()
+    others = integrity.new_keychain(list(types))
+    wrong = integrity.decrypt(hidden, others, types, on_error="null").collect()
     assert all(r.id is None and r.alleles is None for r in wrong)
+    with pytest.raises(Exception, match="AES"):
+        integrity.decrypt(hidden, others, types).collect()
+    moved = hidden.withColumn("pos", hidden["pos"] + 1)  # a ciphertext in another row
+    assert all(r.alleles is None for r in integrity.decrypt(moved, keys, types, "null").collect())
+    same = {c: keys["id"] for c in ("id", "alleles")}
+    swapped = integrity.encrypt(src, same).selectExpr("pos", "alleles as id", "id as alleles", "info_keys")
+    assert all(r.id is None for r in integrity.decrypt(swapped, same, types, "null").collect())
+    with pytest.raises(ValueError, match="on_error"):
+        integrity.decrypt(hidden, keys, types, "ignore")
 
 
 def test_runs_and_subset(query):
