@@ -136,8 +136,8 @@ def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
         e[name] = (lambda spark, sf_dir, form=form, kind=kind: _whole(in_ranges(spark, written(spark, sf_dir, form), kind))), _WHOLE_SQL
     for name, form, overlap in (("vcf_bgz_region", "vcf.bgz", "start"), ("bcf_region", "bcf", "start"), ("vcf_bgz_region_span", "vcf.bgz", "span"), ("bcf_region_span", "bcf", "span")):
         first, last = ("pos", "pos + greatest(length(ref), length(alt1), coalesce(length(alt2), 1)) - 1") if overlap == "span" else ("pos", "pos")
-        sql = _FULL + f"select contig, pos, ref, calls from w where (contig = 'chr3' and {first} <= 200000) or (contig = 'chr1' and {last} >= 1413 and {first} <= 90000)"
-        e[name] = (lambda spark, sf_dir, form=form, overlap=overlap: _whole(VariantQuery.open(spark, written(spark, sf_dir, form), regions=["chr3:1-200000", "chr1:1413-90000"], overlap=overlap).df).select("contig", "pos", "ref", "calls")), sql
+        sql = _FULL + f"select contig, pos, ref, calls from w where (contig = 'chr3' and {first} <= 200000) or (contig = 'chr1' and {last} >= 661 and {first} <= 90000)"
+        e[name] = (lambda spark, sf_dir, form=form, overlap=overlap: _whole(VariantQuery.open(spark, written(spark, sf_dir, form), regions=["chr3:1-200000", "chr1:661-90000"], overlap=overlap).df).select("contig", "pos", "ref", "calls")), sql
     add("store_region", "store", lambda q: _whole(q.regions("chr3:1-200000", "chr1:40-90").df).select("contig", "pos", "ref", "calls"), _FULL + "select contig, pos, ref, calls from w where (contig = 'chr3' and pos <= 200000) or (contig = 'chr1' and pos between 40 and 90)")
     add("store_fields", "store", lambda q: q.fields("CHROM;POS;INFO=DP,TX").df.select("contig", "pos", F.col("info.DP").cast("bigint").alias("dp"), F.col("info.TX").alias("tx"), F.array_join("info_keys", ",").alias("keys")), _FULL + "select contig, pos, dp, tx, 'DP' || case when tx is not null then ',TX' else '' end as keys from w")
     add("info_fields", "vcf", lambda q: q.fields("CHROM;POS;INFO").df.select("contig", "pos", F.col("info.DP").cast("bigint").alias("dp"), F.coalesce("info.DB", F.lit(False)).alias("db"), F.size("info.SC").cast("bigint").alias("n"), F.col("info.TX").alias("tx")), _FULL + "select contig, pos, dp, db, cast(case when alt2 is null then 1 else 2 end as bigint) as n, tx from w")
@@ -162,8 +162,10 @@ def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
     )
     fields = [("INFO", "DP", "1", "Integer"), ("INFO", "DB", "0", "Flag"), ("INFO", "SC", "A", "Float"), ("INFO", "TX", "1", "String"), ("FORMAT", "GT", "1", "String"), ("FORMAT", "DP", "1", "Integer"), ("FORMAT", "GQ", "1", "Float")]
     fields += [("FILTER", x, "", "") for x in "FOP"] + [("contig", f"chr{i}", "2000000000", "") for i in range(1, 6)] + [("sample", x, "", "") for x in SAMPLES] + [("INFO", "AC", "R", "Integer"), ("INFO", "MULTI_ALLELIC", "0", "Flag")]
-    add("header_definitions", "vcf", lambda q: definitions(q.annotate(["AC", "MULTI_ALLELIC"])), "select * from (values " + ", ".join(f"('{k}', '{n}', '{x}', '{t}')" for k, n, x, t in fields) + ") t(kind, name, number, type)")
-    add("block_access", "store", lambda q: blocks.read_block(q.df, "chr2:3", 100, 50_000).select("contig", "pos", "id"), derived.blocks_sql(100, 50_000) + "select contig, pos, id from b where block_id = 'chr2:3'")
+    counted = {("INFO", "DB"): "site_id % 3 = 0", ("INFO", "TX"): "site_id % 10 <> 0", ("INFO", "MULTI_ALLELIC"): "alt2 is not null"}
+    counted |= {("FILTER", x): f"flt = '{x}'" for x in "FOP"} | {("contig", f"chr{i}"): f"contig = 'chr{i}'" for i in range(1, 6)}
+    add("header_definitions", "vcf", lambda q: definitions(q.annotate(["AC", "MULTI_ALLELIC"])), derived.CTE + " union all ".join(f"select '{k}' as kind, '{n}' as name, '{x}' as number, '{t}' as type, cast(count(*) as bigint) as n from fx_sites where {counted.get((k, n), 'true')}" for k, n, x, t in fields))
+    add("block_access", "store", lambda q: blocks.read_block(q.df, "chr2:1", 100, 50_000).select("contig", "pos", "id"), derived.blocks_sql(100, 50_000) + "select contig, pos, id from b where block_id = 'chr2:1'")
     add("block_rows", "store", lambda q: blocks.blocks(q.df, 40, 20_000).select("contig", "pos", "seq", "block_id"), derived.blocks_sql(40, 20_000) + "select contig, pos, seq, block_id from b")
     add("file_lines", "vcf", lambda q: q.df.sparkSession.read.text(_path(q)).groupBy(F.startswith("value", F.lit("#")).alias("head")).agg(F.count(F.lit(1)).alias("n")), derived.CTE + f"select false as head, cast(count(*) as bigint) as n from fx_sites union all select true, cast({len(HEADER)} as bigint)")
     return e
@@ -197,8 +199,16 @@ def _by_group(q: VariantQuery) -> DataFrame:
 
 
 def definitions(q: VariantQuery) -> DataFrame:
-    """(kind, name, number, type) of all that a header declares."""
-    h = q.header
+    """(kind, name, number, type) of all that a header declares, and n, how many records hold it. What records hold without a
+    declaration has a row as well, its number and type null."""
+    h, df = q.header, q.df
     rows = [("INFO", f.id, f.number, f.type) for f in h.info.values()] + [("FORMAT", f.id, f.number, f.type) for f in h.formats.values()]
     rows += [("FILTER", x, "", "") for x in h.filters] + [("contig", c, str(n), "") for c, n in h.contigs.items()] + [("sample", s, "", "") for s in h.samples]
-    return q.df.sparkSession.createDataFrame(rows, "kind string, name string, number string, type string")
+    declared = df.sparkSession.createDataFrame(rows, "kind string, name string, number string, type string")
+    item = lambda kind, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    one = F.array(F.struct(F.lit("contig").alias("kind"), F.col("contig").alias("name")))
+    held = df.select(F.inline(F.concat(one, item("FILTER", "filters"), item("INFO", "info_keys"), item("FORMAT", "format_keys")))).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    # records by how many samples they have: a row for each such number, one where a file is sound
+    wide = df.groupBy(F.coalesce(F.size("gt"), F.lit(0)).alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()
+    samples = df.sparkSession.createDataFrame([("sample", s, sum(r.n for r in wide if r.w > i)) for i, s in enumerate(h.samples)], "kind string, name string, n bigint")
+    return declared.join(held.unionByName(samples), ["kind", "name"], "full").select("kind", "name", "number", "type", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
