@@ -115,8 +115,12 @@ class Counts:
         code = np.where(calls == -1, MISSING, np.where(calls == -2, ABSENT, np.where(known, classes[at], UNKNOWN)))
         cell = classes[first[site]][:, None] * SIDE + code
         whose = np.broadcast_to(sample[:, None], calls.shape)
-        keys, n = np.unique(whose * SIZES + cell, return_counts=True)
-        self.dense[keys // SIZES, keys % SIZES] += n
+        keys = (whose * SIZES + cell).ravel()
+        if self.samples * SIZES <= 4 * len(keys):
+            self.dense[:, :SIZES] += np.bincount(keys, minlength=self.samples * SIZES).reshape(self.samples, SIZES)
+        else:
+            keys, n = np.unique(keys, return_counts=True)
+            self.dense[keys // SIZES, keys % SIZES] += n
         indel = (code == INSERTION) | (code == DELETION)
         if indel.any():
             size = sizes[at][indel]
@@ -137,6 +141,11 @@ class Counts:
         return np.r_[sample, self.keys // CELLS], np.r_[np.where(cell == SIZES, SINGLETON, cell), self.keys % CELLS], np.r_[n, self.sums]
 
 
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1 ... for each of the counts in turn."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = Counts()
     ints = lambda c, k: np.asarray(k(c), np.int64)
@@ -150,25 +159,25 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.cumsum(n_alleles) - n_alleles
         begins = np.cumsum(length) - length
         even = np.asarray(lens.is_null())
-        parts = []
-        for p in np.unique(ploidy[even & (length > 0)]):  # sites whose calls all have p alleles
-            sites = np.flatnonzero(even & (ploidy == p) & (length > 0))
-            site = np.repeat(sites, n[sites])
-            place = np.arange(len(site)) - np.repeat(np.cumsum(n[sites]) - n[sites], n[sites])
-            at = (begins[site] + place * p)[:, None] + np.arange(p)
-            calls = values[at]
-            kept = np.flatnonzero((calls != 0).any(1))
-            parts.append((calls[kept], place[kept], site[kept]))
-        for s in np.flatnonzero(~even):
-            own_lens = np.asarray(lens[s].values, np.int64)
-            p = int(ploidy[s])
-            calls = np.full((len(own_lens), p), -2, np.int64)
-            calls[np.arange(p) < own_lens[:, None]] = values[begins[s] : begins[s] + length[s]]
-            kept = np.flatnonzero(((calls != 0) & (calls != -2)).any(1))
-            parts.append((calls[kept], kept, np.full(len(kept), s)))
-        for calls, place, site in parts:
-            if len(calls):
-                own.add(calls, place, site, ints(classes, lambda c: c.flatten()), ints(sizes, lambda c: c.flatten()), first, n_alleles, int(place.max()) + 1)
+        own_lens = ints(lens, lambda c: c.flatten())  # of the sites with calls of several lengths
+        lens_at = np.cumsum(np.where(even, 0, n)) - np.where(even, 0, n)
+        codes, lengths = ints(classes, lambda c: c.flatten()), ints(sizes, lambda c: c.flatten())
+        for p in np.unique(ploidy[length > 0]):
+            for alike in (True, False):
+                sites = np.flatnonzero((even == alike) & (ploidy == p) & (length > 0))
+                if not len(sites):
+                    continue
+                site = np.repeat(sites, n[sites])
+                place = _places(n[sites])
+                if alike:  # each call has p alleles
+                    calls = values[(begins[site] + place * p)[:, None] + np.arange(p)]
+                else:
+                    size = own_lens[np.repeat(lens_at[sites], n[sites]) + place]
+                    calls = np.full((len(site), p), -2, np.int64)
+                    calls[np.repeat(np.arange(len(site)), size), _places(size)] = values[np.repeat(begins[sites], length[sites]) + _places(length[sites])]
+                kept = np.flatnonzero(((calls != 0) & (calls != -2)).any(1))
+                if len(kept):
+                    own.add(calls[kept], place[kept], site[kept], codes, lengths, first, n_alleles, int(place[kept].max()) + 1)
     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in own.rows()], ["sample_id", "cell", "n"])
 
 
