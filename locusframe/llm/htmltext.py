@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. A block's features are the words and link density of itself, of the block
 before and of the block after, their quotients, the role of the tags that it stands in (article, aside, heading,
 paragraph), and what its elements are named. The tree is grown, once on the driver, from the labelled page fragments
-below; what a word of a class or id weighs is learned from them too, and a word that they do not show weighs nothing.
+below, words and links being asked first where they tell nearly as much as tags; where a page says by its tags what is
+the article these decide, and elsewhere the neighbours do. What a word of a class or id weighs is learned from the
+fragments too; a word that they do not show weighs nothing, nor does the name of an element that holds most of a page.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ class Block:
     aside: bool
     heading: bool
     paragraph: bool
-    named: float
+    #: (number of the element on the page, what its name weighs) of each open element whose name weighs less than 0.
+    named: tuple[tuple[int, float], ...] = ()
     #: Only where labelled fragments are read: words of the names of all open elements, and whether one is marked as main text.
     names: tuple[frozenset[str], ...] = ()
     main: bool = False
@@ -108,7 +111,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
     stack: list[tuple] = []
     open_: dict[str, int] = {}
     inside = aside = link = heading = paragraph = main = False
-    named, names = 0.0, ()
+    named, names = (), ()
     at, n = 0, len(page)
     unclosed: set[str] = set()
 
@@ -192,7 +195,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
         if name in ARTICLE or attrs.get("role") == "main":
             inside = True
             if name == "main":  # whatever the elements around it are called
-                aside, named = False, 0.0
+                aside, named = False, ()
         elif name in ASIDE or name == "header" and not inside or attrs.get("role", "").lower() in ROLES:
             aside = True
         elif name == "a":
@@ -208,17 +211,22 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
             if name not in ("html", "body", *ARTICLE) and (words := name_words(attrs)):
                 if weights is None:
                     names = (*names, words)
-                elif any(w in weights for w in words):
-                    named = min(named, sum(weights.get(w, 0.0) for w in words))
+                elif (weight := sum(weights.get(w, 0.0) for w in words)) < 0:
+                    named = (*named, (lt, weight))
             main = main or "data-main" in attrs and weights is None
     flush()
     return out
 
 
-#: A block's features in order. Neighbours are 0 words at a page's ends.
+#: A block's features in order: TEXTUAL ones by words and links, then those by tags and names. Neighbours are 0 words at a page's ends.
+TEXTUAL = 8
 FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "share_of_before", "share_of_after", "in_article", "beside_article", "in_aside", "is_heading", "in_paragraph", "named"]
 #: What a word of a name weighs at most; the labelled pages are read in these sizes.
 MOST_NAMED, SIZES = 3.0, (1.0, 0.4)
+#: An element that holds over this share of a page's running words is the page, whatever it is called.
+WHOLE_PAGE = 0.75
+#: A split by a textual feature is taken where it gains at least this share of what the best split gains.
+FAVOUR = 0.8
 # The labelled table: fragments of pages, written and labelled by hand for this module; {n} stands for n words, data-main
 # marks main text.
 LABELLED = """
@@ -251,6 +259,33 @@ LABELLED = """
 <div>{14}</div><p>{30}</p><article><h1 data-main>{6}</h1><p data-main>{48}</p><p data-main>{7}</p></article><p>{22}</p><div>{60}</div><p>{3}</p>
 <p>{12}</p><main><p data-main>{58}</p><p data-main>{36}</p></main><div>{25}</div><p>{70}</p><div>{9}</div>
 <ul><li><a href=x>{2}</a><li><a href=x>{1}</a><li><a href=x>{3}</a></ul><div data-main>{100}</div><div data-main>{75}</div><ul><li><a href=x>{9}</a><li><a href=x>{12}</a></ul>
+<article><p data-main>{62}</p><a href=x>{1}</a><p data-main>{58}</p><a href=x>{2}</a><p data-main>{7}</p><nav><a href=x>{1}</a></nav><p data-main>{66}</p></article><p><a href=x>{1}</a></p>
+<article><h1 data-main>{12}</h1><p data-main>{5}</p><nav><p>{1}</p></nav><p data-main>{61}</p><footer><p>{58}</p></footer><p data-main>{64}</p><aside>{1}</aside><p data-main>{57}</p><div class="comments"><a href=x>{1}</a></div></article>
+<nav><ul><li><a href=x>{1}</a><li><a href=x>{1}</a></ul></nav><div>{8}</div><article><h1 data-main>{11}</h1><p data-main>{24}</p></article><footer>{11}</footer>
+<nav><a href=x>{1}</a></nav><div>{24}</div><div>{7}</div><article><p data-main>{2}</p><p data-main>{1}</p></article><div>{45}</div>
+<nav><p>{70}</p></nav><h1 data-main>{8}</h1><p data-main>{66}</p><aside><p>{64}</p></aside><p data-main>{59}</p><p data-main>{1}</p><form><p>{1}</p></form><p data-main>{63}</p><footer><p>{55}</p></footer>
+<div><a href=x>{2}</a></div><p data-main>{48}</p><div><a href=x>{1}</a></div><p data-main>{52}</p><div><a href=x>{3}</a></div>
+<article><p data-main>{150}</p><p data-main>{240}</p><p data-main>{180}</p></article><div>{160}</div><div class="comments"><p>{140}</p></div>
+<ul><li><a href=x>{1}</a><li><a href=x>{2}</a></ul><div>{9}</div><h1 data-main>{11}</h1><p data-main>{45}</p><p data-main>{70}</p><p data-main>{12}</p><div>{11}</div>
+<ul><li><a href=x>{1}</a><li><a href=x>{1}</a></ul><div>{19}</div><h1 data-main>{7}</h1><p data-main>{22}</p><div>{16}</div>
+<div><a href=x>{1}</a> <a href=x>{1}</a></div><div>{6}</div><h1 data-main>{12}</h1><p data-main>{160}</p><p data-main>{230}</p><p data-main>{90}</p><div>{8}</div>
+<div><a href=x>{2}</a></div><div>{28}</div><h2 data-main>{9}</h2><p data-main>{6}</p><p data-main>{130}</p><p data-main>{5}</p><div>{24}</div>
+<ul><li><a href=x>{3}</a><li><a href=x>{1}</a></ul><div>{12}</div><h1 data-main>{3}</h1><p data-main>{2}</p><div>{13}</div>
+<div>{15}</div><h1 data-main>{6}</h1><div data-main>{85}</div><div data-main>{60}</div><div data-main>{35}</div><div>{5}</div>
+<ul><li><a href=x>{1}</a></ul><h1 data-main>{8}</h1><p data-main>{33}</p><ul><li data-main>{12}<li data-main>{7}</ul><p data-main>{14}</p>
+<div data-main>{60}</div>
+<div data-main>{3}</div>
+<article data-main>{70}</article>
+<article data-main>{6}</article>
+<main data-main>{25}</main>
+<div data-main>{90}</div><div data-main>{48}</div>
+<div data-main><h1>{8}</h1><div>{66}</div></div>
+<h1 data-main>{2}</h1><div data-main>{190}</div><div data-main>{130}</div>
+<article data-main><p>{40}</p><div>{36}</div></article>
+<article data-main><h1>{5}</h1><p>{75}</p><div>{9}</div></article><footer>{8}</footer>
+<article data-main><div>{25}</div><div>{30}</div><div>{4}</div></article>
+<nav><a href=x>{2}</a></nav><article data-main><h1>{7}</h1><div>{80}</div></article>
+<article data-main><h1>{4}</h1><p>{20}</p><section>{12}</section></article>
 """
 
 
@@ -269,25 +304,32 @@ class Classifier:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> Node:
-    """A classification tree by Gini impurity; of equal splits the first feature's least limit, of equal halves main text."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, favour: float = FAVOUR) -> Node:
+    """A classification tree by Gini impurity; of equal splits the first feature's least limit, of equal halves main text.
+
+    Words and links come before tags and names: the best textual split is taken unless it gains less than favour of the
+    best split of all.
+    """
     share = y.mean()
     node = Node(main=bool(share >= 0.5))
     if depth == 0 or share in (0.0, 1.0):
         return node
-    best = share * (1 - share) * len(y) - 1e-12
+    whole = share * (1 - share) * len(y)
+    # by kind (textual or not): gain, feature, limit
+    found = [(1e-12, -1, 0.0), (1e-12, -1, 0.0)]
     for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v, ones = x[order, f], np.cumsum(y[order])
         for i in np.flatnonzero(np.diff(v)):
             left, right = i + 1, len(y) - i - 1
             a, b = ones[i], ones[-1] - ones[i]
-            gini = a * (left - a) / left + b * (right - b) / right
-            if gini < best - 1e-12:
-                best, node.feature, node.limit = gini, f, float((v[i] + v[i + 1]) / 2)
+            gain = whole - a * (left - a) / left - b * (right - b) / right
+            if gain > found[f >= TEXTUAL][0] + 1e-12:
+                found[f >= TEXTUAL] = gain, f, float((v[i] + v[i + 1]) / 2)
+    gain, node.feature, node.limit = found[0] if found[0][0] >= favour * found[1][0] else found[1]
     if node.feature >= 0:
         low = x[:, node.feature] < node.limit
-        node.low, node.high = grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+        node.low, node.high = grow(x[low], y[low], depth - 1, favour), grow(x[~low], y[~low], depth - 1, favour)
     return node
 
 
@@ -310,13 +352,21 @@ def train(table: str = LABELLED) -> Classifier:
 
 
 def features(own: list[Block]) -> list[tuple]:
+    """The features of a page's blocks. Names count unless their element holds most of the page's words that run outside links and asides."""
     density = lambda x: x.linked / x.words if x else 0.0
     article = any(b.inside for b in own)
+    running, held = 0, {}
+    for b in own:
+        if not b.aside:
+            running += b.words - b.linked
+            for element, _ in b.named:
+                held[element] = held.get(element, 0) + b.words - b.linked
     out = []
     for n, b in enumerate(own):
         before, after = own[n - 1] if n else None, own[n + 1] if n + 1 < len(own) else None
         w0, w1 = before.words if before else 0, after.words if after else 0
-        out.append((b.words, density(b), w0, density(before), w1, density(after), b.words / (b.words + w0), b.words / (b.words + w1), b.inside, article and not b.inside, b.aside, b.heading, b.paragraph, b.named))
+        named = min((w for element, w in b.named if held.get(element, 0) <= WHOLE_PAGE * running), default=0.0)
+        out.append((b.words, density(b), w0, density(before), w1, density(after), b.words / (b.words + w0), b.words / (b.words + w1), b.inside, article and not b.inside, b.aside, b.heading, b.paragraph, named))
     return out
 
 

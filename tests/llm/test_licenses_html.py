@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from html.parser import HTMLParser
 
@@ -192,6 +193,36 @@ def test_tree_looks_at_neighbours(tree):
     assert htmltext.main_text(f"<article><p>{long}</p>{link * 3}<p>{long}</p></article>", tree) == f"{long}{long}".strip()
 
 
+def test_pages_without_semantic_tags(spark, tree):
+    """With plain containers in place of article, nav and footer, and without names, words and links must tell as much."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right, turned = [], 0
+    for page in pages:
+        truth = [b.inside for b in htmltext.blocks(page, tree.weights)]
+        bare = re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+        rows = htmltext.features(htmltext.blocks(bare, tree.weights))
+        verdicts = [htmltext.is_main(tree.tree, row) for row in rows]
+        right += [v == t for v, t in zip(verdicts, truth, strict=True)]
+        turned += sum(v != htmltext.is_main(tree.tree, (*row[:2], *[0] * 6, *row[8:])) for v, row in zip(verdicts, rows, strict=True))
+    assert sum(right) / len(right) >= 0.98 and turned > len(pages), (sum(right) / len(right), turned)
+
+
+def test_names_of_the_whole_page_do_not_count(tree):
+    a, b = "word " * 80, "text " * 60
+    for name in ("post-comments-off", "comments-page", "price-notice", "related-article", "has-sidebar", "with-ads", "menu-open", "cookie-recipe", "banner-story"):
+        for inner in (f"<p>{a}</p><p>{b}</p>", f'<div class="comments"><p>short</p></div><p>{a}</p><p>{b}</p>', f"<div>{a}</div><div>{b}</div>"):
+            assert htmltext.main_text(f'<div class="{name}">{inner}</div>', tree) == f"{a}{b}".strip(), (name, inner)
+    # a named part of a page does
+    assert htmltext.main_text(f'<div><p>{a}</p><p>{b}</p></div><div class="comments"><p>{a}</p></div>', tree) == f"{a}{b}".strip()
+
+
+def test_lone_blocks(tree):
+    for n in (20, 40, 140, 1000):
+        w = " ".join(["word"] * n)
+        for page in (w, f"<div>{w}</div>", f"<p>{w}</p>", f"<article>{w}</article>", f"<div><h1>a b</h1><div>{w}</div></div>", f"<article><p>a b</p><div>{w}</div></article>", f"<main><div>{w}</div></main><footer>x</footer>"):
+            assert htmltext.main_text(page, tree).replace("a b ", "") == w, page
+
+
 class Twin(HTMLParser):
     """Text, words and linked words of the blocks of a well-formed page, by another parser."""
 
