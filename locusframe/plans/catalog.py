@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotypes as G
+from ..functions import special
 from ..functions import text as X
 from ..operators import annotate, blocks, filters, integrity, regions, samples, slicing
 from . import derived, filed
@@ -198,6 +199,17 @@ def _entries() -> dict[str, tuple]:
         lambda d: _site(annotate.annotate(d, ["HWE_P"], into=None), _r(F.col("HWE_P"), 5).alias("hwe_p")),
         derived.CTE + _G + ", t as (select g.site_id as id, g.ra as het, g.rr as h1, g.aa as h2 from g join fx_sites s on s.site_id = g.site_id where s.alt2 is null and g.pl = 2)" + _HWE + " select s.site_id, s.contig, s.pos, round(coalesce(w.v, -1.0), 5) as hwe_p from fx_sites s left join w on w.id = s.site_id",
     )
+    add(
+        "allele_tails",
+        lambda d: _site(
+            d.withColumns({"k": G.count_of(G.flat(), 1), "n": F.size(G.flat()) - G.missing_alleles()}), _r(special.log_choose("n", "k")).alias("log_choose"),
+            _r(special.beta_i("k", F.col("n") - F.col("k") + 1, F.lit(1 / 3))).alias("binomial_tail"), _r(special.gamma_p("k", F.col("n") / 4)).alias("poisson_tail"),
+        ),
+        _HC + ", w as (select c.site_id, sum(exp(lgamma(nm + 1) - lgamma(j + 1) - lgamma(nm - j + 1) + j * ln(1 / 3.0) + (nm - j) * ln(2 / 3.0))) as b from c, unnest(range(ac1, nm + 1)) as j(j) where ac1 > 0 group by c.site_id)"
+        ", v as (select c.site_id, 1 - sum(exp(j * ln(nm / 4.0) - nm / 4.0 - lgamma(j + 1))) as p from c, unnest(range(0, ac1)) as j(j) where ac1 > 0 group by c.site_id)"
+        " select s.site_id, s.contig, s.pos, round(lgamma(nm + 1) - case when ac1 < 2 then 0 else lgamma(ac1 + 1) end - case when nm - ac1 < 2 then 0 else lgamma(nm - ac1 + 1) end, 6) as log_choose, round(w.b, 6) as binomial_tail, round(v.p, 6) as poisson_tail"
+        " from fx_sites s join c on c.site_id = s.site_id left join w on w.site_id = s.site_id left join v on v.site_id = s.site_id",
+    )
     add(
         "annotate_fisher",
         lambda d: _site(annotate.annotate(d.where(F.size("alleles") == 2), ["FS_A"], into=None), _r(F.get("FS_A", F.lit(0)), 3).alias("fs_a")),
