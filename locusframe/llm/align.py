@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens of the same text by the byte offsets at which both end.
 
-Python runs the two tokenizers and gives ids and byte ends; the rest are array functions: the intersection of the two
-lists of ends cuts a text into groups, and the last tokens of a group, which end together, are linked. As linked tokens
-end at the same byte, the shorter one's bytes end the longer one's: the vocabularies alone bound how many different
-pairs there can be (``Pair.most_links``), whatever the corpus.
+Python runs the two tokenizers and lays their tokens side by side (numpy, over all texts of a batch at once): offsets that are
+ends on both sides cut a text into groups, and the last tokens of a group, which end together, are linked. Spark counts the
+links of the whole corpus and gives each row the counts of its own. As linked tokens end at the same byte, the shorter
+one's bytes end the longer one's: the vocabularies alone bound how many different pairs there can be
+(``Pair.most_links``), whatever the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ _SEAM = re.compile(r"(?<=\S) (?=\S)")
 PART, AT_ONCE = 100_000, 1_000_000
 #: Most rows of pair counts that are broadcast; vocabularies that allow more are joined by shuffle.
 BROADCAST = 4_000_000
-_INTS = T.ArrayType(T.IntegerType(), False)
 
 
 class Pair:
@@ -68,6 +68,12 @@ class Tokenizers:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.encode_a = self._fast(vocabulary) or self._plain(raw_a)
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int32, len(x)) for x in (self.bytes_a, self.bytes_b))
+        #: Holds any link, which is ``a * B's vocabulary size + b``.
+        self.link = np.int32 if len(self.bytes_a) * len(self.bytes_b) < 1 << 31 else np.int64
+        # ids as decimals, with what follows them: A's within and at the end of a group, B's within, at the end, and in the last group
+        shown = [f"{i}{after}".encode() for n, after in ((len(self.bytes_a), ","), (len(self.bytes_a), "|"), *((len(self.bytes_b), x) for x in (",", ";", ""))) for i in range(n)]
+        self.shown_size = np.fromiter(map(len, shown), np.int64, len(shown))
+        self.shown = np.array(shown).view(np.uint8).reshape(len(shown), -1)
         #: No piece holds a space after another character, so that no merge reaches over a seam.
         self.seams = not any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.bytes_b)
 
@@ -131,17 +137,84 @@ def _loaded(held) -> Tokenizers:
     return _LOADED[number]
 
 
-def tokenize(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, a, a_ends, b, b_ends): ids by both tokenizers and twice the byte offset at which each token ends."""
+class Aligned:
+    """The tokens of some texts by both tokenizers, laid side by side; the columns of ``align`` as Arrow arrays.
+
+    The tokens of all texts stand in one array a side. Both sides give back the same bytes, so that offsets counted over all the
+    texts agree at every border, and no group reaches over one.
+    """
+
+    def __init__(self, both: Tokenizers, ids: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.both = both
+        self.ids = [np.concatenate([x[side] for x in ids]) for side in (0, 1)]
+        self.at = [np.cumsum([0, *[len(x[side]) for x in ids]]) for side in (0, 1)]
+        self.ends = [np.cumsum(size[x], dtype=np.int64) for size, x in zip((both.size_a, both.size_b), self.ids, strict=True)]
+        n = int(self.ends[0][-1]) if len(self.ends[0]) else 0
+        #: For each token whether it closes a group: whether a token of the other side ends with it.
+        self.closes = [self._among(self.ends[0], self.ends[1], n), self._among(self.ends[1], self.ends[0], n)]
+
+    @staticmethod
+    def _among(ends: np.ndarray, others: np.ndarray, n: int) -> np.ndarray:
+        found = np.zeros(n + 1, bool)
+        found[others] = True
+        return found[ends]
+
+    def _lists(self, flat: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+        kind = pa.from_numpy_dtype(flat.dtype)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)).cast(pa.list_(pa.field("element", kind, nullable=False)))
+
+    def _tokens(self, side: int) -> pa.ListArray:
+        return self._lists(self.ids[side], self.at[side])
+
+    def _marks(self, side: int) -> pa.ListArray:
+        at, ends = self.at[side], self.ends[side]
+        before = np.repeat(np.r_[0, ends][at[:-1]], np.diff(at))
+        return self._lists((2 * (ends - before) + self.closes[side]).astype(np.int32), at)
+
+    def _links(self) -> pa.ListArray:
+        a, b = (ids[closes].astype(self.both.link) for ids, closes in zip(self.ids, self.closes, strict=True))
+        return self._lists(a * self.both.link(len(self.both.bytes_b)) + b, np.r_[0, np.cumsum(self.closes[0])][self.at[0]])
+
+    def _spelled(self) -> pa.BinaryArray:
+        (a, b), (closes_a, closes_b), at = self.ids, self.closes, self.at
+        n_a, n_b = len(self.both.bytes_a), len(self.both.bytes_b)
+        # a token's place: those of its own side before it, and those of the other in the groups before (for B: also in its own)
+        places_a = np.arange(len(a)) + np.r_[0, np.flatnonzero(closes_b) + 1][np.cumsum(closes_a) - closes_a]
+        places_b = np.arange(len(b)) + (np.flatnonzero(closes_a) + 1)[np.cumsum(closes_b) - closes_b]
+        last = np.zeros(len(b), bool)
+        last[at[1][1:][np.diff(at[1]) > 0] - 1] = True
+        rows = np.empty(len(a) + len(b), np.int64)
+        rows[places_a] = a + n_a * closes_a
+        rows[places_b] = 2 * n_a + b + n_b * (closes_b.astype(np.int64) + last)
+        ends = np.r_[0, np.cumsum(self.both.shown_size[rows])][at[0] + at[1]]
+        if ends[-1] >= 1 << 31:
+            raise ValueError(f"{ends[-1]} bytes of groups: more than a binary value of Spark holds")
+        flat = self.both.shown[rows].tobytes().translate(None, b"\0")
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+
+    def column(self, name: str) -> pa.Array:
+        return {
+            "a": lambda: self._tokens(0), "a_marks": lambda: self._marks(0), "b": lambda: self._tokens(1), "b_marks": lambda: self._marks(1),
+            "n_a": lambda: pa.array(np.diff(self.at[0])), "n_b": lambda: pa.array(np.diff(self.at[1])), "links": self._links, "spelled": self._spelled,
+        }[name]()
+
+
+def align(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text", give: tuple[str, ...] = ("a", "a_marks", "b", "b_marks", "links")) -> DataFrame:
+    """(key, a, a_marks, b, b_marks, links) for each row: the ids by both tokenizers; for each token twice the byte offset at
+    which it ends, one more where a token of the other ends as well, which closes a group; and the pairs of ids that end together.
+
+    links: array of ``a * B's vocabulary size + b`` in order of the text. ``groups`` spells the groups out. Texts that are
+    null, empty or not given back by both tokenizers' tokens have empty arrays. Repeated rows give repeated rows; an empty
+    table gives none; other columns, whatever their names, are ignored. Long texts are tokenised in parts; a text without any
+    single space is one part, whatever its length.
+
+    give: the columns to be made beside the key, as Spark cannot leave out what a task of Python makes. There are also n_a and
+    n_b, the numbers of tokens, and spelled, the groups as ``spelled()`` gives them, in ASCII bytes.
+    """
     held = df.sparkSession.sparkContext.broadcast(pair.raw)
     src = pick(df, key, text)
-
-    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-        offsets = np.zeros(len(arrays) + 1, np.int32)
-        np.cumsum([len(x) for x in arrays], out=offsets[1:])
-        flat = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
-        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False))).cast(kind)
+    kinds = dict.fromkeys(("a", "a_marks", "b", "b_marks"), T.ArrayType(T.IntegerType(), False)) | dict.fromkeys(("n_a", "n_b"), T.LongType())
+    kinds |= {"links": T.ArrayType(T.IntegerType() if pair.tokenizers().link is np.int32 else T.LongType(), False), "spelled": T.BinaryType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _loaded(held)
@@ -153,35 +226,11 @@ def tokenize(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text")
                 while to < len(texts) and (to == at or n + len(texts[to] or "") <= AT_ONCE):
                     n += len(texts[to] or "")
                     to += 1
-                ids = list(map(both.encode, texts[at:to]))
-                a, c = [x for x, _ in ids], [y for _, y in ids]
-                ends_a, ends_c = [2 * np.cumsum(both.size_a[x], dtype=np.int32) for x in a], [2 * np.cumsum(both.size_b[x], dtype=np.int32) for x in c]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *map(lists, (a, ends_a, c, ends_c))], [key, "a", "a_ends", "b", "b_ends"])
+                found = Aligned(both, list(map(both.encode, texts[at:to])))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *map(found.column, give)], [key, *give])
                 at = to
 
-    fields = [T.StructField(key, src.schema[0].dataType), *[T.StructField(c, _INTS) for c in ("a", "a_ends", "b", "b_ends")]]
-    return map_batches(src, run, T.StructType(fields))
-
-
-def align(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, a, a_marks, b, b_marks, links) for each row: the ids by both tokenizers; for each token twice the byte offset at
-    which it ends, one more where a token of the other ends as well, which closes a group; and the pairs of ids that end together.
-
-    links: array of ``a * B's vocabulary size + b`` in order of the text. ``groups`` spells the groups out. Texts that are
-    null, empty or not given back by both tokenizers' tokens have empty arrays. Repeated rows give repeated rows; an empty
-    table gives none; other columns, whatever their names, are ignored. Long texts are tokenised in parts; a text without any
-    single space is one part, whatever its length.
-    """
-    t = pair.tokenizers()
-    size, most = len(t.bytes_b), len(t.bytes_a) * len(t.bytes_b)
-    kind = "int" if most < 1 << 31 else "bigint"
-    cut = tokenize(df, pair, key, text).withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    cut = cut.withColumn("odd", F.transform("cuts", lambda c: c + 1))
-    marks = lambda c: F.sort_array(F.concat("odd", F.array_except(f"{c}_ends", "cuts"))).alias(f"{c}_marks")
-    marked = cut.select(key, "a", marks("a"), "b", marks("b"))
-    # the ids that close groups: as many of A as of B
-    last = lambda c: F.array_remove(F.transform(f"{c}_marks", lambda x, i: F.when(x % 2 == 1, F.get(F.col(c), i)).otherwise(F.lit(-1))), -1)
-    return marked.withColumn("links", F.zip_with(last("a"), last("b"), lambda x, y: x.cast(kind) * F.lit(size).cast(kind) + y))
+    return map_batches(src, run, T.StructType([T.StructField(key, src.schema[0].dataType), *[T.StructField(c, kinds[c]) for c in give]]))
 
 
 def groups() -> Column:
@@ -200,7 +249,7 @@ def groups() -> Column:
 
 def spelled() -> Column:
     """The groups of a row of ``align`` as text: ``a1,a2|b1;a3|b2,b3``. The tokens of each side are joined once, groups told apart
-    by their mark, so that no group is sliced out."""
+    by their mark, so that no group is sliced out. ``align`` can give the same as a column, without a lambda for each token."""
     joined = lambda c: F.array_join(F.zip_with(c, f"{c}_marks", lambda x, m: F.concat(x.cast("string"), F.when(m % 2 == 1, ";").otherwise(","))), "")
     side = lambda c: F.split(F.rtrim(joined(c), F.lit(";")), ";")
     return F.array_join(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
@@ -219,11 +268,10 @@ def score(df: DataFrame, pair: Pair, key: str = "doc_id", text: str = "text") ->
     Edge cases as in ``align``; such a row has zeros and an empty digest.
     """
     size = pair.tokenizers().b.get_piece_size()
-    count = lambda c: F.size(c).cast("bigint")
-    rows = align(df, pair, key, text).select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "links",
-        count("a").alias("n_a"), count("b").alias("n_b"), count("links").alias("n_groups"), count("links").alias("n_links"),
-        F.when(F.size("a") > 0, F.sha2(spelled().cast("binary"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
+    linked = F.size("links").cast("bigint")
+    rows = align(df, pair, key, text, ("n_a", "n_b", "links", "spelled")).select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "links", "n_a", "n_b", linked.alias("n_groups"), linked.alias("n_links"),
+        F.when(F.col("n_a") > 0, F.sha2("spelled", 256)).otherwise(F.lit("")).alias("groups_sha256"),
     )
     rows, _ = materialize(rows, "align-links")
     counts = pair_counts(rows, size)

@@ -90,6 +90,36 @@ def test_groups_spelled_out(spark, pair):
     assert none.g == [] and not none.s.strip("|")
 
 
+def test_groups_are_spelled_as_array_functions_do(spark, pair):
+    df = spark.createDataFrame([*enumerate([*TEXTS, *TEXTS[::-1], "", "last"]), (99, None)], "doc_id bigint, text string").coalesce(1)
+    columns = ("n_a", "n_b", "spelled", "a", "a_marks", "b", "b_marks", "links")
+    rows = align.align(df, pair, give=columns).select("*", align.spelled().alias("s"), F.size(align.groups()).alias("n")).collect()
+    assert len(rows) == 2 * len(TEXTS) + 3 and sum(r.n > 1 for r in rows) > 10
+    for r in rows:
+        assert (r.n_a, r.n_b, len(r.links)) == (len(r.a), len(r.b), r.n)
+        assert r.spelled.decode() == (r.s if r.n_a else "")
+
+
+def test_texts_of_a_batch_are_aligned_as_alone(pair):
+    t = pair.tokenizers()
+    columns = ("n_a", "n_b", "spelled", "a", "a_marks", "b", "b_marks", "links")
+    for link in (np.int32, np.int64):  # the other is for larger vocabularies
+        t.link = link
+        for texts in ([*TEXTS, *TEXTS[::-1], "", "last"], [None, ""], ["one"]):
+            ids = [t.encode(x) for x in texts]
+            whole, own = align.Aligned(t, ids), [align.Aligned(t, [x]) for x in ids]
+            for c in columns:
+                assert whole.column(c).to_pylist() == [x.column(c).to_pylist()[0] for x in own]
+            assert whole.column("links").type.value_type.bit_width == 8 * link().itemsize
+
+
+def test_no_lambda_is_run_for_each_token(spark, pair, monkeypatch):
+    plans = []
+    monkeypatch.setattr(align, "materialize", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), (df, ""))[1])
+    align.score(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), pair)
+    assert len(plans) == 2 and "MapInArrow" in plans[0] and not any(x in p for p in plans for x in ("lambda", "array_intersect", "array_except", "sort_array"))
+
+
 def test_long_texts_are_tokenised_alike_in_parts(pair, monkeypatch):
     t = pair.tokenizers()
     text = "Some words, 12 34 and don't stop;  here é ist 汉字 und so weiter ▁ \u2003x  y\n z" * 60
