@@ -11,13 +11,12 @@ Word counts of any number stay in a Spark table: a text's rare words meet their
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,20 +28,47 @@ STATES, HEAD, CLASSES = 10, 65_536, 1024
 ROUNDS = 14
 #: Words in a training segment, and in the segments or texts that are worked on together.
 SEGMENT, TOGETHER = 128, 200_000
+#: Training segments in step: few enough that what is known of their states stays in a core's cache.
+WIDTH = 512
+#: Symbols whose expected counts are one row on their way from the tasks.
+BLOCK = 1024
 #: Weight, in words, of the unigram distribution in each state's emissions, and of each transition.
 PRIOR, PRIOR_MOVE = 200.0, 1.0
 #: Bytes of symbols (four a word) that are scored together.
 SCORED_BYTES = 16 << 20
-#: Distinct words a task counts before it passes them on.
-COUNTED = 300_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words a task gathers before it counts them and passes the counts on.
+COUNTED = 2_000_000
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_INNER = ~np.isin(np.arange(256), [*range(9, 14), 32])
+#: The table of CRC-32, by byte.
+_CRC = np.array([zlib.crc32(bytes([c ^ 255])) ^ 0xFF000000 for c in range(256)], np.uint32)
 #: The end of a text; no word holds a space.
 END = b" "
 
 
-def words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, split at 0x20 and 0x09-0x0D only."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and where each text's begin, with their number at the end.
+
+    A-Z are lower-cased and texts split at 0x20 and 0x09-0x0D only; null has no words.
+    """
+    if not len(texts):
+        return pa.array([], pa.binary()), np.zeros(1, np.int64)
+    texts = texts.fill_null("").cast(pa.large_binary())
+    where = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[where[0] : where[-1]]
+    where = where - where[0]
+    inner = _INNER[data]
+    first = inner.copy()
+    first[1:] &= ~inner[:-1]
+    starts = where[where < len(data)]  # words end with their text
+    first[starts] = inner[starts]
+    begins = np.searchsorted(np.flatnonzero(first), where)
+    offsets = np.append(np.flatnonzero(first[inner]), np.count_nonzero(inner))
+    return _binary(offsets, _LOWER[data[inner]]), begins
+
+
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(data)])
 
 
 def held_out(key: Column) -> Column:
@@ -53,21 +79,25 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(w, n) of every token of the one column of texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
+        size = ends = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, values = list(held), list(held.values())
+            found = pa.chunked_array(held, pa.binary()).value_counts()
             held.clear()
-            for a in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000], pa.binary()), pa.array(values[a : a + 50_000], pa.int64())], ["w", "n"])
+            for a in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays(found[a : a + 50_000].flatten(), ["w", "n"])
 
         for b in batches:
-            held[END] += b.num_rows
-            for t in b.column(0).to_pylist():
-                held.update(words(t))
-                if len(held) > COUNTED:
-                    yield from flush()
+            own, _ = split(b.column(0))
+            held.append(own)
+            size, ends = size + len(own), ends + b.num_rows
+            if size > COUNTED:
+                yield from flush()
+                size = 0
         yield from flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["w", "n"])
 
     return map_batches(texts, run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -76,6 +106,18 @@ def _class(w: bytes) -> int:
     return zlib.crc32(w[-3:]) % CLASSES
 
 
+def _classes(own: pa.Array) -> np.ndarray:
+    """_class of each word of an array."""
+    ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)
+    sizes, ends = np.diff(ends), ends[1:]
+    crc = np.full(len(own), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        at = np.flatnonzero(sizes >= back)
+        crc[at] = _CRC[(crc[at] ^ data[ends[at] - back]) & 255] ^ (crc[at] >> 8)
+    return ((crc ^ 0xFFFFFFFF) % CLASSES).astype(np.int32)
+
+
 @dataclass
 class Lexicon:
     """Counts of the head words, and of each class its words' count and number. Bounded by HEAD and CLASSES."""
@@ -93,21 +135,33 @@ class Lexicon:
         self.head_log = np.log10(self.counts + 0.5)
         self.class_log = np.log10(self.class_tokens + 0.5 * (self.class_words + 1.0))
         self.base_log = float(np.log10(self.tokens + 0.5 * (self.distinct + 1.0)))
+        self.known = pa.array(list(self.head), pa.binary())  # by symbol
 
     def encode(self, text: str | None) -> tuple[np.ndarray, dict[bytes, int]]:
-        """The symbols of a whole text with its end, and its words of no head symbol with their counts."""
-        own = [*words(text), END]
-        get = self.head.get
-        ids = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
-        rare: dict[bytes, int] = {}
-        at = np.flatnonzero(ids < 0)
-        classes = []
-        for i in at.tolist():
-            w = own[i]
-            rare[w] = rare.get(w, 0) + 1
-            classes.append(zlib.crc32(w[-3:]) % CLASSES)
-        ids[at] = np.array(classes, np.int32) + len(self.head)
-        return ids, rare
+        """encode_all of one text, its other words as a dictionary."""
+        ids, _, rare = self.encode_all(pa.array([text], pa.string()))
+        return ids, {r["w"]: r["m"] for r in rare[0].as_py()}
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The symbols of whole texts with their ends, one after the other; where each text's begin, with their number
+        at the end; and for each text its words of no head symbol with their counts."""
+        own, begins = split(texts)
+        coded = own.dictionary_encode()
+        distinct, code = coded.dictionary, coded.indices.to_numpy()
+        symbol = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy()
+        beyond = symbol < 0
+        symbol = np.where(beyond, _classes(distinct) + len(self.head), symbol).astype(np.int32)
+        where = begins + np.arange(len(begins))
+        ids = np.full(where[-1], self.head[END], np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[where[1:] - 1] = False
+        ids[inside] = symbol[code]
+        at = np.flatnonzero(beyond[code])
+        row = np.searchsorted(begins, at, "right") - 1
+        pair, m = np.unique(row * len(distinct) + code[at], return_counts=True)
+        row, which = np.divmod(pair, max(len(distinct), 1))
+        rare = pa.StructArray.from_arrays([distinct.take(pa.array(which)), pa.array(m, pa.int32())], ["w", "m"])
+        return ids, where, pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(begins))), pa.int32()), rare)
 
 
 def fit_lexicon(counts: DataFrame) -> Lexicon:
@@ -147,9 +201,9 @@ class Model:
     _rows: np.ndarray | None = field(default=None, repr=False, compare=False)
 
     def rows(self) -> np.ndarray:
-        """Emissions by state, in single precision."""
+        """Emissions by symbol, in single precision: those of one symbol are read together."""
         if self._rows is None:
-            self._rows = np.ascontiguousarray(self.emit.T, np.float32)
+            self._rows = np.ascontiguousarray(self.emit, np.float32)
         return self._rows
 
     @classmethod
@@ -170,61 +224,67 @@ class Counts:
     """Expected counts of one round."""
 
     def __init__(self, symbols: int) -> None:
-        self.start, self.move, self.emit = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
-        self.held = np.empty(0, np.float32)
+        self.start, self.move, self.emit = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((STATES, symbols)).T  # a state's are together
+        self.seen, self.posterior, self.size = np.empty(TOGETHER, np.intp), np.empty((STATES, TOGETHER), np.float32), 0
+        self.held = np.empty((2, SEGMENT * STATES * WIDTH), np.float32)
 
     def add(self, model: Model, texts: list[np.ndarray]) -> None:
         """Baum-Welch over the segments of texts, many segments in step."""
         segments = [(t[a : a + SEGMENT], a > 0) for t in texts for a in range(0, len(t), SEGMENT)]
         segments.sort(key=lambda s: -len(s[0]))
-        width = max(1, TOGETHER // SEGMENT)
-        for a in range(0, len(segments), width):
-            self._some(model, [s for s, _ in segments[a : a + width]], np.array([int(later) for _, later in segments[a : a + width]]))
+        for a in range(0, len(segments), WIDTH):
+            some = segments[a : a + WIDTH]
+            if self.size + len(some) * len(some[0][0]) > TOGETHER:
+                self._settle()
+            self._some(model, [s for s, _ in some], np.array([int(later) for _, later in some]))
+        self._settle()
 
     def _some(self, model: Model, segments: list[np.ndarray], later: np.ndarray) -> None:
         """States are rows here, so that every step works on long contiguous rows, one column a segment."""
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))  # falling
         steps, n = int(sizes[0]), len(segments)
-        seq = np.zeros((steps, n), np.int32)
+        here = slice(self.size, self.size + steps * n)
+        self.size = here.stop
+        seq = self.seen[here].reshape(steps, n)
+        seq[...] = 0
         for i, s in enumerate(segments):
             seq[: len(s), i] = s
         live = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # segments longer than t
-        emits, move, ones = model.rows(), model.move.astype(np.float32), np.ones(STATES, np.float32)
+        move, ones = model.move.astype(np.float32), np.ones(STATES, np.float32)
         turned = np.ascontiguousarray(move.T)
-        alpha, emit = self._room(2, steps * STATES * n).reshape(2, steps, STATES, n)
-        scale = np.empty((steps, n), np.float32)
+        alpha, emit = self.held[:, : steps * STATES * n].reshape(2, steps, STATES, n)
+        gamma, emits, scale = self.posterior[:, here].reshape(STATES, steps, n), model.rows(), np.empty((steps, n), np.float32)
+        taken = np.empty((n, STATES), np.float32)
         for t in range(steps):
             k = live[t]
-            e = emit[t, :, :k]
-            e[...] = emits.take(seq[t, :k], axis=1)
-            x = (model.start.T.astype(np.float32).take(later[:k], axis=1) if t == 0 else turned @ alpha[t - 1, :, :k]) * e
-            np.dot(ones, x, out=scale[t, :k])
-            np.divide(x, scale[t, :k], out=alpha[t, :, :k])
-        beta, moved = np.ones((STATES, n), np.float32), np.zeros((STATES, STATES))
+            x, own = alpha[t, :, :k], scale[t, :k]
+            if t:
+                np.matmul(turned, alpha[t - 1, :, :k], out=x)
+            else:
+                x[...] = model.start.T.astype(np.float32).take(later[:k], axis=1)
+            emit[t] = emits.take(seq[t], axis=0, out=taken, mode="clip").T  # no symbol is out of bounds
+            x *= emit[t, :, :k]
+            np.matmul(ones, x, out=own)
+            x /= own
+        beta = np.ones((STATES, n), np.float32)
         for t in range(steps - 1, -1, -1):
             k = live[t]
-            own = beta[:, :k]
-            back = emit[t, :, :k] * own
+            own, back = beta[:, :k], emit[t, :, :k]
+            np.multiply(alpha[t, :, :k], own, out=gamma[:, t, :k])  # the posteriors, which sum to one
+            back *= own  # in place of the emissions
             back /= scale[t, :k]
-            gamma = emit[t]  # emissions of this step are no longer needed: keep the posteriors, which sum to one, and none beyond an end
-            np.multiply(alpha[t, :, :k], own, out=gamma[:, :k])
-            gamma[:, k:] = 0
-            if t:
-                moved += alpha[t - 1, :, :k] @ back.T
-                own[...] = move @ back
-            else:
-                for kind in (0, 1):
-                    self.start[kind] += gamma[:, later == kind].sum(1, dtype=np.float64)
-        self.move += model.move * moved
-        flat = seq.reshape(-1)
+            np.matmul(move, back, out=own)
+            if k < n:  # none beyond an end
+                alpha[t, :, k:] = emit[t, :, k:] = gamma[:, t, k:] = 0
+        for kind in (0, 1):
+            self.start[kind] += gamma[:, 0, later == kind].sum(1, dtype=np.float64)
+        self.move += model.move * np.matmul(alpha[:-1], emit[1:].transpose(0, 2, 1)).sum(0, dtype=np.float64)
+
+    def _settle(self) -> None:
+        """Add the posteriors at hand to those of their symbols."""
         for s in range(STATES):
-            self.emit[:, s] += np.bincount(flat, emit[:, s].reshape(-1), len(self.emit))
-
-    def _room(self, parts: int, size: int) -> np.ndarray:
-        """Working memory, kept from call to call."""
-        if len(self.held) < parts * size:
-            self.held = np.empty(parts * size, np.float32)
-        return self.held[: parts * size]
+            self.emit[:, s] += np.bincount(self.seen[: self.size], self.posterior[s, : self.size], len(self.emit))
+        self.size = 0
 
 
 def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -263,17 +323,11 @@ _CODED = "rid bigint, k {kind}, held_out boolean, n bigint, ids binary, rare arr
 def _encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(rid, k, held_out, n, ids, rare) of (k, t, held_out): symbols and rare words of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    rare_type = pa.list_(pa.struct([("w", pa.binary()), ("m", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, rare = [], [], []
-            for t in b.column(2).to_pylist():
-                own, less = shared.value.encode(t)
-                ids.append(own.tobytes())
-                n.append(len(own))
-                rare.append([{"w": w, "m": m} for w, m in less.items()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, rare_type)], ["rid", "k", "held_out", "n", "ids", "rare"])
+            ids, where, rare = shared.value.encode_all(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.diff(where), pa.int64()), _binary(4 * where, ids), rare], ["rid", "k", "held_out", "n", "ids", "rare"])
 
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "k", "t", "held_out")
     return map_batches(src, run, _CODED.format(kind=docs.schema["k"].dataType.simpleString()))
@@ -283,19 +337,21 @@ def _ids(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
 
 
+def _blocks(number: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], ["b", "sums"])
+
+
 def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over the rows that are not held out."""
     spark = coded.sparkSession
-    # a task sends one row for each symbol that it met, however much it read: no more tasks than two for each core
+    # a task sends sums for all symbols that it met, however much it read: no more tasks than two for each core
     training = coded.where("not held_out").select("ids").coalesce(2 * spark.sparkContext.defaultParallelism)
     model = Model.first(lexicon)
-    names = [f"g{i}" for i in range(STATES)]
-    schema = "s int, " + ", ".join(f"{n} float" for n in names)
+    symbols = len(lexicon.unigram)
     for _ in range(rounds if lexicon.tokens else 0):
         shared = spark.sparkContext.broadcast(model)
-        symbols = len(lexicon.unigram)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, symbols=symbols) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             c, held, size = Counts(symbols), [], 0
             for b in batches:
                 for t in _ids(b.column(0)):
@@ -305,21 +361,22 @@ def train(coded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> Model:
                         c.add(shared.value, held)
                         held, size = [], 0
             c.add(shared.value, held)
-            # starts and moves go as symbols below 0
-            at = np.flatnonzero(c.emit.any(1))
-            rows = np.concatenate([c.start, c.move, c.emit[at]]).astype(np.float32)
-            number = np.r_[-1 - np.arange(2 + STATES), at].astype(np.int32)
-            for a in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(number[a : a + 50_000]), *(pa.array(rows[a : a + 50_000, i]) for i in range(STATES))], ["s", *names])
-
-        added = map_batches(training, run, schema).groupBy("s").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-        number = added.column("s").to_numpy()
-        values = np.stack([added.column(n).to_numpy() for n in names], 1)
-        below = np.zeros((2 + STATES, STATES))
-        below[-1 - number[number < 0]] = values[number < 0]
-        emit = np.zeros((symbols, STATES))
-        emit[number[number >= 0]] = values[number >= 0]
-        model = Model.from_counts(lexicon, below[:2], below[2:], emit)
+            # starts and moves go before the symbols
+            rows = np.concatenate([c.start, c.move, c.emit]).astype(np.float32)
+            blocks = [(a // BLOCK, rows[a : a + BLOCK]) for a in range(0, len(rows), BLOCK) if rows[a : a + BLOCK].any()]
+            yield _blocks([n for n, _ in blocks], [x for _, x in blocks])
+
+        def add(parts: pa.Table) -> pa.Table:
+            """Sums of one block from all tasks."""
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in parts.column("sums").to_pylist())
+            return pa.Table.from_batches([_blocks(parts.column("b").to_pylist()[:1], [total])])
+
+        added = map_batches(training, run, "b int, sums binary").groupBy("b").applyInArrow(add, "b int, sums binary")
+        rows = np.zeros((2 + STATES + symbols, STATES))
+        for r in added.collect():  # one row for each BLOCK of symbols
+            own = np.frombuffer(r.sums, np.float64).reshape(-1, STATES)
+            rows[r.b * BLOCK : r.b * BLOCK + len(own)] = own
+        model = Model.from_counts(lexicon, rows[:2], rows[2 : 2 + STATES], rows[2 + STATES :])
         shared.unpersist()
         # Spark drops the shuffle files of a plan when the JVM has collected it: else those of all rounds would pile up
         spark._jvm.System.gc()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,40 @@ def test_every_round_sees_every_text(spark):
         want = hmm.Model.from_counts(lex, c.start, c.move, c.emit)
     got = hmm.train(hmm._encode(df, lex), lex, 3)
     assert got.emit == pytest.approx(want.emit, rel=1e-3, abs=1e-9) and got.move == pytest.approx(want.move, rel=1e-3)
+
+
+def test_words_and_symbols_of_many_texts():
+    """Whole batches against one word after the other: nulls, ends without white space, slices, words of one to four bytes."""
+    rng = random.Random(12)
+    texts = ["skipped x", None, "", " \t\n", "Ab", "cd", "é\x0bÉ\x00 a\x1cb　c\x85", None, "a", " a", "日本 語 Z", "a b " * 300] + ["".join(rng.choice("aB é語\n\t.") for _ in range(rng.randrange(200))) for _ in range(200)]
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    own = [(t or "").encode().translate(lower).split() for t in texts][1:]
+    for column in (pa.array(texts)[1:], pa.array(texts, pa.large_string())[1:]):
+        found, begins = hmm.split(column)
+        assert [found[a:b].to_pylist() for a, b in zip(begins, begins[1:], strict=False)] == own
+        head = {hmm.END: 0, b"a": 1, b"\xe9".decode("latin1").encode(): 2}
+        lex = hmm.Lexicon(head, np.ones(3), np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES), 3, 3)
+        ids, where, rare = lex.encode_all(column)
+        for i, words in enumerate(own):
+            want = [head[w] if w in head else 3 + zlib.crc32(w[-3:]) % hmm.CLASSES for w in [*words, hmm.END]]
+            assert ids[where[i] : where[i + 1]].tolist() == want
+            assert {r["w"]: r["m"] for r in rare[i].as_py()} == Counter(w for w in words if w not in head)
+            assert len(rare[i]) == len({w for w in words if w not in head})
+    for none in (pa.array([], pa.string()), pa.array([None], pa.string())):
+        found, begins = hmm.split(none)
+        assert len(found) == 0 and begins.tolist() == [0] * (len(none) + 1)
+        assert lex.encode_all(none)[0].tolist() == [0] * len(none)
+
+
+def test_rounds_exchange_blocks_of_sums(spark, monkeypatch):
+    """A task of a round sends a row for each BLOCK of symbols, not one for each symbol."""
+    rng = random.Random(13)
+    df = spark.createDataFrame([(i, prose(rng, 60, EN)) for i in range(400)], "k long, t string").withColumn("held_out", F.lit(False)).repartition(4)
+    lex = hmm.fit_lexicon(hmm.count_words(df.select("t")))
+    sent = []
+    real = hmm.map_batches
+    monkeypatch.setattr(hmm, "map_batches", lambda *a: sent.append(real(*a)) or sent[-1])
+    model = hmm.train(hmm._encode(df, lex), lex, 1)
+    symbols = len(model.emit)
+    assert symbols > len(lex.head) > 100
+    assert 0 < sent[-1].count() <= sent[-1].rdd.getNumPartitions() * (1 + (symbols + 2 + hmm.STATES) // hmm.BLOCK)
