@@ -38,8 +38,7 @@ PRIOR, PRIOR_MOVE = 200.0, 1.0
 SCORED_BYTES = 16 << 20
 #: Words a task gathers before it counts them and passes the counts on.
 COUNTED = 2_000_000
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_INNER = ~np.isin(np.arange(256), [*range(9, 14), 32])
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The table of CRC-32, by byte.
 _CRC = np.array([zlib.crc32(bytes([c ^ 255])) ^ 0xFF000000 for c in range(256)], np.uint32)
 #: The end of a text; no word holds a space.
@@ -57,14 +56,15 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     where = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[where[0] : where[-1]]
     where = where - where[0]
-    inner = _INNER[data]
+    data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+    inner = (data != 32) & (data - np.uint8(9) > 4)  # below 9 it wraps around
     first = inner.copy()
     first[1:] &= ~inner[:-1]
     starts = where[where < len(data)]  # words end with their text
     first[starts] = inner[starts]
     begins = np.searchsorted(np.flatnonzero(first), where)
     offsets = np.append(np.flatnonzero(first[inner]), np.count_nonzero(inner))
-    return _binary(offsets, _LOWER[data[inner]]), begins
+    return _binary(offsets, data[inner]), begins
 
 
 def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -247,8 +247,7 @@ class Counts:
         self.size = here.stop
         seq = self.seen[here].reshape(steps, n)
         seq[...] = 0
-        for i, s in enumerate(segments):
-            seq[: len(s), i] = s
+        seq.T[np.arange(steps) < sizes[:, None]] = np.concatenate(segments)
         live = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # segments longer than t
         move, ones = model.move.astype(np.float32), np.ones(STATES, np.float32)
         turned = np.ascontiguousarray(move.T)
@@ -291,7 +290,7 @@ def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Of each whole sequence of symbols, by the scaled forward recursion; sequences of like length go in step."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    emits, turned, ones = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T), np.ones(STATES)
+    emits, turned, ones = np.ascontiguousarray(model.emit), np.ascontiguousarray(model.move.T), np.ones(STATES)
     a = 0
     while a < len(order):
         b, total = a, 0
@@ -306,8 +305,8 @@ def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         total_log, alpha = np.zeros(len(group)), np.zeros((STATES, 0))
         for t in range(int(sizes[0])):
             k = live[t]
-            x = emits.take(flat[begins[:k] + t], axis=1)
-            x *= model.start[0][:, None] if t == 0 else turned @ alpha[:, :k]
+            x = turned @ alpha[:, :k] if t else np.repeat(model.start[0][:, None], k, 1)
+            x *= emits.take(flat[begins[:k] + t], axis=0).T
             s = ones @ x
             alpha = x
             alpha /= s
