@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,16 +13,31 @@ from ..functions import genotypes as G
 from ..operators.regions import Interval, filter_regions, merge, parse_region
 from .header import Field, Header
 
+#: What a path may hold that would be taken for a pattern.
+_GLOB = re.compile(r"[\\*?\[\]{}]")
 
-def read_header(spark: SparkSession, path: str) -> Header:
-    """From the first lines of the first file; more are read only while they are header lines."""
-    lines = spark.read.text(path)
-    n = 500
-    while True:
-        head = [r.value for r in lines.take(n)]
-        if len(head) < n or any(not x.startswith("#") for x in head):
-            return Header.parse(head)
-        n *= 10
+
+def read_header(spark: SparkSession, path: str, files: Sequence[str] | None = None) -> Header:
+    """From the first lines of the files by name, up to the column line; more are read only while they are header lines.
+
+    Read as one, a path begins with its largest file, which need not be the one that the header begins.
+    """
+    from . import bgzf
+
+    head: list[str] = []
+    for file in bgzf.files_of(spark, path) if files is None else files:
+        lines = spark.read.text(_GLOB.sub(r"\\\g<0>", file))
+        n = 500
+        while True:
+            own = [r.value for r in lines.take(n)]
+            seen = any(x.startswith("#") and not x.startswith("##") for x in own)
+            if seen or len(own) < n or any(not x.startswith("#") for x in own):
+                break
+            n *= 10
+        head += own
+        if seen:
+            break
+    return Header.parse(head)
 
 
 def _value(c: Column, f: Field) -> Column:
@@ -108,7 +124,7 @@ def read_vcf(spark: SparkSession, path: str, check_positions: bool = True, regio
         wanted = wanted_regions(regions, header)
         lines = bgzf.load(spark, files, "text", split or bgzf.SPLIT, wanted and [(i.contig, i.low, i.high) for i in wanted], overlap)
     else:
-        header = read_header(spark, path)
+        header = read_header(spark, path, files)
         wanted = wanted_regions(regions, header)
         lines = spark.read.text(path)
     rows = parse_lines(lines, header, check_positions)

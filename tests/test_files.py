@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from locusframe.operators import annotate, integrity, regions
 from locusframe.plans import catalog, filed
 from locusframe.plans.query import VariantQuery
-from locusframe.sources import bcf, blocked, store
+from locusframe.sources import bcf, blocked, store, vcf
 from locusframe.sources.header import Header
 
 DATA = "/root/testdata/sf0.001"
@@ -158,3 +158,51 @@ def test_header_is_read_from_the_first_blocks():
 
     assert Header.parse(bcf.header_text(bcf.Stream(pieces())).split("\n")).samples == ["a", "b", "c"] and len(read) == 1
 
+
+
+def test_header_begins_with_the_first_file_by_name(spark, tmp_path):
+    folder = tmp_path / "a b[1].vcf"
+    folder.mkdir()
+    (folder / "part-00000").write_text("")
+    (folder / "part-00001").write_text("\n".join(LINES[:4]) + "\n")
+    (folder / "part-00002").write_text("\n".join([*LINES[4:], BODY[0]]) + "\n")
+    (folder / "part-00003").write_text("\n".join(BODY[1:] * 400) + "\n")
+    df, header = vcf.read_vcf(spark, str(tmp_path / "a b?1?.vcf"))
+    assert header.text() == LINES and df.count() == 1 + 3 * 400
+    many = [f"##contig=<ID=c{i}>" for i in range(700)]
+    (tmp_path / "many.vcf").write_text("\n".join([LINES[0], *many, LINES[-1]]) + "\n")
+    assert vcf.read_header(spark, str(tmp_path / "many.vcf")).text() == [LINES[0], *many, LINES[-1]]
+    (tmp_path / "none.vcf").write_text("\n".join(BODY) + "\n")
+    with pytest.raises(ValueError, match="no column line"):
+        vcf.read_vcf(spark, str(tmp_path / "none.vcf"))
+
+
+@pytest.fixture(scope="module")
+def in_many_files(spark):
+    """The derived variants written in many files of which the first is not the largest."""
+    own = pytest.MonkeyPatch()
+    own.setattr(filed, "_WRITTEN", {})
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 400)
+    try:
+        for form in ("vcf", "vcf.gz"):
+            sizes = [p.stat().st_size for p in sorted(Path(filed.written(spark, DATA, form)).glob("part-*"))]
+            assert len(sizes) > 2 and sizes[0] < max(sizes)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    yield
+    own.undo()
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["file_lines"])
+def test_queries_over_many_files(spark, in_many_files, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    df = catalog.queries()[name](spark, DATA)
+    columns = sorted(df.columns)
+    mine = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    theirs = con.execute(f"select {', '.join(f'\"{c}\"' for c in columns)} from ({catalog.oracle_sql()[name]})").fetchall()
+    assert mine and mine == sorted(theirs, key=repr)
