@@ -194,7 +194,7 @@ def in_many_files(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["file_lines", "filter_info", "filter_sets", "format_fields", "header_definitions", "info_fields", "sample_names"])
+@pytest.mark.parametrize("name", ["file_lines", "filter_info", "filter_sets", "format_fields", "header_definitions", "info_fields", "sample_names", "sites_only"])
 def test_queries_over_many_files(spark, in_many_files, name):
     import duckdb
 
