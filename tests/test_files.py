@@ -194,7 +194,7 @@ def in_many_files(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["file_lines", "filter_info", "filter_sets", "format_fields", "header_definitions", "info_fields", "sample_names", "sites_only", "site_ploidy_read", "upsert_info", "vcf_gz_round_trip"])
+@pytest.mark.parametrize("name", ["file_lines", "filter_info", "filter_sets", "format_fields", "header_definitions", "info_fields", "sample_names", "sites_only", "site_ploidy_read", "upsert_info", "vcf_gz_round_trip", "vcf_round_trip"])
 def test_queries_over_many_files(spark, in_many_files, name):
     import duckdb
 
