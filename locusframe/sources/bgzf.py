@@ -126,6 +126,28 @@ class Range(InputPartition):
     whole: bool = False
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other, as a task costs more than a small range."""
+
+    ranges: list[Range]
+
+
+def together(ranges: Sequence[Range], tasks: int) -> list[Ranges]:
+    """Neighbours share a task, up to SPLIT bytes and up to one of ``tasks`` equal parts of all; a larger range has its own."""
+    most = min(SPLIT, sum(r.end - r.begin for r in ranges) // max(tasks, 1))
+    out: list[Ranges] = []
+    n = most
+    for r in ranges:
+        own = max(r.end - r.begin, 1)
+        if not out or n + own > most:
+            out.append(Ranges([]))
+            n = 0
+        out[-1].ranges.append(r)
+        n += own
+    return out
+
+
 def _arrived(f, size: int, end: int, at: int) -> None:
     if (found := first_block(f, size, end)) != at:
         raise ValueError(f"blocks arrive at {at}, but the next range would begin at {found}: read the file unsplit")
@@ -203,7 +225,7 @@ class _Records:
         """Virtual offset of the place: block and byte within it; the place behind the last block is the next one's begin."""
         if self.at >= len(self.held) and not self.need(1):
             return self.blocks.size, 0
-        own = [s for s in self.starts if s[0] <= self.at][-1]
+        own = next(s for s in reversed(self.starts) if s[0] <= self.at)
         return own[1], self.at - own[0]
 
     def drop(self) -> None:
@@ -293,6 +315,7 @@ class Reader(DataSourceReader):
         self.files = json.loads(options["files"])
         self.regions = json.loads(options["regions"]) if "regions" in options else None
         self.overlap = options.get("overlap", "start")
+        self.tasks = int(options["tasks"]) if "tasks" in options else None
 
     def _ranges(self, path: str) -> list[Range]:
         f, size = open_file(path)
@@ -313,11 +336,16 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         with ThreadPoolExecutor(16) as pool:
-            return [r for own in pool.map(self._ranges, self.files) for r in own]
+            ranges = [r for own in pool.map(self._ranges, self.files) for r in own]
+        return ranges if self.tasks is None else together(ranges, self.tasks)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Ranges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark hands out where there are no ranges
             return
+        if isinstance(partition, Ranges):
+            for r in partition.ranges:
+                yield from self.read(r)
+            return
         seen = [0]
         if partition.whole:
             made = _unblocked(partition.path)
@@ -335,7 +363,8 @@ class Reader(DataSourceReader):
 
 class BlockedLines(DataSource):
     """``value``: the lines of BGZF files. Options: files (a JSON list), kind (text or bcf), split (bytes of a range),
-    regions (a JSON list of contig, first, last) and overlap; what=blocks gives (file, blocks, lines) of each range instead."""
+    regions (a JSON list of contig, first, last) and overlap, tasks (ranges share one up to such a part of all bytes);
+    what=blocks gives (file, blocks, lines) of each range instead."""
 
     @classmethod
     def name(cls) -> str:
@@ -367,7 +396,7 @@ def load(spark: SparkSession, files: list[str], kind: str = "text", split: int =
     """Lines of files, which may be far more than those of the regions: what the index cannot rule out is left to a filter."""
     ship(spark)
     spark.dataSource.register(BlockedLines)
-    reader = spark.read.format("blocked_lines").option("files", json.dumps(files)).option("kind", kind).option("split", split).option("overlap", overlap).option("what", what)
+    reader = spark.read.format("blocked_lines").option("files", json.dumps(files)).option("kind", kind).option("split", split).option("overlap", overlap).option("what", what).option("tasks", 4 * spark.sparkContext.defaultParallelism)
     return (reader if regions is None else reader.option("regions", json.dumps([list(r) for r in regions]))).load()
 
 

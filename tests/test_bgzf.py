@@ -231,3 +231,51 @@ def test_through_spark(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown contig"):
         VariantQuery.open(spark, str(one), regions=["chrZ"])
     assert io.BytesIO(one.read_bytes()).read(2) == b"\x1f\x8b"
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    lines = body(3000)
+    for kind in ("text", "bcf"):
+        folder = tmp_path / kind
+        folder.mkdir()
+        for i, own in enumerate((lines[:1000], lines[1000:])):
+            write(folder / f"part-{i}.{kind}", own, kind)
+        files = bgzf.files_of(spark, str(folder))
+        apart = sum(len(ranges(f.removeprefix("file:"), 100, kind).partitions()) for f in files)
+        cut = bgzf.load(spark, files, kind, split=100)
+        assert apart > 500 and 16 <= cut.rdd.getNumPartitions() <= 40
+        assert sorted(r.value for r in cut.where("value not like '#%'").collect()) == sorted(lines)
+        assert bgzf.load(spark, files, kind, split=100, what="blocks").count() == apart
+    own = [bgzf.Range("a", i, i + n) for i, n in ((0, 5), (5, 50), (55, 1), (56, 4), (60, 20), (80, 0))]
+    made = bgzf.together(own, 10)
+    assert [r for g in made for r in g.ranges] == own and [len(g.ranges) for g in made] == [1, 1, 2, 1, 1]
+    assert [len(g.ranges) for g in bgzf.together(own, 1)] == [6 - 1, 1] and bgzf.together([], 4) == []
+    wide = [bgzf.Range("a", i * bgzf.SPLIT // 2, (i + 1) * bgzf.SPLIT // 2) for i in range(9)]
+    assert [len(g.ranges) for g in bgzf.together(wide, 2)] == [2, 2, 2, 2, 1]
+
+
+def test_records_of_many_different_values():
+    head = [
+        *HEAD[:-1], '##INFO=<ID=N,Number=.,Type=Integer,Description="">', '##INFO=<ID=X,Number=.,Type=Float,Description="">', '##INFO=<ID=FL,Number=0,Type=Flag,Description="">',
+        '##FORMAT=<ID=AD,Number=.,Type=Integer,Description="">', '##FORMAT=<ID=GL,Number=.,Type=Float,Description="">', '##FORMAT=<ID=TX,Number=1,Type=String,Description="">', HEAD[-1],
+    ]
+    r = random.Random(3)
+    number = lambda: r.choice([".", str(r.randrange(-120, 128)), str(r.randrange(-32760, 32768)), str(r.randrange(-(2**31) + 8, 2**31))])
+    real = lambda: r.choice([".", f"{r.random():g}", f"{r.random() * 10 ** r.randrange(-9, 9):g}", "0", "-1.5"])
+    several = lambda one, most=3: ",".join(one() for _ in range(r.randrange(1, most)))
+    call = lambda: r.choice([".", "0", "0/1", "1|0", "./.", f"{r.randrange(200)}|{r.randrange(70)}", "0/1|1"])
+    lines = []
+    for i in range(20_000):
+        info = ";".join(x for x in (f"N={several(number, 20 if i % 7 else 3)}", f"X={several(real)}", "FL" if i % 2 else "", f"TX={'y' * r.randrange(1, 90)}{i}") if x)
+        samples = [":".join((call(), several(number), several(real), r.choice([".", "z" * r.randrange(1, 20)]))) for _ in range(2)]
+        lines.append("\t".join(("chr1", str(i + 1), r.choice([".", f"rs{i}"]), "A" * r.randrange(1, 20), r.choice([".", "C", "G,TT"]), real(), r.choice([".", "q", "PASS"]), info, "GT:AD:GL:TX", *samples)))
+    lines.append("chr1\t30000\t.\tA\tC\t.\t.\t.\tGT:AD:GL:TX\t0/1\t1")  # fields left out at the end
+    h = Header.parse(head)
+    pieces = [raw for raw, _ in blocked.bcf_records(h)(iter(lines))]
+    whole = list(bcf.lines(b"".join(pieces)))
+    assert whole[:-1] == lines[:-1] and whole[-1] == lines[-1].replace("0/1\t1", "0/1:.:.:.\t1:.:.:.")
+    decode = bcf.decoder("\n".join(h.text()))[0]
+    with pytest.raises(ValueError, match="beyond"):
+        decode(pieces[-1][:-1])
+    with pytest.raises(ValueError, match="beyond 32 bits"):
+        list(blocked.bcf_records(h)(iter([lines[0].replace("\tGT:AD:GL:TX", "\tAD").rsplit("\t", 2)[0] + f"\t1\t{2**31}"])))
