@@ -167,7 +167,8 @@ def write_bcf(df: DataFrame, header: Header, path: str, genotypes: bool = True,
     and position over all of them."""
     if not genotypes:
         df = df.drop("gt", "fmt", "format_keys")
-    rows = _sorted(df, header).orderBy("o", "contig", "pos", "n", "value").select("value")
+    # a sort looks at a sample of its rows first: dealt out before, the lines are not made a second time for it
+    rows = _sorted(df, header).repartition("contig", "pos", "value").orderBy("o", "contig", "pos", "n", "value").select("value")
     numbered = blocked.dictionaries(header.text(genotypes))[1]
     contigs = [numbered.get(i, "") for i in range(max(numbered, default=-1) + 1)]
     blocked.write_parts(rows, path, ".bcf", blocked.bcf_records(header, genotypes), _depth(header) if index else None, contigs)

@@ -177,6 +177,23 @@ def test_header_begins_with_the_first_file_by_name(spark, tmp_path):
         vcf.read_vcf(spark, str(tmp_path / "none.vcf"))
 
 
+def test_bcf_makes_each_line_once(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text("\n".join([*LINES, *[f"chr{i % 2 + 1}\t{i * 7 % 1000 + 1}\t.\tA\tT\t.\t.\t.\tGT\t0/1\t1|1\t." for i in range(999)]]) + "\n")
+    q = VariantQuery.open(spark, str(tmp_path / "a.vcf"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(pos):
+        seen.add(1)
+        return f"rs{pos}"
+
+    VariantQuery(q.df.withColumn("id", named("pos")), q.header).save(str(tmp_path / "b.bcf"), "bcf")
+    assert seen.value == 999
+    parts = sorted((tmp_path / "b.bcf").glob("part-*"))
+    rows = [x.split("\t")[:3] for p in parts for x in bcf.lines(p.read_bytes())]
+    assert len(rows) == 999 and rows == sorted(rows, key=lambda r: (r[0], int(r[1]))) and {f"rs{r[1]}" == r[2] for r in rows} == {True}
+
+
 @pytest.fixture(scope="module")
 def in_many_files(spark):
     """The derived variants written in many files of which the first is not the largest."""
